@@ -4,7 +4,8 @@
    distinct fingerprints of that range, Golomb-Rice coded, with a bit for those it holds more than once itself. A text
    that fills a third of the table costs one code a partition.
 2. Owners merge the messages and answer each with a bitmap of the fingerprints that occur more than once.
-3. Partitions look their rows up in the bitmaps. Only the suspects' texts are shuffled, and compared byte by byte.
+3. Partitions look their rows up in the bitmaps. Only the suspects' texts are shuffled, and compared byte by byte: a
+   Bloom filter of bounded size over the suspects' ids keeps the other texts where they are.
 
 The rows of step 1 (ids, lengths, SHA-256) are written to the shared folder, so every later step refers to the same rows.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import golomb
+from . import bloom, golomb
 
 #: Bits of a fingerprint; the share of unique texts that are suspected by chance is the number of texts over 2 ** 48.
 FP_BITS = 48
@@ -119,9 +120,11 @@ def groups(docs: DataFrame) -> DataFrame:
     marked = stored(rows.join(bitmaps, ["part", "chunk", "owner"]).select("part", "row", "doc_id", "n_points", "sha", bit.alias("suspect")), "dedup-marked")
     suspects = marked.where("suspect")
     # byte verification: equal digests must mean equal bytes, whichever rows are compared
-    wanted = suspects.select(F.col("doc_id").alias("id")).distinct()
+    wanted = stored(suspects.select(F.col("doc_id").alias("id")).distinct().withColumn("h", F.xxhash64("id")), "dedup-wanted")
+    passes = bloom.member(wanted, wanted.count())
     body = F.translate(F.coalesce("text", F.lit("")), SPACES.decode(), "")
-    read = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(body.alias("body")).select("body", F.unhex(F.sha2("body", 256)).alias("sha"))
+    # the filter keeps the other rows' texts out of the shuffle; the join is the same at every size
+    read = texts.where(passes(F.xxhash64("doc_id"))).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(body.alias("body")).select("body", F.unhex(F.sha2("body", 256)).alias("sha"))
     extremes = read.groupBy("sha").agg(F.min("body").alias("a"), F.max("body").alias("b"))
     verified = extremes.select(F.when(F.col("a") == F.col("b"), F.col("sha")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).alias("sha"))
     first = F.min(F.struct((-F.col("n_points")).alias("len"), F.col("doc_id").isNull().alias("none"), "doc_id", "part", "row"))
