@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, pii, sharding, simhash
+from . import bpe, decontaminate, exact_dedup, langid, pii, sharding, simhash, token_counts, token_files
 
 
 OP2 = r"""
@@ -72,6 +73,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.digests(_documents(spark, sf_dir), path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Counts of every document, and after one edit of each: a word put in at the middle code point."""
+    half = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)
+    edits = F.array(F.struct(F.lit(0).alias("step"), half.alias("start"), half.alias("end"), F.lit(" and ").alias("new")))
+    return token_counts.count_tokens(_documents(spark, sf_dir), path or public_tokenizers.path("byte_bpe_50k.json"), edits)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    folder = token_files.write(_documents(spark, sf_dir), path or public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return token_files.read_index(spark, folder)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir), words=3, bits=2)
 
@@ -85,7 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op8_simhash_near_dedup, op9_pii, op10_sharding)
+    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding)
     return {f.__name__: f for f in every}
 
 
