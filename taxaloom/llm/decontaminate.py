@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import rows
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,12 +93,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slack: int
         F.count_if(~F.col("exact")).alias("n_near"),
     )
     per = stored(per.toDF("id", "k", "n_hit", "ids", "n_near"), "bench-hits")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    joined = rows.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k")), "left")
+    every = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    joined = every.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k")), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id",
+        F.col("doc_id"),
         "n_words",
         hit.alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
@@ -105,3 +106,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slack: int
         (hit > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
+    found = matches(docs, items, width).where("exact").select("doc_id", "h").distinct()
+    hit = stored(found, "bench-documents").toDF("id", "k").hint("merge")
+    h = rows.fresh(docs, "_h")[0]
+    marked = docs.withColumn(h, F.xxhash64(docs["text"]))
+    return marked.join(hit, marked["doc_id"].eqNullSafe(hit["id"]) & (marked[h] == hit["k"]), "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import bloom, golomb
+from . import bloom, golomb, rows as rows_
 
 #: Bits of a fingerprint; the share of unique texts that are suspected by chance is the number of texts over 2 ** 48.
 FP_BITS = 48
@@ -30,7 +30,7 @@ FP_BITS = 48
 CHUNK = 200_000
 SPACES = b" \t\n\x0b\x0c\r"
 
-_SENT = "kind byte, part int, chunk int, row long, doc_id long, n_points long, sha binary, owner int, pos int, n int, width int, fps binary, twice binary"
+_SENT = "kind byte, part int, chunk int, row long, doc_id long, h long, n_points long, sha binary, owner int, pos int, n int, width int, fps binary, twice binary"
 
 
 def _send(owner_bits: int):
@@ -38,7 +38,7 @@ def _send(owner_bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, chunk, row = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[list, list[int], list[bytes]]] = []
+        held: list[tuple[list, list[int], list[bytes], np.ndarray]] = []
 
         def flush() -> Iterator[pd.DataFrame]:
             ids = [x for h in held for x in h[0]]
@@ -51,7 +51,7 @@ def _send(owner_bits: int):
             ends = np.append(firsts[1:], len(values))
             yield pd.DataFrame(
                 {
-                    "kind": np.int8(0), "part": np.int32(part), "chunk": np.int32(chunk), "row": np.arange(row, row + len(ids)), "doc_id": pd.array(ids, dtype="Int64"), "n_points": points, "sha": shas,
+                    "kind": np.int8(0), "part": np.int32(part), "chunk": np.int32(chunk), "row": np.arange(row, row + len(ids)), "doc_id": pd.array(ids, dtype="Int64"), "h": np.concatenate([x[3] for x in held]), "n_points": points, "sha": shas,
                     "owner": owners[inverse].astype(np.int32), "pos": (inverse - firsts[owners[inverse]]).astype(np.int32), "n": np.int32(0), "width": np.int32(0), "fps": None, "twice": None,
                 }
             )
@@ -60,8 +60,8 @@ def _send(owner_bits: int):
                 a, b = firsts[owner], ends[owner]
                 width = golomb.rice_bits(1 << shift, b - a)
                 code = golomb.encode(values[a:b] - (np.uint64(owner) << np.uint64(shift)), width)
-                sent.append((np.int8(1), part, chunk, 0, None, 0, None, int(owner), 0, int(b - a), width, code, np.packbits(counts[a:b] > 1).tobytes()))
-            frame = pd.DataFrame(sent, columns=["kind", "part", "chunk", "row", "doc_id", "n_points", "sha", "owner", "pos", "n", "width", "fps", "twice"])
+                sent.append((np.int8(1), part, chunk, 0, None, 0, 0, None, int(owner), 0, int(b - a), width, code, np.packbits(counts[a:b] > 1).tobytes()))
+            frame = pd.DataFrame(sent, columns=["kind", "part", "chunk", "row", "doc_id", "h", "n_points", "sha", "owner", "pos", "n", "width", "fps", "twice"])
             yield frame.astype({"doc_id": "Int64"})
 
         for pdf in batches:
@@ -71,7 +71,7 @@ def _send(owner_bits: int):
                 ids.append(None if pd.isna(doc) else int(doc))
                 points.append(len(text))
                 shas.append(hashlib.sha256(text.encode("utf-8", "surrogatepass").translate(None, SPACES)).digest())
-            held.append((ids, points, shas))
+            held.append((ids, points, shas, pdf["h"].to_numpy(np.int64)))
             if sum(len(h[0]) for h in held) >= CHUNK:
                 yield from flush()
                 row += sum(len(h[0]) for h in held)
@@ -106,18 +106,19 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after deleting space, tab, newline, vertical tab, form feed and carriage return; null
     counts as empty. Of equal texts the row with the most code points, then the smallest doc_id (null last) stays; of
-    rows equal in both, exactly one. Returns doc_id, keep_id, group_size, kept, text_sha256, and n_points (code points).
+    rows equal in both, exactly one. Returns doc_id, keep_id, group_size, kept, text_sha256, n_points (code points) and h (xxhash64 of
+    the original text).
     An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     owner_bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = stored(texts.mapInPandas(_send(owner_bits), _SENT), "dedup-sent")
-    rows = sent.where("kind = 0").select("part", "chunk", "row", "doc_id", "n_points", "sha", "owner", "pos")
+    sent = stored(texts.withColumn("h", F.xxhash64("text")).mapInPandas(_send(owner_bits), _SENT), "dedup-sent")
+    rows = sent.where("kind = 0").select("part", "chunk", "row", "doc_id", "h", "n_points", "sha", "owner", "pos")
     messages = sent.where("kind = 1").select("part", "chunk", "owner", "n", "width", "fps", "twice")
     bitmaps = messages.groupBy("owner").applyInPandas(_answer(owner_bits), "part int, chunk int, owner int, words array<long>")
     bit = F.expr("(shiftrightunsigned(words[cast(pos div 64 as int)], cast(pos % 64 as int)) & 1) = 1")
-    marked = stored(rows.join(bitmaps, ["part", "chunk", "owner"]).select("part", "row", "doc_id", "n_points", "sha", bit.alias("suspect")), "dedup-marked")
+    marked = stored(rows.join(bitmaps, ["part", "chunk", "owner"]).select("part", "row", "doc_id", "h", "n_points", "sha", bit.alias("suspect")), "dedup-marked")
     suspects = marked.where("suspect")
     # byte verification: equal digests must mean equal bytes, whichever rows are compared
     wanted = stored(suspects.select(F.col("doc_id").alias("id")).distinct().withColumn("h", F.xxhash64("id")), "dedup-wanted")
@@ -130,7 +131,13 @@ def groups(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct((-F.col("n_points")).alias("len"), F.col("doc_id").isNull().alias("none"), "doc_id", "part", "row"))
     found = stored(suspects.groupBy("sha").agg(F.count("*").alias("group_size"), first.alias("first")).join(verified, "sha"), "dedup-groups")
     sha = F.lower(F.hex("sha")).alias("text_sha256")
-    alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha, "n_points")
+    alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha, "n_points", "h")
     stays = (F.col("first.part") == F.col("part")) & (F.col("first.row") == F.col("row"))
-    shared = suspects.join(found, "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), sha, "n_points")
+    shared = suspects.join(found, "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), sha, "n_points", "h")
     return alone.unionByName(shared)
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
+    decided = groups(docs).groupBy(F.col("doc_id").alias("id"), "h").agg(F.count_if("kept").alias("stay"), F.count("*").alias("n"))
+    return rows_.keep(docs, decided)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .rows import fresh
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -173,3 +174,11 @@ def identify(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     model = fit(rows.where(~F.col("held_out")), sizes)
     said = predictor(docs, model)(F.col("text"))
     return rows.select("doc_id", "held_out", said.alias("said")).select("doc_id", "held_out", "said.lang_pred", "said.score")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5, sizes: Sizes = Sizes()) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language with at least this score, with all their columns."""
+    model = fit(docs.where(~held_out(F.col("doc_id"))), sizes)
+    said = fresh(docs, "_said")[0]
+    marked = docs.withColumn(said, predictor(docs, model)(docs["text"]))
+    return marked.where((F.col(f"{said}.lang_pred") != UNDETERMINED) & (F.col(f"{said}.score") >= least)).select(*docs.columns)

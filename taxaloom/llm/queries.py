@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.groups(_documents(spark, sf_dir))
+    return exact_dedup.groups(_documents(spark, sf_dir)).drop("h")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +98,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=24)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding)
+    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, pipeline)
     return {f.__name__: f for f in every}
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import rows as rows_
 from .components import components
 
 #: Shingle hashes that are turned to bits at once, which bounds memory for very long texts.
@@ -27,22 +28,21 @@ BLOCK = 65_536
 FREE = list(combinations(range(8), 2))
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of ``text``; 0 where it has no word."""
+def fingerprint(text: str | None, words: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """SimHash of the word shingles of ``text``, 64 bits a seed; 0 where it has no word."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not parts:
-        return 0
-    if len(parts) <= words:
-        shingles = [b" ".join(parts)]
-    else:
-        shingles = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        block = hashes[at : at + BLOCK]
-        ones += np.unpackbits(block.view(np.uint8).reshape(len(block), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+        return [0] * len(seeds)
+    shingles = [b" ".join(parts)] if len(parts) <= words else [*map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False))]
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), BLOCK):
+            block = hashes[at : at + BLOCK]
+            ones += np.unpackbits(block.view(np.uint8).reshape(len(block), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]))
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, words)[0] for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
@@ -155,3 +155,97 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(rooted.join(lows, "root").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Wide fingerprints: three seeds make 192 bits, 24 positional bytes. An index list is a choice of three positions.
+SEEDS = (42, 43, 44)
+CHOICES = [(a, (a + d) % 24, (a + e) % 24) for d, e in ((1, 3), (4, 9), (6, 13), (8, 18), (2, 12), (5, 16), (3, 17)) for a in range(24)]
+
+
+def _wide_lists(most: int):
+    """Links within lists of wide fingerprints, compared block by block; what a list reports is a spanning forest."""
+
+    def linked(fps: np.ndarray) -> list[tuple[int, int]]:
+        root = list(range(len(fps)))
+        out = []
+        for a in range(0, len(fps), 256):
+            for b in range(a, len(fps), 4096):
+                apart = np.bitwise_count(fps[a : a + 256, None, :] ^ fps[None, b : b + 4096, :]).sum(axis=2)
+                for x, y in zip(*(np.nonzero(apart <= most)), strict=True):
+                    x, y = int(x) + a, int(y) + b
+                    if x >= y:
+                        continue
+                    s, t = x, y
+                    while root[s] != s:
+                        root[s] = s = root[root[s]]
+                    while root[t] != t:
+                        root[t] = t = root[root[t]]
+                    if s != t:
+                        root[max(s, t)] = min(s, t)
+                        out.append((x, y))
+        return out
+
+    def links(list_: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+        starts = np.flatnonzero(np.r_[True, list_[1:] != list_[:-1]])
+        sizes = np.diff(np.r_[starts, len(node)])
+        two = starts[sizes == 2]
+        ok = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= most
+        a, b = [node[two[ok]]], [node[two[ok] + 1]]
+        for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            if found := linked(fps[at : at + n]):
+                x, y = np.array(found).T
+                a.append(node[at + x])
+                b.append(node[at + y])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for pdf in batches:
+            now = [pdf["list"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64), pdf[["f0", "f1", "f2"]].to_numpy(np.int64).view(np.uint64)]
+            if not len(now[0]):
+                continue
+            if held:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            change = np.flatnonzero(now[0] != now[0][-1])
+            cut = change[-1] + 1 if len(change) else 0
+            held = [x[cut:] for x in now]
+            if cut:
+                yield links(*(x[:cut] for x in now))
+        if held:
+            yield links(*held)
+
+    return run
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: the smallest doc_id of each group of near copies.
+
+    Near copies are texts of whose 192 fingerprint bits at least this share is equal, directly or over others; the bits are
+    SimHashes of their shingles under three seeds. Candidates share three of the 24 positional bytes in one of
+    ``CHOICES``; a list is compared block by block, without a cap. A null doc_id stays only if its group has no other;
+    null and empty texts form one group; of repeated rows one stays.
+    """
+    names = [f"f{k}" for k in range(len(SEEDS))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fps = np.array([fingerprint(t, words, SEEDS) for t in pdf["text"]], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
+            yield pd.DataFrame(fps, columns=names).assign(id=pdf["id"].astype("Int64"), h=pdf["h"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    own = stored(texts.mapInPandas(run, "f0 long, f1 long, f2 long, id long, h long"), "near-rows")
+    classes = stored(own.select(*names).distinct().withColumn("node", F.xxhash64(*names)), "near-classes")
+
+    own_bytes = F.array(*(F.shiftrightunsigned(F.col(names[k // 8]), 8 * (k % 8)).bitwiseAND(F.lit(255)) for k in range(8 * len(names))))
+    held = classes.select("node", *names, own_bytes.alias("x"), *(F.array(*(F.lit(c[k]) for c in CHOICES)).alias(f"p{k}") for k in range(3)))
+    key = F.expr(f"transform(sequence(0, {len(CHOICES) - 1}), n -> cast(n as bigint) * 16777216 + x[p0[n]] * 65536 + x[p1[n]] * 256 + x[p2[n]])")
+    postings = held.select("node", *names, F.explode(key).alias("list")).repartition("list").sortWithinPartitions("list")
+    linked = stored(postings.mapInPandas(_wide_lists(int(64 * len(SEEDS) * (1 - similarity) + 1e-9)), "a long, b long"), "near-links")
+    reach = stored(components(linked), "near-reach").toDF("at", "root")
+    rooted = own.withColumn("node", F.xxhash64(*names)).join(reach, F.col("node") == F.col("at"), "left").select("id", "h", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "near-rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    stays = stored(first.select("first.id", "first.h"), "near-first")
+    per = rooted.groupBy("id", "h").agg(F.count("*").alias("n")).alias("per")
+    keys = stays.alias("s").join(per, F.col("s.id").eqNullSafe(F.col("per.id")) & (F.col("s.h") == F.col("per.h")))
+    return rows_.keep(docs, keys.select("s.id", "s.h", F.lit(1).cast("long").alias("stay"), "per.n"))
