@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, pii, sharding, simhash, token_counts, token_files
+from . import bpe, decontaminate, exact_dedup, langid, pii, repeats, sharding, simhash, token_counts, token_files
 
 
 OP2 = r"""
@@ -74,6 +74,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.digests(_documents(spark, sf_dir), path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_documents(spark, sf_dir), width=400, with_kept=False).drop("removed")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Counts of every document, and after one edit of each: a word put in at the middle code point."""
     half = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2)
@@ -103,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, pipeline)
+    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, pipeline)
     return {f.__name__: f for f in every}
 
 
