@@ -1,11 +1,11 @@
 """An adaptive context-mixing range coder for token ids, in blocks that are reset and checksummed one by one.
 
 An id is coded in up to three steps: is it the id that last followed the two ids before it (order 2); if not, is it the id
-that last followed the one before it (order 1); if not, its 16 bits, high ones first, by adaptive order-0 bit models. The
-probability of the first two steps mixes two adaptive estimates, one by how often the predictions held so far and one by
+that last followed the one before it (order 1); if not, its four nibbles, the high one first, by adaptive order-0 models
+of a nibble below those before it. The probability of the first two steps mixes two adaptive estimates, one by how often the predictions held so far and one by
 the id before; the weight of the mix moves to the one that was closer. All is integer arithmetic, so every machine decodes
-alike. The coder is binary and carry-free: an interval of 64 bits is narrowed, and its upper half is put out in 32-bit
-words once it is settled.
+alike. The coder is carry-free: an interval of 64 bits is narrowed, and its upper half is put out in 32-bit words once it
+is settled; an interval that gets too narrow across a border is cut off there.
 
 Blocks are independent, so a batch of them is coded in step, one numpy lane a block.
 """
@@ -18,12 +18,19 @@ import zlib
 import numpy as np
 
 #: Ids of a block, and blocks coded in step: these bound a worker's memory (about 200 KB a lane).
-BLOCK, LANES = 8192, 512
-MAGIC = b"TXM1"
+BLOCK, LANES = 8192, 768
+MAGIC = b"TXM2"
 T2, T1 = 13, 12  # log2 of the slots of the order-2 and order-1 tables
 U64 = np.uint64
 _RATE = np.array([65536 // (2 * n + 3) * 2 for n in range(16)], np.int64)  # a model with n bits seen moves 1/(n + 1.5) of the way
 
+#: Nibble models hold 16 cumulative counts of 15 bits; this is where a seen nibble pulls them to.
+_FULL, _PLACES = 1 << 15, np.arange(16, dtype=np.int32)
+_PULL = np.where(_PLACES[None, :] <= _PLACES[:, None], _PLACES[None, :] * 2, _FULL - 32 + _PLACES[None, :] * 2).astype(np.int32)
+_SHIFT = np.array([1, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4, 4, 4, 4, 4, 5], np.int32)  # by how often a model was used
+#: Where the models of a nibble begin: below none, one, two or three nibbles.
+_LEVEL = (0, 1, 17, 273)
+
 
 class _Lanes:
     """Models and coder states of a batch of blocks; ``words`` is None when encoding."""
@@ -33,7 +40,8 @@ class _Lanes:
         self.low, self.high = np.zeros(n, U64), np.full(n, (1 << 64) - 1, U64)
         self.order2 = np.full((n, 1 << T2), -1, np.int32)  # id * 4 + confidence, or -1
         self.order1 = np.full((n, 1 << T1), -1, np.int32)
-        self.bits = np.full((n, 1 << 16), 2048 << 4, np.uint16)  # order 0: a probability of 12 bits and a count of 4
+        self.nibbles = np.empty((n, 4369, 16), np.uint16)  # order 0: cumulative counts, the use of a model in its first place
+        self.nibbles[:] = _PLACES * (_FULL // 16)
         self.held = np.full((n, 64), 512 << 4, np.uint16)
         self.after = np.full((n, 512), 512 << 4, np.uint16)
         self.weight = np.full((n, 2), 128, np.int64)
@@ -54,10 +62,15 @@ class _Lanes:
             bit = code <= mid
         np.copyto(high, mid, where=bit)
         np.copyto(low, mid + U64(1), where=~bit)
+        self.settle(low, high, code, lanes)
+        return bit
+
+    def settle(self, low, high, code, lanes):
+        """Put out or take in words until the upper halves of all intervals differ and none is too narrow."""
         while True:
-            settled = np.flatnonzero((low ^ high) < U64(1 << 32))
+            settled = np.flatnonzero(((low ^ high) < U64(1 << 32)) | (high - low < U64(1 << 17)))
             if not len(settled):
-                return bit
+                return
             who = lanes[settled]
             at = self.filled[who]
             if self.decoding:
@@ -67,8 +80,9 @@ class _Lanes:
                     self.buffer = np.concatenate([self.buffer, np.zeros_like(self.buffer)], axis=1)
                 self.buffer[who, at] = (low[settled] >> U64(32)).astype(np.uint32)
             self.filled[who] = at + 1
+            one = (low[settled] ^ high[settled]) < U64(1 << 32)
+            high[settled] = np.where(one, (high[settled] << U64(32)) | U64(0xFFFFFFFF), U64((1 << 64) - 1))
             low[settled] <<= U64(32)
-            high[settled] = (high[settled] << U64(32)) | U64(0xFFFFFFFF)
 
     @staticmethod
     def learn(table, lanes, slot, bit, most=15):
@@ -96,27 +110,35 @@ class _Lanes:
         return bit
 
     def literal(self, lanes, value):
-        """Code 16 bits by order-0 models, high ones first: a tree of the high byte, and one of the low byte below it."""
+        """Code 16 bits as four nibbles by order-0 models, each under the nibbles before it."""
         low, high = self.low[lanes], self.high[lanes]
         code = self.code[lanes] if self.decoding else None
         out = np.zeros(len(lanes), np.int64)
-        node = np.ones(len(lanes), np.int64)
-        for k in range(15, -1, -1):
-            if k == 7:
-                node = np.ones(len(lanes), np.int64)
-            # node 0 of every tree is unused, so the tree of the high byte can be kept at those slots
-            slot = node << 8 if k > 7 else ((out & 255) << 8) | node
-            v = self.bits[lanes, slot].astype(np.int64)
-            p, n = v >> 4, v & 15
-            bit = self.step(low, high, code, lanes, p, None if self.decoding else (value >> k) & 1 == 1)
-            p += ((np.where(bit, 4095, 1) - p) * _RATE[n]) >> 16
-            self.bits[lanes, slot] = (p << 4) | np.minimum(n + 1, 15)
-            node = node * 2 + bit
-            out = out * 2 + bit
+        rows = np.arange(len(lanes))
+        for k in range(4):
+            slot = _LEVEL[k] + out
+            counts = self.nibbles[lanes, slot].astype(np.int32)
+            used = counts[:, 0].copy()
+            counts[:, 0] = 0
+            unit = (high - low) >> U64(15)
+            if self.decoding:
+                at = np.minimum((code - low) // unit, U64(_FULL - 1)).astype(np.int32)
+                s = (counts <= at[:, None]).sum(axis=1) - 1
+            else:
+                s = (value >> (12 - 4 * k)) & 15
+            below = low + unit * counts[rows, s].astype(U64)
+            top = s < 15
+            np.copyto(high, low + unit * counts[rows, np.minimum(s + 1, 15)].astype(U64) - U64(1), where=top)
+            low = below
+            self.settle(low, high, code, lanes)
+            counts += (_PULL[s] - counts) >> _SHIFT[used][:, None]
+            counts[:, 0] = np.minimum(used + 1, 15)
+            self.nibbles[lanes, slot] = counts
+            out = out * 16 + s
         self.low[lanes], self.high[lanes] = low, high
         if self.decoding:
             self.code[lanes] = code
-        return out & 0xFFFF
+        return out
 
     def predict(self, table, lanes, slot):
         v = table[lanes, slot]
