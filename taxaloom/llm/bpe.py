@@ -24,18 +24,74 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: Stands for the end-of-word suffix behind the last character of a piece.
 END = "\ue000"
 #: Pieces a worker remembers in each of two generations; when the young one is full, it becomes the old one.
 CACHE = 200_000
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-BYTES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 BYTES_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+def _patterns(letter: str = r"\p{L}", number: str = r"\p{N}") -> tuple[regex.Pattern, regex.Pattern]:
+    """The pre-tokeniser's patterns for words and for bytes, given the members of the classes of letters and numbers."""
+    words = rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACES}{letter}{number}]+"
+    return regex.compile(words), regex.compile(
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACES}{letter}{number}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+    )
+
+
+SPLIT, BYTES = _patterns()
+
+
+def _members(places: set[int]) -> str:
+    """A set of code points as the inside of a character class."""
+    out, run = [], []
+    for c in [*sorted(places), -1]:
+        if run and c != run[-1] + 1:
+            out.append(rf"\U{run[0]:08x}-\U{run[-1]:08x}")
+            run = []
+        run.append(c)
+    return "".join(out)
+
+
+class _Odd:
+    """Code points that the library's Unicode tables class or lower-case unlike those of Python and ``regex``.
+
+    Such tables differ by version only in characters that the older one does not know. Texts that hold one are cut by
+    patterns with the library's own classes; all others by the plain ones.
+    """
+
+    def __init__(self) -> None:
+        every = [c for c in range(0x80, 0x40000) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, every))
+        theirs, ours = {}, {}
+        for name in ("L", "N"):
+            split = pre_tokenizers.Split(Regex(rf"\p{{{name}}}+"), "removed", invert=True)
+            theirs[name] = {ord(c) for piece, _ in split.pre_tokenize_str(text) for c in piece}
+            ours[name] = set(map(ord, regex.findall(rf"\p{{{name}}}", text)))
+        lower = normalizers.Lowercase()
+        new = [c for c in every if unicodedata.category(chr(c)) == "Cn"]
+        self.lower = {c: low for c in new if (low := lower.normalize_str(chr(c))) != chr(c)}
+        odd = (theirs["L"] ^ ours["L"]) | (theirs["N"] ^ ours["N"]) | set(self.lower)
+        self.search = regex.compile(f"[{_members(odd)}]").search if odd else lambda text: None
+        self.split, self.bytes = _patterns("A-Za-z" + _members(theirs["L"]), "0-9" + _members(theirs["N"])) if odd else (SPLIT, BYTES)
+
+
+@lru_cache(maxsize=1)
+def odd() -> _Odd:
+    return _Odd()
+
+
+def byte_pieces(text: str) -> list[str]:
+    """Pre-tokens of the byte-level pattern; joined they are the text."""
+    if text.isascii():
+        return BYTES_ASCII.findall(text)
+    return (odd().bytes if odd().search(text) else BYTES).findall(text)
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else the next from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -142,10 +198,13 @@ class Vocabulary:
     def pieces(self, text: str) -> list[str]:
         """What the normaliser and the pre-tokeniser make of a text without added tokens."""
         if not self.words:
-            return (BYTES_ASCII if text.isascii() else BYTES).findall(text)
+            return byte_pieces(text)
         if text.isascii():
             return SPLIT_ASCII.findall(text.lower())
-        return SPLIT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if odd().search(text):
+            return odd().split.findall(text.translate(odd().lower))
+        return SPLIT.findall(text)
 
     def packed(self, piece: str) -> bytes:
         """Ids of a piece as little-endian 32-bit integers, remembered."""

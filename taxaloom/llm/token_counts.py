@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import BYTES, BYTES_ASCII, byte_alphabet
+from .bpe import BYTES, byte_alphabet, byte_pieces, odd
 
 #: Pre-tokens whose counts a worker remembers, in each of two generations.
 CACHE = 200_000
@@ -66,7 +66,7 @@ class CountTree:
 
     def __init__(self, text: str | None, counter: Counter) -> None:
         self.text, self.counter = text or "", counter
-        pieces = (BYTES_ASCII if self.text.isascii() else BYTES).findall(self.text)
+        pieces = byte_pieces(self.text)
         ends = np.cumsum([len(p) for p in pieces], dtype=np.int64) if pieces else np.zeros(0, np.int64)
         self.starts: list[int] = [0, *ends[:-1].tolist()] if pieces else []
         self._build(np.array(counter.counts(pieces), np.int64))
@@ -106,7 +106,7 @@ class CountTree:
         text = self.text[:start] + new + self.text[end:]
         first = max(0, bisect_right(self.starts, start) - 1 - CONTEXT)
         at = self.starts[first] if self.starts else 0
-        cut = BYTES.match
+        cut = (odd().bytes if odd().search(text) else BYTES).match
         pieces: list[str] = []
         starts: list[int] = []
         agreed, last = 0, self.n
