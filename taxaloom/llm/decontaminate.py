@@ -24,7 +24,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of a benchmark table that may be broadcast; a row takes about 300 bytes.
 SMALL = 100_000
 #: Rarest terms of a window whose lists are intersected.
-ANCHORS = 3
+ANCHORS = 2
 
 
 def words(text: Column) -> Column:
@@ -45,19 +45,19 @@ def windows(items: DataFrame, width: int) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 0) -> DataFrame:
-    """Occurrences of item windows in ``docs``: doc_id, h (hash of the text), start, phrase, n, exact, items.
+    """Occurrences of item windows in ``docs``: doc_id, h (hash of the text), start, window (its number), n, exact, items.
 
     A row is a place where all rarest terms of a window lie within ``slack`` words of their offsets; exact is true where
     all words of the window follow one another.
     """
-    phrases = stored(windows(items, width), "bench-windows")
+    phrases = stored(windows(items, width).withColumn("window", F.monotonically_increasing_id()), "bench-windows")
     tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     terms = phrases.select(F.explode("terms").alias("term")).distinct()
     counts = stored(tokens.select(F.explode("w").alias("term")).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("df")), "bench-counts")
-    parts = phrases.select("phrase", F.size("terms").alias("n"), "items", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    own = Window.partitionBy("phrase")
+    parts = phrases.select("window", "phrase", F.size("terms").alias("n"), "items", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    own = Window.partitionBy("window")
     ranked = parts.withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "offset"))).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(own))
-    anchors = stored(ranked.where(f"least > 0 and rank <= {ANCHORS}").select("phrase", "n", "items", "offset", "term", "rank"), "bench-anchors")
+    anchors = stored(ranked.where(f"least > 0 and rank <= {ANCHORS}").select("window", "phrase", "n", "items", "offset", "term", "rank"), "bench-anchors")
     chosen = anchors.groupBy("term").agg(F.max(F.col("rank") == 1).alias("lead"))
     low = F.greatest(F.col("pos") - (width - 1), F.lit(0))
     around = F.when(F.col("lead"), F.slice("w", low + 1, F.col("pos") + width - low))
@@ -68,13 +68,13 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 0)
     start = (F.col("pos") - F.col("offset")).alias("start")
     lead = postings.join(_small(anchors.where("rank = 1").drop("items")), "term").where("pos >= offset")
     same = F.concat_ws(" ", F.slice("around", F.col("pos") - F.col("offset") - F.col("low") + 1, F.col("n"))) == F.col("phrase")
-    lead = lead.select("doc_id", "h", start, "phrase", F.lit(1).alias("bit"), same.alias("exact"))
-    rest = postings.drop("around").join(_small(anchors.where("rank > 1").drop("items")), "term").where(F.col("pos") >= F.col("offset") - slack)
+    lead = lead.select("doc_id", "h", start, "window", F.lit(1).alias("bit"), same.alias("exact"))
+    rest = postings.drop("around").join(_small(anchors.where("rank > 1").drop("items", "phrase")), "term").where(F.col("pos") >= F.col("offset") - slack)
     shifted = F.explode(F.array(*(F.col("pos") - F.col("offset") + d for d in range(-slack, slack + 1)))).alias("start") if slack else start
-    rest = rest.select("doc_id", "h", shifted, "phrase", F.expr("shiftleft(1, rank - 1)").alias("bit"), F.lit(False).alias("exact"))
-    met = lead.unionByName(rest).groupBy("doc_id", "h", "start", "phrase").agg(F.bit_or("bit").alias("bits"), F.max("exact").alias("exact"))
-    need = anchors.groupBy("phrase").agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("need"), F.first("n").alias("n"), F.first("items").alias("items"))
-    return met.where("bits % 2 = 1").join(_small(need), "phrase").where("bits = need").select("doc_id", "h", "start", "phrase", "n", "exact", "items")
+    rest = rest.select("doc_id", "h", shifted, "window", F.expr("shiftleft(1, rank - 1)").alias("bit"), F.lit(False).alias("exact"))
+    met = lead.unionByName(rest).groupBy("doc_id", "h", "start", "window").agg(F.bit_or("bit").alias("bits"), F.max("exact").alias("exact"))
+    need = anchors.groupBy("window").agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("need"), F.first("n").alias("n"), F.first("items").alias("items"))
+    return met.where("bits % 2 = 1").join(_small(need), "window").where("bits = need").select("doc_id", "h", "start", "window", "n", "exact", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 2) -> DataFrame:
