@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -33,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package where it runs from a checkout and not from an installation."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = spark.sparkContext.environment
+    paths = own.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
