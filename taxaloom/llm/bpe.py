@@ -30,6 +30,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 END = "\ue000"
 #: Pieces a worker remembers in each of two generations; when the young one is full, it becomes the old one.
 CACHE = 200_000
+#: Ids that a worker hands on at once.
+HANDED = 1_000_000
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 BYTES_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
@@ -256,8 +258,13 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = vocabulary(path)
         for pdf in batches:
-            ids = [own.encode(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [x.astype(np.int32) for x in ids], "decoded": [own.decode(x) for x in ids]})
+            ids, size, at = [], 0, 0
+            for k, text in enumerate(pdf["text"], 1):
+                ids.append(own.encode(text))
+                size += len(ids[-1])
+                if size >= HANDED or k == len(pdf):
+                    yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at:k].astype("Int64"), "ids": [x.astype(np.int32) for x in ids], "decoded": [own.decode(x) for x in ids]})
+                    ids, size, at = [], 0, k
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
