@@ -159,7 +159,8 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
 
 #: Wide fingerprints: three seeds make 192 bits, 24 positional bytes. An index list is a choice of three positions.
 SEEDS = (42, 43, 44)
-CHOICES = [(a, (a + d) % 24, (a + e) % 24) for d, e in ((1, 3), (4, 9), (6, 13), (8, 18), (2, 12), (5, 16), (3, 17)) for a in range(24)]
+_STEPS = ((1, 3), (4, 9), (6, 13), (8, 18), (2, 12), (5, 16), (3, 17), (1, 8), (1, 13), (1, 18), (1, 23), (2, 4), (2, 9), (2, 14))
+CHOICES = [(a, (a + d) % 24, (a + e) % 24) for d, e in _STEPS for a in range(24)]
 
 
 def _wide_lists(most: int):
