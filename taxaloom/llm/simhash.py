@@ -218,32 +218,137 @@ def _wide_lists(most: int):
     return run
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of ``text`` as sorted 64-bit hashes; a shorter text is one shingle, one without a word has none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    n = min(words, len(parts))
+    out = np.full(len(each) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = (out ^ each[k : len(each) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest (pairs of places) of the sets whose Jaccard similarity is ``similarity`` or more."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    known, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = df > 1  # a shingle of one set is in no intersection
+    column = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(m), sizes)[shared[place]]
+    column = column[place[shared[place]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((m, m), np.float64)
+    step = max(1, (1 << 22) // m)
+    for low in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(column, (low, low + step))
+        there = np.zeros((m, step), np.float32)
+        there[owner[a:b], column[a:b] - low] = 1
+        both += there @ there.T
+    union = sizes[:, None] + sizes[None, :] - both
+    root = list(range(m))
+    out = []
+    for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(both / np.maximum(union, 1) >= similarity, 1))), strict=True):
+        s, t = x, y
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        while root[t] != t:
+            root[t] = t = root[root[t]]
+        if s != t:
+            root[max(s, t)] = min(s, t)
+            out.append((x, y))
+    return out
+
+
+def _verified(words: int, similarity: float):
+    """Links (a, b: nodes) of the texts in each block pair of a group, by all their distinct shingles."""
+
+    def links(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, own in pdf.groupby(["grp", "low", "high"], sort=False):
+            own = own.drop_duplicates("node")
+            if len(own) > 1:
+                node = own["node"].to_numpy(np.int64)
+                if found := similar([shingles(t, words) for t in own["text"]], similarity):
+                    yield pd.DataFrame(node[np.array(found)], columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            now = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = now.iloc[-1]
+            same = ((now["grp"] == last["grp"]) & (now["low"] == last["low"]) & (now["high"] == last["high"])).to_numpy()
+            held = now[same]
+            yield from links(now[~same])
+        if held is not None:
+            yield from links(held)
+
+    return run
+
+
+#: Texts, and shingles, of a block of a group of candidates; a task compares two blocks.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
+
+
+def _links_within(docs: DataFrame, own: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``groups`` (node, grp) of candidates -> a, b: links that connect all of a group that are as similar, each pair compared.
+
+    ``own`` has id, h (of the text), node and size of every row. A group above a block is cut into blocks, all pairs of
+    which are compared, so no group has to fit into one task.
+    """
+    nodes = own.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("one"), F.first("size").alias("size"))
+    nodes = stored(nodes.join(groups, "node").select("node", "grp", "size", F.col("one.id").alias("one_id"), F.col("one.h").alias("one_h")), "near-nodes")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    tally = nodes.groupBy("grp").agg(F.count("*").alias("m"), parts.cast("int").alias("parts")).where("m > 1")
+    wanted = stored(nodes.join(tally, "grp").select("node", "grp", "parts", "one_id", "one_h"), "near-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    found = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("h") == F.col("one_h")))
+    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = found.select("node", "grp", "text", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "text")
+    dealt = dealt.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+    return dealt.mapInPandas(_verified(words, similarity), "a long, b long")
+
+
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the smallest doc_id of each group of near copies.
 
-    Near copies are texts of whose 192 fingerprint bits at least this share is equal, directly or over others; the bits are
-    SimHashes of their shingles under three seeds. Candidates share three of the 24 positional bytes in one of
-    ``CHOICES``; a list is compared block by block, without a cap. A null doc_id stays only if its group has no other;
-    null and empty texts form one group; of repeated rows one stays.
+    Near copies are texts whose distinct word shingles have this Jaccard similarity or more, directly or over others.
+    Candidates are groups of texts of whose 192 fingerprint bits this share is equal, where they share three of the 24
+    positional bytes in one of ``CHOICES``; all pairs of a group are then compared by their shingles, in blocks, without
+    a cap. A null doc_id stays only if its group has no other; null and empty texts form one group; of repeated rows one
+    stays.
     """
     names = [f"f{k}" for k in range(len(SEEDS))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(t, words, SEEDS) for t in pdf["text"]], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
-            yield pd.DataFrame(fps, columns=names).assign(id=pdf["id"].astype("Int64"), h=pdf["h"])
+            sets = [shingles(t, words) for t in pdf["text"]]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame(fps, columns=names).assign(id=pdf["id"].astype("Int64"), h=pdf["h"], node=nodes, size=[len(s) for s in sets])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
-    own = stored(texts.mapInPandas(run, "f0 long, f1 long, f2 long, id long, h long"), "near-rows")
+    own = stored(texts.mapInPandas(run, "f0 long, f1 long, f2 long, id long, h long, node long, size long"), "near-rows")
     classes = stored(own.select(*names).distinct().withColumn("node", F.xxhash64(*names)), "near-classes")
 
     own_bytes = F.array(*(F.shiftrightunsigned(F.col(names[k // 8]), 8 * (k % 8)).bitwiseAND(F.lit(255)) for k in range(8 * len(names))))
     held = classes.select("node", *names, own_bytes.alias("x"), *(F.array(*(F.lit(c[k]) for c in CHOICES)).alias(f"p{k}") for k in range(3)))
     key = F.expr(f"transform(sequence(0, {len(CHOICES) - 1}), n -> cast(n as bigint) * 16777216 + x[p0[n]] * 65536 + x[p1[n]] * 256 + x[p2[n]])")
     postings = held.select("node", *names, F.explode(key).alias("list")).repartition("list").sortWithinPartitions("list")
-    linked = stored(postings.mapInPandas(_wide_lists(int(64 * len(SEEDS) * (1 - similarity) + 1e-9)), "a long, b long"), "near-links")
+    met = stored(postings.mapInPandas(_wide_lists(int(64 * len(SEEDS) * (1 - similarity) + 1e-9)), "a long, b long"), "near-candidates")
+    reach = stored(components(met), "near-groups").toDF("at", "root")
+    print_ = F.xxhash64(*names)
+    groups = own.withColumn("at", print_).join(reach, "at", "left").select("node", F.coalesce("root", "at").alias("grp")).groupBy("node").agg(F.min("grp").alias("grp"))
+    linked = stored(_links_within(docs, own, groups, words, similarity), "near-links")
     reach = stored(components(linked), "near-reach").toDF("at", "root")
-    rooted = own.withColumn("node", F.xxhash64(*names)).join(reach, F.col("node") == F.col("at"), "left").select("id", "h", F.coalesce("root", "node").alias("root"))
+    rooted = own.join(reach, F.col("node") == F.col("at"), "left").select("id", "h", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "near-rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
     stays = stored(first.select("first.id", "first.h"), "near-first")

@@ -107,6 +107,31 @@ def test_near_copies_go(spark, docs, empty, rows):
     assert simhash.drop_similar(empty).count() == 0
 
 
+def changed(text, places, mark):
+    return [f"{mark}{k}" if k in places else w for k, w in enumerate(text)]
+
+
+def plain_shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = plain_shingles(a), plain_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_keeps_texts_below_the_limit(spark):
+    texts = []
+    for seed in range(40):  # Jaccard 0.60, 0.71 and 0.75, which fingerprints often take for 0.8
+        short, mid, long_ = (words(900 + seed, n).split() for n in (8, 10, 90))
+        texts += [short, [*short[:-1], "last"], mid, [*mid[:-1], "last"], long_, changed(long_, {20, 60, 85}, "c")]
+    texts = [" ".join(t) for t in texts]
+    assert all(0.5 < jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.drop_similar(table).count() == len(texts)
+
+
 ITEM = "zero one two three four five six seven eight nine ten eleven"
 
 
