@@ -157,67 +157,6 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: three seeds make 192 bits, 24 positional bytes. An index list is a choice of three positions.
-SEEDS = (42, 43, 44)
-_STEPS = ((1, 3), (4, 9), (6, 13), (8, 18), (2, 12), (5, 16), (3, 17), (1, 8), (1, 13), (1, 18), (1, 23), (2, 4), (2, 9), (2, 14))
-CHOICES = [(a, (a + d) % 24, (a + e) % 24) for d, e in _STEPS for a in range(24)]
-
-
-def _wide_lists(most: int):
-    """Links within lists of wide fingerprints, compared block by block; what a list reports is a spanning forest."""
-
-    def linked(fps: np.ndarray) -> list[tuple[int, int]]:
-        root = list(range(len(fps)))
-        out = []
-        for a in range(0, len(fps), 256):
-            for b in range(a, len(fps), 4096):
-                apart = np.bitwise_count(fps[a : a + 256, None, :] ^ fps[None, b : b + 4096, :]).sum(axis=2)
-                for x, y in zip(*(np.nonzero(apart <= most)), strict=True):
-                    x, y = int(x) + a, int(y) + b
-                    if x >= y:
-                        continue
-                    s, t = x, y
-                    while root[s] != s:
-                        root[s] = s = root[root[s]]
-                    while root[t] != t:
-                        root[t] = t = root[root[t]]
-                    if s != t:
-                        root[max(s, t)] = min(s, t)
-                        out.append((x, y))
-        return out
-
-    def links(list_: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-        starts = np.flatnonzero(np.r_[True, list_[1:] != list_[:-1]])
-        sizes = np.diff(np.r_[starts, len(node)])
-        two = starts[sizes == 2]
-        ok = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= most
-        a, b = [node[two[ok]]], [node[two[ok] + 1]]
-        for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            if found := linked(fps[at : at + n]):
-                x, y = np.array(found).T
-                a.append(node[at + x])
-                b.append(node[at + y])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        for pdf in batches:
-            now = [pdf["list"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64), pdf[["f0", "f1", "f2"]].to_numpy(np.int64).view(np.uint64)]
-            if not len(now[0]):
-                continue
-            if held:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            change = np.flatnonzero(now[0] != now[0][-1])
-            cut = change[-1] + 1 if len(change) else 0
-            held = [x[cut:] for x in now]
-            if cut:
-                yield links(*(x[:cut] for x in now))
-        if held:
-            yield links(*held)
-
-    return run
-
-
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct shingles of ``text`` as sorted 64-bit hashes; a shorter text is one shingle, one without a word has none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -316,36 +255,119 @@ def _links_within(docs: DataFrame, own: DataFrame, groups: DataFrame, words: int
     return dealt.mapInPandas(_verified(words, similarity), "a long, b long")
 
 
+#: Documents of which one in ``SAMPLE`` is read for the order of shingles; a shingle that ``COMMON`` of these have comes
+#: late in the order, and so do at most ``COMMONS`` of them. The order only decides on cost, never on what is found.
+SAMPLE, COMMON, COMMONS = 8, 6, 300_000
+#: A list of more texts than this reports its texts as a group, not their pairs.
+MANY = 256
+
+
+def _least(size: np.ndarray | int, share: float) -> np.ndarray:
+    """Smallest whole number that is at least this share of ``size``."""
+    return np.ceil(np.asarray(size) * share - 1e-9).astype(np.int64)
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents have, in ascending order, and how often they occur in the sample."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [shingles(t, words) for t in pdf["text"]]
+            if own:
+                yield pd.DataFrame({"key": np.concatenate(own).view(np.int64)})
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInPandas(run, "key long")
+    counted = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    top = counted.orderBy(F.desc("n"), "key").limit(COMMONS).toPandas()
+    key, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def _prefix_lists(similarity: float, many: int):
+    """Pairs of the texts in each list (rows of key, node, size in that order): a, b, need; need is 0 for links of a group."""
+    half = similarity / (1 + similarity)
+
+    def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node, size = key[new], node[new], size[new]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        out = [np.zeros((3, 0), np.int64)]
+        for n in np.unique(sizes[sizes > 1]).tolist():
+            own = starts[sizes == n]
+            if n > many:
+                at = (own[:, None] + np.arange(n)).ravel()
+                out.append(np.stack([key[at], node[at], np.zeros(len(at), np.int64)]))
+                continue
+            x, y = np.triu_indices(n, 1)
+            x, y = (own[:, None] + x).ravel(), (own[:, None] + y).ravel()
+            fits = np.minimum(size[x], size[y]) >= _least(np.maximum(size[x], size[y]), similarity)
+            x, y = x[fits], y[fits]
+            behind = np.maximum(_least(size[x], similarity), _least(size[y], similarity)) - 1
+            out.append(np.stack([node[x], node[y], np.maximum(_least(size[x] + size[y], half) - behind, 1)]))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b", "need"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for pdf in batches:
+            now = [pdf[c].to_numpy(np.int64) for c in ("key", "node", "size")]
+            if not len(now[0]):
+                continue
+            if held:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            change = np.flatnonzero(now[0] != now[0][-1])
+            cut = change[-1] + 1 if len(change) else 0
+            held = [x[cut:] for x in now]
+            if cut:
+                yield pairs(*(x[:cut] for x in now))
+        if held:
+            yield pairs(*held)
+
+    return run
+
+
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the smallest doc_id of each group of near copies.
 
-    Near copies are texts whose distinct word shingles have this Jaccard similarity or more, directly or over others.
-    Candidates are groups of texts of whose 192 fingerprint bits this share is equal, where they share three of the 24
-    positional bytes in one of ``CHOICES``; all pairs of a group are then compared by their shingles, in blocks, without
-    a cap. A null doc_id stays only if its group has no other; null and empty texts form one group; of repeated rows one
-    stays.
+    Near copies are texts whose distinct word shingles have this Jaccard similarity or more, directly or over others. None
+    is missed: under one order of all shingles, two such texts of n shingles or more have one in common among the first
+    n - ceil(similarity * n) + 1 of each (the prefix), so the index lists texts by these only. A pair is a candidate if its
+    sizes allow the similarity and the shingles that the prefixes share, with all behind them, can reach it. Shingles that
+    are frequent in a sample come last in the order; texts that still meet in one of them, or in a list of more than
+    ``MANY``, form one group of candidates. Groups are compared by all shingles, pair by pair, in blocks, without a cap.
+
+    A null doc_id stays only if its group has no other; texts without a word form one group; of repeated rows one stays.
     """
-    names = [f"f{k}" for k in range(len(SEEDS))]
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    common, often = _common(docs, words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.array([fingerprint(t, words, SEEDS) for t in pdf["text"]], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
-            sets = [shingles(t, words) for t in pdf["text"]]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame(fps, columns=names).assign(id=pdf["id"].astype("Int64"), h=pdf["h"], node=nodes, size=[len(s) for s in sets])
+            out = []
+            for text in pdf["text"]:
+                own = shingles(text, words)
+                n = len(own)
+                first = own[: n - int(_least(n, similarity)) + 1]
+                met = np.zeros(len(first), bool)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    count = np.where(common[at] == own, often[at], 0)
+                    order = np.argsort(count, kind="stable")[: len(first)]
+                    first, met = own[order], count[order] > 0
+                node = np.array([xxhash.xxh64_intdigest(own.tobytes())], np.uint64).view(np.int64)[0]
+                out.append((node, n, first[~met].view(np.int64), first[met].view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "size", "rare", "common"]).assign(id=pdf["id"].astype("Int64"), h=pdf["h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
-    own = stored(texts.mapInPandas(run, "f0 long, f1 long, f2 long, id long, h long, node long, size long"), "near-rows")
-    classes = stored(own.select(*names).distinct().withColumn("node", F.xxhash64(*names)), "near-classes")
-
-    own_bytes = F.array(*(F.shiftrightunsigned(F.col(names[k // 8]), 8 * (k % 8)).bitwiseAND(F.lit(255)) for k in range(8 * len(names))))
-    held = classes.select("node", *names, own_bytes.alias("x"), *(F.array(*(F.lit(c[k]) for c in CHOICES)).alias(f"p{k}") for k in range(3)))
-    key = F.expr(f"transform(sequence(0, {len(CHOICES) - 1}), n -> cast(n as bigint) * 16777216 + x[p0[n]] * 65536 + x[p1[n]] * 256 + x[p2[n]])")
-    postings = held.select("node", *names, F.explode(key).alias("list")).repartition("list").sortWithinPartitions("list")
-    met = stored(postings.mapInPandas(_wide_lists(int(64 * len(SEEDS) * (1 - similarity) + 1e-9)), "a long, b long"), "near-candidates")
-    reach = stored(components(met), "near-groups").toDF("at", "root")
-    print_ = F.xxhash64(*names)
-    groups = own.withColumn("at", print_).join(reach, "at", "left").select("node", F.coalesce("root", "at").alias("grp")).groupBy("node").agg(F.min("grp").alias("grp"))
+    own = stored(texts.mapInPandas(run, "id long, h long, node long, size long, rare array<long>, common array<long>"), "near-rows")
+    postings = own.select("node", F.col("size").cast("int").alias("size"), F.explode("rare").alias("key")).repartition("key").sortWithinPartitions("key", "node")
+    met = postings.mapInPandas(_prefix_lists(similarity, MANY), "a long, b long, need long")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+    met = stored(met.union(own.select(F.explode("common").alias("a"), F.col("node").alias("b")).distinct()), "near-candidates")
+    reach = stored(components(met), "near-groups").toDF("node", "grp")
+    groups = own.select("node").distinct().join(reach, "node")
     linked = stored(_links_within(docs, own, groups, words, similarity), "near-links")
     reach = stored(components(linked), "near-reach").toDF("at", "root")
     rooted = own.join(reach, F.col("node") == F.col("at"), "left").select("id", "h", F.coalesce("root", "node").alias("root"))

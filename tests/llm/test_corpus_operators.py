@@ -132,6 +132,21 @@ def test_near_keeps_texts_below_the_limit(spark):
     assert simhash.drop_similar(table).count() == len(texts)
 
 
+@pytest.mark.parametrize(("many", "sample", "often"), [(256, 8, 6), (1, 1, 10**9), (256, 1, 2)])
+def test_near_finds_all_texts_above_the_limit(spark, monkeypatch, many, sample, often):
+    monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(simhash, "COMMON", often)
+    texts = []
+    for seed in range(60):  # Jaccard 0.81 and 0.8
+        long_, short = words(2000 + seed, 100).split(), words(3000 + seed, 13).split()
+        texts += [long_, changed(long_, {20, 60}, "c"), short, [*short[:-1], "last"]]
+    texts = [" ".join(t) for t in texts]
+    assert all(0.8 <= jaccard(a, b) < 0.82 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(table).collect()) == [*range(0, len(texts), 2)]
+
+
 ITEM = "zero one two three four five six seven eight nine ten eleven"
 
 
