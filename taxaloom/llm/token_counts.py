@@ -6,10 +6,14 @@ pre-tokens that the span touches are cut and encoded again, with boundary contex
 pre-tokens before the edit and goes on until the new cuts agree with the old ones at two successive pre-tokens behind
 it. Where the number of pre-tokens stays, only the paths from the changed leaves to the root are summed anew; where it
 changes, the leaves behind move and the tree's sums are rebuilt from counts, still without encoding.
+
+Added tokens in the text are found first, as the library does: each is a pre-token of one token, and what lies between
+them is cut by itself.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +36,11 @@ class Counter:
     """Token counts of pre-tokens under a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        self.model = Tokenizer.from_file(path).model
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.added = {t.content for t in library.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
+        self.reach = max(map(len, self.added), default=0)
         self.shown = dict(enumerate(byte_alphabet()))
         self.cache: dict[str, int] = {}
         self.older: dict[str, int] = {}
@@ -43,13 +51,23 @@ class Counter:
         if got is None:
             got = self.older.get(piece)
             if got is None:
-                got = len(self.model.tokenize("".join(map(self.shown.__getitem__, piece.encode("utf-8", "surrogatepass")))))
+                got = 1 if piece in self.added else len(self.model.tokenize("".join(map(self.shown.__getitem__, piece.encode("utf-8", "surrogatepass")))))
             if len(piece) <= 64:
                 self.cache[piece] = got
                 if len(self.cache) >= CACHE:
                     self.older, self.cache = self.cache, {}
         return got
 
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text, each added token being one."""
+        out: list[str] = []
+        at = 0
+        for found in self.special.finditer(text):
+            out += byte_pieces(text[at : found.start()])
+            out.append(found[0])
+            at = found.end()
+        return out + byte_pieces(text[at:]) if at else byte_pieces(text)
+
     def counts(self, pieces: list[str]) -> list[int]:
         self.encoded += len(pieces)
         known, count = self.cache.get, self.count
@@ -66,7 +84,7 @@ class CountTree:
 
     def __init__(self, text: str | None, counter: Counter) -> None:
         self.text, self.counter = text or "", counter
-        pieces = byte_pieces(self.text)
+        pieces = counter.pieces(self.text)
         ends = np.cumsum([len(p) for p in pieces], dtype=np.int64) if pieces else np.zeros(0, np.int64)
         self.starts: list[int] = [0, *ends[:-1].tolist()] if pieces else []
         self._build(np.array(counter.counts(pieces), np.int64))
@@ -104,12 +122,16 @@ class CountTree:
         end = max(start, end)
         shift = len(new) - (end - start)
         text = self.text[:start] + new + self.text[end:]
-        first = max(0, bisect_right(self.starts, start) - 1 - CONTEXT)
+        special, reach = self.counter.special, self.counter.reach
+        low = max(0, start - reach)
+        near = special.search(self.text, low, end + reach) or special.search(text, low, start + len(new) + reach)
+        first = max(0, bisect_right(self.starts, low if near else start) - 1 - CONTEXT)
         at = self.starts[first] if self.starts else 0
         cut = (odd().bytes if odd().search(text) else BYTES).match
         pieces: list[str] = []
         starts: list[int] = []
         agreed, last = 0, self.n
+        mark = special.search(text, at)
         while at < len(text):
             if at >= start + len(new):
                 k = bisect_left(self.starts, at - shift)
@@ -117,7 +139,9 @@ class CountTree:
                 if agreed > CONTEXT:
                     last = k
                     break
-            found = cut(text, at)[0]
+            if mark and mark.start() < at:
+                mark = special.search(text, at)
+            found = mark[0] if mark and mark.start() == at else cut(text, at, mark.start() if mark else len(text))[0]
             pieces.append(found)
             starts.append(at)
             at += len(found)

@@ -107,6 +107,22 @@ def test_counts_follow_edits(text, edits):
     assert tree.between(0, tree.n) == tree.total
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@settings(max_examples=300, deadline=None, database=None)
+@given(st.lists(st.sampled_from([SPECIAL, "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "a", " b", "'s", "12", "é"]), max_size=12).map("".join), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 14), st.sampled_from(["", SPECIAL, "<|endof", "text|>", " ", ">", "x"])), max_size=4))
+def test_counts_of_added_tokens_are_the_librarys(text, edits):
+    own, library = token_counts.counter(BYTE), Tokenizer.from_file(BYTE)
+    tree = token_counts.CountTree(text, own)
+    assert tree.total == len(library.encode(text, add_special_tokens=False).ids)
+    for start, n, new in edits:
+        tree.edit(start, start + n, new)
+        fresh = token_counts.CountTree(tree.text, own)
+        assert (tree.total, tree.starts, tree.nodes.tolist()) == (fresh.total, fresh.starts, fresh.nodes.tolist())
+        assert tree.total == len(library.encode(tree.text, add_special_tokens=False).ids)
+
+
 def test_count_rows(spark, docs, empty, rows):
     edits = spark.createDataFrame([(1, 0, 0, 3, "new "), (1, 1, 10, None, None), (None, 0, 0, 0, "x"), (13, 0, 900, 905, "")], "doc_id long, step int, start long, end long, new string")
     got = token_counts.count_tokens(docs, BYTE, edits).collect()
