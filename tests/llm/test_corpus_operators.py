@@ -147,6 +147,36 @@ def test_near_finds_all_texts_above_the_limit(spark, monkeypatch, many, sample,
     assert sorted(r["doc_id"] for r in simhash.drop_similar(table).collect()) == [*range(0, len(texts), 2)]
 
 
+@pytest.mark.parametrize(("block", "many"), [(256, 256), (3, 2)])
+def test_near_is_brute_force(spark, monkeypatch, block, many):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(simhash, "MANY", many)
+    draw = random.Random(11)
+    texts = [None, "", " \n", "one", "ONE", "one two", "a b c d e", "A b  c d e", "a b c d e f"]
+    line = words(4000, 30).split()
+    for seed in range(24):
+        base = words(4100 + seed, draw.choice([6, 8, 10, 13, 14, 25, 60, 100, 200])).split()
+        base = base if seed % 3 else [*line, *base]  # many share a line
+        for _ in range(6):
+            gone = set(draw.sample(range(len(base)), min(len(base), draw.randint(0, 1 + len(base) // 40))))
+            own = [f"x{draw.randint(0, 3)}" if k in gone else w for k, w in enumerate(base)]
+            texts.append(" ".join([*own, *words(draw.randint(0, 999), draw.choice([0, 0, 1, 2])).split()]))
+    draw.shuffle(texts)
+    sets = [plain_shingles(t or "") for t in texts]
+    near, just = [], [0, 0]
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            share = len(x & y) / len(x | y) if x | y else 1.0
+            just[0] += 0.7 <= share < 0.8
+            just[1] += 0.8 <= share < 0.9
+            if share >= 0.8:
+                near.append((a, b))
+    assert min(just) > 20
+    root = union(near, range(len(texts)))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(table).collect()) == sorted(set(root.values()))
+
+
 ITEM = "zero one two three four five six seven eight nine ten eleven"
 
 
