@@ -1,8 +1,11 @@
 """Language, BPE, counts, personal data and token files, against libraries and brute force."""
 
+import math
 import random
 import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -60,6 +63,67 @@ def test_language_learns_and_backs_off(spark, docs, empty, rows):
     assert kept.columns == table.columns and {1001, 1002, 1003}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def plain_model(rows):
+    """Word-first backoff with dictionaries: (lang, text) rows -> a function of a text."""
+    cut = lambda t: re.findall(r"\w+", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()))
+    langs = sorted({lang for lang, t in rows if cut(t)})
+    tables = {0: Counter((w, lang) for lang, t in rows for w in cut(t))}
+    for n in (1, 2, 3, 4):
+        tables[n] = Counter((p[k : k + n], lang) for w, lang in tables[0] for p in [f"<{w}>"] for k in range(len(p) - n + 1))
+    known = {n: {x for x, _ in c} for n, c in tables.items()}
+    total = {(n, lang): sum(v for (_, at), v in c.items() if at == lang) + 0.5 * len(known[n]) for n, c in tables.items() for lang in langs}
+    score = lambda n, x, lang: math.log((tables[n][x, lang] + 0.5) / total[n, lang])
+
+    def of(word, lang):
+        if word in known[0]:
+            return score(0, word, lang)
+        p = f"<{word}>"
+        for n in (4, 3, 2, 1):
+            if grams := [p[k : k + n] for k in range(len(p) - n + 1) if p[k : k + n] in known[n]]:
+                return sum(score(n, g, lang) for g in grams) / len(grams)
+        return 0.0
+
+    def predict(text):
+        found = cut(text)
+        if not found or not langs:
+            return "und", 0.0
+        sums = [sum(of(w, lang) for w in found) * min(1, 25 / len(found)) for lang in langs]
+        best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+        return langs[best], 1 / sum(math.exp(x - sums[best]) for x in sums)
+
+    return predict
+
+
+def test_language_is_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "AT_ONCE", 50)
+    monkeypatch.setattr(langid, "REMEMBERED", 30)
+    draw = random.Random(5)
+    pools = {"en": "aeth nd", "de": "eurnsch", "el": "αβγδε", "xx": "zqj½²"}
+    word = lambda pool: "".join(draw.choice(pool) for _ in range(draw.randint(1, 7)))
+    made = [(k, " ".join(word(pools[lang]) for _ in range(draw.randint(0, 40))), lang) for k in range(150) for lang in [draw.choice(list(pools))]]
+    made += [(1000, "½ ² ① Ⅷ", None), (1001, "x½y ²z qq①", "en"), (1002, "日本 語 ǅ ª", None), (1003, "e" * 300, None), (None, "the nd", "en"), (None, None, "de"), (1004, "aeth", None), (1004, "aeth", None)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    plain = plain_model([(lang, t) for i, t, lang in made if lang is not None and t is not None and zlib.crc32(str("" if i is None else i).encode()) % 5])
+    got = sorted(((str(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in langid.identify(table).collect()))
+    assert got == sorted((str(i), plain(t)[0], round(plain(t)[1], 6)) for i, t, _ in made)
+    assert next(x for x in got if x[0] == "1000")[1:] == ("und", 0)
+
+
+def test_language_sample_is_bounded_and_even(spark):
+    made = [(k, "a", "big") for k in range(3000)] + [(5000 + k, "b", "mid") for k in range(900)] + [(9000 + k, "c", "low") for k in range(40)]
+    table = spark.createDataFrame([*made, (1, None, "big"), (2, "x", None)], "doc_id long, text string, lang string")
+    got = Counter(r["lang"] for r in langid.sample(table, 600).collect())
+    assert got["low"] == 40 and all(200 < got[x] < 360 for x in ("big", "mid"))
+    assert langid.sample(table, 10**9).count() == len(made)
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(table).where("held_out and lang_pred <> 'und'").join(table.where("lang is not null").select("doc_id", "lang"), "doc_id")
+    right = [r["lang"] == r["lang_pred"] for r in got.collect()]
+    assert len(right) > 100 and sum(right) >= 0.98 * len(right)
+
+
 def plain_spans(text):
     """The contract's patterns, applied as they stand."""
 
