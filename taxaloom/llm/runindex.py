@@ -12,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 _FIRST = 7  # symbols of the first sort key
+#: Least values of a 64-bit word with 1, 2, ... 8 significant bytes.
+_BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
 
 
 def suffix_order(text: np.ndarray, separator: np.ndarray) -> np.ndarray:
@@ -58,9 +60,8 @@ def _common(words: np.ndarray, left: np.ndarray, p: np.ndarray, q: np.ndarray) -
     while len(live):
         x = words[p[live] + out[live]] ^ words[q[live] + out[live]]
         full = x == 0
-        # the number of equal leading bytes of a big-endian word
-        done = live[~full]
-        out[done] += (64 - np.ceil(np.log2(x[~full].astype(np.float64) + 1)).astype(np.int64)) // 8 if len(done) else 0
+        # the number of equal leading bytes of a big-endian word, in integers only
+        out[live[~full]] += 8 - np.searchsorted(_BYTES, x[~full], side="right")
         out[live[full]] += 8
         live = live[full]
         live = live[out[live] < most[live]]

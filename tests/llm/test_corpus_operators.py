@@ -222,6 +222,24 @@ def test_run_index(strings, width):
     assert [x.tolist() for x in runindex.repeated_starts(strings, width)] == [[k for k in range(len(s) - width + 1) if count[s[k : k + width]] > 1] for s in strings]
 
 
+@settings(max_examples=150, deadline=None, database=None)
+@given(st.lists(st.text("01", max_size=70).map(str.encode) | st.integers(0, 70).map(lambda n: b"0" * n), max_size=5), st.integers(8, 24))
+def test_run_index_of_wide_windows(strings, width):
+    count = Counter(s[k : k + width] for s in strings for k in range(len(s) - width + 1))
+    assert [x.tolist() for x in runindex.repeated_starts(strings, width)] == [[k for k in range(len(s) - width + 1) if count[s[k : k + width]] > 1] for s in strings]
+
+
+@pytest.mark.parametrize("tail", [b"", b"same after it, and more of it than a word of the machine holds"])
+def test_run_index_where_one_bit_differs(tail):
+    for run in range(8, 90):
+        common = bytes(random.Random(run).choices(b"abcdefgh", k=run))
+        for a, b in (b"01", b"bc", b"\x00\x80"):
+            strings = [common + bytes([a]) + tail, common + bytes([b]) + tail]
+            for width in (run - 1, run, run + 1):
+                count = Counter(s[k : k + width] for s in strings for k in range(len(s) - width + 1))
+                assert [x.tolist() for x in runindex.repeated_starts(strings, width)] == [[k for k in range(len(s) - width + 1) if count[s[k : k + width]] > 1] for s in strings]
+
+
 def plain_repeats(texts, width):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[k : k + width] for d in data for k in range(len(d) - width + 1))
