@@ -4,11 +4,14 @@ A corpus is too large for one index, so windows (all strings of the wanted width
 window has an anchor, the leftmost smallest hash of its short substrings, and falls into one of a few fixed ranges of
 offset to it; windows of a range share a core of bytes around the anchor. Equal windows have equal anchors, offsets and
 cores, so they have the same core hash, and meet in one index. A run of windows of one text with one core is a segment;
-every window lies in exactly one segment, so a match between two places of an index is a match between two places of the
-corpus. Cores that occur once are left out. Of segments that are equal only one is indexed, with its count.
-
-The indexes (``runindex``) find which windows have a match: matching statistics of at least the width. A core with very
-many different segments is split: its segments are dealt to blocks, and every pair of blocks has an index of its own.
+segments with one core that follow each other, as periodic text makes them, are one. Every window lies in exactly one
+segment, so a match between two places of an index is a match between two places of the corpus. Cores that occur once are
+left out. Of segments that are equal only one is indexed, with its count.
+
+The indexes (``runindex``) find which windows have a match: matching statistics of at least the width. A core whose different
+segments are too much for one index is dealt again, as a corpus of its own, into narrower ranges of offset, which share
+longer cores; in the last level a range is one offset, a core is the whole window, and equal segments are all there is to
+find. So no group has to fit into a task and no pairs of groups are made.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from ..session import stored
 from . import bloom
 from .runindex import repeated_starts
 
-#: Bytes of an anchor, and ranges of offset.
-ANCHOR, RANGES = 64, 2
-#: Bytes hashed at once, and what an index should hold; a worker takes about 150 bytes for a byte of index.
-BATCH, SHARD = 1 << 21, 1 << 21
-#: Different segments of a core that may share one index.
-CROWD = 2000
+#: Bytes of an anchor, and ranges of offset at each level; None stands for a range an offset.
+ANCHOR, LEVELS = 64, (2, 24, None)
+#: Bytes of text hashed at once, and windows of a segment of periodic text (about).
+STRETCH, PIECE = 1 << 20, 8192
+#: Bytes an index should hold, and of different segments of one core in it; a worker takes about 150 bytes for a byte of index.
+SHARD, CROWD = 1 << 20, 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -65,54 +68,73 @@ def _scrambled(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def segments(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, last window and core hash of every segment of a text."""
+def _segments(text: np.ndarray, width: int, ranges: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """First window and core hash of every segment of a text that has a window."""
     n = len(text) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     anchor = min(ANCHOR, max(1, width // 2))
     span = width - anchor + 1  # places of an anchor in a window
-    step = -(-span // RANGES)
+    step = -(-span // (ranges or span))
     core = width - step + 1
     found = _hashes(text, [anchor, core])
     # smallest hash of every window, the leftmost of equals: the place is put below the hash
-    bits = max(1, len(text).bit_length())
-    least = (_scrambled(found[anchor]) >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(found[anchor]), dtype=np.uint64)
+    half = np.uint64(32)
+    least = (_scrambled(found[anchor]) >> half << half) | np.arange(len(found[anchor]), dtype=np.uint64)
     size = 1
     while size * 2 <= span:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < span:
         least = np.minimum(least[: len(least) - (span - size)], least[span - size :])
-    place = (least[:n] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    place = (least[:n] & np.uint64((1 << 32) - 1)).astype(np.int64)
     part = (place - np.arange(n)) // step
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (part[1:] != part[:-1])]))
-    last = np.append(first[1:], n) - 1
     # the core of a range: the bytes that all its windows share, from the last possible start on
     at = place[first] - part[first] * step
     key = _scrambled(found[core][np.minimum(at, len(found[core]) - 1)] + part[first].astype(np.uint64))
-    return first, last, key.view(np.int64)
+    return first, key.view(np.int64)
+
+
+def segments(text: np.ndarray, width: int, ranges: int | None = LEVELS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, last window, core hash and number of plain segments of every segment of a text."""
+    n = len(text) - width + 1
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for low in range(0, n, STRETCH):
+        first, key = _segments(text[low : min(low + STRETCH, n) + width - 1], width, ranges)
+        parts.append((first + low, key))
+    first, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(first) or not ranges:  # where a segment is one window, equal ones are told by their digests
+        return first, np.append(first[1:], n)[: len(first)] - 1, key, np.ones(len(first), np.int64)
+    # periodic text: one core again and again; pieces begin where a plain segment does, so most of them are equal
+    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    begin = first[np.flatnonzero(np.r_[True, key[1:] != key[:-1]])]
+    piece = (first - begin[run]) // PIECE
+    new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (piece[1:] != piece[:-1])])
+    return first[new], np.append(first[new[1:]], n) - 1, key[new], np.diff(np.append(new, len(first)))
 
 
 def _text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-_SEGMENTS = "tk binary, a int, b int, key long"
+def _bytes(text: str | bytes | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text or b"")
 
 
-def _cut(width: int):
+_SEGMENTS = "tk binary, a int, b int, key long, times int"
+
+
+def _cut(width: int, ranges: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tks, parts, size = [], [], 0
 
             def made() -> pd.DataFrame:
                 counts = [len(p[0]) for p in parts]
-                a, b, key = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                return pd.DataFrame({"tk": np.repeat(np.array(tks, object), counts), "a": a.astype(np.int32), "b": b.astype(np.int32), "key": key})
+                a, b, key, times = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                return pd.DataFrame({"tk": np.repeat(np.array([*tks, None], object)[:-1], counts), "a": a.astype(np.int32), "b": b.astype(np.int32), "key": key, "times": times.astype(np.int32)})
 
             for tk, text in zip(pdf["tk"], pdf["text"], strict=True):
-                own = segments(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), width)
+                own = segments(np.frombuffer(_bytes(text), np.uint8), width, ranges)
                 if len(own[0]):
                     tks.append(tk)
                     parts.append(own)
@@ -126,23 +148,26 @@ def _cut(width: int):
     return run
 
 
-def _extract(width: int):
-    """Bytes of the listed segments of each text, with a digest that tells different ones apart."""
+_MEMBERS = ["tk", "a", "size", "copies", "key", "times", "digest", "body"]
+
+
+def _extract(width: int, whole: bool):
+    """Bytes of the listed segments of each text (if ``whole``), with a digest that tells different ones apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, size = [], 0
             for tk, text, copies, own in zip(pdf["tk"], pdf["text"], pdf["copies"], pdf["own"], strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
+                data = _bytes(text)
                 for s in own:
                     body = data[s["a"] : s["b"] + width]
-                    rows.append((tk, s["a"], copies, s["key"], hashlib.blake2b(body, digest_size=16).digest(), body))
-                    size += len(body)
-                if size > 1 << 23:
-                    yield pd.DataFrame(rows, columns=["tk", "a", "copies", "key", "digest", "body"])
-                    rows, size = [], 0
+                    rows.append((tk, s["a"], len(body), copies, s["key"], s["times"], hashlib.blake2b(body, digest_size=16).digest(), body if whole else b""))
+                    size += len(body) if whole else 100
+                    if size > 1 << 23:
+                        yield pd.DataFrame(rows, columns=_MEMBERS)
+                        rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["tk", "a", "copies", "key", "digest", "body"])
+                yield pd.DataFrame(rows, columns=_MEMBERS)
 
     return run
 
@@ -161,39 +186,48 @@ def _match(width: int):
     return run
 
 
-def matches(docs: DataFrame, width: int = 400) -> DataFrame:
-    """``docs`` (text) -> tk (key of a distinct text), spans: array of structs of window ranges (first, last), by index."""
-    texts = docs.select(_text_key(F.col("text")).alias("tk"), "text")
-    cut = stored(texts.where(F.octet_length("text") >= width).mapInPandas(_cut(width), _SEGMENTS), "repeat-segments")
-    shared = stored(cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeat-cores")
+def _spans(texts: DataFrame, width: int, level: int) -> DataFrame:
+    """``texts`` (tk: key of a text, text: string or binary; copies have one key) -> tk, spans of window ranges (x, y)."""
+    ranges, last = LEVELS[level], level == len(LEVELS) - 1
+    cut = stored(texts.where(F.octet_length("text") >= width).mapInPandas(_cut(width, ranges), _SEGMENTS), "repeat-segments")
+    shared = stored(cut.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), "repeat-cores")
     passes = bloom.member(shared.select(F.col("key").alias("h")), shared.count())
     suspects = cut.where(passes("key")).distinct().join(shared.hint("merge"), "key", "left_semi")
-    own = stored(suspects.groupBy("tk").agg(F.collect_list(F.struct("a", "b", "key")).alias("own")), "repeat-suspects")
+    own = stored(suspects.groupBy("tk").agg(F.collect_list(F.struct("a", "b", "key", "times")).alias("own")), "repeat-suspects")
     wanted = own.select(F.xxhash64("tk").alias("h"))
     passes = bloom.member(wanted, own.count())
     bodies = texts.where(passes(F.xxhash64("tk"))).groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    members = bodies.join(own.hint("merge"), "tk").mapInPandas(_extract(width), "tk binary, a int, copies long, key long, digest binary, body binary")
+    members = bodies.join(own.hint("merge"), "tk").mapInPandas(_extract(width, not last), "tk binary, a int, size int, copies long, key long, times int, digest binary, body binary")
     members = stored(members, "repeat-members")
-    different = members.groupBy("key", "digest").agg(F.sum("copies").alias("copies"), F.first("body").alias("body"), F.length(F.first("body")).alias("size"))
+    different = members.groupBy("key", "digest").agg(F.sum("copies").alias("copies"), F.first("body").alias("body"), F.first("size").alias("size"), F.max("times").alias("times"))
     different = stored(different, "repeat-bodies")
     # equal segments: all their windows match
-    same = different.where("copies > 1").select("key", "digest", F.array(F.lit(0)).alias("firsts"), F.array(F.col("size") - width).alias("lasts"))
-    crowds = different.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    crowds = stored(crowds.withColumn("blocks", F.ceil(F.col("n") / CROWD)), "repeat-crowds")
-    total = crowds.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("bytes"))), F.lit(0))).first()[0]
-    shards = max(1, -(-int(total) // SHARD))
-    met = different.join(crowds.select("key", "blocks").hint("merge"), "key")
-    few = met.where("blocks = 1").withColumn("index", F.struct(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    block = F.pmod(F.xxhash64("digest"), F.col("blocks"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.col("key").alias("k"), F.least(x, block).cast("int").alias("i"), F.greatest(x, block).cast("int").alias("j"))))
-    many = met.where("blocks > 1").withColumn("index", pair)
-    indexed = few.select("index", "key", "digest", "body").unionByName(many.select("index", "key", "digest", "body"))
-    found = indexed.groupBy("index").applyInPandas(_match(width), "key long, digest binary, firsts array<int>, lasts array<int>")
-    found = stored(found.unionByName(same), "repeat-found")
+    found = different.where("copies > 1").select("key", "digest", F.array(F.lit(0)).alias("firsts"), F.array(F.col("size") - width).alias("lasts"))
+    if not last:
+        cores = different.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("times").alias("times")).where("n > 1 or times > 1")
+        cores = stored(cores.select("key", "bytes", (F.col("bytes") > CROWD).alias("crowd")), "repeat-crowds")
+        total = cores.where("not crowd").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        shards = max(1, -(-int(total) // SHARD))
+        met = different.join(cores.select("key", "crowd").hint("merge"), "key")
+        indexed = met.where("not crowd").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("index"), "key", "digest", "body")
+        # indexes are dealt by number, not by bytes: what is repeated compresses well and would be put together
+        tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        indexed = indexed.repartition(max(tasks, min(shards, 8 * tasks)), "index").groupBy("index")
+        found = found.unionByName(indexed.applyInPandas(_match(width), "key long, digest binary, firsts array<int>, lasts array<int>"))
+        if not cores.where("crowd").isEmpty():
+            crowd = stored(met.where("crowd").select("key", "digest", "body"), "repeat-crowd")
+            inner = _spans(crowd.select(F.col("digest").alias("tk"), F.col("body").alias("text")), width, level + 1)
+            inner = crowd.select("key", "digest").join(inner, F.col("digest") == F.col("tk"))
+            found = found.unionByName(inner.select("key", "digest", F.col("spans.x").alias("firsts"), F.col("spans.y").alias("lasts")))
+    found = stored(found, "repeat-found")
     marked = members.select("tk", "a", "key", "digest").join(found.hint("merge"), ["key", "digest"])
-    ranges = F.arrays_zip(F.transform("firsts", lambda x: x + F.col("a")).alias("x"), F.transform("lasts", lambda x: x + F.col("a")).alias("y"))
-    each = marked.select("tk", ranges.alias("r"))
-    return each.groupBy("tk").agg(F.flatten(F.collect_list("r")).alias("spans"))
+    both = F.arrays_zip(F.transform("firsts", lambda x: x + F.col("a")).alias("x"), F.transform("lasts", lambda x: x + F.col("a")).alias("y"))
+    return marked.select("tk", both.alias("r")).groupBy("tk").agg(F.flatten(F.collect_list("r")).alias("spans"))
+
+
+def matches(docs: DataFrame, width: int = 400) -> DataFrame:
+    """``docs`` (text) -> tk (key of a distinct text), spans: array of structs of window ranges (first, last), by index."""
+    return _spans(docs.select(_text_key(F.col("text")).alias("tk"), "text"), width, 0)
 
 
 def covered(spans, width: int) -> list[tuple[int, int]]:

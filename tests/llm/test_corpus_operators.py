@@ -254,7 +254,7 @@ def plain_repeats(texts, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
+@pytest.mark.parametrize("crowd", [1 << 19, 1])
 def test_repeats(spark, docs, empty, rows, monkeypatch, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
     own = [t for i, t, *_ in rows if i != 13]
@@ -264,6 +264,36 @@ def test_repeats(spark, docs, empty, rows, monkeypatch, crowd):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def near_copies():
+    """Shared headers with other ends, copies that differ in one bit, periodic texts of many periods, parts of one another."""
+    draw = random.Random(17)
+    head, own = words(70, 60), words(71, 200)
+    texts = [head + " " + words(72 + k, 40) for k in range(12)] + [words(90 + k, 8) + head for k in range(5)]
+    texts += [own[:300] + x + own[300:900] for x in ("0", "1", "b", "c")] + [own[100:600], own[250:420]]
+    texts += ["a" * 3000, "a" * 250, "b" + "a" * 180, *(words(200 + p, 60).replace(" ", "")[:p] * (1500 // p) for p in (2, 3, 7, 10, 40, 64, 99, 150)), ("ab" * 700)[1:], "é" * 400]
+    texts += [" ".join(draw.choice(["lorem ipsum", "dolor sit", head[:90]]) for _ in range(40)) for _ in range(4)]
+    return texts
+
+
+@pytest.mark.parametrize(("crowd", "stretch", "piece"), [(1 << 19, 1 << 20, 8192), (1, 333, 50), (2000, 1 << 20, 300)])
+def test_repeats_of_near_copies_and_periods(spark, monkeypatch, crowd, stretch, piece):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "STRETCH", stretch)
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    texts = near_copies()
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.remove_repeats(table, 120).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_repeats(texts, 120)
+
+
+def test_periodic_text_is_extracted_about_once():
+    for unit in (b"a", b"ab", b"0123456789", bytes(range(97, 122)) * 2):
+        text = np.frombuffer((unit * 100_000)[:100_000], np.uint8)
+        a, b, _, times = repeats.segments(text, 400)
+        assert a[0] == 0 and b[-1] == len(text) - 400 and (a[1:] == b[:-1] + 1).all() and times.sum() >= len(a)
+        assert sum(b - a + 400) < 2 * len(text)
+
+
 def plain_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
