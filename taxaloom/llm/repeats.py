@@ -29,7 +29,7 @@ from . import bloom
 from .runindex import repeated_starts
 
 #: Bytes of an anchor, and ranges of offset at each level; None stands for a range an offset.
-ANCHOR, LEVELS = 64, (2, 24, None)
+ANCHOR, LEVELS = 64, (2, 8, 32, 128, None)
 #: Bytes of text hashed at once, and windows of a segment of periodic text (about).
 STRETCH, PIECE = 1 << 20, 8192
 #: Bytes an index should hold, and of different segments of one core in it; a worker takes about 150 bytes for a byte of index.
