@@ -29,7 +29,7 @@ from .rows import fresh
 RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Labelled rows that a model is learnt from, over all languages.
-ROWS = 20_000
+ROWS = 6_000
 #: Longest n-grams.
 ORDERS = 4
 #: Distinct words a training task counts before it hands its counts on, and unseen words a prediction task remembers.
