@@ -7,13 +7,15 @@ greedily, filling each shard as far as it goes. The driver holds per-prefix sums
 still fall are refined by further digits until every such prefix is one group, so what the driver holds is bounded by
 ``shards`` and ``fanout`` digits, not by the number of documents.
 
-A group larger than an even share would force that capacity on every shard. Such groups (there are fewer of them than
-shards) get a shard each, and the search runs over the rest with the shards that remain.
+A group larger than an even share decides the capacity by itself and would let the greedy fill leave shards empty. So the
+search is repeated below it: such a group (there are fewer of them than shards) is a shard between its neighbours, in its
+place in the order, and the capacity of the runs between is the smallest at which the shards that remain suffice. At that
+capacity cuts are then moved towards even shares of each run. Shards are contiguous in the order throughout.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from ..session import stored
 
 #: Hex digits of the first level, and digits by which each further level refines.
 FIRST, STEP, DIGITS = 3, 2, 64
-#: Sub-buckets per (shard, prefix) for slot numbers, so that one group of copies is numbered by many tasks.
-SALTS = 16
+#: Rows of a shard that one task numbers (about); a group of copies is numbered by as many tasks as it needs.
+NUMBERED = 250_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -68,20 +70,30 @@ class _Layout:
         self._set([y for x in self.cells for y in (sorted(finer[x[0]]) if x[0] in finer else [x])])
         return True
 
-    def cuts(self, capacity: int, shards: int) -> list[int]:
+    def _reach(self, at: int, capacity: int, walls: list[tuple[int, int]]) -> tuple[int, bool]:
+        """How far a shard from here may go, and whether it is a group that stands alone."""
+        for start, end in walls:
+            if start == at:
+                return end, True
+            if at < start < at + capacity:
+                return start, False
+        return at + capacity, False
+
+    def cuts(self, capacity: int, shards: int, walls: list[tuple[int, int]] | None = None) -> list[int]:
         """Greedy check with cuts between cells only: sums of size at each shard's end. Feasible if the last is all."""
         at, out = 0, []
         for _ in range(shards):
-            end = bisect_right(self.ends, at + capacity)
+            to, _ = self._reach(at, capacity, walls or [])
+            end = bisect_right(self.ends, to)
             at = self.ends[end - 1] if end else 0
             out.append(at)
         return out
 
-    def hopes(self, capacity: int, shards: int) -> list[int]:
+    def hopes(self, capacity: int, shards: int, walls: list[tuple[int, int]] | None = None) -> list[int]:
         """The furthest each shard's end could be if a cell of several groups could be cut anywhere."""
         at, out = 0, []
         for _ in range(shards):
-            to = at + capacity
+            to, _ = self._reach(at, capacity, walls or [])
             end = bisect_right(self.ends, to)
             if end == len(self.cells):
                 to = self.total
@@ -91,41 +103,106 @@ class _Layout:
             out.append(at)
         return out
 
-    def smallest(self, walk, shards: int, low: int, high: int) -> int:
+    def smallest(self, walk, shards: int, low: int, high: int, walls: list[tuple[int, int]]) -> int:
         """Binary search for the smallest capacity at which this walk reaches the end."""
         while low < high:
             mid = (low + high) // 2
-            if walk(mid, shards)[-1] < self.total:
+            if walk(mid, shards, walls)[-1] < self.total:
                 low = mid + 1
             else:
                 high = mid
         return low
 
+    def span(self, digest: str) -> tuple[int, int]:
+        """Where the group with this digest lies; its cell is refined until it is alone in it."""
+        while True:
+            k = next(k for k, (p, _, _) in enumerate(self.cells) if digest.startswith(p))
+            if not self.refine({k}):
+                return self.ends[k] - self.cells[k][1], self.ends[k]
+
+    def search(self, shards: int, walls: list[tuple[int, int]]) -> int:
+        """The smallest feasible capacity of shards between walls.
+
+        The capacity that is feasible with cuts between cells bounds it from above, the one that would be feasible if cells
+        could be cut anywhere from below; cells in which a cut may lie for a capacity between the two are refined until
+        both are equal.
+        """
+        low, high = 1, max(1, self.total)
+        while True:
+            high = self.smallest(self.cuts, shards, low, high, walls)
+            low = self.smallest(self.hopes, shards, low, high, walls)
+            if low == high:
+                return high
+            open_cells: set[int] = set()
+            for near, far in zip(self.cuts(low, shards, walls), self.hopes(high, shards, walls), strict=True):
+                open_cells.update(range(bisect_right(self.ends, near), min(bisect_right(self.ends, far) + 1, len(self.cells))))
+            if not self.refine(open_cells):
+                return high
+
+    def even(self, start: int, end: int, shards: int, capacity: int) -> list[int]:
+        """Ends of the shards of a run, as near to even shares as this capacity and the groups allow."""
+        wanted = [start + (end - start) * k // shards for k in range(1, shards)]
+        while self.refine({bisect_right(self.ends, x) for x in wanted if x < self.total and x not in self.ends}):
+            pass
+        inner = [start, *(x for x in self.ends if start < x <= end)]
+        latest, at = [], start  # the furthest ends
+        for _ in range(shards):
+            at = inner[bisect_right(inner, at + capacity) - 1]
+            latest.append(at)
+        earliest, at = [], end  # the nearest ones from which the rest can still be reached
+        for _ in range(shards):
+            earliest.append(at)
+            at = inner[bisect_left(inner, at - capacity)] if at - capacity > start else start
+        earliest.reverse()
+        if any(a > b for a, b in zip(earliest, latest, strict=True)):
+            return latest
+        out, at = [], start
+        for k, x in enumerate(wanted):
+            up = min(bisect_left(inner, x), len(inner) - 1)
+            best = min(inner[max(up - 1, 0)], inner[up], key=lambda y: abs(y - x))
+            at = max(min(best, latest[k], inner[bisect_right(inner, at + capacity) - 1]), earliest[k], at)
+            out.append(at)
+        return [*out, end]
+
 
 def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
     """The smallest feasible capacity and the first digest prefix of every shard but the first.
 
-    ``groups`` has a row for each group: _digest, _bytes, _rows. A cell is a run of groups with a common prefix. The
-    capacity that is feasible with cuts between cells bounds the optimum from above, the one that would be feasible if
-    cells could be cut anywhere bounds it from below; cells in which a cut may lie for a capacity between the two are
-    refined until both are equal, so the optimum is exact.
+    ``groups`` has a row for each group: _digest, _bytes, _rows. The capacity is exact; the cuts respect it.
     """
     layout = _Layout(groups)
     if not layout.cells:
         return 0, []
-    low, high = max(1, -(-layout.total // shards)), max(1, layout.total)
-    while True:
-        high = layout.smallest(layout.cuts, shards, low, high)
-        low = layout.smallest(layout.hopes, shards, low, high)
-        if low == high:
-            break
-        open_cells: set[int] = set()
-        for near, far in zip(layout.cuts(low, shards), layout.hopes(high, shards), strict=True):
-            open_cells.update(range(bisect_right(layout.ends, near), min(bisect_right(layout.ends, far) + 1, len(layout.cells))))
-        if not layout.refine(open_cells):
-            break
-    inner = [x for x in layout.cuts(high, shards) if x < layout.total]
-    return high, [layout.cells[bisect_right(layout.ends, x)][0] for x in inner]
+    capacity = layout.search(shards, [])
+    # groups above an even share of what is left, largest first; fewer than shards
+    heavy, rest = [], layout.total
+    for r in groups.orderBy(F.desc("_bytes"), "_digest").limit(shards - 1).collect():
+        if r["_bytes"] * (shards - len(heavy)) > rest:
+            heavy.append(r["_digest"])
+            rest -= r["_bytes"]
+    for digest in heavy:
+        layout.span(digest)
+    walls = sorted(layout.span(digest) for digest in heavy)
+    # walls may cut a run into more shards than there are: those that do least harm give way
+    while walls and layout.cuts(capacity, shards, walls)[-1] < layout.total:
+        walls.remove(min(walls, key=lambda w: w[1] - w[0]))
+    inner = layout.search(shards, walls) if walls else capacity
+    edges = [0, *(x for w in walls for x in w), layout.total]
+    runs = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
+    count = []
+    for a, b in runs:
+        n, at = 0, a
+        while at < b:
+            at, n = min(b, layout.ends[bisect_right(layout.ends, at + inner) - 1]), n + 1
+        count.append(n)
+    for _ in range(shards - len(walls) - sum(count)):  # shards that no run needs go where shares are largest
+        if runs:
+            k = max(range(len(runs)), key=lambda k: (runs[k][1] - runs[k][0]) / count[k])
+            count[k] += 1
+    ends = [end for _, end in walls]
+    for (a, b), n in zip(runs, count, strict=True):
+        ends += layout.even(a, b, n, inner)
+    return capacity, [layout.cells[bisect_right(layout.ends, x)][0] for x in sorted(set(ends)) if x < layout.total]
 
 
 def _rank(digest: Column, starts: list[str]) -> Column:
@@ -143,38 +220,16 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     Null text counts as empty; null or repeated doc_ids are kept, each row gets its own slot; an empty table gives an
     empty result; other columns of ``docs`` are not read.
     """
-    rows = stored(sized(docs), "shard-rows")
+    rows = stored(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
     groups = stored(rows.groupBy("_digest").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "shard-groups")
-    whole = groups.agg(F.sum("_bytes")).first()[0] or 0
-    heavy: list[str] = []
-    while len(heavy) < shards - 1:  # a group above the even share of what is left stands alone; at most shards - 1 do
-        mean = -(-whole // (shards - len(heavy)))
-        rest = groups.where(~F.col("_digest").isin(heavy)) if heavy else groups
-        top = rest.where(F.col("_bytes") > mean).orderBy(F.desc("_bytes"), "_digest").limit(shards - 1 - len(heavy)).collect()
-        if not top:
-            break
-        # the largest alone changes the mean, so take them one by one from this bounded list
-        for r in top:
-            if r["_bytes"] * (shards - len(heavy)) > whole and len(heavy) < shards - 1:
-                heavy.append(r["_digest"])
-                whole -= r["_bytes"]
-    light = groups.where(~F.col("_digest").isin(heavy)) if heavy else groups
-    _, starts = plan_cuts(light, shards - len(heavy))
-    place = _rank(F.col("_digest"), starts) + F.lit(len(heavy))
-    for k, digest in enumerate(heavy):
-        place = F.when(F.col("_digest") == digest, F.lit(k)).otherwise(place)
-    placed = rows.select(
-        "*",
-        place.cast("int").alias("shard"),
-        F.substring("_digest", 1, FIRST).alias("_p"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_s"),
-    )
-    cell = ["shard", "_p", "_s"]
-    # counts by cell: at most 16**FIRST * SALTS cells plus one a cut, whatever the input
-    before = W.partitionBy("shard").orderBy("_p", "_s").rowsBetween(W.unboundedPreceding, -1)
+    _, starts = plan_cuts(groups, shards)
+    salts = -(-rows.count() // (NUMBERED * shards)) * 4 + 1
+    placed = rows.withColumn("shard", _rank(F.col("_digest"), starts).cast("int")).withColumn("_s", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+    cell = ["shard", "_s"]
+    # counts by cell: a cell is about a quarter of NUMBERED rows, and no group of copies or ids is in one cell only
+    before = W.partitionBy("shard").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy(*cell).orderBy("_digest", F.col("doc_id").asc_nulls_last())
-    numbered = placed.withColumn("_n", F.row_number().over(within) - 1)
+    numbered = placed.withColumn("_n", F.row_number().over(W.partitionBy(*cell).orderBy("_row")) - 1)
     return numbered.join(offsets, cell).select(
         "doc_id",
         "size",

@@ -326,6 +326,62 @@ def test_sharding(spark, docs, empty, rows):
     assert placed == len(sizes)
 
 
+@pytest.mark.parametrize("heavy", [[], [40_000], [30_000, 29_000, 9_000], [9_000] * 8])
+def test_sharding_is_contiguous_minimal_and_even(spark, heavy):
+    draw = random.Random(19)
+    sizes = {f"{draw.getrandbits(256):064x}": draw.randint(8, 300) for _ in range(700)}
+    sizes |= {f"{draw.getrandbits(256):064x}": n for n in heavy}
+    own = sorted(sizes.items())
+    groups = spark.createDataFrame([(d, n, 1) for d, n in own], "_digest string, _bytes long, _rows long")
+    capacity, starts = sharding.plan_cuts(groups, 24)
+    assert capacity == plain_capacity([n for _, n in own], 24)
+    filled, large = Counter(), Counter()
+    for d, n in own:
+        k = sum(d >= s for s in starts)
+        filled[k] += n
+        large[k] = max(large[k], n)
+    assert len(filled) == 24 and max(filled.values()) <= capacity
+    # heavy groups have a shard each; the others are even up to a group at either end
+    light = [n for k, n in filled.items() if large[k] <= 300]
+    assert len(light) == 24 - len(heavy) and all(filled[k] == n for k, n in large.items() if n > 300)
+    assert max(light) <= sharding_capacity_between(own, 24)
+    if len(heavy) < 4:
+        assert max(light) - min(light) <= 0.25 * max(light) + 600
+
+
+def sharding_capacity_between(own, shards):
+    """Smallest capacity of the shards between groups above 300."""
+    runs, run = [], []
+    for _, n in own:
+        if n > 300:
+            runs.append(run)
+            run = []
+        else:
+            run.append(n)
+    runs = [r for r in [*runs, run] if r]
+    left = shards - sum(n > 300 for _, n in own)
+    for capacity in range(max(map(max, runs)), sum(map(sum, runs)) + 1):
+        used = 0
+        for r in runs:
+            fill, used = 0, used + 1
+            for n in r:
+                if fill + n > capacity:
+                    fill, used = 0, used + 1
+                fill += n
+        if used <= left:
+            return capacity
+    return None
+
+
+def test_sharding_numbers_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "NUMBERED", 2)
+    made = spark.createDataFrame([(None if k % 2 else 7, "same" if k % 3 else f"t{k}") for k in range(400)], "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in sharding.shard(made, 5).collect():
+        got[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in got.values()) and sum(map(len, got.values())) == 400
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     (tmp_path / "t").mkdir()
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "t" / "benchmark.parquet"))
