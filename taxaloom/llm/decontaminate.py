@@ -2,13 +2,14 @@
 
 The index holds postings (document, position, term) for the terms that queries start from: a first pass counts how often
 each benchmark term occurs in the whole corpus, and every window of a benchmark item is looked up by its rarest terms.
-Their lists are shifted by the terms' offsets in the window and intersected, which leaves (document, start, window)
-candidates. Postings of a window's rarest term also hold the words around it, so a candidate is compared with all words of
-the window without another look at the document. Near a window's place, all its rarest terms within ``slack`` words of
-their offsets count as a proximity match.
-
-Terms and windows of the benchmark are broadcast if they are few enough (``SMALL``), else joined by a shuffle. Rows are
-keyed by document, so a frequent term or passage spreads over all tasks.
+Their lists are shifted by the terms' offsets in the window and intersected by stretches of ``STRETCH`` starts, which
+leaves candidates (document, stretch, window). Postings of a window's rarest term also hold the words around it, so each
+start is compared with all words of the window without another look at the document: exactly, and for proximity, where
+every word of the window lies within ``slack`` words of its place.
+
+Terms and windows of the benchmark are broadcast if they are few enough (``SMALL``). Else they are joined by a shuffle on
+the term, with ``SALTS`` parts a term, after rows have been aggregated where they can be; all later rows are keyed by
+document.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows of a benchmark table that may be broadcast; a row takes about 300 bytes.
 SMALL = 100_000
-#: Rarest terms of a window whose lists are intersected.
-ANCHORS = 2
+#: Parts of a term's rows beyond that.
+SALTS = 32
+#: Rarest terms of a window whose lists are intersected, and starts of a stretch.
+ANCHORS, STRETCH = 2, 16
 
 
 def words(text: Column) -> Column:
@@ -32,67 +35,110 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), BETWEEN), "")
 
 
-def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= SMALL else table
+def _meet(rows: DataFrame, table: DataFrame, on: str | list[str], salt: Column | None = None) -> DataFrame:
+    """``rows`` joined with a table of the benchmark: a broadcast up to ``SMALL`` rows, else a shuffle, by parts if salted."""
+    on = [on] if isinstance(on, str) else on
+    if table.count() <= SMALL:
+        return rows.join(F.broadcast(table), on)
+    if salt is None:
+        return rows.join(table.hint("merge"), on)
+    parts = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(parts.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
-    """Distinct windows of the items (item_id, text): phrase, terms, items (ids as strings; a null id is '')."""
+    """Windows of the items (item_id, text), once an item: item (the id as string; a null id is ''), phrase, terms."""
     own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1)))
     each = own.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("terms"))
-    return each.groupBy(F.concat_ws(" ", "terms").alias("phrase")).agg(F.first("terms").alias("terms"), F.collect_set("item").alias("items"))
+    return each.select("item", F.concat_ws(" ", "terms").alias("phrase"), "terms").dropDuplicates(["item", "phrase"])
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 0) -> DataFrame:
-    """Occurrences of item windows in ``docs``: doc_id, h (hash of the text), start, window (its number), n, exact, items.
+def matches(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of item windows in ``docs``, and which items have a window.
 
-    A row is a place where all rarest terms of a window lie within ``slack`` words of their offsets; exact is true where
-    all words of the window follow one another.
+    The first has doc_id, h (hash of the text), window (its number), stretch, n (words of the window), exact (bits of the
+    starts in the stretch at which all its words follow one another) and near (whether at a start of the stretch every word
+    is within ``slack`` words of its place; exact ones are near too); the second window and item.
     """
-    phrases = stored(windows(items, width).withColumn("window", F.monotonically_increasing_id()), "bench-windows")
+    each = stored(windows(items, width), "bench-windows")
+    phrases = stored(each.groupBy("phrase").agg(F.first("terms").alias("terms")).withColumn("window", F.monotonically_increasing_id()), "bench-phrases")
     tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
     terms = phrases.select(F.explode("terms").alias("term")).distinct()
-    counts = stored(tokens.select(F.explode("w").alias("term")).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("df")), "bench-counts")
-    parts = phrases.select("window", "phrase", F.size("terms").alias("n"), "items", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+    seen = tokens.select(F.explode("w").alias("term"))
+    if terms.count() > SMALL:  # a frequent term is summed where it is read, before it meets the terms
+        counts = seen.groupBy("term").agg(F.count("*").alias("df")).join(terms.hint("merge"), "term")
+    else:
+        counts = seen.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+    counts = stored(counts, "bench-counts")
+    parts = phrases.select("window", "phrase", "terms", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
     own = Window.partitionBy("window")
     ranked = parts.withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(0)), "offset"))).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(own))
-    anchors = stored(ranked.where(f"least > 0 and rank <= {ANCHORS}").select("window", "phrase", "n", "items", "offset", "term", "rank"), "bench-anchors")
+    anchors = stored(ranked.where(f"least > 0 and rank <= {ANCHORS}").select("window", "phrase", "terms", "n", "offset", "term", "rank"), "bench-anchors")
     chosen = anchors.groupBy("term").agg(F.max(F.col("rank") == 1).alias("lead"))
-    low = F.greatest(F.col("pos") - (width - 1), F.lit(0))
-    around = F.when(F.col("lead"), F.slice("w", low + 1, F.col("pos") + width - low))
-    postings = stored(
-        tokens.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term")).join(_small(chosen), "term").select("doc_id", "h", "pos", "term", low.alias("low"), around.alias("around")),
-        "postings",
-    )
-    start = (F.col("pos") - F.col("offset")).alias("start")
-    lead = postings.join(_small(anchors.where("rank = 1").drop("items")), "term").where("pos >= offset")
-    same = F.concat_ws(" ", F.slice("around", F.col("pos") - F.col("offset") - F.col("low") + 1, F.col("n"))) == F.col("phrase")
-    lead = lead.select("doc_id", "h", start, "window", F.lit(1).alias("bit"), same.alias("exact"))
-    rest = postings.drop("around").join(_small(anchors.where("rank > 1").drop("items", "phrase")), "term").where(F.col("pos") >= F.col("offset") - slack)
-    shifted = F.explode(F.array(*(F.col("pos") - F.col("offset") + d for d in range(-slack, slack + 1)))).alias("start") if slack else start
-    rest = rest.select("doc_id", "h", shifted, "window", F.expr("shiftleft(1, rank - 1)").alias("bit"), F.lit(False).alias("exact"))
-    met = lead.unionByName(rest).groupBy("doc_id", "h", "start", "window").agg(F.bit_or("bit").alias("bits"), F.max("exact").alias("exact"))
-    need = anchors.groupBy("window").agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("need"), F.first("n").alias("n"), F.first("items").alias("items"))
-    return met.where("bits % 2 = 1").join(_small(need), "window").where("bits = need").select("doc_id", "h", "start", "window", "n", "exact", "items")
+    reach = width - 1 + 2 * slack
+    low = F.greatest(F.col("pos") - reach, F.lit(0))
+    around = F.when(F.col("lead"), F.slice("w", low + 1, F.col("pos") + reach + 1 - low))
+    spread = F.xxhash64("doc_id", "h", "pos")
+    postings = _meet(tokens.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term")), chosen, "term", spread)
+    postings = stored(postings.select("doc_id", "h", "pos", "term", low.alias("low"), around.alias("around")), "postings")
+    start = F.col("pos") - F.col("offset")
+    second = anchors.where("rank = 2").select("window", F.col("term").alias("other"))
+    leads = anchors.where("rank = 1").join(second, "window", "left")
+    lead = _meet(postings, leads, "term", spread).where(F.col("pos") >= F.col("offset") - slack)
+    lead = lead.withColumn("start", start).withColumn("at", F.col("pos") - F.col("offset") - F.col("low"))  # of the start in the words around
+    same = (F.col("start") >= 0) & (F.concat_ws(" ", F.slice("around", F.greatest("at", F.lit(0)) + 1, F.col("n"))) == F.col("phrase"))
+
+    def within(shift: int) -> Column:
+        """Whether every word of the window is within ``slack`` of its place, counted from this shift of the start."""
+
+        def there(term: Column, j: Column) -> Column:
+            first = F.col("at") + j + (shift - slack)
+            return F.array_contains(F.slice("around", F.greatest(first, F.lit(0)) + 1, F.greatest(F.least(F.lit(2 * slack + 1), first + (2 * slack + 1)), F.lit(0))), term)
+
+        return (F.col("start") + shift >= 0) & F.forall(F.transform("terms", there), lambda x: x)
+
+    near = F.lit(False)
+    for shift in range(-slack, slack + 1) if slack else ():
+        near = near | within(shift)
+    lead = lead.withColumn("same", same)
+    near = F.col("same") | F.when(F.col("other").isNull() | F.array_contains("around", F.col("other")), near).otherwise(False)
+    stretch = lambda x: F.floor(x / STRETCH).cast("int")
+    bits = F.when(F.col("same"), F.expr(f"shiftleft(1, cast(pmod(start, {STRETCH}) as int))")).otherwise(F.lit(0))
+    lead = lead.select("doc_id", "h", "window", stretch(F.col("start")).alias("stretch"), F.lit(1).alias("met"), bits.alias("exact"), near.alias("near"))
+    rest = _meet(postings.drop("around"), anchors.where("rank = 2").select("window", "term", "offset"), "term", spread).where(F.col("pos") >= F.col("offset") - 2 * slack)
+    into = F.explode(F.array_distinct(F.array(stretch(start - 2 * slack), stretch(start + 2 * slack)))) if slack else stretch(start)
+    rest = rest.select("doc_id", "h", "window", into.alias("stretch"), F.lit(2).alias("met"), F.lit(0).alias("exact"), F.lit(False).alias("near"))
+    met = lead.unionByName(rest).groupBy("doc_id", "h", "window", "stretch").agg(F.bit_or("met").alias("met"), F.bit_or("exact").alias("exact"), F.max("near").alias("near"))
+    need = anchors.groupBy("window").agg(F.bit_or("rank").alias("need"), F.first("n").alias("n"))
+    found = _meet(met.where("near"), need, "window").where("met = need")
+    return found.select("doc_id", "h", "window", "stretch", "n", "exact", "near"), each.join(phrases.select("phrase", "window"), "phrase").select("window", "item")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 2) -> DataFrame:
     """A row for every row of ``docs`` (doc_id, text), against ``items`` (item_id, text).
 
     Returns doc_id, n_words, n_hit (words inside exact occurrences of windows), n_items, items_sha256, contaminated, and
-    n_near (windows that only match by proximity). A window is ``width`` consecutive words of an item, or a whole shorter
-    item. Null and empty texts have no words and no hits; an item without words or a null item text matches nothing; null
-    and repeated doc_ids keep their rows; empty tables give empty results or no hits; other columns are not read.
+    n_near (distinct windows that the document has by proximity and nowhere exactly: from some start every word of the
+    window occurs within ``slack`` words of its place). A window is ``width`` consecutive words of an item, or a whole
+    shorter item. Null and empty texts have no words and no hits; an item without words or a null item text matches
+    nothing; null and repeated doc_ids keep their rows; empty tables give empty results or no hits; other columns are not
+    read.
     """
-    found = matches(docs, items, width, slack)
-    inside = F.when(F.col("exact"), F.sequence("start", F.col("start") + F.col("n") - 1))
-    per = found.groupBy("doc_id", "h").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(inside)))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("exact"), F.col("items")))))).alias("ids"),
-        F.count_if(~F.col("exact")).alias("n_near"),
-    )
-    per = stored(per.toDF("id", "k", "n_hit", "ids", "n_near"), "bench-hits")
+    found, members = matches(docs, items, width, slack)
+    found = stored(found, "bench-found")
+    exact = found.where("exact <> 0")
+    starts = F.filter(F.sequence(F.lit(0), F.lit(STRETCH - 1)), lambda k: F.col("exact").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    inside = F.flatten(F.transform(starts, lambda k: F.sequence(F.col("stretch") * STRETCH + k, F.col("stretch") * STRETCH + k + F.col("n") - 1)))
+    hits = exact.groupBy("doc_id", "h").agg(F.size(F.array_distinct(F.flatten(F.collect_list(inside)))).cast("long").alias("n_hit"))
+    names = _meet(exact.select("doc_id", "h", "window").distinct(), members, "window").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    by_window = found.groupBy("doc_id", "h", "window").agg(F.max(F.col("exact") != 0).alias("is_exact"))
+    nears = by_window.groupBy("doc_id", "h").agg(F.count_if(~F.col("is_exact")).alias("n_near"))
+    key = lambda t, *cols: t.select(F.col("doc_id").alias("id"), F.col("h").alias("k"), *cols)
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["k"] == b["k"])
+    nears, hits, names = key(nears, "n_near"), key(hits, "n_hit"), key(names, "ids")
+    per = nears.join(hits, same(nears, hits), "left").select(nears["id"], nears["k"], "n_near", "n_hit")
+    per = stored(per.join(names, same(per, names), "left").select(per["id"], per["k"], "n_near", "n_hit", "ids"), "bench-hits")
     every = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = every.join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k")), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -110,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slack: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
-    found = matches(docs, items, width).where("exact").select("doc_id", "h").distinct()
+    found = matches(docs, items, width)[0].where("exact <> 0").select("doc_id", "h").distinct()
     hit = stored(found, "bench-documents").toDF("id", "k").hint("merge")
     h = rows.fresh(docs, "_h")[0]
     marked = docs.withColumn(h, F.xxhash64(docs["text"]))

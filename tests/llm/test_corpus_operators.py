@@ -180,7 +180,7 @@ def test_near_is_brute_force(spark, monkeypatch, block, many):
 ITEM = "zero one two three four five six seven eight nine ten eleven"
 
 
-def plain_contamination(docs, items, width):
+def plain_contamination(docs, items, width, slack=2):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = defaultdict(set)
     for item, text in items:
@@ -189,13 +189,18 @@ def plain_contamination(docs, items, width):
             wins[tuple(w[k : k + width])].add("" if item is None else str(item))
     out = []
     for i, text in docs:
-        w, hit, met = cut(text), set(), set()
+        w, hit, met, near, exact = cut(text), set(), set(), set(), set()
         for n in {len(x) for x in wins}:
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in wins:
                     hit.update(range(k, k + n))
                     met |= wins[tuple(w[k : k + n])]
-        out.append((str(i), len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)))
+                    exact.add(tuple(w[k : k + n]))
+        for x in wins:
+            for k in range(len(w)):
+                if all(x[j] in w[max(0, k + j - slack) : max(0, k + j + slack + 1)] for j in range(len(x))):
+                    near.add(x)
+        out.append((str(i), len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit), len(near - exact)))
     return sorted(out)
 
 
@@ -205,16 +210,39 @@ def test_contamination(spark, docs, empty, rows):
     full = spark.createDataFrame([(*r, None, None, 0, 0, "", "", "", "", "") for r in own], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(full, bench).collect()
-    assert sorted((str(r["doc_id"]), *r[1:6]) for r in got) == plain_contamination(own, items, 10)
+    assert sorted((str(r["doc_id"]), *r[1:7]) for r in got) == plain_contamination(own, items, 10)
     kept = decontaminate.drop_contaminated(full, bench)
     clean = sorted(x[0] for x in plain_contamination(own, items, 10) if not x[5])
     assert kept.columns == full.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == clean and "20" not in clean
-    near = decontaminate.matches(spark.createDataFrame([(1, "zero one two " + " ".join(ITEM.split()[4:])), (2, "three")], "doc_id long, text string"), bench, width=10, slack=2)
-    assert any(not r["exact"] for r in near.collect())
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.contamination(full, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize(("small", "slack"), [(100_000, 2), (100_000, 0), (100_000, 1), (0, 2)])
+def test_contamination_by_proximity(spark, monkeypatch, small, slack):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
+    draw = random.Random(23)
+    base = [words(5000 + k, draw.choice([3, 9, 10, 11, 18, 25]), "abcd").split() for k in range(14)]
+    items = [(k, " ".join(b)) for k, b in enumerate(base)] + [(50, " ".join(base[3])), (51, "one"), (52, "one one two")]
+    own = []
+    for k in range(160):
+        part = [*draw.choice(base)]
+        for _ in range(draw.choice([0, 0, 1, 1, 2, 3])):  # words put in, left out, changed or moved
+            at = draw.randrange(len(part))
+            part[at : at + draw.choice([0, 1, 1])] = draw.choice([[], ["zz"], ["zz", "yy"], [draw.choice(part)]])
+            if not part:
+                part = ["one"]
+        if draw.random() < 0.3:
+            part[0], part[-1] = part[-1], part[0]
+        front, back = words(k, draw.choice([0, 1, 3, 20]), "abcd"), words(k + 999, draw.choice([0, 2, 20]), "abcd")
+        own.append((k, f"{front} {' '.join(part)} {back} {' '.join(part)}"))
+    table = spark.createDataFrame(own, "doc_id long, text string")
+    got = decontaminate.contamination(table, spark.createDataFrame(items, "item_id long, text string"), 10, slack).collect()
+    want = plain_contamination(own, items, 10, slack)
+    assert sorted((str(r["doc_id"]), *r[1:7]) for r in got) == want
+    assert sum(x[5] for x in want) > 20 and (not slack or sum(x[6] > 0 for x in want) > 20)
+
+
 @settings(max_examples=150, deadline=None, database=None)
 @given(st.lists(st.binary(max_size=30) | st.text("ab", max_size=30).map(str.encode), max_size=6), st.integers(1, 6))
 def test_run_index(strings, width):
