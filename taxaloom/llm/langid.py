@@ -36,6 +36,8 @@ ORDERS = 4
 HELD_WORDS, REMEMBERED = 50_000, 60_000
 #: Words, and cells of texts times languages, that are scored at once.
 AT_ONCE, CELLS = 100_000, 1_000_000
+#: Words whose n-grams the driver counts at once.
+GRAMS_OF = 20_000
 #: Words whose evidence counts in full; the evidence of longer texts is scaled to as many, so scores stay comparable.
 EVIDENCE = 25
 #: Counts that an item which a language has not shown is given.
@@ -74,6 +76,14 @@ def _grams(items: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(items)), count)
 
 
+def _summed(keys: np.ndarray, lang: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and languages in order, each pair once, with the sum of its counts."""
+    order = np.lexsort((lang, keys))
+    keys, lang, n = keys[order], lang[order], n[order].astype(np.float64)
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (lang[1:] != lang[:-1])][: len(keys)])
+    return keys[new], lang[new], np.add.reduceat(n, new) if len(new) else n
+
+
 @dataclass
 class Table:
     """Items by hash: ``base`` is the log frequency per language of an item it has not shown, ``gain`` what an item adds."""
@@ -87,11 +97,7 @@ class Table:
     @classmethod
     def of(cls, keys: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int) -> Table:
         """From the hash, language and count of each item; repeats are summed."""
-        order = np.lexsort((lang, keys))
-        keys, lang, n = keys[order], lang[order], n[order].astype(np.float64)
-        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (lang[1:] != lang[:-1])][: len(keys)])
-        n = np.add.reduceat(n, new) if len(new) else n
-        keys, lang = keys[new], lang[new]
+        keys, lang, n = _summed(keys, lang, n)
         known, start = np.unique(keys, return_index=True)
         base = np.log(SMOOTH / (np.bincount(lang, n, languages) + SMOOTH * max(1, len(known))))
         return cls(known, np.append(start, len(keys)).astype(np.int64), lang.astype(np.int32), np.log((n + SMOOTH) / SMOOTH), base)
@@ -245,8 +251,11 @@ def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
     own = shown["word"].tolist()
     tables = [Table.of(_hashed(own), lang, shown["n"].to_numpy(np.int64), len(languages))]
     for n in range(ORDERS, 0, -1):
-        keys, word = _grams(own, n)
-        tables.append(Table.of(keys, lang[word], np.ones(len(keys), np.int64), len(languages)))
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(own), GRAMS_OF):
+            keys, word = _grams(own[at : at + GRAMS_OF], n)
+            parts.append(_summed(keys, lang[at : at + GRAMS_OF][word], np.ones(len(keys))))
+        tables.append(Table.of(*(np.concatenate(x) for x in zip(*parts, strict=True)), len(languages)))
     return Model(languages, tables)
 
 
