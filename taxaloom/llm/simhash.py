@@ -2,15 +2,16 @@
 
 Fingerprints of 64 bits that differ in at most two bits share at least six of their eight positional bytes: that is the
 guaranteed minimum of the count filter. Lists of single bytes would each hold a 256th of the corpus, and tallying their
-pairs grows with its square, so the index keeps one list for every choice of six positions and their values: two
-fingerprints meet in such a list exactly if their tally of shared bytes reaches six. A list fixes 48 bits and so has at
-most 65,536 distinct fingerprints, whatever the input. Pairs of a list are verified on the two free bytes; a list reports
-a spanning forest of its links, never all pairs.
+pairs grows with its square. So positions are taken in twos, of which such a pair shares two of four at least, and the
+index has a list for every choice of two of the four and their four bytes. Pairs that meet in a list are tallied over all
+eight positions; those that reach the minimum are verified bit by bit. A list that is long is split first: its fingerprints
+go to lists of two more positions each, where the tally has reached the minimum already. Those fix 48 bits and so have at
+most 65,536 distinct fingerprints, whatever the input. A list reports a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,10 @@ from .components import components
 
 #: Shingle hashes that are turned to bits at once, which bounds memory for very long texts.
 BLOCK = 65_536
-FREE = list(combinations(range(8), 2))
+#: Choices of two of the four twos of positions, and of two positions to leave free.
+TWOS, FREE = list(combinations(range(4), 2)), list(combinations(range(8), 2))
+#: Fingerprints of a list above which it is split, and rows of a table of such lists that may be broadcast.
+LONG, SMALL = 256, 100_000
 
 
 def fingerprint(text: str | None, words: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -62,24 +66,11 @@ def _near_masks(bits: int) -> np.ndarray:
     return every[np.bitwise_count(every) <= bits]
 
 
-def forest(codes: np.ndarray, bits: int, masks: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest (pairs of places) of the distinct 16-bit ``codes`` that differ in at most ``bits`` bits."""
-    n = len(codes)
-    if n <= 64:
-        a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= bits, 1))
-    else:
-        place = np.full(1 << 16, -1, np.int64)
-        place[codes] = np.arange(n)
-        met = place[codes[:, None] ^ masks[None, :]] if n * len(masks) <= 1 << 24 else None
-        if met is not None:
-            a, k = np.nonzero(met > np.arange(n)[:, None])
-            b = met[a, k]
-        else:
-            found = [(np.flatnonzero(m := place[codes ^ x] > np.arange(n)), place[codes ^ x][m]) for x in masks]
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+def spanning(n: int, pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the pairs of places below ``n`` that connect what was not connected yet."""
     root = list(range(n))
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for x, y in pairs:
         s, t = x, y
         while root[s] != s:
             root[s] = s = root[root[s]]
@@ -91,6 +82,25 @@ def forest(codes: np.ndarray, bits: int, masks: np.ndarray) -> list[tuple[int, i
     return out
 
 
+def tallied(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Spanning forest of a list: positional bytes that each pair shares are counted, enough of them verified by their bits."""
+    differ = fps[:, None] ^ fps[None, :]
+    shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
+    a, b = np.nonzero(np.triu(shared >= 8 - bits, 1))
+    near = np.bitwise_count(differ[a, b]) <= bits
+    return spanning(len(fps), zip(a[near].tolist(), b[near].tolist(), strict=True))
+
+
+def forest(codes: np.ndarray, bits: int, masks: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest (pairs of places) of the distinct 16-bit ``codes`` that differ in at most ``bits`` bits."""
+    n = len(codes)
+    place = np.full(1 << 16, -1, np.int64)
+    place[codes] = np.arange(n)
+    found = [(np.flatnonzero(m := place[codes ^ x] > np.arange(n)), place[codes ^ x][m]) for x in masks]
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (codes[:0], codes[:0])
+    return spanning(n, zip(a.tolist(), b.tolist(), strict=True))
+
+
 def _lists(bits: int):
     masks = _near_masks(bits)
 
@@ -100,13 +110,19 @@ def _lists(bits: int):
         sizes = np.diff(np.r_[starts, len(fp)])
         two = starts[sizes == 2]
         u = fp.view(np.uint64)
-        ok = np.bitwise_count(u[two] ^ u[two + 1]) <= bits
+        differ = u[two] ^ u[two + 1]
+        enough = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - bits
+        ok = enough & (np.bitwise_count(differ) <= bits)
         pairs = [np.stack([fp[two[ok]], fp[two[ok] + 1]], axis=1)]
         for at, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            p, q = FREE[choice[at]]
             own = u[at : at + n]
-            codes = ((own >> np.uint64(8 * p)) & np.uint64(255)) | (((own >> np.uint64(8 * q)) & np.uint64(255)) << np.uint64(8))
-            if edges := forest(codes.astype(np.int64), bits, masks):
+            if choice[at] < len(TWOS) or n <= 64:
+                edges = tallied(own, bits)
+            else:
+                p, q = FREE[choice[at] - len(TWOS)]
+                codes = ((own >> np.uint64(8 * p)) & np.uint64(255)) | (((own >> np.uint64(8 * q)) & np.uint64(255)) << np.uint64(8))
+                edges = forest(codes.astype(np.int64), bits, masks)
+            if edges:
                 pairs.append(fp[at + np.array(edges)])
         every = np.concatenate(pairs)
         return pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
@@ -130,14 +146,28 @@ def _lists(bits: int):
     return run
 
 
+def _keeping(positions: Iterable[int]) -> int:
+    """A mask of these bytes as a signed long."""
+    return int(np.uint64(sum(255 << (8 * p) for p in positions)).view(np.int64))
+
+
 def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """``fps`` (fp: distinct longs) -> a, b: links that connect all fingerprints at ``bits`` (0 to 2) or fewer bits."""
     if not 0 <= bits <= 2:
         raise ValueError("six shared bytes are guaranteed for at most two differing bits")
-    fixed = [int(np.uint64((1 << 64) - 1 - (255 << (8 * p)) - (255 << (8 * q))).view(np.int64)) for p, q in FREE]
-    lists = F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(fixed))))
-    postings = fps.select("fp", lists.alias("x")).select("x.choice", "x.key", "fp")
-    return postings.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInPandas(_lists(bits), "a long, b long")
+    fixed = [{p for two in choice for p in (2 * two, 2 * two + 1)} for choice in TWOS]
+    entry = lambda k, keep: F.struct(F.lit(k).cast("byte").alias("choice"), F.col("fp").bitwiseAND(F.lit(_keeping(keep))).alias("key"))
+    postings = fps.select("fp", F.explode(F.array(*(entry(k, keep) for k, keep in enumerate(fixed)))).alias("x")).select("x.choice", "x.key", "fp")
+    long_ = stored(postings.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("choice", "key"), "simhash-long")
+    long_ = F.broadcast(long_) if long_.count() <= SMALL else long_.hint("merge")
+    short = postings.join(long_, ["choice", "key"], "left_anti").select("choice", "key", "fp")
+    finer = F.lit(None)
+    for k, keep in enumerate(fixed):
+        free = [(j, pair) for j, pair in enumerate(FREE) if not keep & set(pair)]
+        finer = F.when(F.col("choice") == k, F.array(*(entry(len(TWOS) + j, set(range(8)) - set(pair)) for j, pair in free))).otherwise(finer)
+    split = postings.join(long_, ["choice", "key"], "left_semi").select("fp", F.explode(finer).alias("x")).select("x.choice", "x.key", "fp").distinct()
+    listed = short.unionByName(split).repartition("choice", "key").sortWithinPartitions("choice", "key")
+    return listed.mapInPandas(_lists(bits), "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -190,18 +220,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
         there[owner[a:b], column[a:b] - low] = 1
         both += there @ there.T
     union = sizes[:, None] + sizes[None, :] - both
-    root = list(range(m))
-    out = []
-    for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(both / np.maximum(union, 1) >= similarity, 1))), strict=True):
-        s, t = x, y
-        while root[s] != s:
-            root[s] = s = root[root[s]]
-        while root[t] != t:
-            root[t] = t = root[root[t]]
-        if s != t:
-            root[max(s, t)] = min(s, t)
-            out.append((x, y))
-    return out
+    return spanning(m, zip(*(k.tolist() for k in np.nonzero(np.triu(both / np.maximum(union, 1) >= similarity, 1))), strict=True))
 
 
 def _verified(words: int, similarity: float):

@@ -77,7 +77,10 @@ def test_simhash_rows(docs, empty, rows):
     assert all(len({r["component_id"] for r in own}) == 1 for own in least.values())
 
 
-def test_links_are_whole(spark):
+@pytest.mark.parametrize(("long_", "small"), [(256, 100_000), (2, 100_000), (2, 0)])
+def test_links_are_whole(spark, monkeypatch, long_, small):
+    monkeypatch.setattr(simhash, "LONG", long_)
+    monkeypatch.setattr(simhash, "SMALL", small)
     draw = random.Random(3)
     base = [draw.getrandbits(64) for _ in range(30)]
     fps = {b for b in base} | {b ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for b in base for _ in range(6)}
@@ -94,6 +97,29 @@ def test_links_are_whole(spark):
         simhash.links(frame, 3)
 
 
+def test_components_of_documents_are_brute_force(spark):
+    draw = random.Random(29)
+    texts = [None, "", " ", "a", "A", "a b", "a b c", "a b c d"]
+    for seed in range(30):
+        base = words(6000 + seed, draw.choice([3, 5, 30, 200, 400])).split()
+        for _ in range(7):
+            own = [*base]
+            for _ in range(draw.choice([0, 1, 1, 2])):
+                own[draw.randrange(len(own))] = draw.choice(["zz", "yy"])
+            texts.append(draw.choice([" ", "\n", "\x0b "]).join(own))
+    draw.shuffle(texts)
+    ids = [*range(len(texts) - 2), 0, None]
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    fps = [plain_fingerprint(t, 3) for t in texts]
+    near = [(a, b) for a, x in enumerate(fps) for b, y in enumerate(fps[:a]) if (x ^ y).bit_count() <= 2]
+    assert sum(fps[a] != fps[b] for a, b in near) > 20
+    root = union(near, range(len(texts)))
+    low = {k: min((ids[j] for j in root if root[j] == k and ids[j] is not None), default=None) for k in set(root.values())}
+    got = simhash.near_groups(table).collect()
+    want = sorted((str(ids[k]), f"{fps[k]:016x}", str(low[root[k]])) for k in range(len(texts)))
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
+
+
 def test_near_copies_go(spark, docs, empty, rows):
     text = words(50, 400).split()
     near = [*text]
