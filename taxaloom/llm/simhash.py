@@ -255,23 +255,48 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def _links_within(docs: DataFrame, own: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``groups`` (node, grp) of candidates -> a, b: links that connect all of a group that are as similar, each pair compared.
+    """``groups`` (node, grp) of candidates -> a, b: links that connect all of a group that are as similar.
 
-    ``own`` has id, h (of the text), node and size of every row. A group above a block is cut into blocks, all pairs of
-    which are compared, so no group has to fit into one task.
+    ``own`` has id, h (of the text), node and size of every row. A group above a block is cut into blocks. First each block
+    is compared within itself and with two pivots of the group, which is linear and links what is alike. Texts that are then
+    outside of the largest part of their group are compared with all blocks; pairs inside it need no more links. So every
+    pair is either compared or connected already, and no group has to fit into one task.
     """
     nodes = own.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("one"), F.first("size").alias("size"))
     nodes = stored(nodes.join(groups, "node").select("node", "grp", "size", F.col("one.id").alias("one_id"), F.col("one.h").alias("one_h")), "near-nodes")
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
-    tally = nodes.groupBy("grp").agg(F.count("*").alias("m"), parts.cast("int").alias("parts")).where("m > 1")
-    wanted = stored(nodes.join(tally, "grp").select("node", "grp", "parts", "one_id", "one_h"), "near-wanted")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    mark = F.xxhash64("node")
+    tally = nodes.groupBy("grp").agg(F.count("*").alias("m"), blocks(F.count("*"), F.sum("size")).alias("parts"), F.min_by("node", mark).alias("p"), F.max_by("node", mark).alias("q")).where("m > 1")
+    tally = stored(tally.drop("m"), "near-tally")
+    wanted = stored(nodes.join(tally, "grp").select("node", "grp", "size", "parts", F.col("node").isin(F.col("p"), F.col("q")).alias("pivot"), "one_id", "one_h"), "near-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
     found = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("h") == F.col("one_h")))
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = found.select("node", "grp", "text", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "text")
-    dealt = dealt.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-    return dealt.mapInPandas(_verified(words, similarity), "a long, b long")
+    found = stored(found.select("node", "grp", "size", "parts", "pivot", "text"), "near-texts")
+    block = F.pmod(mark, F.col("parts")).cast("int")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("grp", "low", "high", "node", "text").repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+        return dealt.mapInPandas(_verified(words, similarity), "a long, b long")
+
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    first = found.select("*", F.explode(F.when(F.col("pivot"), every).otherwise(F.array(block))).alias("low")).withColumn("high", F.lit(-1))
+    links = stored(compared(first), "near-links-first")
+    large = found.where("parts > 1")
+    if large.isEmpty():
+        return links
+    reach = stored(components(links), "near-linked").toDF("at", "root")
+    parted = large.drop("text").join(reach, F.col("node") == F.col("at"), "left").withColumn("part", F.coalesce("root", "node"))
+    sizes = parted.groupBy("grp", "part").agg(F.count("*").alias("k"), F.sum("size").alias("bytes"))
+    most = sizes.groupBy("grp").agg(F.max_by("part", F.struct("k", "part")).alias("largest"))
+    outside = sizes.join(most, "grp").where("part <> largest").groupBy("grp").agg(blocks(F.sum("k"), F.sum("bytes")).alias("outer"))
+    outside = stored(outside.join(most, "grp"), "near-outside")
+    if outside.isEmpty():
+        return links
+    rest = parted.select("grp", "node", "part").join(outside, "grp").select("grp", "node", "outer", (F.col("part") != F.col("largest")).alias("out"))
+    rest = large.join(rest, ["grp", "node"])
+    others = rest.select("grp", "node", "text", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("low"), block.alias("high"))
+    outer = rest.where("out").select("grp", "node", "text", F.pmod(mark, F.col("outer")).cast("int").alias("low"), F.explode(every).alias("high"))
+    return links.unionByName(compared(others.unionByName(outer)))
 
 
 #: Documents of which one in ``SAMPLE`` is read for the order of shingles; a shingle that ``COMMON`` of these have comes
@@ -354,7 +379,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     n - ceil(similarity * n) + 1 of each (the prefix), so the index lists texts by these only. A pair is a candidate if its
     sizes allow the similarity and the shingles that the prefixes share, with all behind them, can reach it. Shingles that
     are frequent in a sample come last in the order; texts that still meet in one of them, or in a list of more than
-    ``MANY``, form one group of candidates. Groups are compared by all shingles, pair by pair, in blocks, without a cap.
+    ``MANY``, form one group of candidates. Groups are compared by all shingles, in blocks, without a cap.
 
     A null doc_id stays only if its group has no other; texts without a word form one group; of repeated rows one stays.
     """
