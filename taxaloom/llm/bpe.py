@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .rows import in_batches
+
 #: Stands for the end-of-word suffix behind the last character of a piece.
 END = "\ue000"
 #: Pieces a worker remembers in each of two generations; when the young one is full, it becomes the old one.
-CACHE = 200_000
+CACHE = 50_000
 #: Ids that a worker hands on at once.
-HANDED = 1_000_000
+HANDED = 500_000
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 BYTES_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
@@ -266,7 +268,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                     yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at:k].astype("Int64"), "ids": [x.astype(np.int32) for x in ids], "decoded": [own.decode(x) for x in ids]})
                     ids, size, at = [], 0, k
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -283,4 +285,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=pdf["doc_id"].astype("Int64"))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, schema)

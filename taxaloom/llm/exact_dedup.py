@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import bloom, golomb, rows as rows_
+from .rows import in_batches
 
 #: Bits of a fingerprint; the share of unique texts that are suspected by chance is the number of texts over 2 ** 48.
 FP_BITS = 48
@@ -113,7 +114,7 @@ def groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     owner_bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = stored(texts.withColumn("h", F.xxhash64("text")).mapInPandas(_send(owner_bits), _SENT), "dedup-sent")
+    sent = stored(texts.withColumn("h", F.xxhash64("text")).transform(in_batches, _send(owner_bits), _SENT), "dedup-sent")
     rows = sent.where("kind = 0").select("part", "chunk", "row", "doc_id", "h", "n_points", "sha", "owner", "pos")
     messages = sent.where("kind = 1").select("part", "chunk", "owner", "n", "width", "fps", "twice")
     bitmaps = messages.groupBy("owner").applyInPandas(_answer(owner_bits), "part int, chunk int, owner int, words array<long>")

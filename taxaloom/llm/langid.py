@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import fresh
+from .rows import bound_batches, fresh, in_batches, release
 
 #: Runs of word characters without digits; what is no letter in them (numerals that are no digits) is cut out afterwards.
 RUN = re.compile(r"[^\W\d_]+")
@@ -243,7 +243,7 @@ def sample(labelled: DataFrame, rows: int) -> DataFrame:
 
 def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
     """Learn from a sample of about ``rows`` rows of ``labelled`` (doc_id, lang, text)."""
-    counted = sample(labelled, rows).mapInPandas(_count_words, "lang string, word string, n long")
+    counted = sample(labelled, rows).transform(in_batches, _count_words, "lang string, word string, n long")
     # bounded by the sample: a row for each word and language that it shows
     shown = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(shown["lang"].unique())
@@ -262,11 +262,14 @@ def fit(labelled: DataFrame, rows: int = ROWS) -> Model:
 def predictor(docs: DataFrame, model: Model):
     """A function of a text column that gives a struct of lang_pred and score; the model is broadcast once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, rows = shared.value, _Rows()
         for texts in batches:
             yield own.predict(texts.tolist(), rows)
+        del own, rows
+        release()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, "lang_pred string, score double")

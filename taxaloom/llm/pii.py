@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import in_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account")
 CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "customer id", "tax id")
@@ -202,4 +204,4 @@ def detect(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE), "base_sha256", "spans"]).assign(doc_id=pdf["doc_id"].astype("Int64"))
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import bloom
+from .rows import in_batches
 from .runindex import repeated_starts
 
 #: Bytes of an anchor, and ranges of offset at each level; None stands for a range an offset.
@@ -189,7 +190,7 @@ def _match(width: int):
 def _spans(texts: DataFrame, width: int, level: int) -> DataFrame:
     """``texts`` (tk: key of a text, text: string or binary; copies have one key) -> tk, spans of window ranges (x, y)."""
     ranges, last = LEVELS[level], level == len(LEVELS) - 1
-    cut = stored(texts.where(F.octet_length("text") >= width).mapInPandas(_cut(width, ranges), _SEGMENTS), "repeat-segments")
+    cut = stored(texts.where(F.octet_length("text") >= width).transform(in_batches, _cut(width, ranges), _SEGMENTS), "repeat-segments")
     shared = stored(cut.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), "repeat-cores")
     passes = bloom.member(shared.select(F.col("key").alias("h")), shared.count())
     suspects = cut.where(passes("key")).distinct().join(shared.hint("merge"), "key", "left_semi")
@@ -197,7 +198,7 @@ def _spans(texts: DataFrame, width: int, level: int) -> DataFrame:
     wanted = own.select(F.xxhash64("tk").alias("h"))
     passes = bloom.member(wanted, own.count())
     bodies = texts.where(passes(F.xxhash64("tk"))).groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    members = bodies.join(own.hint("merge"), "tk").mapInPandas(_extract(width, not last), "tk binary, a int, size int, copies long, key long, times int, digest binary, body binary")
+    members = bodies.join(own.hint("merge"), "tk").transform(in_batches, _extract(width, not last), "tk binary, a int, size int, copies long, key long, times int, digest binary, body binary")
     members = stored(members, "repeat-members")
     different = members.groupBy("key", "digest").agg(F.sum("copies").alias("copies"), F.first("body").alias("body"), F.first("size").alias("size"), F.max("times").alias("times"))
     different = stored(different, "repeat-bodies")
@@ -277,4 +278,4 @@ def remove_repeats(docs: DataFrame, width: int = 400, with_kept: bool = True) ->
     touched = rows.where(hit).join(marks.hint("merge"), "tk", "left").select("doc_id", "text", "spans")
     rest = rows.where(~hit).select("doc_id", "text", F.lit(None).cast("array<struct<x:int,y:int>>").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>" + ", kept binary" * with_kept
-    return touched.unionByName(rest).mapInPandas(_clean(width, with_kept), schema)
+    return touched.unionByName(rest).transform(in_batches, _clean(width, with_kept), schema)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from . import rows as rows_
 from .components import components
+from .rows import in_batches
 
 #: Shingle hashes that are turned to bits at once, which bounds memory for very long texts.
 BLOCK = 65_536
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, words)[0] for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, "doc_id long, fp long")
 
 
 def _near_masks(bits: int) -> np.ndarray:
@@ -167,7 +168,7 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
         finer = F.when(F.col("choice") == k, F.array(*(entry(len(TWOS) + j, set(range(8)) - set(pair)) for j, pair in free))).otherwise(finer)
     split = postings.join(long_, ["choice", "key"], "left_semi").select("fp", F.explode(finer).alias("x")).select("x.choice", "x.key", "fp").distinct()
     listed = short.unionByName(split).repartition("choice", "key").sortWithinPartitions("choice", "key")
-    return listed.mapInPandas(_lists(bits), "a long, b long")
+    return listed.transform(in_batches, _lists(bits), "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -276,7 +277,7 @@ def _links_within(docs: DataFrame, own: DataFrame, groups: DataFrame, words: int
 
     def compared(dealt: DataFrame) -> DataFrame:
         dealt = dealt.select("grp", "low", "high", "node", "text").repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-        return dealt.mapInPandas(_verified(words, similarity), "a long, b long")
+        return dealt.transform(in_batches, _verified(words, similarity), "a long, b long")
 
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     first = found.select("*", F.explode(F.when(F.col("pivot"), every).otherwise(F.array(block))).alias("low")).withColumn("high", F.lit(-1))
@@ -320,7 +321,7 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             if own:
                 yield pd.DataFrame({"key": np.concatenate(own).view(np.int64)})
 
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInPandas(run, "key long")
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).transform(in_batches, run, "key long")
     counted = some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     top = counted.orderBy(F.desc("n"), "key").limit(COMMONS).toPandas()
     key, n = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
@@ -405,9 +406,9 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
             yield pd.DataFrame(out, columns=["node", "size", "rare", "common"]).assign(id=pdf["id"].astype("Int64"), h=pdf["h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
-    own = stored(texts.mapInPandas(run, "id long, h long, node long, size long, rare array<long>, common array<long>"), "near-rows")
+    own = stored(texts.transform(in_batches, run, "id long, h long, node long, size long, rare array<long>, common array<long>"), "near-rows")
     postings = own.select("node", F.col("size").cast("int").alias("size"), F.explode("rare").alias("key")).repartition("key").sortWithinPartitions("key", "node")
-    met = postings.mapInPandas(_prefix_lists(similarity, MANY), "a long, b long, need long")
+    met = postings.transform(in_batches, _prefix_lists(similarity, MANY), "a long, b long, need long")
     met = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
     met = stored(met.union(own.select(F.explode("common").alias("a"), F.col("node").alias("b")).distinct()), "near-candidates")
     reach = stored(components(met), "near-groups").toDF("node", "grp")

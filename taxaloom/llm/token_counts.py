@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import BYTES, byte_alphabet, byte_pieces, odd
+from .rows import in_batches
 
 #: Pre-tokens whose counts a worker remembers, in each of two generations.
 CACHE = 200_000
@@ -194,4 +195,4 @@ def count_tokens(docs: DataFrame, path: str, edits: DataFrame | Column | None =
                 out.append((total, pieces, tree.total, again))
             yield pd.DataFrame(out, columns=["n_tokens", "n_pretokens", "n_tokens_edited", "n_reencoded"]).assign(doc_id=pdf["doc_id"].astype("Int64"))
 
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, n_pretokens long, n_tokens_edited long, n_reencoded long")
+    return rows.transform(in_batches, run, "doc_id long, n_tokens long, n_pretokens long, n_tokens_edited long, n_reencoded long")

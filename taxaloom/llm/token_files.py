@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 from ..session import shared_dir
 from . import mixcoder
 from .bpe import Vocabulary
+from .rows import in_batches
 
 BLOCKS = (
     "part int, block long, at long, n long, payload binary, docs array<struct<doc:long,doc_id:long,piece:int,pieces_end:boolean,n:long>>"
@@ -106,7 +107,7 @@ def write(docs: DataFrame, path: str, end: int, folder: str | None = None) -> st
     key = (F.col("doc_id").asc_nulls_last(), F.col("h").asc())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
-    ordered.mapInPandas(_write_part(path, end), BLOCKS).write.option("compression", "none").parquet(folder)
+    ordered.transform(in_batches, _write_part(path, end), BLOCKS).write.option("compression", "none").parquet(folder)
     return folder
 
 
@@ -159,7 +160,7 @@ _join_pieces.__annotations__ = {"n": pd.Series, "crc": pd.Series, "return": pd.S
 def read_index(spark, folder: str) -> DataFrame:
     """Decode a folder of blocks: doc_id, start (ids of all documents before), n_tokens, ids_crc32, a row for a document."""
     blocks = spark.read.schema(BLOCKS).parquet(folder)
-    pieces = blocks.select("part", "at", "payload", "docs").mapInPandas(_read_blocks, "part int, doc long, doc_id long, piece int, last boolean, at long, n long, crc long")
+    pieces = blocks.select("part", "at", "payload", "docs").transform(in_batches, _read_blocks, "part int, doc long, doc_id long, piece int, last boolean, at long, n long, crc long")
     whole = pieces.where("piece = 0 and last").select("part", "doc_id", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     sorted_ = F.array_sort(F.collect_list(F.struct("piece", "n", "crc")))
     split = pieces.where("not (piece = 0 and last)").groupBy("part", "doc").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), sorted_.alias("own"))
