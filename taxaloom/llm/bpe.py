@@ -31,7 +31,7 @@ from .rows import in_batches
 #: Stands for the end-of-word suffix behind the last character of a piece.
 END = "\ue000"
 #: Pieces a worker remembers in each of two generations; when the young one is full, it becomes the old one.
-CACHE = 50_000
+CACHE = 200_000
 #: Ids that a worker hands on at once.
 HANDED = 500_000
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
