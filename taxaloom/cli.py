@@ -49,7 +49,7 @@ def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
     n = rows.count()
     if not n:
         raise Stop("no read has evidence for a known taxon")
-    sinks.write_shards(rows, a.output_path, a.shard_size, a.to_dtype)
+    sinks.write_shards(rows, a.output_path, a.shard_size, a.to_dtype, a.target_length)
     files = readers.shard_sizes(readers.shards(spark, a.output_path)).count()
     sinks.write_manifest(spark, a.output_path.rstrip("/") + ".manifest", [a.output_path], n, files, source=a.file_path, shard_size=a.shard_size, dtype=a.to_dtype, min_tax_kmers=a.min_tax_kmers)
 
@@ -120,7 +120,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(name)
     p.add_argument("--max-bins-per-seq", type=int)
     p.add_argument("--shard-size", type=int, default=4096)
-    p.add_argument("--to-dtype", default="float32")
+    p.add_argument("--to-dtype", choices=("float32", "float16", "bfloat16", "fp32", "fp16", "bf16"), default="float32")
+    p.add_argument("--target-length", type=int, default=0)
     p.add_argument("--min-tax-kmers", type=int, default=0)
     p.set_defaults(run=_extract)
     p = sub.add_parser("filter", help="feature shards to refined calls")

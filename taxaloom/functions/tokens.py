@@ -34,7 +34,10 @@ def true_taxon_text(read_id: Column, taxonomy: Column) -> Column:
 
 
 def accession(name: Column) -> Column:
-    """Accession of a simulated read's name: before the slash, without its last character, version cut to one digit."""
+    """Accession of a simulated read's name: before the slash, without its last character, version cut to one digit.
+
+    The pattern is a fixed value.
+    """
     stem = F.substring_index(name, "/", 1)
     return F.regexp_replace(F.left(stem, F.greatest(F.length(stem) - 1, F.lit(0))), r"\.(\d)\d*(?:_.*)?", r".$1")
 

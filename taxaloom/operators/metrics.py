@@ -5,22 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .taxonomy import sized
+
+
+#: Ranges of score that the samples of a group are dealt to.
+RANGES = 64
+
 
 def _curve(scored: DataFrame, by: list[str], ties: str) -> DataFrame:
     """Cumulative true and false positives by descending score, within groups of ``by``.
 
-    ``ties='order'`` takes rows one at a time, ties in the order of ``pos``; ``'merged'`` takes equal scores as one step,
-    so what a window sorts is the distinct scores.
+    ``ties='order'`` takes rows one at a time, ties in the order of ``pos``; ``'merged'`` takes equal scores as one step.
+    Samples are dealt to ranges of score by approximate percentiles of their group, so windows run over a range and not
+    over a whole group; counts of the ranges above are added, in integers. Where the boundaries fall changes no result.
     """
+    scored = scored.withColumn("y", F.col("y").cast("bigint"))
+    inner = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    bounds = scored.groupBy(*by).agg(F.percentile_approx("score", inner).alias("bounds"), F.sum("y").alias("p"), F.count("*").alias("n"))
     if ties == "merged":
         steps = scored.groupBy(*by, "score").agg(F.sum("y").alias("tp1"), F.count("*").alias("n1"), F.min("pos").alias("pos"))
     else:
-        steps = scored.select(*by, "score", "pos", F.col("y").alias("tp1"), F.lit(1).alias("n1"))
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "pos")
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    out = steps.withColumns({"tp": F.sum("tp1").over(upto), "seen": F.sum("n1").over(upto), "p": F.sum("tp1").over(whole), "n": F.sum("n1").over(whole)})
+        steps = scored.select(*by, "score", "pos", F.col("y").alias("tp1"), F.lit(1).cast("bigint").alias("n1"))
+    bounds = sized(stored(bounds, "score-ranges"))
+    dealt = steps.join(bounds, by).withColumn("range", F.size(F.filter("bounds", lambda x: x > F.col("score")))).drop("bounds")
+    above = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*by, "range").agg(F.sum("tp1").alias("tps"), F.sum("n1").alias("ns"), F.count("*").alias("ks"))
+    before = sums.select(*by, "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("tps", "ns", "ks")))
+    order = Window.partitionBy(*by, "range").orderBy(F.desc("score"), "pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(sized(before), [*by, "range"])
+    out = out.withColumns({"tp": F.sum("tp1").over(upto) + F.col("tps"), "seen": F.sum("n1").over(upto) + F.col("ns"), "k": (F.row_number().over(order) + F.col("ks")).cast("int")})
     out = out.withColumn("fp", F.col("seen") - F.col("tp"))
-    return out.withColumns({"tp0": F.col("tp") - F.col("tp1"), "fp0": F.col("fp") - (F.col("n1") - F.col("tp1")), "k": F.row_number().over(order)})
+    return out.withColumns({"tp0": F.col("tp") - F.col("tp1"), "fp0": F.col("fp") - (F.col("n1") - F.col("tp1")), "seen0": F.col("seen") - F.col("n1")})
 
 
 def auroc(scored: DataFrame, by: list[str], ties: str = "order") -> DataFrame:
@@ -41,9 +58,10 @@ def pr_curve(scored: DataFrame, by: list[str], ties: str = "order") -> DataFrame
 
 def aupr(scored: DataFrame, by: list[str], ties: str = "order") -> DataFrame:
     """by..., aupr: trapezoids of precision over recall from the anchor (0, 1)."""
-    before = Window.partitionBy(*by).orderBy("k")
-    steps = pr_curve(scored, by, ties).withColumns({"r0": F.coalesce(F.lag("recall").over(before), F.lit(0.0)), "p0": F.coalesce(F.lag("prec").over(before), F.lit(1.0))})
-    return steps.groupBy(*by).agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("prec") + F.col("p0")) / 2).alias("aupr"))
+    p = F.greatest("p", F.lit(1))
+    last = F.when(F.col("seen0") == 0, F.lit(1.0)).otherwise(F.col("tp0") / F.col("seen0"))
+    area = F.sum((F.col("tp1") / p) * (F.col("tp") / F.col("seen") + last) / 2)
+    return _curve(scored, by, ties).groupBy(*by).agg(area.alias("aupr"))
 
 
 def confusion(scored: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
@@ -53,11 +71,11 @@ def confusion(scored: DataFrame, by: list[str], threshold: float = 0.5) -> DataF
 
 
 def rates(counts: DataFrame) -> DataFrame:
-    """Adds precision, recall, specificity, fpr (null without a denominator) and f1 (denominators of at least 1)."""
+    """Adds precision, recall, specificity, fpr, false_assignment (null without a denominator) and f1 (denominators of at least 1)."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counts.withColumns(
         {
-            "precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn), "specificity": F.try_divide(tn, tn + fp), "fpr": F.try_divide(fp, tn + fp),
+            "false_assignment": F.try_divide(fp, tp + fp), "precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn), "specificity": F.try_divide(tn, tn + fp), "fpr": F.try_divide(fp, tn + fp),
             "f1": F.lit(2) * tp / F.greatest(F.lit(2) * tp + fp + fn, F.lit(1)),
         }
     )
@@ -111,3 +129,30 @@ def masked_mean(loss: Column, valid: Column) -> Column:
 def lineage_penalty(parent: Column, child: Column, valid: Column) -> Column:
     """Aggregate: mean squared excess of a child rank's probability over its parent's, over valid pairs."""
     return masked_mean(F.pow(F.greatest(child - parent, F.lit(0.0)), F.lit(2.0)), valid)
+
+
+def lineage_focal(logits: Column, targets: Column, gamma: float = 2.0, alpha: float | None = 0.25, lambda_hier: float = 0.5, rank_weights: list[float] | None = None, mask: Column | None = None) -> Column:
+    """Aggregate over rows of seven logits and targets (arrays): focal loss of valid entries plus the lineage penalty.
+
+    Targets below 0 and masked entries count for nothing; a child above its parent is penalised where both are valid.
+    """
+    weights = F.array(*map(F.lit, rank_weights)) if rank_weights else F.array_repeat(F.lit(1.0), F.size(logits))
+    shown = mask if mask is not None else F.array_repeat(F.lit(1), F.size(logits))
+    cell = F.arrays_zip(logits.alias("x"), targets.alias("y"), weights.alias("w"), shown.alias("m"))
+    valid = lambda c: (c["y"] >= 0) & (c["m"] > 0)
+    prob = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+
+    def entry(c: Column) -> Column:
+        y = F.greatest(c["y"], F.lit(0)).cast("double")
+        right = F.when(y > 0.5, prob(c["x"])).otherwise(F.lit(1.0) - prob(c["x"]))
+        share = F.lit(1.0) if alpha is None else F.when(y > 0.5, F.lit(alpha)).otherwise(F.lit(1.0 - alpha))
+        return F.when(valid(c), share * F.pow(F.lit(1.0) - right, F.lit(gamma)) * bce_with_logits(c["x"], y) * c["w"]).otherwise(0.0)
+
+    def excess(parent: Column, child: Column) -> Column:
+        return F.when(valid(parent) & valid(child), F.pow(F.greatest(prob(child["x"]) - prob(parent["x"]), F.lit(0.0)), F.lit(2.0)))
+
+    added = lambda values: F.sum(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
+    counted = lambda values: F.greatest(F.sum(F.size(F.filter(values, lambda x: x.isNotNull()))), F.lit(1))
+    pairs = F.zip_with(F.slice(cell, F.lit(1), F.size(logits) - 1), F.slice(cell, F.lit(2), F.size(logits) - 1), excess)
+    n = F.greatest(F.sum(F.size(F.filter(cell, valid))), F.lit(1))
+    return added(F.transform(cell, entry)) / n + F.lit(lambda_hier) * added(pairs) / counted(pairs)

@@ -21,9 +21,9 @@ LEVELS = (
     ("1000000 + p", "CASE WHEN p DIV 4 % 7 = 3 THEN 3000000 + p DIV 16 ELSE 2000000 + p DIV 4 END", "CASE WHEN p % 13 = 5 THEN 'subspecies' ELSE 'species' END", "true"),
     ("2000000 + p DIV 4", "3000000 + p DIV 16", "'genus'", "p DIV 4 % 7 <> 3"),
     ("3000000 + p DIV 16", "CASE WHEN p DIV 64 % 5 = 1 THEN 5000000 + p DIV 256 ELSE 4000000 + p DIV 64 END", "'family'", "true"),
-    ("4000000 + p DIV 64", "5000000 + p DIV 256", "CASE WHEN p DIV 64 % 5 = 2 THEN 'suborder' ELSE 'order' END", "p DIV 64 % 5 <> 1"),
+    ("4000000 + p DIV 64", "5000000 + p DIV 256", "CASE WHEN p DIV 64 % 5 = 2 THEN 'suborder' WHEN p DIV 64 % 5 = 3 THEN 'clade' WHEN p DIV 64 % 5 = 4 THEN 'infrakingdom' ELSE 'order' END", "p DIV 64 % 5 <> 1"),
     ("5000000 + p DIV 256", "6000000 + p DIV 1024", "CASE WHEN p DIV 256 % 3 = 1 THEN 'superclass' ELSE 'class' END", "true"),
-    ("6000000 + p DIV 1024", "7000000 + p DIV 4096", "CASE WHEN p DIV 1024 % 4 = 1 THEN 'clade' ELSE 'phylum' END", "true"),
+    ("6000000 + p DIV 1024", "7000000 + p DIV 4096", "CASE WHEN p DIV 1024 % 4 = 1 THEN 'subkingdom' ELSE 'phylum' END", "true"),
     ("7000000 + p DIV 4096", "1", "CASE WHEN p DIV 4096 % 2 = 0 THEN 'domain' ELSE 'kingdom' END", "true"),
 )
 

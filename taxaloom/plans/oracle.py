@@ -13,7 +13,7 @@ def _d(text: str) -> str:
 _LEVELS = "\n    UNION ".join(
     f"SELECT CAST({_d(t)} AS BIGINT) AS taxid, CAST({_d(p)} AS BIGINT) AS parent, {_d(r)} AS rank FROM (SELECT p_partkey AS p FROM part) WHERE {_d(w)}" for t, p, r, w in E.LEVELS
 )
-_CANON_RANK = """CASE WHEN rank IN ('kingdom', 'superkingdom', 'domain') THEN 'superkingdom'
+_CANON_RANK = """CASE WHEN regexp_matches(rank, '^(super|sub|infra|parv)?(domain|superkingdom|kingdom)$') THEN 'superkingdom'
          ELSE nullif(regexp_extract(rank, '^(?:super|sub|infra|parv)?(phylum|class|order|family|genus|species|strain)$', 1), '') END"""
 _EXACT_RANK = f"CASE WHEN rank = 'kingdom' THEN 'superkingdom' WHEN rank IN ({', '.join(f"'{r}'" for r in RANKS)}) THEN rank END"
 _INDEX = "coalesce(list_position([" + ", ".join(f"'{r}'" for r in RANKS) + "], {}), 0) - 1"
@@ -124,7 +124,7 @@ steps AS (SELECT *, sum(y1) OVER w AS tp, sum(n1) OVER w AS seen, sum(y1) OVER (
 _X = "(score * 8 - 4)"
 _BCE = f"(greatest({_X}, 0.0) - {_X} * y + ln(1.0 + exp(-abs({_X}))))"
 _HASH = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
-_RATES = """CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END AS recall,
+_RATES = """CASE WHEN tp + fp > 0 THEN fp::DOUBLE / (tp + fp) END AS false_assignment, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END AS recall,
     CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) END AS specificity, CASE WHEN tn + fp > 0 THEN fp::DOUBLE / (tn + fp) END AS fpr, (2 * tp)::DOUBLE / greatest(2 * tp + fp + fn, 1) AS f1"""
 _ISO = """, points AS (SELECT head, round(score, 6) AS x, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM labelled WHERE y IN (0, 1) GROUP BY ALL),
 cum AS (SELECT head, x, row_number() OVER w AS k, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM points WINDOW w AS (PARTITION BY head ORDER BY x ROWS UNBOUNDED PRECEDING)),
@@ -132,6 +132,12 @@ ends AS (SELECT * FROM cum UNION ALL SELECT DISTINCT head, NULL, 0, 0.0, 0.0 FRO
 spans AS (SELECT a.head, a.k AS lo, b.k AS hi, (b.cs - a.cs) / (b.cn - a.cn) AS mean FROM ends a JOIN ends b ON a.head = b.head AND a.k < b.k),
 least_ AS (SELECT p.head, p.k, s.lo, min(s.mean) AS m FROM cum p JOIN spans s ON s.head = p.head AND s.lo < p.k AND s.hi >= p.k GROUP BY ALL),
 fitted AS (SELECT p.head, p.k, any_value(p.x) AS x, max(m) AS y FROM cum p JOIN least_ USING (head, k) GROUP BY ALL)"""
+_READS = """, climbed AS (SELECT taxid, taxid AS anc FROM nodes UNION SELECT c.taxid, n.parent FROM climbed c JOIN nodes n ON n.taxid = c.anc),
+truth2 AS (SELECT 1000000 + s_suppkey * 5 AS true_taxid, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'included/a' WHEN 1 THEN 'excluded/b' ELSE 'other' END AS path FROM supplier),
+told AS (SELECT r.id, classified, path, reported AS taxid, true_taxid, CASE WHEN classified = 'C' AND coalesce(reported IN (SELECT anc FROM climbed c WHERE c.taxid = true_taxid), false) THEN 'TP' WHEN classified = 'C' THEN 'FP'
+    WHEN path LIKE 'included%' THEN 'FN' WHEN path LIKE 'excluded%' THEN 'TN' ELSE 'OTHER' END AS outcome, CASE WHEN n.rank IN ('superkingdom', 'phylum', 'class', 'order', 'family', 'genus', 'species') THEN n.rank END AS call_rank,
+    round(p6, 9) AS prob_species
+    FROM reads r JOIN truth2 ON r.key % 40 = s_suppkey AND r.key % 10 <> 9 LEFT JOIN nodes n ON n.taxid = reported LEFT JOIN (SELECT DISTINCT id, taxon, p6 FROM scored) p ON p.id = r.id AND p.taxon = reported)"""
 _SEED = "md5('{}|' || shard)"
 
 ORACLE: dict[str, str] = {
@@ -165,7 +171,9 @@ ORACLE: dict[str, str] = {
         CASE p_partkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN -1 ELSE 3 END AS remapped
         FROM (SELECT p_partkey, CASE WHEN p_partkey // 16 % 5 = 2 THEN 3 WHEN p_partkey // 4 % 5 = 1 THEN 4 WHEN p_partkey % 5 = 0 THEN 5 ELSE 6 END AS cutoff FROM part)""",
     "q_bin_features": _with("").rstrip() + _FEATURES + "\nSELECT * FROM feats",
-    "q_feature_rows": _with("").rstrip() + _FEATURES + "\nSELECT id, taxon, count(*)::INTEGER AS n_bins, arg_min(exact, bin_no)::FLOAT::DOUBLE AS first_exact, 22 AS n_channels FROM feats GROUP BY ALL",
+    "q_feature_rows": _with("").rstrip() + _FEATURES + "\nSELECT id, taxon, count(*)::INTEGER AS n_bins, arg_min(exact, bin_no)::FLOAT::DOUBLE AS first_exact, 22 AS n_channels, md5(string_agg(" + " || ',' || ".join(
+        f"CAST(floor({c}::FLOAT::DOUBLE * 100000 + 0.25) AS BIGINT)" for c in ("exact", *(f"{r}_{x}" for r in RANKS for x in ("in", "out", "desc")))
+    ) + ", ',' ORDER BY bin_no)) AS digest FROM feats GROUP BY id, taxon",
     "q_pad_mask": _with("""SELECT id, len(own)::INTEGER AS length, array_to_string(list_concat(cut, list_transform(range(8 - len(cut)), lambda i: -1)), ',') AS padded,
         repeat('1', least(len(own), 8)) || repeat('0', greatest(8 - len(own), 0)) AS mask
         FROM (SELECT *, own[least(2, greatest(len(own) - 8, 0)) + 1 : least(2, greatest(len(own) - 8, 0)) + 8] AS cut FROM (SELECT id, list(DISTINCT bin ORDER BY bin) AS own FROM bins GROUP BY id))"""),
@@ -191,6 +199,22 @@ SELECT head, round(sum((recall - r0) * (prec + p0) / 2), 9) AS aupr FROM (SELECT
         SELECT head, t, count(*) FILTER (score > t / 100::DOUBLE AND y = 1) AS tp, count(*) FILTER (score > t / 100::DOUBLE AND y = 0) AS fp, count(*) FILTER (NOT score > t / 100::DOUBLE AND y = 1) AS fn
         FROM labelled, range(1, 100) r(t) GROUP BY head, t)) QUALIFY row_number() OVER (PARTITION BY head ORDER BY f1 DESC, t) = 1"""),
     "q_outcome_table": _chosen("sum_to_rank", final=_OUTCOME),
+    "q_cutoff_worlds": """SELECT p_partkey, world, CASE level WHEN 'species' THEN 'genus' WHEN 'genus' THEN 'family' WHEN 'family' THEN 'order' ELSE 'species' END AS cutoff,
+        CASE level WHEN 'species' THEN 5 WHEN 'genus' THEN 4 WHEN 'family' THEN 3 ELSE 6 END AS cutoff_index, level <> 'none' AS is_excluded, level FROM (
+        SELECT p_partkey, ['CORE', 'S', 'G', 'F', 'other'][p_partkey % 5 + 1] AS world, CASE WHEN p_partkey % 5 = 1 AND p_partkey % 3 = 0 THEN 'species'
+        WHEN p_partkey % 5 = 2 AND p_partkey % 2 = 0 THEN 'genus' WHEN p_partkey % 5 = 3 AND p_partkey % 7 <> 0 AND p_partkey % 4 = 0 THEN 'family' ELSE 'none' END AS level FROM part)""",
+    "q_labels_by_name": "SELECT p_partkey, " + " || ',' || ".join("-1" if k is None else f"(p_partkey * {k} % 3 - 1)" for k in (7, None, 6, 4, None, 3, 2)) + " AS mixed, "
+    + " || ',' || ".join(f"(p_partkey * {k} % 3 - 1)" for k in range(1, 8)) + " AS plain FROM part",
+    "q_read_evaluation": _with("").rstrip() + _READS + "\nSELECT id, classified, path, taxid, true_taxid, outcome, call_rank, prob_species FROM told",
+    "q_read_summary": _with("").rstrip() + _READS + f"""
+SELECT *, {_RATES} FROM (SELECT path, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn, count(*) FILTER (outcome = 'TN') AS tn FROM told GROUP BY path)""",
+    "q_lineage_focal": "WITH cells AS (SELECT p_size, p_partkey, k, (p_partkey * (k + 3) % 41) / 8.0::DOUBLE - 2.5::DOUBLE AS x, p_partkey * (k + 1) % 3 - 1 AS t, p_partkey % (k + 2) <> 0 AS m FROM part, range(7) r(k)), "
+    + ", ".join(f"""{name} AS (SELECT p_size, p_partkey, k, 1.0 / (1.0 + exp(-x)) AS q, {valid} AS v, CASE WHEN {valid} THEN
+        {share} * pow(1.0 - CASE WHEN t > 0 THEN 1.0 / (1.0 + exp(-x)) ELSE 1.0 - 1.0 / (1.0 + exp(-x)) END, {gamma}) * (greatest(x, 0.0) - x * greatest(t, 0) + ln(1.0 + exp(-abs(x)))) * {weight} ELSE 0.0 END AS f FROM cells),
+        {name}_f AS (SELECT p_size, sum(f) / greatest(count(*) FILTER (v), 1) AS loss FROM {name} GROUP BY p_size),
+        {name}_h AS (SELECT p_size, {hier} * coalesce(sum(pow(greatest(c.q - a.q, 0.0), 2.0)), 0.0) / greatest(count(*), 1) AS pen FROM {name} a JOIN {name} c USING (p_size, p_partkey) WHERE c.k = a.k + 1 AND a.v AND c.v GROUP BY p_size)"""
+        for name, valid, share, gamma, weight, hier in (("one", "t >= 0", "CASE WHEN t > 0 THEN 0.25 ELSE 0.75 END", "2.0", "1.0", "0.5"), ("two", "t >= 0 AND m", "1.0", "1.5", "[1.0, 1.0, 1.0, 2.0, 2.0, 3.0, 4.0][k + 1]::DOUBLE", "0.25")))
+    + " SELECT p_size, round(one_f.loss + coalesce(one_h.pen, 0.0), 9) AS plain, round(two_f.loss + coalesce(two_h.pen, 0.0), 9) AS full_loss FROM one_f JOIN two_f USING (p_size) LEFT JOIN one_h USING (p_size) LEFT JOIN two_h USING (p_size)",
     "q_focal": _with(f"""SELECT head, round(coalesce(sum({_BCE}) FILTER (pos % 7 <> 0), 0.0) / greatest(count(*) FILTER (pos % 7 <> 0), 1), 9) AS bce,
         round(coalesce(sum(pow(1.0 - exp(-{_BCE}), 2.0) * {_BCE}) FILTER (pos % 7 <> 0), 0.0) / greatest(count(*) FILTER (pos % 7 <> 0), 1), 9) AS focal FROM labelled GROUP BY head"""),
     "q_lineage_penalty": _with("""SELECT taxon, round(coalesce(sum(pow(greatest(p6 - p5, 0.0), 2)), 0.0) / greatest(count(*) FILTER (p5 IS NOT NULL AND p6 IS NOT NULL), 1), 9) AS penalty
@@ -210,6 +234,11 @@ WHERE before IS NULL OR after IS NULL OR round(y, 12) <> before OR round(y, 12)
         SELECT shard, row, row_number() OVER (PARTITION BY shard ORDER BY md5('668|' || shard || '|' || row), row) - 1 AS k FROM (SELECT (p_partkey % 20)::INTEGER AS shard, p_partkey // 20 AS row FROM part))
         WHERE k < 50) WHERE c = 4""",
     "q_batch_count": _with("SELECT CAST(sum(ceil(n / 64)) AS BIGINT) AS batches FROM shards"),
+    "q_batch_estimate": _with("""SELECT setting::INTEGER AS setting, CAST(CASE setting WHEN 0 THEN 8 * ceil(m / 64) WHEN 1 THEN c * floor(200 / 64.0) WHEN 2 THEN 8 * ceil(200 / 64.0) ELSE c * floor(m / 64) END AS BIGINT) AS batches
+        FROM (SELECT avg(n) AS m, count(*) AS c FROM shards), range(4) r(setting)"""),
+    "q_dtypes": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(
+        f"CASE WHEN v = 0 THEN 0.0 ELSE round_even(v / pow(2.0, greatest(floor(log2(v)), {low}) - {bits - 1}), 0) * pow(2.0, greatest(floor(log2(v)), {low}) - {bits - 1}) END AS {name}" for name, bits, low in (("half", 11, -14), ("brain", 8, -126))
+    ) + " FROM (SELECT *, (l_extendedprice::DOUBLE / (l_orderkey % 1000 + 1) / l_quantity::DOUBLE)::DOUBLE AS v FROM lineitem)",
     "q_split": f"SELECT p_partkey, CASE WHEN {_HASH.format("'667|' || p_partkey")} < {int(0.2 * (1 << 32))} THEN 'val' ELSE 'train' END AS split FROM part",
     "q_rank_stats": _with(f"SELECT CAST({_INDEX.format('canonical')} AS INTEGER) AS rank_index, count(*) AS n FROM cands LEFT JOIN named ON named.taxid = taxon GROUP BY ALL"),
     "q_rank_filter": _with("SELECT id, c.taxid, taxon FROM cands c JOIN named ON named.taxid = taxon WHERE canonical = 'species'"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..functions import tokens as T
-from ..operators import bins, calibration, candidates, features, metrics, sampling, scoring, selection, taxonomy, tensors
+from ..operators import bins, calibration, candidates, evaluation, features, metrics, sampling, scoring, selection, taxonomy, tensors
+from ..session import stored
 from . import emulation as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,10 @@ def _lineage(s: SparkSession, d: str) -> DataFrame:
     return taxonomy.lineage(_taxids(s, d), E.nodes(s, d), E.merged(s, d))
 
 
+def _canon(s: SparkSession, d: str) -> DataFrame:
+    return stored(taxonomy.canonical(_lineage(s, d), E.nodes(s, d)), "canonical")
+
+
 def _candidates(s: SparkSession, d: str) -> DataFrame:
     return candidates.candidates(_runs(s, d), _lineage(s, d).select("taxid"), E.merged(s, d))
 
@@ -189,7 +194,7 @@ def q_topk_training(s, d):
 
 @query
 def q_labels(s, d):
-    canon = taxonomy.canonical(_lineage(s, d), E.nodes(s, d))
+    canon = _canon(s, d)
     return candidates.labels(_pairs(s, d).select("id", "taxid", "taxon", "true_taxon"), canon)
 
 
@@ -207,13 +212,26 @@ def q_cutoff_targets(s, d):
     )
 
 
+@query
+def q_cutoff_worlds(s, d):
+    p = F.col("p_partkey")
+    world = F.element_at(F.array(*map(F.lit, ("CORE", "S", "G", "F", "other"))), (p % 5 + 1).cast("int"))
+    cut = R.cutoff_by_world(world, p % 3 == 0, p % 2 == 0, F.when(p % 7 != 0, p % 4 == 0))
+    return E.table(s, d, "part").select("p_partkey", world.alias("world"), cut.alias("c")).select("p_partkey", "world", "c.cutoff", F.col("c.index").alias("cutoff_index"), "c.is_excluded", "c.level")
+
+
+@query
+def q_labels_by_name(s, d):
+    labels = F.array(*((F.col("p_partkey") * k % 3 - 1).cast("int") for k in range(1, 9)))
+    by = lambda *names: F.array_join(R.labels_by_name(labels, list(names)).cast("array<string>"), ",")
+    return E.table(s, d, "part").select("p_partkey", by("strain", "species", "Genus", "suborder", "domain", "class", "superkingdom", "clade").alias("mixed"), by(*R.RANKS).alias("plain"))
+
+
 # Features and tensors --------------------------------------------------------------------------------------------------
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
-    nodes = E.nodes(s, d)
-    canon = taxonomy.canonical(_lineage(s, d), nodes)
-    return features.bin_features(_bins(s, d), _pairs(s, d).select("id", "taxid", "taxon"), canon, nodes)
+    return features.bin_features(stored(_bins(s, d), "bins"), stored(_pairs(s, d).select("id", "taxid", "taxon"), "pairs"), _canon(s, d), E.nodes(s, d))
 
 
 @query
@@ -225,7 +243,8 @@ def q_bin_features(s, d):
 def q_feature_rows(s, d):
     rows = features.feature_rows(_features(s, d))
     first = F.get(F.get("bins", F.lit(0)), F.lit(0)).cast("double")
-    return rows.select("id", "taxon", F.size("bins").alias("n_bins"), first.alias("first_exact"), F.size(F.get("bins", F.lit(0))).alias("n_channels"))
+    whole = F.transform(F.flatten("bins"), lambda x: F.floor(x.cast("double") * 100_000 + 0.25).cast("bigint").cast("string"))
+    return rows.select("id", "taxon", F.size("bins").alias("n_bins"), first.alias("first_exact"), F.size(F.get("bins", F.lit(0))).alias("n_channels"), F.md5(F.array_join(whole, ",").cast("binary")).alias("digest"))
 
 
 @query
@@ -337,6 +356,40 @@ def q_outcome_table(s, d):
     return metrics.outcomes(rows).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def _read_table(s: SparkSession, d: str) -> DataFrame:
+    number = F.expr("CAST(key % 40 AS STRING)")
+    names = E.reads(s, d).where("key % 10 <> 9").select("id", F.concat(F.lit("GCF_"), number, F.lit(".1x/1")).alias("name"))
+    fasta = F.expr("concat('a__b__', CAST(1000000 + s_suppkey * 5 AS STRING), '__GCF_', CAST(s_suppkey AS STRING), '.1')")
+    path = F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'included/a' WHEN 1 THEN 'excluded/b' ELSE 'other' END")
+    genomes = E.table(s, d, "supplier").select(F.lit(0).alias("tax_id"), fasta.alias("fasta"), path.alias("path"))
+    nodes = E.nodes(s, d)
+    mapped = evaluation.mapped_reads(names, genomes)
+    lines = taxonomy.paths(taxonomy.lineage(mapped.select(F.col("true_taxid").alias("taxid")).distinct(), nodes))
+    return evaluation.read_table(E.reads(s, d), mapped, _scored(s, d).dropDuplicates(["id", "taxon"]), lines, nodes)
+
+
+@query
+def q_read_evaluation(s, d):
+    table = _read_table(s, d)
+    return table.select("id", "classified", "path", "taxid", "true_taxid", "outcome", F.col("rank").alias("call_rank"), F.round("prob_species", 9).alias("prob_species"))
+
+
+@query
+def q_read_summary(s, d):
+    return metrics.rates(evaluation.summary(_read_table(s, d), ["path"]))
+
+
+@query
+def q_lineage_focal(s, d):
+    p = F.col("p_partkey")
+    logits = F.array(*((p * (k + 3) % 41) / 8.0 - 2.5 for k in range(7)))
+    targets = F.array(*((p * (k + 1) % 3 - 1).cast("int") for k in range(7)))
+    mask = F.array(*((p % (k + 2) != 0).cast("int") for k in range(7)))
+    plain = metrics.lineage_focal(logits, targets)
+    full = metrics.lineage_focal(logits, targets, 1.5, None, 0.25, [1.0, 1.0, 1.0, 2.0, 2.0, 3.0, 4.0], mask)
+    return E.table(s, d, "part").groupBy("p_size").agg(F.round(plain, 9).alias("plain"), F.round(full, 9).alias("full_loss"))
+
+
 @query
 def q_focal(s, d):
     x, y = F.col("score") * 8 - 4, F.col("y").cast("double")
@@ -371,7 +424,7 @@ def q_isotonic_apply(s, d):
 
 @query
 def q_head_scores(s, d):
-    canon = taxonomy.canonical(_lineage(s, d), E.nodes(s, d))
+    canon = _canon(s, d)
     labels = candidates.labels(_pairs(s, d).select("id", "taxid", "taxon", "true_taxon"), canon).dropDuplicates(["id", "taxon"])
     rows = _scored(s, d).dropDuplicates(["id", "taxon"]).drop("pos").join(labels, ["id", "taxon"])
     return calibration.collect_heads(list(R.RANKS), rows).groupBy("head").agg(F.count("*").alias("n"), F.count("score").alias("n_scored"), F.sum("y").cast("bigint").alias("positives"))
@@ -413,6 +466,20 @@ def q_batch_count(s, d):
     return sampling.batch_count(_shards(s, d), size=64).select(F.col("batches").cast("bigint").alias("batches"))
 
 
+@query
+def q_batch_estimate(s, d):
+    shards = _shards(s, d)
+    each = [sampling.batch_estimate(shards, 64, *a).withColumn("setting", F.lit(k)) for k, a in enumerate(((8, None, False), (None, 200, True), (8, 200, False), (None, None, True)))]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+@query
+def q_dtypes(s, d):
+    value = (F.col("l_extendedprice") / (F.col("l_orderkey") % 1000 + 1) / F.col("l_quantity")).cast("double")
+    rows = E.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value.alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tensors.to_dtype(F.col("v"), "float16").cast("double").alias("half"), tensors.to_dtype(F.col("v"), "bfloat16").cast("double").alias("brain"))
+
+
 @query
 def q_split(s, d):
     return sampling.split(E.table(s, d, "part").select("p_partkey"), 0.2, 667, "p_partkey")

@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import RANKS
+from ..operators.tensors import resample_channels, to_dtype
 
+# The columns of refined calls in their order.
 CALL_COLUMNS = (
     "classified", "sequence_id", "reported_taxonomy", "length", "reported_taxid", "refined_taxid", "refined_taxonomy", "chosen_rank", "chosen_prob_at_rank", *(f"prob_{r}" for r in RANKS),
 )
 
 
-def write_shards(rows: DataFrame, path: str, shard_size: int = 4096, dtype: str = "float32") -> None:
-    """Feature rows with 22 channels as Parquet files of at most ``shard_size`` rows; other rows are left out."""
-    good = rows.where(F.forall("bins", lambda b: F.size(b) == 22) & (F.size("bins") > 0))
-    good.withColumn("dtype", F.lit(dtype)).write.mode("overwrite").option("maxRecordsPerFile", shard_size).parquet(path)
+def write_shards(rows: DataFrame, path: str, shard_size: int = 4096, dtype: str = "float32", target_length: int = 0) -> None:
+    """Feature rows with 22 channels as Parquet files of at most ``shard_size`` rows; other rows are left out.
+
+    With a ``target_length`` every channel is resampled to as many bins. Values are rounded to what ``dtype`` holds and
+    stored as floats; ``length`` keeps the bins of the read.
+    """
+    good = rows.where(F.forall("bins", lambda b: F.size(b) == 22) & (F.size("bins") > 0)).withColumn("length", F.size("bins"))
+    bins = F.transform("bins", lambda b: F.transform(b, lambda x: to_dtype(x, dtype)))
+    good.withColumn("bins", resample_channels(F.col("bins"), target_length)).withColumn("bins", bins).write.mode("overwrite").option("maxRecordsPerFile", shard_size).parquet(path)
 
 
 def write_manifest(spark, path: str, outputs: list[str], rows: int, files: int, **settings: object) -> None:
@@ -49,7 +57,29 @@ def store_taxonomy(nodes: DataFrame, merged: DataFrame, folder: str, update: boo
     merged.write.mode(mode).parquet(f"{folder}/merged")
 
 
-def compact(spark, source: str, target: str, files: int) -> None:
-    """Rewrite a folder of parts as ``files`` zstd files under the schema of the parts; differing schemas are an error."""
-    parts = spark.read.option("mergeSchema", True).parquet(source)
-    parts.repartition(files).write.mode("overwrite").option("compression", "zstd").parquet(target)
+def compact(spark, source: str, target: str, files: int, cleanup: bool = False) -> int:
+    """Rewrite a folder of Parquet parts as ``files`` zstd files under the schema of the first part; returns the rows.
+
+    No parts are a FileNotFoundError, a part that can't be read under that schema a TypeError. ``cleanup`` removes the parts.
+    """
+    try:
+        parts = sorted(spark.read.parquet(source).inputFiles())
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER" in str(error):
+            raise FileNotFoundError(f"no Parquet parts in {source}") from error
+        raise
+    if not parts:
+        raise FileNotFoundError(f"no Parquet parts in {source}")
+    schema = spark.read.parquet(parts[0]).schema
+    try:
+        spark.read.schema(schema).parquet(*parts).coalesce(files).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    except Exception as error:
+        if "PARQUET_COLUMN_DATA_TYPE_MISMATCH" in str(error) or "cannot be converted" in str(error) or "SchemaColumnConvertNotSupported" in str(error):
+            raise TypeError(f"a part of {source} doesn't fit the schema of {parts[0]}") from error
+        raise
+    rows = spark.read.parquet(target).count()
+    if cleanup:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for part in parts:
+            path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(part), False)
+    return rows

@@ -42,7 +42,7 @@ def test_taxid(spark, text, want):
 
 @pytest.mark.parametrize(
     ("rank", "want"),
-    [("kingdom", "superkingdom"), ("Domain", "superkingdom"), ("suborder", "order"), ("superclass", "class"), ("strain", "strain"), ("clade", None), ("no rank", None), (None, None), ("subspecies", "species")],
+    [("kingdom", "superkingdom"), ("Domain", "superkingdom"), ("suborder", "order"), ("superclass", "class"), ("strain", "strain"), ("clade", None), ("no rank", None), (None, None), ("subspecies", "species"), ("subkingdom", "superkingdom"), ("infrakingdom", "superkingdom"), ("superkingdom", "superkingdom"), ("subdomain", "superkingdom")],
 )
 def test_canonical_rank(spark, rank, want):
     assert spark.createDataFrame([(rank,)], "r string").select(ranks.canonical_rank(F.col("r"))).first()[0] == want
@@ -157,6 +157,56 @@ def test_losses(spark):
     assert perfect < 1e-4 and hidden == 0
 
 
+def test_lineage_focal_is_the_loop(spark):
+    draw = random.Random(3)
+    rows = [([draw.uniform(-3, 3) for _ in range(7)], [draw.choice([-1, 0, 1]) for _ in range(7)]) for _ in range(40)]
+    got = spark.createDataFrame(rows, "x array<double>, y array<int>").agg(metrics.lineage_focal(F.col("x"), F.col("y"))).first()[0]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    loss = [(0.25 if y else 0.75) * (1 - (sig(x) if y else 1 - sig(x))) ** 2 * -math.log(sig(x) if y else 1 - sig(x)) for xs, ys in rows for x, y in zip(xs, ys, strict=True) if y >= 0]
+    pen = [max(0, sig(xs[k + 1]) - sig(xs[k])) ** 2 for xs, ys in rows for k in range(6) if min(ys[k], ys[k + 1]) >= 0]
+    assert math.isclose(got, sum(loss) / len(loss) + 0.5 * sum(pen) / len(pen), rel_tol=1e-9)
+    assert spark.createDataFrame([([1.0] * 7, [-1] * 7)], "x array<double>, y array<int>").agg(metrics.lineage_focal(F.col("x"), F.col("y"))).first()[0] == 0
+
+
+@pytest.mark.parametrize("ranges", [2, 64])
+def test_curves_over_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(metrics, "RANGES", ranges)
+    draw = random.Random(4)
+    rows = [(h, draw.choice([0.1, 0.5, draw.random()]), draw.randint(0, 1), k) for h in "ab" for k in range(150)]
+    frame = spark.createDataFrame([*rows, ("c", 0.5, 1, 0)], "head string, score double, y int, pos long")
+    got = {r["head"]: r["auroc"] for r in metrics.auroc(frame, ["head"], ties="merged").collect()}
+    areas = {r["head"]: r["aupr"] for r in metrics.aupr(frame, ["head"]).collect()}
+    for h in "ab":
+        pos, neg = ([s for g, s, y, _ in rows if g == h and y == v] for v in (1, 0))
+        assert math.isclose(got[h], sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)))
+        area, last, tp = 0.0, (0.0, 1.0), 0
+        for k, (_, _, y, _) in enumerate(sorted((r for r in rows if r[0] == h), key=lambda r: (-r[1], r[3])), 1):
+            tp += y
+            now = (tp / len(pos), tp / k)
+            area, last = area + (now[0] - last[0]) * (now[1] + last[1]) / 2, now
+        assert math.isclose(areas[h], area)
+    assert got["c"] == 0.5 and areas["c"] == 1
+
+
+def test_short_floats(spark):
+    values = [0.0, 1.0, 1 / 3, 0.1, -2.7, 65504.0, 65519.0, 70000.0, 6e-8, 5e-5, 2**-14, 1e30, 1023.5, 2049.0, 2051.0]
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    half = [r[0] for r in frame.select(tensors.to_dtype(F.col("v"), "fp16")).collect()]
+    assert half == [float(np.float16(v)) for v in values]
+    brain = [r[0] for r in frame.select(tensors.to_dtype(F.col("v"), "bf16")).collect()]
+    bits = np.array(values, np.float32).view(np.uint32).astype(np.uint64)
+    want = (((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16) << 16).astype(np.uint32).view(np.float32)
+    assert brain == want.astype(float).tolist()
+
+
+def test_masked_bins(spark):
+    frame = spark.createDataFrame([(k, [[1.0, 2.0]] * 50) for k in range(40)], "id long, bins array<array<float>>")
+    got = [r[0] for r in frame.select(sampling.mask_bins(F.col("bins"), 1, F.col("id"), 0.2)).collect()]
+    gone = sum(b == [0, 0] for row in got for b in row)
+    assert 300 < gone < 500 and all(b in ([0, 0], [1, 2]) for row in got for b in row)
+    assert got == [r[0] for r in frame.select(sampling.mask_bins(F.col("bins"), 1, F.col("id"), 0.2)).collect()]
+
+
 def test_tensor_shapes(spark):
     got = spark.range(1).select(
         tensors.resample(F.array(*map(F.lit, [0.0, 1.0, 4.0])), 5).alias("a"), tensors.resample(F.array(F.lit(2.0)), 3).alias("b"),
@@ -174,6 +224,9 @@ def test_batches(spark):
     shards = spark.createDataFrame([(0, 3), (1, 2)], "shard int, n long")
     assert [tuple(r) for r in sampling.offsets(shards).orderBy("shard").collect()] == [(0, 3, 0), (1, 2, 3)]
     assert sorted(tuple(r) for r in sampling.locate(spark.createDataFrame([(2,), (3,)], "i long"), sampling.offsets(shards)).collect()) == [(2, 0, 2), (3, 1, 0)]
+    uneven = spark.createDataFrame([(9_999, 7), (10_000, 0), (10_001, 1), (25_000, 12)], "shard int, n long")
+    assert [r["first"] for r in sampling.offsets(uneven).orderBy("shard").collect()] == [0, 7, 7, 8]
+    assert [tuple(r)[1:] for r in sampling.locate(spark.range(20).toDF("i"), sampling.offsets(uneven)).orderBy("i").collect()] == [*((9_999, k) for k in range(7)), (10_001, 0), *((25_000, k) for k in range(12))]
     many = spark.createDataFrame([(k, 1) for k in range(30)], "shard int, n long")
     turns = lambda epoch: [r["shard"] for r in sampling.epoch_shards(many, 1, epoch).orderBy("turn").collect()]
     assert turns(1) == turns(1) != turns(2)
@@ -197,6 +250,11 @@ def test_network(spark):
     one, w = np.zeros((1, 1, 4), np.float32), np.array([[[1, 2, 3]]], np.float32)
     one[0, 0] = [1, 0, 2, 0]
     assert scoring.conv1d(one, w).tolist() == [[[2, 7, 4, 2 * 1]]] or scoring.conv1d(one, w)[0, 0].tolist() == [2.0, 7.0, 4.0, 2.0]
+    for padding in (1, 2):  # plain convolution, one output at a time
+        v, k = np.random.default_rng(5).random((2, 3, 9), np.float32), np.random.default_rng(6).random((4, 3, 2 * padding + 1), np.float32)
+        edge = np.pad(v, ((0, 0), (0, 0), (padding, padding)))
+        want = [[[float((edge[b, :, t : t + 2 * padding + 1] * k[o]).sum()) for t in range(9)] for o in range(4)] for b in range(2)]
+        assert np.allclose(scoring.conv1d(v, k), want, rtol=1e-5)
     rows = spark.createDataFrame([("a", 1, x[0].T.tolist()), ("b", 2, x[1].T[:3].tolist()), ("c", 3, [])], "id string, taxon long, bins array<array<float>>")
     got = {r["id"]: r for r in scoring.score(rows, weights).collect()}
     alone = {r["id"]: r for r in scoring.score(rows.where("id = 'b'"), weights).collect()}

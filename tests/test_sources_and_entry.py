@@ -62,8 +62,22 @@ def test_shards_and_manifest(spark, folder):
     (folder / "none.json").write_text(json.dumps({"outputs": []}))
     with pytest.raises(ValueError):
         readers.shards(spark, str(folder / "none.json"))
-    sinks.compact(spark, str(folder / "shards"), str(folder / "one"), 1)
-    assert spark.read.parquet(str(folder / "one")).count() == 5
+    assert sinks.compact(spark, str(folder / "shards"), str(folder / "one"), 1) == 5
+    assert len(spark.read.parquet(str(folder / "one")).inputFiles()) == 1
+    with pytest.raises(FileNotFoundError):
+        sinks.compact(spark, str(folder / "nothing"), str(folder / "one"), 1)
+    spark.createDataFrame([("a", "b")], "id string, taxon string").coalesce(1).write.mode("append").parquet(str(folder / "one"))
+    with pytest.raises(TypeError):
+        sinks.compact(spark, str(folder / "one"), str(folder / "two"), 1)
+    assert sinks.compact(spark, str(folder / "shards"), str(folder / "three"), 1, cleanup=True) == 5
+    assert not list((folder / "shards").glob("*.parquet"))
+
+
+def test_shards_of_a_length_and_type(spark, folder):
+    rows = spark.createDataFrame([("r", 1, [[k / 3] * 22 for k in range(4)])], "id string, taxon long, bins array<array<float>>")
+    sinks.write_shards(rows, str(folder / "short"), dtype="bfloat16", target_length=7)
+    got = readers.shards(spark, str(folder / "short")).first()
+    assert got["length"] == 4 and len(got["bins"]) == 7 and [b[0] for b in got["bins"][::3]] == [0.0, 0.5, 1.0] and got["bins"][2][0] == 0.333984375
 
 
 def test_stream(spark, folder):
@@ -90,6 +104,27 @@ def test_commands(spark, folder):
     assert cli.main(["filter", str(folder / "nowhere"), str(folder / "reads.tsv"), calls, db], spark) == 1
 
 
+def test_ten_reads_make_136_rows(spark, folder):
+    """Ten reads with so many taxa and bins each, from table to feature shards."""
+    taxa, sizes = [2, 7, 49, 2, 4, 7, 2, 15, 39, 9], [10, 15, 9, 9, 10, 10, 9, 12, 16, 13]
+    dump = [("nodes.dmp", "".join(f"{t}\t|\t50\t|\tspecies\t|\n" for t in range(1000, 1050))), ("names.dmp", ""), ("merged.dmp", "")]
+    for name, text in dump:
+        (folder / "dump" / name).write_text(DUMPS[name] + text)
+    lines = []
+    for k, (n, bins) in enumerate(zip(taxa, sizes, strict=True), 1):
+        each = (1000 * (bins - 1) + 500) // n
+        lines.append(f"C\tm{k}\tx (taxid 1000)\t{1000 * bins}\t" + " A:35 ".join(f"{1000 + j}:{each}" for j in range(n)) + f" 0:{1000 * (bins - 1) + 500 - each * n}\n")
+    (folder / "ten.tsv").write_text("".join(lines))
+    db, out = str(folder / "db"), str(folder / "shards")
+    assert cli.main(["setup", db, "--dump", str(folder / "dump")], spark) == 0 and cli.main(["extract", str(folder / "ten.tsv"), out, db], spark) == 0
+    rows = readers.shards(spark, out)
+    assert rows.count() == 136 == sum(taxa)
+    got = {r["id"]: (r["n"], r["bins"]) for r in rows.groupBy("id").agg(F.count("*").alias("n"), F.max(F.size("bins")).alias("bins")).collect()}
+    assert got == {f"m{k}": (n, b) for k, (n, b) in enumerate(zip(taxa, sizes, strict=True), 1)}
+    spec = readers.manifest(spark, out + ".manifest")
+    assert spec["counts"]["approx_rows"] == 136 and spec["channels"] == 22
+
+
 def test_queries_have_oracles():
     sys.path.insert(0, str(ROOT))
     import __spark_entry__ as entry
@@ -101,7 +136,7 @@ def test_queries_have_oracles():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["q_bins", "q_select_best", "q_labels", "q_best_f1", "q_isotonic"])
+@pytest.mark.parametrize("name", ["q_bins", "q_select_best", "q_labels", "q_best_f1", "q_isotonic", "q_read_evaluation", "q_lineage_focal", "q_dtypes", "q_aupr"])
 def test_query_equals_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from taxaloom.plans.oracle import ORACLE
