@@ -20,7 +20,9 @@ QUERIES: dict[str, Query] = {}
 
 def query(f: Query) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        _lineage.cache_clear()  # the closure is shared within a query, not beyond it
+        SHARED.clear()  # what is shared is so within a query, not beyond it
+        for shared in (_lineage, _canon):
+            shared.cache_clear()
         return f(s, d)
 
     QUERIES[f.__name__] = run
@@ -30,12 +32,30 @@ def query(f: Query) -> Query:
 # Building blocks -------------------------------------------------------------------------------------------------------
 
 
+#: Tables that a query which uses them more than once has written down.
+SHARED: dict[str, DataFrame] = {}
+
+
+def _share(s: SparkSession, d: str) -> None:
+    """From here on reads and the tree are read from a table, and not made anew at every use."""
+    SHARED.setdefault("reads", stored(E.reads(s, d), "reads"))
+    SHARED.setdefault("nodes", stored(E.nodes(s, d), "nodes"))
+
+
+def _reads(s: SparkSession, d: str) -> DataFrame:
+    return SHARED["reads"] if "reads" in SHARED else E.reads(s, d)
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return SHARED["nodes"] if "nodes" in SHARED else E.nodes(s, d)
+
+
 def _classified(s: SparkSession, d: str) -> DataFrame:
-    return E.reads(s, d).where("classified = 'C' and kmers is not null and kmers <> ''")
+    return _reads(s, d).where("classified = 'C' and kmers is not null and kmers <> ''")
 
 
 def _runs(s: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return bins.runs(E.reads(s, d) if every else _classified(s, d))
+    return bins.runs(_reads(s, d) if every else _classified(s, d))
 
 
 def _bins(s: SparkSession, d: str) -> DataFrame:
@@ -45,16 +65,17 @@ def _bins(s: SparkSession, d: str) -> DataFrame:
 def _taxids(s: SparkSession, d: str) -> DataFrame:
     """All ids of tokens (of unclassified reads too), their successors, and the reported ones."""
     own = _runs(s, d, every=True).where("taxid <> 0").select("taxid")
-    return own.union(E.merged(s, d).select("new")).union(E.reads(s, d).select(T.taxid_of(F.col("taxonomy")))).toDF("taxid").distinct()
+    return own.union(E.merged(s, d).select("new")).union(_reads(s, d).select(T.taxid_of(F.col("taxonomy")))).toDF("taxid").distinct()
 
 
 @lru_cache(maxsize=1)
 def _lineage(s: SparkSession, d: str) -> DataFrame:
-    return taxonomy.lineage(_taxids(s, d), E.nodes(s, d), E.merged(s, d))
+    return taxonomy.lineage(_taxids(s, d), _nodes(s, d), E.merged(s, d))
 
 
+@lru_cache(maxsize=1)
 def _canon(s: SparkSession, d: str) -> DataFrame:
-    return stored(taxonomy.canonical(_lineage(s, d), E.nodes(s, d)), "canonical")
+    return stored(taxonomy.canonical(_lineage(s, d), _nodes(s, d)), "canonical")
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
@@ -89,7 +110,7 @@ def q_scan_classified(s, d):
 @query
 def q_parse_kmers(s, d):
     kept = T.parse_kmers(F.col("kmers"))
-    return E.reads(s, d).select("id", F.size(kept).alias("n_tokens"), F.array_join(kept, ";").alias("tokens"))
+    return _reads(s, d).select("id", F.size(kept).alias("n_tokens"), F.array_join(kept, ";").alias("tokens"))
 
 
 @query
@@ -110,13 +131,13 @@ def q_distinct_taxa(s, d):
 @query
 def q_taxid_parse(s, d):
     text = F.col("taxonomy")
-    ids = E.reads(s, d).select("id", T.taxid_of(text).alias("taxid"), T.reported_taxid(text).alias("reported"))
+    ids = _reads(s, d).select("id", T.taxid_of(text).alias("taxid"), T.reported_taxid(text).alias("reported"))
     return taxonomy.normalize(ids, "taxid", E.merged(s, d)).select("id", "taxid", "reported")
 
 
 @query
 def q_true_taxon(s, d):
-    return E.reads(s, d).select("id", T.taxid_of(T.true_taxon_text(F.col("header"), F.col("taxonomy"))).alias("true_taxon"))
+    return _reads(s, d).select("id", T.taxid_of(T.true_taxon_text(F.col("header"), F.col("taxonomy"))).alias("true_taxon"))
 
 
 @query
@@ -155,17 +176,17 @@ def q_lineage(s, d):
 
 @query
 def q_canonical(s, d):
-    return taxonomy.canonical(_lineage(s, d), E.nodes(s, d)).withColumnsRenamed({r: f"c_{r}" for r in R.RANKS})
+    return taxonomy.canonical(_lineage(s, d), _nodes(s, d)).withColumnsRenamed({r: f"c_{r}" for r in R.RANKS})
 
 
 @query
 def q_output_ranks(s, d):
-    return taxonomy.output_ancestors(_lineage(s, d), E.nodes(s, d)).withColumnsRenamed({r: f"o_{r}" for r in R.RANKS})
+    return taxonomy.output_ancestors(_lineage(s, d), _nodes(s, d)).withColumnsRenamed({r: f"o_{r}" for r in R.RANKS})
 
 
 @query
 def q_descendants(s, d):
-    nodes = E.nodes(s, d)
+    nodes = _nodes(s, d)
     lineages = taxonomy.lineage(nodes.select("taxid"), nodes)
     every = taxonomy.descendants(lineages, nodes, leaves_only=False).groupBy("taxid").agg(F.count("*").alias("n_all"))
     leaves = taxonomy.descendants(lineages, nodes).groupBy("taxid").agg(F.count("*").alias("n_leaves"))
@@ -175,7 +196,7 @@ def q_descendants(s, d):
 @query
 def q_rank_canon(s, d):
     rank = R.canonical_rank(F.col("rank"))
-    return E.nodes(s, d).select("taxid", "rank", "name", rank.alias("canonical"), R.exact_rank(F.col("rank")).alias("exact"), R.rank_index(rank).alias("rank_index"))
+    return _nodes(s, d).select("taxid", "rank", "name", rank.alias("canonical"), R.exact_rank(F.col("rank")).alias("exact"), R.rank_index(rank).alias("rank_index"))
 
 
 # Candidates and labels -------------------------------------------------------------------------------------------------
@@ -188,12 +209,13 @@ def q_candidates(s, d):
 
 @query
 def q_topk_training(s, d):
-    reported = E.reads(s, d).select("id", T.taxid_of(F.col("taxonomy")).alias("taxid"))
+    reported = _reads(s, d).select("id", T.taxid_of(F.col("taxonomy")).alias("taxid"))
     return candidates.training_candidates(candidates.ranked(_runs(s, d)), reported, top=1, extra=1).select("id", "taxid", "pos", "why")
 
 
 @query
 def q_labels(s, d):
+    _share(s, d)
     canon = _canon(s, d)
     return candidates.labels(_pairs(s, d).select("id", "taxid", "taxon", "true_taxon"), canon)
 
@@ -231,7 +253,8 @@ def q_labels_by_name(s, d):
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
-    return features.bin_features(stored(_bins(s, d), "bins"), stored(_pairs(s, d).select("id", "taxid", "taxon"), "pairs"), _canon(s, d), E.nodes(s, d))
+    _share(s, d)
+    return features.bin_features(stored(_bins(s, d), "bins"), stored(_pairs(s, d).select("id", "taxid", "taxon"), "pairs"), _canon(s, d), _nodes(s, d))
 
 
 @query
@@ -303,10 +326,11 @@ def q_select_strict(s, d):
 
 @query
 def q_refined_calls(s, d):
-    nodes = E.nodes(s, d)
+    _share(s, d)
+    nodes = _nodes(s, d)
     calls = selection.back_off(selection.select_calls(_scored(s, d)), taxonomy.output_ancestors(_lineage(s, d), nodes))
     calls = calls.select(F.col("id").alias("call_id"), "taxon", "chosen_rank", "chosen_prob", "final_taxid", *(f"prob_{r}" for r in R.RANKS))
-    reads = E.reads(s, d).select("id", "classified", "taxonomy", "length", T.reported_taxid(F.col("taxonomy")).alias("reported_taxid"))
+    reads = _reads(s, d).select("id", "classified", "taxonomy", "length", T.reported_taxid(F.col("taxonomy")).alias("reported_taxid"))
     names = nodes.select(F.col("taxid").alias("final_taxid"), F.col("name").alias("final_name"))
     full = reads.join(calls, reads["id"] == calls["call_id"], "full_outer").join(taxonomy.sized(names), "final_taxid", "left")
     shown = (F.when(F.col(f"prob_{r}").isNotNull(), F.format_string("%.6f", f"prob_{r}")).alias(f"prob_{r}") for r in R.RANKS)
@@ -348,8 +372,9 @@ def q_best_f1(s, d):
 
 @query
 def q_outcome_table(s, d):
+    _share(s, d)
     path = F.when(F.col("key") % 3 == 0, "included/a").when(F.col("key") % 3 == 1, "excluded/b").otherwise("other")
-    truth = E.reads(s, d).select("id", "classified", path.alias("path"), T.taxid_of(T.true_taxon_text(F.col("header"), F.col("taxonomy"))).alias("truth"))
+    truth = _reads(s, d).select("id", "classified", path.alias("path"), T.taxid_of(T.true_taxon_text(F.col("header"), F.col("taxonomy"))).alias("truth"))
     lines = taxonomy.paths(_lineage(s, d)).select(F.col("taxid").alias("truth"), F.col("path").alias("truth_path"))
     calls = _selected(s, d, "sum_to_rank").select("id", F.col("taxon").alias("taxid"))
     rows = truth.join(calls, "id").join(taxonomy.sized(lines), "truth", "left")
@@ -357,15 +382,16 @@ def q_outcome_table(s, d):
 
 
 def _read_table(s: SparkSession, d: str) -> DataFrame:
+    _share(s, d)
     number = F.expr("CAST(key % 40 AS STRING)")
-    names = E.reads(s, d).where("key % 10 <> 9").select("id", F.concat(F.lit("GCF_"), number, F.lit(".1x/1")).alias("name"))
+    names = _reads(s, d).where("key % 10 <> 9").select("id", F.concat(F.lit("GCF_"), number, F.lit(".1x/1")).alias("name"))
     fasta = F.expr("concat('a__b__', CAST(1000000 + s_suppkey * 5 AS STRING), '__GCF_', CAST(s_suppkey AS STRING), '.1')")
     path = F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'included/a' WHEN 1 THEN 'excluded/b' ELSE 'other' END")
     genomes = E.table(s, d, "supplier").select(F.lit(0).alias("tax_id"), fasta.alias("fasta"), path.alias("path"))
-    nodes = E.nodes(s, d)
+    nodes = _nodes(s, d)
     mapped = evaluation.mapped_reads(names, genomes)
     lines = taxonomy.paths(taxonomy.lineage(mapped.select(F.col("true_taxid").alias("taxid")).distinct(), nodes))
-    return evaluation.read_table(E.reads(s, d), mapped, _scored(s, d).dropDuplicates(["id", "taxon"]), lines, nodes)
+    return evaluation.read_table(_reads(s, d), mapped, _scored(s, d).dropDuplicates(["id", "taxon"]), lines, nodes)
 
 
 @query
@@ -424,6 +450,7 @@ def q_isotonic_apply(s, d):
 
 @query
 def q_head_scores(s, d):
+    _share(s, d)
     canon = _canon(s, d)
     labels = candidates.labels(_pairs(s, d).select("id", "taxid", "taxon", "true_taxon"), canon).dropDuplicates(["id", "taxon"])
     rows = _scored(s, d).dropDuplicates(["id", "taxon"]).drop("pos").join(labels, ["id", "taxon"])
@@ -487,14 +514,14 @@ def q_split(s, d):
 
 @query
 def q_rank_stats(s, d):
-    nodes = E.nodes(s, d).select("taxid", R.rank_index(R.canonical_rank(F.col("rank"))).alias("rank_index"))
+    nodes = _nodes(s, d).select("taxid", R.rank_index(R.canonical_rank(F.col("rank"))).alias("rank_index"))
     rows = _candidates(s, d).join(taxonomy.sized(nodes.withColumnRenamed("taxid", "taxon")), "taxon", "left")
     return sampling.rank_stats(rows)
 
 
 @query
 def q_rank_filter(s, d):
-    nodes = E.nodes(s, d).select(F.col("taxid").alias("taxon"), R.rank_index(R.canonical_rank(F.col("rank"))).alias("rank_index"))
+    nodes = _nodes(s, d).select(F.col("taxid").alias("taxon"), R.rank_index(R.canonical_rank(F.col("rank"))).alias("rank_index"))
     return _candidates(s, d).join(taxonomy.sized(nodes), "taxon").where(F.col("rank_index") == R.RANKS.index("species")).select("id", "taxid", "taxon")
 
 
