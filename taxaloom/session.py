@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,13 +26,20 @@ def local_session(cores: str | int = "*", app: str = "taxaloom", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where it is unset) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one (only where it is unset and all runs in one process).
+
+    The local folder goes at the end of the process; what is in the shared one is the cluster's to clean.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = getattr(spark, "_taxaloom_dir", None)
         if where is None:
-            where = "file://" + tempfile.mkdtemp(prefix="taxaloom-")
-            spark._taxaloom_dir = where
+            folder = tempfile.mkdtemp(prefix="taxaloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            where = spark._taxaloom_dir = f"file://{folder}"
     return where.rstrip("/")
 
 

@@ -244,6 +244,18 @@ def test_pava_is_the_minmax_formula(points):
     assert np.allclose(np.interp(xs, x, y), want)
 
 
+@pytest.mark.parametrize("ranges", [2, 64])
+def test_isotonic_fit_over_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(calibration, "RANGES", ranges)
+    draw = random.Random(8)
+    rows = [("h", draw.choice([draw.random(), 0.25, 0.25 + 1e-9]), draw.randint(0, 1)) for _ in range(400)]
+    got = sorted((r["x"], r["y"]) for r in calibration.fit(spark.createDataFrame([*rows, ("i", 0.5, 1), ("i", None, 0)], "head string, score double, y int")).where("head = 'h'").collect())
+    xs = sorted({x for _, x, _ in rows})
+    n = np.array([sum(x == k for _, x, _ in rows) for k in xs], float)
+    x, y = calibration.pava(np.array(xs), np.array([sum(y for _, x, y in rows if x == k) for k in xs]) / n, n)
+    assert len(got) == len(x) and np.allclose(np.array(got), np.stack([x, y], axis=1), rtol=0, atol=1e-12)
+
+
 def test_network(spark):
     weights = scoring.random_weights(1)
     x = np.random.default_rng(0).random((2, 22, 6), np.float32)
