@@ -133,15 +133,25 @@ def crc32_joined(first: int, second: int, length: int) -> int:
 
 
 def _read_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    held: list[tuple] = []
+
+    def decoded(blocks: list[tuple]) -> pd.DataFrame:
         rows = []
-        for part, at, docs, ids in zip(pdf["part"], pdf["at"], pdf["docs"], mixcoder.decode_blocks(list(pdf["payload"])), strict=True):
+        for (part, at, docs, _), ids in zip(blocks, mixcoder.decode_blocks([x[3] for x in blocks]), strict=True):
             k = 0
             for d in docs:
                 n = int(d["n"])
                 rows.append((part, d["doc"], d["doc_id"], d["piece"], bool(d["pieces_end"]), int(at) + k, n, zlib.crc32(ids[k : k + n].tobytes())))
                 k += n
-        yield pd.DataFrame(rows, columns=["part", "doc", "doc_id", "piece", "last", "at", "n", "crc"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["part", "doc", "doc_id", "piece", "last", "at", "n", "crc"]).astype({"doc_id": "Int64"})
+
+    for pdf in batches:
+        held += zip(pdf["part"], pdf["at"], pdf["docs"], pdf["payload"], strict=True)
+        while len(held) >= mixcoder.LANES:  # full lanes, however blocks are batched
+            yield decoded(held[: mixcoder.LANES])
+            held = held[mixcoder.LANES :]
+    if held:
+        yield decoded(held)
 
 
 def _join_pieces(n: pd.Series, crc: pd.Series) -> pd.Series:
