@@ -69,6 +69,35 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN near
 """
 
 
+OP5 = """
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), pieces AS (
+    SELECT row, low, array_slice(x, 2 * low + 1, 2 * low + 1600) AS piece FROM (SELECT row, x, unnest(range(0, length(x) // 2 - 399, 400)) AS low FROM d)
+), starts AS (
+    SELECT row, low, piece, unnest(range(0, least(length(piece) // 2 - 399, 400))) AS i FROM pieces
+), strings AS (
+    SELECT row, low + i AS p, md5_number(array_slice(piece, 2 * i + 1, 2 * i + 800)) AS h FROM starts
+), often AS (
+    SELECT h FROM strings GROUP BY h HAVING count(*) > 1
+), hit AS (
+    SELECT row, p, lag(p) OVER (PARTITION BY row ORDER BY p) AS before FROM strings SEMI JOIN often USING (h)
+), spans AS (
+    SELECT row, min(p) AS low, max(p) + 400 AS high FROM (
+        SELECT row, p, count(*) FILTER (before IS NULL OR p > before + 400) OVER (PARTITION BY row ORDER BY p) AS span FROM hit
+    ) GROUP BY row, span
+), gaps AS (
+    SELECT row, high, low, coalesce(lag(high) OVER (PARTITION BY row ORDER BY low), 0) AS since FROM spans
+), kept AS (
+    SELECT row, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS done, string_agg(array_slice(x, 2 * since + 1, 2 * low), '' ORDER BY low) AS parts
+    FROM gaps JOIN d USING (row) GROUP BY row
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(parts, '') || array_slice(x, 2 * coalesce(done, 0) + 1, length(x)))) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -128,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3}
+    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5}
