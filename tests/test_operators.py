@@ -1,6 +1,7 @@
 """Operators on small inputs with known results, and against plain loops."""
 
 import json
+import itertools
 import math
 import random
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from taxaloom.functions import ranks, tokens
 from taxaloom.functions.ranks import RANKS
-from taxaloom.operators import bins, calibration, candidates, features, metrics, sampling, scoring, selection, taxonomy, tensors
+from taxaloom.operators import bins, calibration, candidates, features, metrics, residual, sampling, scoring, selection, taxonomy, tensors
 
 NODES = [(1, 1, "no rank"), (2, 1, "superkingdom"), (10, 2, "phylum"), (20, 10, "class"), (30, 20, "order"), (40, 30, "family"), (50, 40, "genus"), (60, 50, "species"), (61, 50, "species")]
 
@@ -267,8 +268,36 @@ def test_network(spark):
         edge = np.pad(v, ((0, 0), (0, 0), (padding, padding)))
         want = [[[float((edge[b, :, t : t + 2 * padding + 1] * k[o]).sum()) for t in range(9)] for o in range(4)] for b in range(2)]
         assert np.allclose(scoring.conv1d(v, k), want, rtol=1e-5)
-    rows = spark.createDataFrame([("a", 1, x[0].T.tolist()), ("b", 2, x[1].T[:3].tolist()), ("c", 3, [])], "id string, taxon long, bins array<array<float>>")
-    got = {r["id"]: r for r in scoring.score(rows, weights).collect()}
-    alone = {r["id"]: r for r in scoring.score(rows.where("id = 'b'"), weights).collect()}
-    assert set(got) == {"a", "b"} and all(0 <= got["a"][f"prob_{r}"] <= 1 for r in RANKS)
-    assert all(math.isclose(got["b"][f"prob_{r}"], alone["b"][f"prob_{r}"], abs_tol=1e-6) for r in RANKS)
+    # rows of one batch, the shorter one padded
+    rows = spark.createDataFrame([("a", 1, x[0].T.tolist()), ("b", 2, x[1].T[:3].tolist()), ("c", 3, [])], "id string, taxon long, bins array<array<float>>").coalesce(1)
+    for weights, network in ((weights, scoring.forward), (residual.random_weights(1), residual.forward)):
+        for name in [n for n in weights if n.endswith((".shift", ".bias"))]:
+            weights[name] = np.random.default_rng(len(name)).standard_normal(weights[name].shape).astype(np.float32)
+        got = {r["id"]: r for r in scoring.score(rows, weights, network=network).collect()}
+        alone = {r["id"]: r for r in scoring.score(rows.where("id = 'b'"), weights, network=network).collect()}
+        assert set(got) == {"a", "b"} and all(0 <= got["a"][f"prob_{r}"] <= 1 for r in RANKS)
+        assert all(math.isclose(got["b"][f"prob_{r}"], alone["b"][f"prob_{r}"], abs_tol=1e-6) for r in RANKS)
+
+
+def test_residual_network():
+    """Against plain loops over channels and places."""
+    w = residual.random_weights(3)
+    x, extra = np.random.default_rng(2).standard_normal((1, 22, 9)), np.log1p(np.array([9.0]))
+    gelu = np.vectorize(lambda v: 0.5 * v * (1 + math.erf(v / math.sqrt(2))))
+
+    def conv(v, name, dilation=1, stride=1):
+        k = w[name].shape[2]
+        out = np.zeros((len(w[name]), -(-v.shape[1] // stride)))
+        for o, t, j in itertools.product(range(out.shape[0]), range(out.shape[1]), range(k)):
+            at = t * stride + (j - k // 2) * dilation
+            if 0 <= at < v.shape[1]:
+                out[o, t] += w[name][o, :, j] @ v[:, at]
+        return out
+
+    h = gelu(conv(x[0], "stem"))
+    for k, (dilation, stride) in enumerate([(1, 1), (2, 1), (1, 2), (2, 1), (1, 2), (2, 1)]):
+        skip = conv(h, f"block{k}.skip", stride=stride) if stride == 2 else h
+        h = gelu(conv(h, f"block{k}.reduce", stride=stride))
+        h = gelu(conv(gelu(conv(h, f"block{k}.conv", dilation)), f"block{k}.expand") + skip)
+    v = gelu(w["head0.weight"] @ np.append(h.mean(axis=1), extra) + w["head0.bias"])
+    assert h.shape == (256, 3) and np.allclose(residual.forward(x, np.ones((1, 1, 9)), extra, w)[0], w["head1.weight"] @ v + w["head1.bias"], atol=1e-5)
