@@ -1,16 +1,17 @@
-"""Commands: setup, extract, filter, evaluate, calibrate. Each returns 0, or 1 with a message where its input is missing."""
+"""Commands: setup, extract, extract_train_data, filter, evaluate, calibrate. Each returns 0, or 1 with a message where its input is missing."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tokens
-from .functions.ranks import RANKS
-from .operators import bins, calibration, candidates, features, metrics, scoring, selection, taxonomy
+from .functions.ranks import RANKS, canonical_rank, rank_index
+from .operators import bins, calibration, candidates, evaluation, features, metrics, residual, scoring, selection, taxonomy
 from .session import local_session, stored
 from .sources import readers, sinks
 
@@ -23,11 +24,24 @@ def _setup(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.store_taxonomy(*readers.taxonomy_dump(spark, a.dump), a.db_dir, a.update)
 
 
-def feature_table(reads: DataFrame, nodes: DataFrame, merged: DataFrame, least: int = 0, max_bins: int | None = None) -> DataFrame:
-    """Feature rows of classified reads: id, taxon, true_taxon, labels, bins."""
+#: Chooses candidates from the ranked taxa of reads (``candidates.ranked``) and their reported taxa (id, taxid).
+Choice = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def feature_table(
+    reads: DataFrame, nodes: DataFrame, merged: DataFrame, least: int = 0, max_bins: int | None = None, truth: DataFrame | None = None, choose: Choice | None = None
+) -> DataFrame:
+    """Feature rows of classified reads: id, taxon, true_taxon, labels, bins, pos, rank_index (of the taxon, -1 if unknown).
+
+    ``truth`` (id, truth) goes before what the read's name says; of several rows of a read the smallest counts. ``choose``
+    selects from the ranked taxa in place of ``least``; without it all with that support are candidates.
+    """
     every = bins.runs(reads.where("kmers is not null and kmers <> ''"))
     own = reads.where("classified = 'C'")
-    true = taxonomy.normalize(own.select("id", tokens.taxid_of(tokens.true_taxon_text(F.col("id"), F.col("taxonomy"))).alias("true_taxon")), "true_taxon", merged)
+    said = tokens.true_taxon_text(F.col("id"), F.col("taxonomy"))
+    if truth is not None:
+        own, said = own.join(truth.groupBy("id").agg(F.min("truth").alias("truth")), "id", "left"), F.coalesce("truth", said)
+    true = taxonomy.normalize(own.select("id", tokens.taxid_of(said).alias("true_taxon")), "true_taxon", merged)
     ids = every.where("taxid <> 0").select("taxid").union(true.select("true_taxon")).union(merged.join(every.select(F.col("taxid").alias("old")).distinct(), "old").select("new"))
     lineage = taxonomy.lineage(ids.where("taxid is not null"), nodes, merged)
     canon = stored(taxonomy.canonical(lineage, nodes), "canonical")
@@ -36,30 +50,63 @@ def feature_table(reads: DataFrame, nodes: DataFrame, merged: DataFrame, least:
     if max_bins:
         binned = bins.downsample(binned, max_bins)
     known = canon.select(F.col("taxid").alias("true_taxon"))
-    pairs = candidates.candidates(runs, canon.select("taxid"), merged, least).join(true, "id").join(taxonomy.sized(known), "true_taxon", "left_semi")
+    ranked = candidates.ranked(runs, 0 if choose else least)
+    if choose:
+        ranked = choose(ranked, taxonomy.normalize(own.select("id", tokens.taxid_of(F.col("taxonomy")).alias("taxid")), "taxid", merged))
+    pairs = candidates.known_taxa(ranked, canon.select("taxid"), merged).join(true, "id").join(taxonomy.sized(known), "true_taxon", "left_semi")
     pairs = stored(pairs, "pairs")
     rows = features.feature_rows(features.bin_features(binned, pairs.select("id", "taxid", "taxon"), canon, nodes))
     labels = candidates.labels(pairs, canon).select("id", "taxon", "true_taxon", F.array(*(F.col(f"label_{r}").cast("byte") for r in RANKS)).alias("labels"))
-    return rows.join(labels.dropDuplicates(["id", "taxon"]), ["id", "taxon"]).join(pairs.groupBy("id", "taxon").agg(F.min("pos").alias("pos")), ["id", "taxon"])
+    ranks = nodes.select(F.col("taxid").alias("taxon"), rank_index(canonical_rank(F.col("rank"))).alias("rank_index"))
+    out = rows.join(labels.dropDuplicates(["id", "taxon"]), ["id", "taxon"]).join(pairs.groupBy("id", "taxon").agg(F.min("pos").alias("pos")), ["id", "taxon"])
+    return out.join(taxonomy.sized(ranks), "taxon", "left").fillna(-1, ["rank_index"])
+
+
+def _truth(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    """Truth of reads by one file (named once or twice) or by a map of reads with a table of genomes; None without a file."""
+    if not a.mess_truth_file:
+        return None
+    if a.mess_input_file in (None, a.mess_truth_file):
+        return readers.truth_one_file(spark, a.mess_truth_file)
+    return readers.truth_two_files(spark, a.mess_truth_file, a.mess_input_file)
+
 
+def _extract_train_data(spark: SparkSession, a: argparse.Namespace) -> None:
+    def choose(ranked: DataFrame, reported: DataFrame) -> DataFrame:
+        return candidates.training_candidates(ranked, reported, a.topk_taxa, a.neg_extra, a.seed, a.min_tax_kmers)
 
-def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.format == "parquet":
+        a.target_length = 0
+    _extract(spark, a, _truth(spark, a), choose, topk_taxa=a.topk_taxa, neg_extra=a.neg_extra, target_length=a.target_length)
+
+
+def _extract(spark: SparkSession, a: argparse.Namespace, truth: DataFrame | None = None, choose: Choice | None = None, **settings: object) -> None:
     nodes, merged = readers.taxonomy(spark, a.db_dir)
-    rows = stored(feature_table(readers.classified_reads(spark, a.file_path), nodes, merged, a.min_tax_kmers, a.max_bins_per_seq), "features")
+    rows = stored(feature_table(readers.classified_reads(spark, a.file_path), nodes, merged, a.min_tax_kmers, a.max_bins_per_seq, truth, choose), "features")
     n = rows.count()
     if not n:
         raise Stop("no read has evidence for a known taxon")
     sinks.write_shards(rows, a.output_path, a.shard_size, a.to_dtype, a.target_length)
     files = readers.shard_sizes(readers.shards(spark, a.output_path)).count()
-    sinks.write_manifest(spark, a.output_path.rstrip("/") + ".manifest", [a.output_path], n, files, source=a.file_path, shard_size=a.shard_size, dtype=a.to_dtype, min_tax_kmers=a.min_tax_kmers)
+    sinks.write_manifest(spark, a.output_path.rstrip("/") + ".manifest", [a.output_path], n, files, source=a.file_path, shard_size=a.shard_size, dtype=a.to_dtype, min_tax_kmers=a.min_tax_kmers, **settings)
+
 
+#: Networks by name: seeded weights, and logits.
+NETWORKS = {"cnn": (scoring.random_weights, scoring.forward), "residual": (residual.random_weights, residual.forward)}
 
-def _weights(path: str | None, seed: int):
-    if not path:
-        return scoring.random_weights(seed)
-    import numpy as np
 
-    return dict(np.load(path))
+def _scored(rows: DataFrame, a: argparse.Namespace, batch: int = 128, half: bool = True) -> DataFrame:
+    """Scores of the network that is asked for; weights of a file must have the names and shapes of that network."""
+    seeded, network = NETWORKS[a.network]
+    weights = seeded(a.seed)
+    if a.model_path:
+        import numpy as np
+
+        found = dict(np.load(a.model_path))
+        if {k: v.shape for k, v in found.items()} != {k: v.shape for k, v in weights.items()}:
+            raise Stop(f"{a.model_path} doesn't hold the weights of the network {a.network}")
+        weights = found
+    return scoring.score(rows, weights, batch, half, network)
 
 
 def _filter(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -72,7 +119,7 @@ def _filter(spark: SparkSession, a: argparse.Namespace) -> None:
     if rows.isEmpty():
         raise Stop("the shards hold no rows")
     nodes, _ = readers.taxonomy(spark, a.db_dir)
-    scored = scoring.score(rows, _weights(a.model_path, a.seed), a.batch_size, a.downcast == "fp16").join(rows.select("id", "taxon", "pos"), ["id", "taxon"])
+    scored = _scored(rows, a, a.batch_size, a.downcast == "fp16").join(rows.select("id", "taxon", "pos"), ["id", "taxon"])
     scored = stored(scored, "scored")
     reads = readers.classified_reads(spark, a.input_reads).withColumn("reported_taxid", tokens.reported_taxid(F.col("taxonomy")))
     base = ["classified", F.col("id").alias("sequence_id"), F.col("taxonomy").alias("reported_taxonomy"), "length", "reported_taxid"]
@@ -92,19 +139,35 @@ def _heads(rows: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Metrics of every rank; with truth files also the table of reads (``.reads``) and its rates by truth (``.rates``)."""
+    by_truth = (a.input_reads, a.map_file, a.true_file, a.db_dir)
+    if any(by_truth) and not all(by_truth):
+        raise Stop("read-level evaluation needs --kraken-input, --map-file, --true-file and --db-dir")
     rows = readers.shards(spark, a.input_shards)
-    heads = _heads(rows, scoring.score(rows, _weights(a.model_path, a.seed)))
+    scored = stored(_scored(rows, a), "scored")
+    heads = _heads(rows, scored)
     if a.calibration_dir:
         heads = calibration.apply(heads, spark.read.parquet(a.calibration_dir)).withColumn("score", F.col("calibrated")).drop("calibrated")
     heads = stored(heads.withColumn("pos", F.monotonically_increasing_id()), "heads")
     by = ["head"]
-    out = metrics.rates(metrics.confusion(heads, by)).join(metrics.auroc(heads, by, "merged"), by).join(metrics.aupr(heads, by, "merged"), by).join(metrics.best_f1(heads, by).withColumnRenamed("f1", "best_f1"), by)
-    sinks.write_metrics(out, a.output_path)
+    out = heads.groupBy(*by).agg(F.count("*").alias("n")).join(metrics.rates(metrics.confusion(heads, by)), by)
+    out = out.join(metrics.auroc(heads, by, "merged"), by).join(metrics.aupr(heads, by, "merged"), by).join(metrics.best_f1(heads, by).withColumnRenamed("f1", "best_f1"), by)
+    out = stored(out, "metrics")
+    ranks = spark.createDataFrame([(r,) for r in RANKS], "head string")
+    sinks.write_metrics(ranks.join(out, "head", "left").fillna(0, ["n"]), a.output_path)
+    sinks.write_summary(out, a.output_path + ".summary")
+    if all(by_truth):
+        nodes, merged = readers.taxonomy(spark, a.db_dir)
+        mapped = stored(evaluation.mapped_reads(readers.simulated_names(spark, a.map_file), readers.genomes(spark, a.true_file)), "mapped")
+        lines = taxonomy.paths(taxonomy.lineage(mapped.select(F.col("true_taxid").alias("taxid")).where("taxid is not null").distinct(), nodes, merged))
+        table = stored(evaluation.read_table(readers.classified_reads(spark, a.input_reads), mapped, scored, lines, nodes), "read-table")
+        table.write.mode("overwrite").option("sep", "\t").option("header", True).csv(a.output_path + ".reads")
+        sinks.write_metrics(metrics.rates(evaluation.summary(table)), a.output_path + ".rates")
 
 
 def _calibrate(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = readers.shards(spark, a.input_shards)
-    calibration.fit(_heads(rows, scoring.score(rows, _weights(a.model_path, a.seed)))).write.mode("overwrite").parquet(a.output_path)
+    calibration.fit(_heads(rows, _scored(rows, a))).write.mode("overwrite").parquet(a.output_path)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -115,15 +178,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dump", required=True, help="folder with nodes.dmp, names.dmp and merged.dmp")
     p.add_argument("--update", action="store_true")
     p.set_defaults(run=_setup)
-    p = sub.add_parser("extract", help="classified reads to feature shards")
-    for name in ("file_path", "output_path", "db_dir"):
-        p.add_argument(name)
-    p.add_argument("--max-bins-per-seq", type=int)
-    p.add_argument("--shard-size", type=int, default=4096)
-    p.add_argument("--to-dtype", choices=("float32", "float16", "bfloat16", "fp32", "fp16", "bf16"), default="float32")
-    p.add_argument("--target-length", type=int, default=0)
-    p.add_argument("--min-tax-kmers", type=int, default=0)
-    p.set_defaults(run=_extract)
+    for name, run in (("extract", _extract), ("extract_train_data", _extract_train_data)):
+        train = run is _extract_train_data
+        p = sub.add_parser(name, help="classified reads to feature shards" + (" of chosen candidates, with labels by truth files" if train else ""))
+        for argument in ("file_path", "output_path", "db_dir"):
+            p.add_argument(argument)
+        p.add_argument("--max-bins-per-seq", type=int)
+        p.add_argument("--shard-size", type=int, default=4096)
+        p.add_argument("--to-dtype", choices=("float32", "float16", "bfloat16", "fp32", "fp16", "bf16"), default="float32")
+        p.add_argument("--target-length", type=int, default=1024 if train else 0)
+        p.add_argument("--min-tax-kmers", type=int, default=10 if train else 0)
+        p.set_defaults(run=run)
+    p.add_argument("--format", choices=("parquet", "shards"), default="parquet", help="parquet keeps every bin, shards have --target-length bins")
+    p.add_argument("--mess-truth-file")
+    p.add_argument("--mess-input-file")
+    p.add_argument("--topk-taxa", type=int, help="all without it")
+    p.add_argument("--neg-extra", type=int, default=0)
     p = sub.add_parser("filter", help="feature shards to refined calls")
     for name in ("input_shards", "input_reads", "output_path", "db_dir"):
         p.add_argument(name)
@@ -140,8 +210,14 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("output_path")
         q.add_argument("--calibration-dir")
         q.set_defaults(run=run)
+        if run is _evaluate:
+            q.add_argument("--kraken-input", dest="input_reads", help="classified reads, for the read-level table")
+            q.add_argument("--map-file", help="names of the reads in the simulation")
+            q.add_argument("--true-file", help="genomes of the simulation: tax_id, fasta, path")
+            q.add_argument("--db-dir")
     for q in sub.choices.values():
         q.add_argument("--model-path")
+        q.add_argument("--network", choices=tuple(NETWORKS), default="cnn")
         q.add_argument("--seed", type=int, default=667)
     return top
 

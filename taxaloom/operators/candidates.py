@@ -16,26 +16,36 @@ def ranked(runs: DataFrame, least: int = 0) -> DataFrame:
     return each.where(F.col("total") >= least).withColumn("pos", F.row_number().over(order))
 
 
-def candidates(runs: DataFrame, known: DataFrame, merged: DataFrame, least: int = 0) -> DataFrame:
-    """As ``ranked``, with ``taxon`` (merged ids replaced); taxa that are not in ``known`` (taxid) are dropped.
+def known_taxa(ranked: DataFrame, known: DataFrame, merged: DataFrame) -> DataFrame:
+    """``ranked`` (id, taxid, ...) with ``taxon`` (merged ids replaced); taxa that are not in ``known`` (taxid) are dropped.
 
     Two ids that merge into one taxon stay two rows, as both have evidence of their own.
     """
-    out = normalize(ranked(runs, least).withColumn("taxon", F.col("taxid")), "taxon", merged)
-    return out.join(sized(known.select(F.col("taxid").alias("taxon")).distinct()), "taxon", "left_semi").select("id", "taxid", "taxon", "total", "pos")
+    out = normalize(ranked.withColumn("taxon", F.col("taxid")), "taxon", merged)
+    return out.join(sized(known.select(F.col("taxid").alias("taxon")).distinct()), "taxon", "left_semi")
+
+
+def candidates(runs: DataFrame, known: DataFrame, merged: DataFrame, least: int = 0) -> DataFrame:
+    """The known taxa of ``ranked``: id, taxid, taxon, total, pos."""
+    return known_taxa(ranked(runs, least), known, merged).select("id", "taxid", "taxon", "total", "pos")
 
 
-def training_candidates(ranked: DataFrame, reported: DataFrame, top: int, extra: int, seed: int = 0) -> DataFrame:
+def training_candidates(ranked: DataFrame, reported: DataFrame, top: int | None, extra: int, seed: int = 0, least: int = 0) -> DataFrame:
     """The ``top`` ranked taxa of a read, ``extra`` of the rest by a seeded hash, and the reported taxon if it has evidence.
 
-    ``reported`` has id and taxid. Adds ``why``: top, extra or reported.
+    ``ranked`` is that of every taxon, and ``least`` the support that a taxon needs to be in the top or drawn; a read in which
+    none has it is left out, reported taxon or not. Without a ``top`` all that have it are. ``reported`` has id and taxid.
+    Adds ``why``: top, extra or reported.
     """
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), "id", F.col("taxid").cast("string")))
-    tail = Window.partitionBy("id", F.col("pos") > top).orderBy(draw, "pos")
-    drawn = ranked.withColumn("draw", F.row_number().over(tail))
+    first = F.col("pos") <= top if top else F.lit(True)
+    tail = Window.partitionBy("id", first, F.col("total") >= least).orderBy(draw, "pos")
+    drawn = ranked.withColumn("draw", F.row_number().over(tail)).withColumn("most", F.max("total").over(Window.partitionBy("id")))
     own = reported.select("id", "taxid", F.lit(True).alias("is_reported"))
-    why = F.when(F.col("pos") <= top, "top").when(F.col("draw") <= extra, "extra").when(F.col("is_reported"), "reported")
-    return drawn.join(own, ["id", "taxid"], "left").withColumn("why", why).where("why is not null").select("id", "taxid", "pos", "why")
+    able = F.col("total") >= least
+    why = F.when(able & first, "top").when(able & (F.col("draw") <= extra), "extra").when(F.col("is_reported"), "reported")
+    chosen = drawn.where(F.col("most") >= least).join(own, ["id", "taxid"], "left").withColumn("why", why)
+    return chosen.where("why is not null").select("id", "taxid", "pos", "why")
 
 
 def labels(pairs: DataFrame, canon: DataFrame) -> DataFrame:

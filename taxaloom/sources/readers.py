@@ -28,18 +28,27 @@ def truth_one_file(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", F.try_element_at(F.split("ref", r"\|"), F.lit(2)).alias("truth"))
 
 
-def truth_two_files(spark: SparkSession, reads: str, genomes: str) -> DataFrame:
+def simulated_names(spark: SparkSession, path: str) -> DataFrame:
+    """A headerless map of reads to the names of a simulator: id, name."""
+    return spark.read.schema("id STRING, name STRING").option("sep", "\t").option("quote", "").csv(path)
+
+
+def genomes(spark: SparkSession, path: str) -> DataFrame:
+    """A table of genomes with a header: tax_id, fasta and, for evaluation, path, as text."""
+    return spark.read.option("sep", "\t").option("header", True).csv(path)
+
+
+def truth_two_files(spark: SparkSession, reads: str, table: str) -> DataFrame:
     """A map of reads to simulated names and a table of genomes (tax_id, fasta) -> id, truth.
 
     Where every tax_id is 0, it is read from the third field of the file name.
     """
-    names = spark.read.schema("id STRING, name STRING").option("sep", "\t").option("quote", "").csv(reads)
-    table = spark.read.option("sep", "\t").option("header", True).csv(genomes)
+    own = genomes(spark, table)
     taxid = F.col("tax_id").try_cast("bigint")
-    unset = table.agg(F.coalesce(F.bool_and(taxid == 0), F.lit(True))).first()[0]
-    keyed = table.select(tokens.genome_key(F.col("fasta")).alias("key"), (tokens.genome_taxid(F.col("fasta")) if unset else taxid).cast("string").alias("truth"))
+    unset = own.agg(F.coalesce(F.bool_and(taxid == 0), F.lit(True))).first()[0]
+    keyed = own.select(tokens.genome_key(F.col("fasta")).alias("key"), (tokens.genome_taxid(F.col("fasta")) if unset else taxid).cast("string").alias("truth"))
     one = keyed.groupBy("key").agg(F.min("truth").alias("truth"))
-    return names.select("id", tokens.accession(F.col("name")).alias("key")).join(one, "key", "left").select("id", "truth")
+    return simulated_names(spark, reads).select("id", tokens.accession(F.col("name")).alias("key")).join(one, "key", "left").select("id", "truth")
 
 
 def taxonomy_dump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -50,6 +50,18 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+def write_summary(metrics: DataFrame, path: str) -> None:
+    """A line of text for each rank in order; ranks without a labelled sample say so.
+
+    ``metrics`` has a row a rank at most: head, n, auroc, aupr, threshold, best_f1, tp, fp, fn, tn.
+    """
+    ranks = metrics.sparkSession.createDataFrame(list(enumerate(RANKS)), "place int, head string")
+    shown = F.format_string("[%s] N=%d | AUROC=%.4f | AUPR=%.4f | best F1 %.4f at %.2f | at 0.50: TP=%d FP=%d FN=%d TN=%d", "head", "n", "auroc", "aupr", "best_f1", "threshold", "tp", "fp", "fn", "tn")
+    none = F.format_string("[%s] no valid labelled samples", "head")
+    lines = ranks.join(metrics, "head", "left").select("place", F.when(F.col("n").isNull(), none).otherwise(shown).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
+
+
 def store_taxonomy(nodes: DataFrame, merged: DataFrame, folder: str, update: bool = False) -> None:
     """Write taxonomy tables; without ``update`` tables that are there stay."""
     mode = "overwrite" if update else "ignore"

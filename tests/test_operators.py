@@ -93,6 +93,12 @@ def test_candidates_and_labels(spark, tree):
     assert labels == {60: [1] * 6 + [0], 10: [1, 1, 0, 0, 0, 0, 0]}
     chosen = candidates.training_candidates(candidates.ranked(bins.runs(reads)), spark.createDataFrame([("a", 600)], "id string, taxid long"), 1, 1).collect()
     assert {r["why"] for r in chosen} <= {"top", "extra", "reported"} and 600 in {r["taxid"] for r in chosen}
+    support = candidates.ranked(bins.runs(spark.createDataFrame([("a", "1:9 2:8 3:7 4:2 5:1"), ("b", "1:3 2:1")], "id string, kmers string")))
+    said = spark.createDataFrame([("a", 5), ("b", 2)], "id string, taxid long")
+    for top, extra, want in ((1, 1, 3), (None, 0, 4), (2, 9, 4), (1, 0, 2)):  # the reported one besides; b has no support of 5
+        got = candidates.training_candidates(support, said, top, extra, least=5).collect()
+        assert {r["id"] for r in got} == {"a"} and len(got) == want and {r["taxid"] for r in got} <= {1, 2, 3, 5}, (top, extra)
+        assert {r["taxid"]: r["why"] for r in got}[5] == "reported"
 
 
 def test_features(spark, tree):

@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,34 @@ def test_commands(spark, folder):
     assert cli.main(["filter", str(folder / "nowhere"), str(folder / "reads.tsv"), calls, db], spark) == 1
 
 
+def test_training_data_and_evaluation(spark, folder):
+    db, out = str(folder / "db"), str(folder / "train")
+    assert cli.main(["setup", db, "--dump", str(folder / "dump")], spark) == 0
+    base = ["extract_train_data", str(folder / "reads.tsv"), out, db]
+    (folder / "one").write_text("r1\tx|61|y\n")
+    assert cli.main([*base, "--mess-truth-file", str(folder / "one")], spark) == 0
+    rows = {r["taxon"]: r for r in readers.shards(spark, out).collect()}
+    assert set(rows) == {60, 61} and {r["true_taxon"] for r in rows.values()} == {61} and {r["rank_index"] for r in rows.values()} == {RANKS.index("species")}
+    assert rows[61]["labels"][RANKS.index("species")] == 1 and rows[60]["labels"][RANKS.index("species")] == 0 and rows[60]["labels"][RANKS.index("genus")] == 1
+    (folder / "map").write_text("r1\tGCF_1.1x/1\nr2\tGCF_2.1x/1\nr10\tGCF_3.1x/1\n")
+    (folder / "genomes").write_text("tax_id\tfasta\tpath\n61\ta__b__c__GCF_1.1\tincluded/x\n60\ta__b__c__GCF_2.1\tincluded/y\n61\ta__b__c__GCF_1.1x\tincluded/x\n60\ta__b__c__GCF_2.1x\tincluded/y\n")
+    assert cli.main([*base, "--mess-truth-file", str(folder / "map"), "--mess-input-file", str(folder / "genomes"), "--min-tax-kmers", "20", "--topk-taxa", "1", "--format", "shards"], spark) == 0
+    (only,) = readers.shards(spark, out).collect()
+    assert (only["taxon"], only["true_taxon"], len(only["bins"])) == (60, 61, 1024)
+    assert cli.main(base, spark) == 0 and readers.shards(spark, out).count() == 2
+    told, table = str(folder / "metrics"), lambda p: spark.read.option("sep", "\t").option("header", True).csv(p).collect()
+    assert cli.main(["evaluate", out, told, "--map-file", str(folder / "map")], spark) == 1
+    truth = ["--kraken-input", str(folder / "reads.tsv"), "--map-file", str(folder / "map"), "--true-file", str(folder / "genomes"), "--db-dir", db]
+    assert cli.main(["evaluate", out, told, "--network", "residual", *truth], spark) == 0
+    assert {r["head"]: r["n"] for r in table(told)} == {r: "2" for r in RANKS} and len(spark.read.text(told + ".summary").collect()) == 7
+    got = {r["id"]: r for r in table(told + ".reads")}
+    assert set(got) == {"r1", "r2"} and got["r1"]["outcome"] == "FP" and got["r2"]["outcome"] == "FN" and got["r1"]["prob_species"] and not got["r2"]["prob_species"]
+    assert [(r["tp"], r["fp"], r["fn"]) for r in table(told + ".rates")] == [("0", "1", "1")]
+    bad = folder / "weights.npz"
+    np.savez(bad, x=np.zeros(2))
+    assert cli.main(["evaluate", out, told, "--model-path", str(bad)], spark) == 1
+
+
 def test_ten_reads_make_136_rows(spark, folder):
     """Ten reads with so many taxa and bins each, from table to feature shards."""
     taxa, sizes = [2, 7, 49, 2, 4, 7, 2, 15, 39, 9], [10, 15, 9, 9, 10, 10, 9, 12, 16, 13]
