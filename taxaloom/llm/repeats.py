@@ -193,8 +193,9 @@ def _spans(texts: DataFrame, width: int, level: int) -> DataFrame:
     cut = stored(texts.where(F.octet_length("text") >= width).transform(in_batches, _cut(width, ranges), _SEGMENTS), "repeat-segments")
     shared = stored(cut.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), "repeat-cores")
     passes = bloom.member(shared.select(F.col("key").alias("h")), shared.count())
-    suspects = cut.where(passes("key")).distinct().join(shared.hint("merge"), "key", "left_semi")
-    own = stored(suspects.groupBy("tk").agg(F.collect_list(F.struct("a", "b", "key", "times")).alias("own")), "repeat-suspects")
+    # repeats (copies of a text) are left to the sets: a distinct would be planned on the join's key and keep AQE from splitting hot cores
+    suspects = cut.where(passes("key")).join(shared.hint("merge"), "key", "left_semi")
+    own = stored(suspects.groupBy("tk").agg(F.collect_set(F.struct("a", "b", "key", "times")).alias("own")), "repeat-suspects")
     wanted = own.select(F.xxhash64("tk").alias("h"))
     passes = bloom.member(wanted, own.count())
     bodies = texts.where(passes(F.xxhash64("tk"))).groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
