@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, pii, repeats, sharding, simhash, token_counts, token_files
+from . import bpe, decontaminate, exact_dedup, infill, langid, pii, repeats, sharding, simhash, token_counts, token_files
 
 
 OP2 = r"""
@@ -98,6 +98,27 @@ FROM d LEFT JOIN kept USING (row)
 """
 
 
+OP12 = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
+), u AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, list_transform(range(0, 4), lambda k: CAST('0x' || substring(s, 8 * k + 1, 8) AS BIGINT)) AS h FROM d
+), c AS (
+    SELECT *, CAST(len(w) AS BIGINT) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b FROM u
+), p AS (
+    SELECT doc_id, t, n, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM c
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -147,14 +168,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=24)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, pipeline)
+    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, op12_fill_in_middle, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5}
+    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5, "op12_fill_in_middle": OP12}
