@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, infill, langid, pii, repeats, sharding, simhash, token_counts, token_files
+from . import bpe, decontaminate, exact_dedup, infill, langid, pii, repeats, sharding, simhash, spelling, token_counts, token_files
 
 
 OP2 = r"""
@@ -119,6 +119,39 @@ FROM p
 """
 
 
+#: crc32 bit by bit as its definition goes, since DuckDB has none; near words by patterns and by deletions.
+OP13 = """
+WITH runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS name, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), tab AS (
+    SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), each AS (
+    SELECT name, run, count(*) AS m, hex(encode(name || ':' || run)) AS x FROM runs GROUP BY name, run
+), hashed AS (
+    SELECT run, m, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x), 2), lambda k: CAST('0x' || substring(x, k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+    FROM each, tab
+), w AS (
+    SELECT word, CAST(sum(m) AS BIGINT) AS n
+    FROM (SELECT m, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5
+), cuts AS (
+    SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS (
+    SELECT DISTINCT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+    UNION SELECT c.word, w.word, w.n FROM cuts c JOIN w ON c.less = w.word
+    UNION SELECT w.word, c.word, c.n FROM cuts c JOIN w ON c.less = w.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, {'a': -n, 'b': other}) AS other FROM near GROUP BY word
+), forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN other END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)
+), chain AS (
+    WITH RECURSIVE c AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+    SELECT c.word, c.root FROM c JOIN forms f ON f.word = c.root WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+"""
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -172,14 +205,18 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, op12_fill_in_middle, pipeline)
+    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, op12_fill_in_middle, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5, "op12_fill_in_middle": OP12}
+    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5, "op12_fill_in_middle": OP12, "op13_spelling_variants": OP13}
