@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, infill, langid, pii, repeats, sharding, simhash, spelling, token_counts, token_files
+from . import bpe, decontaminate, exact_dedup, infill, langid, neighbours, pii, repeats, sharding, simhash, spelling, token_counts, token_files
 
 
 OP2 = r"""
@@ -98,6 +98,21 @@ FROM d LEFT JOIN kept USING (row)
 """
 
 
+#: list_distance sums in an order of its own, so the sum is written out.
+OP11 = """
+WITH e AS (
+    SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), ok AS (
+    SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), met AS (
+    SELECT q.row, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(q.v, lambda x, i: (x - c.v[i]) * (x - c.v[i]))), lambda a, b: a + b)) AS score FROM ok q JOIN ok c ON q.row <> c.row AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY score, vec_id) AS rank FROM met
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 OP12 = """
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents
@@ -201,6 +216,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), shards=24)
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_documents(spark, sf_dir))
 
@@ -214,9 +233,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, op12_fill_in_middle, op13_spelling_variants, pipeline)
+    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, op11_nearest, op12_fill_in_middle, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5, "op12_fill_in_middle": OP12, "op13_spelling_variants": OP13}
+    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5, "op11_nearest": OP11, "op12_fill_in_middle": OP12, "op13_spelling_variants": OP13}
