@@ -1,4 +1,4 @@
-"""Commands: setup, extract, extract_train_data, filter, evaluate, calibrate. Each returns 0, or 1 with a message where its input is missing."""
+"""Commands: setup, extract, extract_train_data, train, filter, evaluate, calibrate. Each returns 0, or 1 with a message where its input is missing."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ import argparse
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import tokens
 from .functions.ranks import RANKS, canonical_rank, rank_index
-from .operators import bins, calibration, candidates, evaluation, features, metrics, residual, scoring, selection, taxonomy
+from .operators import bins, calibration, candidates, evaluation, features, metrics, residual, sampling, scoring, selection, taxonomy, tensors, training
 from .session import local_session, stored
-from .sources import readers, sinks
+from .sources import checkpoints, readers, sinks
 
 
 class Stop(Exception):
@@ -100,9 +100,7 @@ def _scored(rows: DataFrame, a: argparse.Namespace, batch: int = 128, half: bool
     seeded, network = NETWORKS[a.network]
     weights = seeded(a.seed)
     if a.model_path:
-        import numpy as np
-
-        found = dict(np.load(a.model_path))
+        found = checkpoints.load_weights(rows.sparkSession, a.model_path)
         if {k: v.shape for k, v in found.items()} != {k: v.shape for k, v in weights.items()}:
             raise Stop(f"{a.model_path} doesn't hold the weights of the network {a.network}")
         weights = found
@@ -165,6 +163,37 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
         sinks.write_metrics(metrics.rates(evaluation.summary(table)), a.output_path + ".rates")
 
 
+def _sampled(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """Rows of the drawn shards and so many of each, for validation: the same in every epoch."""
+    if a.val_shards_per_epoch:
+        shards = rows.select("shard").distinct()
+        rows = rows.join(sampling.epoch_shards(shards, a.seed, 0, a.val_shards_per_epoch).select("shard"), "shard", "left_semi")
+    if a.val_samples_per_shard:
+        order = sampling.draw(str(a.seed), "shard", "id", "taxon")
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("shard").orderBy(order))).where(F.col("_k") <= a.val_samples_per_shard).drop("_k")
+    return rows
+
+
+def _train(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A model of all rows, and before it one of the rows of each rank that is asked for."""
+    if bool(a.train) != bool(a.val) or not (a.train or a.input):
+        raise Stop("give --train and --val, or --input for both")
+    own = training.Settings(a.epochs, a.batch, a.parallel, a.lr, crop=a.crop_max, shards=a.shards_per_epoch, per_shard=a.samples_per_shard, seed=a.seed)
+    for rank in [*(RANKS if a.ranks else ()), *([a.rank] if a.rank else ()), None]:
+        rows, check = readers.shards(spark, a.train or a.input), readers.shards(spark, a.val or a.input)
+        if rank:
+            rows, check = (x.where(F.col("rank_index") == RANKS.index(rank)) for x in (rows, check))
+        try:
+            notes = training.train(rows, _sampled(check, a), f"{a.save}_per-rank" + (f"_{rank}" if rank else ""), own)
+        except ValueError as error:
+            if rank and "known label" in str(error):
+                print(f"no labelled row of rank {rank}", file=sys.stderr)
+                continue
+            raise Stop(str(error)) from error
+        for epoch, loss, over in notes["losses"]:
+            print(f"{rank or 'all'}: epoch {epoch}, loss {loss:.4f}, over validation rows {over:.4f}")
+
+
 def _calibrate(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = readers.shards(spark, a.input_shards)
     calibration.fit(_heads(rows, _scored(rows, a))).write.mode("overwrite").parquet(a.output_path)
@@ -204,6 +233,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tie-break", choices=selection.TIE_BREAKS, default="sum_to_rank")
     p.add_argument("--on-fail", choices=("deepest", "unclassified"), default="deepest")
     p.set_defaults(run=_filter)
+    p = sub.add_parser("train", help="labelled shards to weights")
+    for name, help_ in (("train", "shards to train on"), ("val", "shards to validate on"), ("input", "shards for both")):
+        p.add_argument(f"--{name}", help=help_)
+    for name, value in (("epochs", 20), ("batch", 64), ("parallel", 8), ("crop-max", tensors.CROP), ("shards-per-epoch", None), ("samples-per-shard", None), ("val-shards-per-epoch", None), ("val-samples-per-shard", None)):
+        p.add_argument(f"--{name}", type=int, default=value)
+    p.add_argument("--lr", type=float, default=1e-3)
+    p.add_argument("--save", default="model", help="folders of this name with the target, and the rank, behind it")
+    p.add_argument("--target", choices=("per-rank",), default="per-rank", help="labels of every rank; losses of a single one need no such network")
+    which = p.add_mutually_exclusive_group()
+    which.add_argument("--rank", choices=RANKS)
+    which.add_argument("--ranks", action="store_true")
+    p.set_defaults(run=_train)
     for name, run in (("evaluate", _evaluate), ("calibrate", _calibrate)):
         q = sub.add_parser(name, help="metrics of labelled shards" if name == "evaluate" else "isotonic fits of labelled shards")
         q.add_argument("input_shards")
@@ -216,7 +257,7 @@ def parser() -> argparse.ArgumentParser:
             q.add_argument("--true-file", help="genomes of the simulation: tax_id, fasta, path")
             q.add_argument("--db-dir")
     for q in sub.choices.values():
-        q.add_argument("--model-path")
+        q.add_argument("--model-path", help="npz file, or the folder best of a training run")
         q.add_argument("--network", choices=tuple(NETWORKS), default="cnn")
         q.add_argument("--seed", type=int, default=667)
     return top

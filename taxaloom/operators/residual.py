@@ -10,17 +10,9 @@ import numpy as np
 from ..functions.ranks import RANKS
 from .scoring import CHANNELS, conv1d, masked_average
 
-# Width of the stem's kernel, widths of the stages, dilations within a stage, width of the head.
-STEM, WIDTHS, DILATIONS, HEAD = 7, (64, 128, 256), (1, 2), 256
-
-
-def _blocks() -> list[tuple[int, int, int, int]]:
-    """Channels in and out, dilation and stride of every bottleneck."""
-    out, c = [], WIDTHS[0]
-    for w in WIDTHS:
-        out += [(c, w, DILATIONS[0], 1 if c == w else 2), (w, w, DILATIONS[1], 1)]
-        c = w
-    return out
+# Kernel of the stem; channels in and out, dilation and stride of the six bottlenecks; width of the head.
+STEM, HEAD = 7, 256
+BOTTLENECKS = ((64, 64, 1, 1), (64, 64, 2, 1), (64, 128, 1, 2), (128, 128, 2, 1), (128, 256, 1, 2), (256, 256, 2, 1))
 
 
 def random_weights(seed: int = 0) -> dict[str, np.ndarray]:
@@ -33,15 +25,15 @@ def random_weights(seed: int = 0) -> dict[str, np.ndarray]:
         if norm:
             out[f"{name}.scale"], out[f"{name}.shift"] = np.ones(shape[0], np.float32), np.zeros(shape[0], np.float32)
 
-    layer("stem", WIDTHS[0], CHANNELS, STEM)
-    for k, (a, b, _, stride) in enumerate(_blocks()):
+    layer("stem", BOTTLENECKS[0][0], CHANNELS, STEM)
+    for k, (a, b, _, stride) in enumerate(BOTTLENECKS):
         middle = max(32, b // 4)
         if a != b or stride != 1:
             layer(f"block{k}.skip", b, a, 1, norm=False)
         layer(f"block{k}.reduce", middle, a, 1)
         layer(f"block{k}.conv", middle, middle, 3)
         layer(f"block{k}.expand", b, middle, 1)
-    for k, (a, b) in enumerate(((WIDTHS[-1] + 1, HEAD), (HEAD, len(RANKS)))):
+    for k, (a, b) in enumerate(((BOTTLENECKS[-1][1] + 1, HEAD), (HEAD, len(RANKS)))):
         layer(f"head{k}.weight", b, a, norm=False)
         out[f"head{k}.bias"] = np.zeros(b, np.float32)
     return out
@@ -70,7 +62,7 @@ def forward(x: np.ndarray, mask: np.ndarray, extra: np.ndarray, weights: dict[st
         return out * weights[f"{name}.scale"][:, None] + weights[f"{name}.shift"][:, None]
 
     x = gelu(layer("stem", x)) * mask
-    for k, (_, _, dilation, stride) in enumerate(_blocks()):
+    for k, (_, _, dilation, stride) in enumerate(BOTTLENECKS):
         x, mask = x[:, :, ::stride], mask[:, :, ::stride]
         skip = conv1d(x, weights[f"block{k}.skip"]) if f"block{k}.skip" in weights else x
         h = gelu(layer(f"block{k}.reduce", x)) * mask

@@ -87,7 +87,7 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".json"):
         base = path.rsplit("/", 1)[0]
         folders = [p if p.startswith("/") or "://" in p else f"{base}/{p}" for p in manifest(spark, path)["outputs"]]
-    return spark.read.parquet(*folders).withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return spark.read.parquet(*folders).withColumn("shard", F.col("_metadata.file_name"))  # filters on it prune files
 
 
 def shard_sizes(rows: DataFrame) -> DataFrame:
