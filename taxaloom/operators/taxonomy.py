@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import RANKS, canonical_rank, exact_rank
-from ..session import stored
+from ..session import observed, stored
 
 #: Deeper trees than this are taken to hold a cycle.
 DEEPEST = 256
-#: Levels that are climbed in one plan.
-STEP = 8
 #: Rows of a taxonomy table below which it is broadcast; a public taxonomy has a few million nodes.
 SMALL = 200_000
 
@@ -27,34 +25,96 @@ def normalize(ids: DataFrame, column: str, merged: DataFrame) -> DataFrame:
     return ids.join(sized(new), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def lineage(taxids: DataFrame, nodes: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+def jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (node, up, steps) of every node: table k leads 2^k steps up, or has a null ``up`` and the steps to the root.
+
+    Each is the one before joined with itself, so a tree costs the logarithm of its depth. The last leads nowhere: its
+    steps are the depths. A parent that is no node is none.
+    """
+    own = nodes.select(F.col("taxid").alias("node"), F.col("parent").alias("up"))
+    known = own.select(F.col("node").alias("_node"))
+    up = F.when(F.col("_node").isNotNull() & (F.col("up") != F.col("node")), F.col("up"))
+    now = own.join(sized(known), own["up"] == known["_node"], "left").select("node", up.alias("up"), F.when(up.isNotNull(), 1).otherwise(0).alias("steps"))
+    out = []
+    while True:
+        now, seen = observed(now, "jumps", n=F.count("*"), live=F.count("up"))
+        out.append(now)
+        if not seen["live"]:
+            return out
+        if 1 << len(out) > 2 * DEEPEST:
+            raise ValueError("the taxonomy has a cycle")
+        ahead = now.toDF("_node", "_up", "_steps")
+        ahead = F.broadcast(ahead) if seen["n"] <= SMALL else ahead
+        now = now.join(ahead, now["up"] == ahead["_node"], "left").select("node", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+
+
+def lineage(taxids: DataFrame, nodes: DataFrame, merged: DataFrame | None = None, tables: list[DataFrame] | None = None) -> DataFrame:
     """``taxids`` (taxid) -> taxid, depth, anc: ancestors of each known taxid, root at depth 0, itself last.
 
-    Climbs from the taxids asked for, so the closure holds only what is needed: ``STEP`` joins with the tree run as one
-    plan, then the paths are written, and only those that have not reached a root climb on. Merged ids get the lineage of
-    their successors; unknown ids have none.
+    Climbs from the taxids asked for: round k joins the ancestors so far with the jumps of 2^k steps, so they double, and a
+    tree of 256 levels takes eight rounds. ``tables`` are the ``jumps`` of the nodes, if they are there already. Merged ids
+    get the lineage of their successors; unknown ids have none.
     """
-    tree = stored(nodes.select(F.col("taxid").alias("_node"), F.col("parent").alias("_up")), "tree")
-    tree = sized(tree)
-    at = taxids.select("taxid", F.col("taxid").alias("next")).distinct()
+    tables = jumps(nodes) if tables is None else tables
+    at = taxids.select("taxid", F.col("taxid").alias("node")).distinct()
     if merged is not None:
-        at = normalize(at, "next", merged)
-    at = at.withColumn("path", F.array().cast("array<bigint>"))
-    done = None
-    for _ in range(0, DEEPEST, STEP):
-        for _ in range(STEP):
-            met = at.join(tree, at["next"] == tree["_node"], "left")
-            up = F.when((F.col("_up") != F.col("_node")), F.col("_up"))
-            at = met.select("taxid", up.alias("next"), F.when(F.col("_node").isNotNull(), F.concat("path", F.array("_node"))).otherwise(F.col("path")).alias("path"))
-        at = stored(at, "paths")
-        ended = at.where("next is null and size(path) > 0")
-        done = ended if done is None else done.unionByName(ended)
-        at = at.where("next is not null")
-        if at.isEmpty():
-            break
-    else:
-        raise ValueError("the taxonomy has a cycle")
-    return stored(done.select("taxid", F.posexplode(F.reverse("path")).alias("depth", "anc")), "lineage")
+        at = normalize(at, "node", merged)
+    rows = at.join(sized(tables[-1]), "node").select("taxid", F.col("node").alias("anc"), F.col("steps").alias("depth"))
+    for k, table in enumerate(tables[:-1]):
+        step = sized(table.where("up is not null").select(F.col("node").alias("anc"), "up"))
+        own, above = F.struct("anc", "depth"), F.struct(F.col("up").alias("anc"), (F.col("depth") - (1 << k)).alias("depth"))
+        both = F.when(F.col("up").isNull(), F.array(own)).otherwise(F.array(own, above))
+        rows = rows.join(step, "anc", "left").select("taxid", F.explode(both).alias("x")).select("taxid", "x.anc", "x.depth")
+    return stored(rows.select("taxid", F.col("depth").cast("int").alias("depth"), "anc"), "lineage")
+
+
+#: Nodes of a stretch of the sibling order that one task adds up.
+STRETCH = 1_000_000
+
+
+def tour(nodes: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
+    """taxid, first, last, depth, below, leaves: the interval of every node in a walk through the tree, root side first.
+
+    A node lies below another if its ``first`` is in the other's interval and is not the other's own, so subtrees are
+    comparisons (``is_below``) and no pair is listed. ``below`` counts the nodes under it, ``leaves`` those without a child;
+    siblings come in the order of their taxids, several trees one after the other.
+
+    Sizes are added up by jumps: within 2^(k+1) steps a node has what it has within 2^k, and what the nodes 2^k below it
+    have. Sizes of the siblings before a node are a running sum over all nodes by (parent, taxid), less that of the first
+    sibling; it is taken in stretches, so a parent with a third of all nodes is no task of its own. A node's place is the
+    sum of these over its path, by jumps again.
+    """
+    tables = jumps(nodes) if tables is None else tables
+    join = lambda a, b, on, how="left": a.join(sized(b), on, how)
+    inner = tables[0].where("up is not null").select(F.col("up").alias("node"), F.lit(0).alias("leaf")).distinct()
+    sizes = stored(join(tables[0].select("node"), inner, "node").select("node", F.lit(1).cast("long").alias("size"), F.coalesce("leaf", F.lit(1)).cast("long").alias("leaves")), "tour-sizes")
+    for table in tables[:-1]:
+        under = join(table.where("up is not null").select("node", "up"), sizes, "node").groupBy("up").agg(F.sum("size").alias("s"), F.sum("leaves").alias("l"))
+        more = join(sizes, under.withColumnRenamed("up", "node"), "node")
+        sizes = stored(more.select("node", (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), (F.col("leaves") + F.coalesce("l", F.lit(0))).alias("leaves")), "tour-sizes")
+    own = join(tables[0].select("node", "up"), sizes, "node").select("node", "up", "size", "leaves")
+    parts = -(-sizes.count() // STRETCH) or 1
+    dealt = stored(own.repartitionByRange(parts, "up", "node").withColumn("part", F.spark_partition_id()), "tour-order")
+    sums = dealt.groupBy("part").agg(F.sum("size").alias("s"))  # a row a stretch
+    base = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = Window.partitionBy("part").orderBy("up", "node").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(base), "part").withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = stored(placed.select("node", "up", "size", "leaves", "before"), "tour-placed")
+    starts = placed.groupBy("up").agg(F.min("before").alias("start")).withColumnRenamed("up", "_up")
+    place = placed.join(sized(starts), F.col("up").eqNullSafe(F.col("_up"))).select("node", (F.col("before") - F.col("start") + 1).alias("first"))
+    place = stored(place, "tour-place")
+    for table in tables[:-1]:
+        ahead = place.select(F.col("node").alias("up"), F.col("first").alias("more"))
+        met = join(join(place, table.select("node", "up"), "node"), ahead, "up")
+        place = stored(met.select("node", (F.col("first") + F.coalesce("more", F.lit(0))).alias("first")), "tour-place")
+    out = join(join(placed.select("node", "size", "leaves"), place, "node"), tables[-1].select("node", F.col("steps").alias("depth")), "node")
+    leaves = F.when(F.col("size") > 1, F.col("leaves")).otherwise(0)
+    return stored(out.select(F.col("node").alias("taxid"), "first", (F.col("first") + F.col("size") - 1).alias("last"), "depth", (F.col("size") - 1).alias("below"), leaves.alias("leaves")), "tour")
+
+
+def is_below(node: Column, first: Column, last: Column) -> Column:
+    """Whether the ``first`` of a node lies in the interval of another, below it."""
+    return (node > first) & (node <= last)
 
 
 def canonical(lineages: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -69,13 +129,20 @@ def output_ancestors(lineages: DataFrame, nodes: DataFrame) -> DataFrame:
     return ranked.groupBy("taxid").agg(*(F.max_by(F.when(F.col("rank") == r, F.col("anc")), F.when(F.col("rank") == r, F.col("depth"))).alias(r) for r in RANKS))
 
 
-def descendants(lineages: DataFrame, nodes: DataFrame, leaves_only: bool = True) -> DataFrame:
-    """taxid, descendant: from lineages of all nodes; with ``leaves_only`` nodes that are nobody's parent."""
-    below = lineages.where("anc <> taxid").select(F.col("anc").alias("taxid"), F.col("taxid").alias("descendant"))
-    if leaves_only:
-        inner = nodes.where("parent is not null and parent <> taxid").select(F.col("parent").alias("descendant")).distinct()
-        below = below.join(sized(inner), "descendant", "left_anti")
-    return below.select("taxid", "descendant")
+def descendants(taxids: DataFrame, tour: DataFrame, leaves_only: bool = True, merged: DataFrame | None = None) -> DataFrame:
+    """``taxids`` (taxid) and the ``tour`` of the tree -> taxid, descendant; with ``leaves_only`` those without a child.
+
+    Places of the walk are dense, so the interval of a taxid is listed and met with the nodes by equality: the work is that
+    of the result. With ``merged`` old ids are listed beside their successors.
+    """
+    inside = taxids.select("taxid").distinct().join(tour.where("below > 0").select("taxid", "first", "last"), "taxid")
+    listed = inside.select("taxid", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("first"))
+    own = tour.where("below = 0") if leaves_only else tour
+    out = listed.join(own.select("first", F.col("taxid").alias("descendant")), "first").select("taxid", "descendant")
+    if merged is not None:
+        old = out.join(sized(merged.select(F.col("new").alias("descendant"), "old")), "descendant").select("taxid", F.col("old").alias("descendant"))
+        out = out.unionByName(old)
+    return out
 
 
 def paths(lineages: DataFrame) -> DataFrame:

@@ -157,6 +157,16 @@ ORACLE: dict[str, str] = {
     "q_lineage": _with("SELECT * FROM lineage"),
     "q_canonical": _with(f"SELECT taxid, {_named('c', 'c_')} FROM canon"),
     "q_output_ranks": _with(f"SELECT taxid, {_named('o', 'o_')} FROM outs"),
+    "q_tour": _with("""SELECT taxid, first, first + below AS last, depth, below, leaves
+        FROM (SELECT w.taxid, row_number() OVER (ORDER BY path) AS first, depth, coalesce(n_all, 0) AS below, coalesce(n_leaves, 0) AS leaves FROM walk w
+        LEFT JOIN (SELECT anc, count(*) AS n_all, count(*) FILTER (taxid NOT IN (SELECT parent FROM nodes WHERE parent <> taxid)) AS n_leaves FROM (SELECT DISTINCT * FROM below) GROUP BY anc) b ON b.anc = w.taxid)""")
+        .replace("lineage AS (", "below AS (SELECT taxid, parent AS anc FROM nodes WHERE parent <> taxid UNION SELECT b.taxid, n.parent FROM below b JOIN nodes n ON n.taxid = b.anc WHERE n.parent <> n.taxid),\nwalk AS (SELECT taxid, [taxid] AS path, 0 AS depth FROM nodes WHERE parent = taxid UNION ALL SELECT n.taxid, list_append(path, n.taxid), depth + 1 FROM walk w JOIN nodes n ON n.parent = w.taxid AND n.taxid <> w.taxid),\nlineage AS (", 1),
+    "q_leaf_species": _with("""SELECT DISTINCT anc AS taxid, b.taxid AS descendant FROM below b JOIN nodes f ON f.taxid = b.anc AND f.rank = 'family'
+        WHERE b.taxid NOT IN (SELECT parent FROM nodes WHERE parent <> taxid)""").replace("lineage AS (", "below AS (SELECT taxid, parent AS anc FROM nodes WHERE parent <> taxid UNION SELECT b.taxid, n.parent FROM below b JOIN nodes n ON n.taxid = b.anc),\nlineage AS (", 1),
+    "q_clade_support": _with("""SELECT c.id, CAST(sum(cnt) AS BIGINT) AS total, CAST(coalesce(sum(cnt) FILTER (l.anc IS NOT NULL), 0) AS BIGINT) AS in_clade
+        FROM (SELECT id, coalesce(new, taxid) AS taxon, sum(cnt) AS cnt FROM runs LEFT JOIN merged ON old = taxid WHERE taxid <> 0 GROUP BY ALL) c
+        JOIN (SELECT id, coalesce(new, reported) AS rep FROM reads LEFT JOIN merged ON old = reported WHERE classified = 'C') o USING (id)
+        JOIN nodes a ON a.taxid = taxon JOIN nodes b ON b.taxid = rep LEFT JOIN (SELECT DISTINCT taxid, anc FROM lineage) l ON l.taxid = taxon AND l.anc = rep GROUP BY c.id"""),
     "q_descendants": _with("""SELECT anc AS taxid, count(*) AS n_all, count(*) FILTER (taxid NOT IN (SELECT parent FROM nodes WHERE parent <> taxid)) AS n_leaves
         FROM (SELECT DISTINCT * FROM below) WHERE anc <> taxid GROUP BY anc""").replace("lineage AS (", "below AS (SELECT taxid, parent AS anc FROM nodes WHERE parent <> taxid UNION SELECT b.taxid, n.parent FROM below b JOIN nodes n ON n.taxid = b.anc),\nlineage AS (", 1),
     "q_rank_canon": _with(f"SELECT taxid, rank, name, canonical, exact, CAST({_INDEX.format('canonical')} AS INTEGER) AS rank_index FROM named"),

@@ -186,11 +186,34 @@ def q_output_ranks(s, d):
 
 @query
 def q_descendants(s, d):
+    tour = taxonomy.tour(_nodes(s, d))
+    return tour.where("below > 0").select("taxid", F.col("below").alias("n_all"), F.col("leaves").alias("n_leaves"))
+
+
+@query
+def q_tour(s, d):
+    return taxonomy.tour(_nodes(s, d))
+
+
+@query
+def q_leaf_species(s, d):
+    """Leaves under every family."""
+    _share(s, d)
     nodes = _nodes(s, d)
-    lineages = taxonomy.lineage(nodes.select("taxid"), nodes)
-    every = taxonomy.descendants(lineages, nodes, leaves_only=False).groupBy("taxid").agg(F.count("*").alias("n_all"))
-    leaves = taxonomy.descendants(lineages, nodes).groupBy("taxid").agg(F.count("*").alias("n_leaves"))
-    return every.join(leaves, "taxid", "left").select("taxid", "n_all", F.coalesce("n_leaves", F.lit(0)).cast("bigint").alias("n_leaves"))
+    return taxonomy.descendants(nodes.where("rank = 'family'"), taxonomy.tour(nodes))
+
+
+@query
+def q_clade_support(s, d):
+    """k-mers of every classified read that lie in the subtree of its reported taxon, the taxon's own included."""
+    _share(s, d)
+    tour = taxonomy.tour(_nodes(s, d)).select("taxid", "first", "last")
+    counts = taxonomy.normalize(bins.tax_counts(_runs(s, d)).where("taxid <> 0"), "taxid", E.merged(s, d))
+    reported = _classified(s, d).select("id", T.taxid_of(F.col("taxonomy")).alias("taxid"))
+    mine = taxonomy.normalize(reported, "taxid", E.merged(s, d)).join(taxonomy.sized(tour), "taxid").select("id", F.col("first").alias("low"), F.col("last").alias("high"))
+    met = counts.join(taxonomy.sized(tour.select("taxid", "first")), "taxid").join(mine, "id")
+    inside = (F.col("first") == F.col("low")) | taxonomy.is_below(F.col("first"), F.col("low"), F.col("high"))
+    return met.groupBy("id").agg(F.sum("cnt").alias("total"), F.sum(F.when(inside, F.col("cnt")).otherwise(0)).alias("in_clade"))
 
 
 @query

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "taxaloom", **conf: str) -> SparkSession:
@@ -58,3 +58,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and the values of these aggregates over the rows, taken while they are written."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = stored(df.observe(seen, *(c.alias(k) for k, c in what.items())), name)
+    return out, seen.get

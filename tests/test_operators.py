@@ -68,13 +68,54 @@ def test_downsample(spark, most):
     assert sorted(r["bin"] for r in bins.downsample(frame, most).collect()) == want
 
 
-def test_lineage(tree):
-    nodes, _, lineage = tree
+def test_lineage(spark, tree):
+    nodes, merged, lineage = tree
     paths = {r["taxid"]: r["path"] for r in taxonomy.paths(lineage).collect()}
     assert paths[60] == paths[600] == [1, 2, 10, 20, 30, 40, 50, 60] and paths[10] == [1, 2, 10] and 999 not in paths
     canon = {r["taxid"]: r for r in taxonomy.canonical(lineage, nodes).collect()}
     assert canon[61]["genus"] == 50 and canon[10]["species"] is None
-    assert {r["descendant"] for r in taxonomy.descendants(lineage, nodes).collect() if r["taxid"] == 50} == {60, 61, 600}
+    tour, asked = taxonomy.tour(nodes), spark.createDataFrame([(50,), (60,), (999,)], "taxid long")
+    assert {tuple(r) for r in taxonomy.descendants(asked, tour, merged=merged).collect()} == {(50, 60), (50, 61), (50, 600)}
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_lineages_and_tours_of_random_forests(spark, monkeypatch, small):
+    monkeypatch.setattr(taxonomy, "SMALL", small)
+    monkeypatch.setattr(taxonomy.sized, "__defaults__", (small,))
+    monkeypatch.setattr(taxonomy, "STRETCH", 17)
+    draw = random.Random(2)
+    parent = {k: draw.choice([None, k, 9999]) if k % 40 == 0 else (draw.randrange(k) if k % 3 else k // 40 * 40) for k in range(1, 150)}
+    parent[1], parent[2] = 1, 1
+    parent = {k: 1 if p == 0 else p for k, p in parent.items()}
+    nodes = spark.createDataFrame(list(parent.items()), "taxid long, parent long")
+
+    def path(k):
+        out = [k]
+        while parent[k] in parent and parent[k] != k:
+            k = parent[k]
+            out.insert(0, k)
+        return out
+
+    want = {k: path(k) for k in parent}
+    got = {r["taxid"]: r["path"] for r in taxonomy.paths(taxonomy.lineage(nodes.select("taxid"), nodes)).collect()}
+    assert got == want
+    walk = {r["taxid"]: r for r in taxonomy.tour(nodes).collect()}
+    assert sorted(r["first"] for r in walk.values()) == list(range(1, len(parent) + 1))
+    under = {k: {j for j in parent if k in want[j][:-1]} for k in parent}
+    for k, r in walk.items():
+        assert {j for j in parent if r["first"] < walk[j]["first"] <= r["last"]} == under[k]
+        assert (r["depth"], r["below"], r["leaves"]) == (len(want[k]) - 1, len(under[k]), sum(not under[j] for j in under[k]))
+    assert sorted(want, key=lambda k: walk[k]["first"]) == sorted(want, key=lambda k: want[k])
+    pairs = {tuple(r) for r in taxonomy.descendants(nodes.select("taxid"), taxonomy.tour(nodes), leaves_only=False).collect()}
+    assert pairs == {(k, j) for k in parent for j in under[k]}
+
+
+def test_a_chain_takes_few_rounds(spark):
+    nodes = spark.range(1, 202).selectExpr("id AS taxid", "greatest(id - 1, 1) AS parent")
+    tables = taxonomy.jumps(nodes)
+    assert len(tables) <= 9
+    (path,) = taxonomy.paths(taxonomy.lineage(spark.createDataFrame([(201,)], "taxid long"), nodes, tables=tables)).collect()
+    assert path["path"] == list(range(1, 202))
 
 
 def test_cycle_is_an_error(spark):
