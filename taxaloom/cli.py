@@ -6,14 +6,15 @@ import argparse
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import tokens
 from .functions.ranks import RANKS, canonical_rank, rank_index
 from .operators import bins, calibration, candidates, evaluation, features, metrics, residual, sampling, scoring, selection, taxonomy, tensors, training
-from .session import local_session, stored
-from .sources import checkpoints, readers, sinks
+from .session import local_session, scratch, stored
+from .sources import checkpoints, rank_index as ranked_rows, readers, sinks
+from .sources.intermediates import Intermediates, sweep
 
 
 class Stop(Exception):
@@ -29,37 +30,53 @@ Choice = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def feature_table(
-    reads: DataFrame, nodes: DataFrame, merged: DataFrame, least: int = 0, max_bins: int | None = None, truth: DataFrame | None = None, choose: Choice | None = None
+    reads: DataFrame, nodes: DataFrame, merged: DataFrame, least: int = 0, max_bins: int | None = None, truth: DataFrame | None = None, choose: Choice | None = None, own: Intermediates | None = None
 ) -> DataFrame:
     """Feature rows of classified reads: id, taxon, true_taxon, labels, bins, pos, rank_index (of the taxon, -1 if unknown).
 
     ``truth`` (id, truth) goes before what the read's name says; of several rows of a read the smallest counts. ``choose``
-    selects from the ranked taxa in place of ``least``; without it all with that support are candidates.
+    selects from the ranked taxa in place of ``least``; without it all with that support are candidates. ``own`` keeps the
+    tables on the way for a later run, and counts reads, ids that occur more than once, and reads whose taxon is unknown.
     """
     every = bins.runs(reads.where("kmers is not null and kmers <> ''"))
-    own = reads.where("classified = 'C'")
+    called = reads.where("classified = 'C'")
     said = tokens.true_taxon_text(F.col("id"), F.col("taxonomy"))
     if truth is not None:
-        own, said = own.join(truth.groupBy("id").agg(F.min("truth").alias("truth")), "id", "left"), F.coalesce("truth", said)
-    true = taxonomy.normalize(own.select("id", tokens.taxid_of(said).alias("true_taxon")), "true_taxon", merged)
-    ids = every.where("taxid <> 0").select("taxid").union(true.select("true_taxon")).union(merged.join(every.select(F.col("taxid").alias("old")).distinct(), "old").select("new"))
-    lineage = taxonomy.lineage(ids.where("taxid is not null"), nodes, merged)
-    canon = stored(taxonomy.canonical(lineage, nodes), "canonical")
-    runs = every.join(own.select("id"), "id", "left_semi")
+        called, said = called.join(truth.groupBy("id").agg(F.min("truth").alias("truth")), "id", "left"), F.coalesce("truth", said)
+    true = taxonomy.normalize(called.select("id", tokens.taxid_of(said).alias("true_taxon")), "true_taxon", merged)
+
+    def kept(name: str, make: Callable[[], DataFrame], **counts: Column) -> DataFrame:
+        return own.table(name, make, **counts) if own else stored(make(), name)
+
+    def ancestors() -> DataFrame:
+        ids = every.where("taxid <> 0").select("taxid").union(true.select("true_taxon")).union(merged.join(every.select(F.col("taxid").alias("old")).distinct(), "old").select("new"))
+        return taxonomy.canonical(taxonomy.lineage(ids.where("taxid is not null"), nodes, merged), nodes)
+
+    canon = kept("canonical", ancestors)
+    known = canon.select(F.col("taxid").alias("true_taxon"), F.lit(True).alias("known"))
+    status = lambda: true.groupBy("id").agg(F.count("*").alias("copies"), F.min("true_taxon").alias("true_taxon")).join(taxonomy.sized(known), "true_taxon", "left")
+    true = kept("reads", status, reads=F.sum("copies"), repeated=F.count_if(F.col("copies") > 1), dropped=F.count_if(F.col("known").isNull())).where("known").select("id", "true_taxon")
+    runs = every.join(called.select("id"), "id", "left_semi")
     binned = bins.bins(bins.positions(runs))
     if max_bins:
         binned = bins.downsample(binned, max_bins)
-    known = canon.select(F.col("taxid").alias("true_taxon"))
-    ranked = candidates.ranked(runs, 0 if choose else least)
-    if choose:
-        ranked = choose(ranked, taxonomy.normalize(own.select("id", tokens.taxid_of(F.col("taxonomy")).alias("taxid")), "taxid", merged))
-    pairs = candidates.known_taxa(ranked, canon.select("taxid"), merged).join(true, "id").join(taxonomy.sized(known), "true_taxon", "left_semi")
-    pairs = stored(pairs, "pairs")
-    rows = features.feature_rows(features.bin_features(binned, pairs.select("id", "taxid", "taxon"), canon, nodes))
-    labels = candidates.labels(pairs, canon).select("id", "taxon", "true_taxon", F.array(*(F.col(f"label_{r}").cast("byte") for r in RANKS)).alias("labels"))
-    ranks = nodes.select(F.col("taxid").alias("taxon"), rank_index(canonical_rank(F.col("rank"))).alias("rank_index"))
-    out = rows.join(labels.dropDuplicates(["id", "taxon"]), ["id", "taxon"]).join(pairs.groupBy("id", "taxon").agg(F.min("pos").alias("pos")), ["id", "taxon"])
-    return out.join(taxonomy.sized(ranks), "taxon", "left").fillna(-1, ["rank_index"])
+
+    def candidate_pairs() -> DataFrame:
+        ranked = candidates.ranked(runs, 0 if choose else least)
+        if choose:
+            ranked = choose(ranked, taxonomy.normalize(called.select("id", tokens.taxid_of(F.col("taxonomy")).alias("taxid")), "taxid", merged))
+        return candidates.known_taxa(ranked, canon.select("taxid"), merged).join(true, "id")
+
+    pairs = kept("pairs", candidate_pairs)
+
+    def whole() -> DataFrame:
+        rows = features.feature_rows(features.bin_features(binned, pairs.select("id", "taxid", "taxon"), canon, nodes))
+        labels = candidates.labels(pairs, canon).select("id", "taxon", "true_taxon", F.array(*(F.col(f"label_{r}").cast("byte") for r in RANKS)).alias("labels"))
+        ranks = nodes.select(F.col("taxid").alias("taxon"), rank_index(canonical_rank(F.col("rank"))).alias("rank_index"))
+        out = rows.join(labels.dropDuplicates(["id", "taxon"]), ["id", "taxon"]).join(pairs.groupBy("id", "taxon").agg(F.min("pos").alias("pos")), ["id", "taxon"])
+        return out.join(taxonomy.sized(ranks), "taxon", "left").fillna(-1, ["rank_index"])
+
+    return kept("features", whole)
 
 
 def _truth(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
@@ -82,13 +99,20 @@ def _extract_train_data(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _extract(spark: SparkSession, a: argparse.Namespace, truth: DataFrame | None = None, choose: Choice | None = None, **settings: object) -> None:
     nodes, merged = readers.taxonomy(spark, a.db_dir)
-    rows = stored(feature_table(readers.classified_reads(spark, a.file_path), nodes, merged, a.min_tax_kmers, a.max_bins_per_seq, truth, choose), "features")
-    n = rows.count()
+    folder = a.cache_dir or a.output_path.rstrip("/") + ".intermediates"
+    inputs = [p for p in (a.file_path, a.db_dir, getattr(a, "mess_truth_file", None), getattr(a, "mess_input_file", None)) if p]
+    chosen = {k: v for k, v in settings.items() if k != "target_length"} | ({"seed": a.seed} if choose else {})
+    own = Intermediates(spark, folder, inputs, min_tax_kmers=a.min_tax_kmers, max_bins=a.max_bins_per_seq, command=a.command, **chosen)
+    rows = feature_table(readers.classified_reads(spark, a.file_path), nodes, merged, a.min_tax_kmers, a.max_bins_per_seq, truth, choose, own)
+    own.note(a.output_path)
+    sweep(spark, folder)
+    if own.counts["repeated"]:
+        raise Stop(f"{own.counts['repeated']} read ids occur more than once")
+    n = sinks.write_shards(rows, a.output_path, a.shard_size, a.to_dtype, a.target_length)
     if not n:
         raise Stop("no read has evidence for a known taxon")
-    sinks.write_shards(rows, a.output_path, a.shard_size, a.to_dtype, a.target_length)
-    files = readers.shard_sizes(readers.shards(spark, a.output_path)).count()
-    sinks.write_manifest(spark, a.output_path.rstrip("/") + ".manifest", [a.output_path], n, files, source=a.file_path, shard_size=a.shard_size, dtype=a.to_dtype, min_tax_kmers=a.min_tax_kmers, **settings)
+    counts = {"reads": own.counts["reads"] or 0, "dropped_reads": own.counts["dropped"]}
+    sinks.write_manifest(spark, a.output_path.rstrip("/") + ".manifest", a.output_path, n, source=a.file_path, shard_size=a.shard_size, dtype=a.to_dtype, min_tax_kmers=a.min_tax_kmers, **counts, **settings)
 
 
 #: Networks by name: seeded weights, and logits.
@@ -104,7 +128,7 @@ def _scored(rows: DataFrame, a: argparse.Namespace, batch: int = 128, half: bool
         if {k: v.shape for k, v in found.items()} != {k: v.shape for k, v in weights.items()}:
             raise Stop(f"{a.model_path} doesn't hold the weights of the network {a.network}")
         weights = found
-    return scoring.score(rows, weights, batch, half, network)
+    return scoring.score(rows, weights, batch, half, network, a.pad_mode)
 
 
 def _filter(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -180,9 +204,8 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
         raise Stop("give --train and --val, or --input for both")
     own = training.Settings(a.epochs, a.batch, a.parallel, a.lr, crop=a.crop_max, shards=a.shards_per_epoch, per_shard=a.samples_per_shard, seed=a.seed)
     for rank in [*(RANKS if a.ranks else ()), *([a.rank] if a.rank else ()), None]:
-        rows, check = readers.shards(spark, a.train or a.input), readers.shards(spark, a.val or a.input)
-        if rank:
-            rows, check = (x.where(F.col("rank_index") == RANKS.index(rank)) for x in (rows, check))
+        paths = a.train or a.input, a.val or a.input
+        rows, check = (ranked_rows.rows_of_rank(spark, p, RANKS.index(rank), a.rank_cache) if rank else readers.shards(spark, p) for p in paths)
         try:
             notes = training.train(rows, _sampled(check, a), f"{a.save}_per-rank" + (f"_{rank}" if rank else ""), own)
         except ValueError as error:
@@ -217,6 +240,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--to-dtype", choices=("float32", "float16", "bfloat16", "fp32", "fp16", "bf16"), default="float32")
         p.add_argument("--target-length", type=int, default=1024 if train else 0)
         p.add_argument("--min-tax-kmers", type=int, default=10 if train else 0)
+        p.add_argument("--cache-dir", help="tables that a later run with the same inputs reads; beside the output without it")
         p.set_defaults(run=run)
     p.add_argument("--format", choices=("parquet", "shards"), default="parquet", help="parquet keeps every bin, shards have --target-length bins")
     p.add_argument("--mess-truth-file")
@@ -241,6 +265,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--lr", type=float, default=1e-3)
     p.add_argument("--save", default="model", help="folders of this name with the target, and the rank, behind it")
     p.add_argument("--target", choices=("per-rank",), default="per-rank", help="labels of every rank; losses of a single one need no such network")
+    p.add_argument("--rank-cache", help="folder for the index of rows by rank; beside the shards without it")
     which = p.add_mutually_exclusive_group()
     which.add_argument("--rank", choices=RANKS)
     which.add_argument("--ranks", action="store_true")
@@ -260,13 +285,16 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--model-path", help="npz file, or the folder best of a training run")
         q.add_argument("--network", choices=tuple(NETWORKS), default="cnn")
         q.add_argument("--seed", type=int, default=667)
+        q.add_argument("--pad-mode", choices=scoring.PADS, default="true_length")
     return top
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        args.run(spark or local_session(), args)
+        spark = spark or local_session()
+        with scratch(spark):
+            args.run(spark, args)
     except (Stop, readers.MissingTaxonomy) as error:
         print(error, file=sys.stderr)
         return 1

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -52,12 +54,54 @@ def share_code(spark: SparkSession) -> None:
         own["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """A path and the file system that it lies in, as Spark reaches them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """The tables that ``stored`` wrote since ``scratch`` was entered."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, None] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The table that was stored stays."""
+        self.paths.pop(getattr(df, "_taxaloom_path", ""), None)
+        return df
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Remove the tables that are stored within, once it is left, however it is; those that are kept stay.
+
+    For what ends in a file, a table or an action: what is returned from within must not read them any more.
+    """
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+        for path in own.paths:
+            at, files = file_system(spark, path)
+            files.delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].paths[path] = None
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._taxaloom_path = path
+    return out
 
 
 def observed(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:

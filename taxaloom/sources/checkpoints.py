@@ -7,18 +7,15 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import file_system
+
 SCHEMA = "name string, kind string, shape array<int>, value binary"
 Arrays = dict[str, np.ndarray]
 
 
-def _place(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """Committed versions in ascending order; one that was only half written has no marker and doesn't count."""
-    at, files = _place(spark, f"{folder.rstrip('/')}/version-*/_SUCCESS")
+    at, files = file_system(spark, f"{folder.rstrip('/')}/version-*/_SUCCESS")
     return sorted(int(x.getPath().getParent().getName().removeprefix("version-")) for x in files.globStatus(at) or ())
 
 
@@ -42,7 +39,7 @@ def save(spark: SparkSession, folder: str, version: int, arrays: Arrays, notes:
     folder = folder.rstrip("/")
     _rows(spark, arrays, notes).write.mode("overwrite").parquet(f"{folder}/version-{version:012d}")
     stay = {f"version-{v:012d}" for v in versions(spark, folder)[-keep:]}
-    at, files = _place(spark, f"{folder}/version-*")
+    at, files = file_system(spark, f"{folder}/version-*")
     for x in files.globStatus(at) or ():
         if x.getPath().getName() not in stay:
             files.delete(x.getPath(), True)

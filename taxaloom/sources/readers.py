@@ -81,15 +81,38 @@ def manifest(spark: SparkSession, path: str) -> dict:
     return spec
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """A shard folder, or the folders and files that a manifest (``*.json``, or a folder ``*.manifest``) lists."""
+    if not path.rstrip("/").endswith((".json", ".manifest")):
+        return [path]
+    base = path.rstrip("/").rsplit("/", 1)[0]
+    return [p if p.startswith("/") or "://" in p or p.startswith("file:/") else f"{base}/{p}" for p in manifest(spark, path)["outputs"]]
+
+
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """Feature rows of a shard folder, or of the folders that a manifest (``*.json``) lists, with a ``shard`` column."""
-    folders = [path]
-    if path.endswith(".json"):
-        base = path.rsplit("/", 1)[0]
-        folders = [p if p.startswith("/") or "://" in p else f"{base}/{p}" for p in manifest(spark, path)["outputs"]]
-    return spark.read.parquet(*folders).withColumn("shard", F.col("_metadata.file_name"))  # filters on it prune files
+    """Feature rows of a shard folder, or of what a manifest lists, with a ``shard`` column."""
+    return spark.read.parquet(*folders(spark, path)).withColumn("shard", F.col("_metadata.file_name"))  # filters on it prune files
 
 
 def shard_sizes(rows: DataFrame) -> DataFrame:
-    """shard, n: row counts (answered from footers where nothing else is read)."""
+    """shard, n: row counts. No column is read, so each task answers from the footers of its files."""
     return rows.groupBy("shard").agg(F.count("*").alias("n"))
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """shard, n of a shard folder or manifest, as a manifest with ``sizes`` says, else from footers.
+
+    Sizes that are not as many as the outputs, or not those of the footers, are a ValueError.
+    """
+    found = shard_sizes(shards(spark, path))
+    said = manifest(spark, path).get("sizes") if path.rstrip("/").endswith((".json", ".manifest")) else None
+    if said is None:
+        return found
+    names = [p.rsplit("/", 1)[-1] for p in folders(spark, path)]
+    if len(names) != len(said):
+        raise ValueError(f"{path} has {len(said)} sizes for {len(names)} outputs")
+    told = spark.createDataFrame(list(zip(names, map(int, said), strict=True)), "shard string, n long")
+    wrong = told.alias("t").join(found.alias("f"), "shard", "full_outer").where(~F.col("t.n").eqNullSafe(F.col("f.n"))).where("coalesce(t.n, 0) <> coalesce(f.n, 0)")
+    if first := wrong.select("shard", F.col("t.n").alias("said"), F.col("f.n").alias("held")).first():
+        raise ValueError(f"{path} says {first['said']} rows of {first['shard']}, which holds {first['held']}")
+    return told

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ranks import RANKS
 from ..operators.tensors import resample_channels, to_dtype
+from .readers import shard_sizes, shards
 
 # The columns of refined calls in their order.
 CALL_COLUMNS = (
@@ -17,20 +18,31 @@ CALL_COLUMNS = (
 )
 
 
-def write_shards(rows: DataFrame, path: str, shard_size: int = 4096, dtype: str = "float32", target_length: int = 0) -> None:
-    """Feature rows with 22 channels as Parquet files of at most ``shard_size`` rows; other rows are left out.
+def write_shards(rows: DataFrame, path: str, shard_size: int = 4096, dtype: str = "float32", target_length: int = 0) -> int:
+    """Feature rows with 22 channels as Parquet files of at most ``shard_size`` rows; other rows are left out. Returns the rows.
 
     With a ``target_length`` every channel is resampled to as many bins. Values are rounded to what ``dtype`` holds and
-    stored as floats; ``length`` keeps the bins of the read.
+    stored as floats; ``length`` keeps the bins of the read. Rows are counted while they are written.
     """
     good = rows.where(F.forall("bins", lambda b: F.size(b) == 22) & (F.size("bins") > 0)).withColumn("length", F.size("bins"))
     bins = F.transform("bins", lambda b: F.transform(b, lambda x: to_dtype(x, dtype)))
-    good.withColumn("bins", resample_channels(F.col("bins"), target_length)).withColumn("bins", bins).write.mode("overwrite").option("maxRecordsPerFile", shard_size).parquet(path)
+    shaped, seen = good.withColumn("bins", resample_channels(F.col("bins"), target_length)).withColumn("bins", bins), Observation()
+    shaped.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").option("maxRecordsPerFile", shard_size).parquet(path)
+    return seen.get["rows"]
 
 
-def write_manifest(spark, path: str, outputs: list[str], rows: int, files: int, **settings: object) -> None:
-    """The JSON that describes a shard folder, as one text file in the folder ``path``."""
-    spec = {"outputs": outputs, "channels": 22, "counts": {"approx_rows": rows, "files": files}, "labels": {"order": ",".join(RANKS)}} | settings
+#: Files that a manifest lists one by one; a larger folder is listed as a whole.
+LISTED = 100_000
+
+
+def write_manifest(spark, path: str, folder: str, rows: int, **settings: object) -> None:
+    """The JSON that describes a shard folder, as one text file in the folder ``path``: its files, and the rows that footers say.
+
+    Files come from what the job committed, so a failed attempt of a task leaves no entry.
+    """
+    files = sorted((r["shard"], r["n"]) for r in shard_sizes(shards(spark, folder)).limit(LISTED + 1).collect()) if rows else []
+    listed = {"outputs": [f"{folder.rstrip('/')}/{name}" for name, _ in files], "sizes": [n for _, n in files]} if len(files) <= LISTED else {"outputs": [folder]}
+    spec = listed | {"channels": 22, "counts": {"approx_rows": rows, "files": len(files)}, "labels": {"order": ",".join(RANKS)}} | settings
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 

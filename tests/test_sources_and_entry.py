@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from taxaloom import cli
 from taxaloom.functions.ranks import RANKS
-from taxaloom.sources import readers, sinks
+from taxaloom.sources import intermediates, rank_index as ranked, readers, sinks
 from taxaloom.streaming import reads as streams
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -81,6 +81,26 @@ def test_shards_of_a_length_and_type(spark, folder):
     assert got["length"] == 4 and len(got["bins"]) == 7 and [b[0] for b in got["bins"][::3]] == [0.0, 0.5, 1.0] and got["bins"][2][0] == 0.333984375
 
 
+def test_stream_of_unique_reads(spark, folder):
+    (folder / "in").mkdir()
+    (folder / "in" / "a.tsv").write_text(READS)
+    seen = []
+
+    def run():
+        query = streams.start(streams.unique(streams.stream(spark, str(folder / "in"))), lambda batch: batch, lambda df, n: seen.extend(r["id"] for r in df.collect()), str(folder / "state"))
+        query.awaitTermination(120)
+        return query
+
+    run()
+    assert sorted(seen) == ["r1", "r10", "r2"]
+    (folder / "in" / "b.tsv").write_text("U\tr3\tx\t1\t\n")
+    run()
+    assert sorted(seen) == ["r1", "r10", "r2", "r3"]
+    (folder / "in" / "c.tsv").write_text("U\tr2\tx\t1\t\n")  # of the first batch
+    with pytest.raises(Exception, match="r2 occurs more than once"):
+        run()
+
+
 def test_stream(spark, folder):
     (folder / "in").mkdir()
     (folder / "in" / "a.tsv").write_text(READS)
@@ -90,6 +110,85 @@ def test_stream(spark, folder):
     assert sorted(seen) == [("r1", 0, 2), ("r1", 60, 30), ("r1", 61, 10), ("r2", 0, 50)]
 
 
+def files_under(path):
+    return sorted(str(p) for p in Path(path).rglob("*.parquet")) if Path(path).exists() else []
+
+
+def test_a_second_run_reads_what_the_first_has_made(spark, folder, monkeypatch):
+    db, out, cache = str(folder / "db"), str(folder / "out"), folder / "cache"
+    assert cli.main(["setup", db, "--dump", str(folder / "dump")], spark) == 0
+    base = ["extract", str(folder / "reads.tsv"), out, db, "--cache-dir", str(cache)]
+    runs = []
+
+    class Watched(intermediates.Intermediates):
+        def __init__(self, *a, **k):
+            super().__init__(*a, **k)
+            runs.append(self)
+
+    monkeypatch.setattr(cli, "Intermediates", Watched)
+    (folder / "scratch").mkdir()
+    monkeypatch.setattr(spark, "_taxaloom_dir", f"file://{folder}/scratch", raising=False)
+    assert cli.main(base, spark) == 0 and runs[-1].made == ["canonical", "reads", "pairs", "features"]
+    assert not files_under(folder / "scratch")  # scratch tables go with the command
+    first, kept = readers.shards(spark, out).drop("shard").collect(), files_under(cache)
+    assert cli.main(base, spark) == 0 and runs[-1].made == [] and files_under(cache) == kept
+    assert readers.shards(spark, out).drop("shard").collect() == first
+    (marker,) = cache.glob("pairs-*/_SUCCESS")
+    marker.unlink()  # as if the run had died while it wrote them
+    assert cli.main(base, spark) == 0 and runs[-1].made == ["pairs"]
+    assert cli.main([*base, "--min-tax-kmers", "20"], spark) == 0 and len(runs[-1].made) == 4
+    assert len(list(cache.glob("pairs-*"))) == 1  # of the run before, which nothing refers to now
+    assert {r["taxon"] for r in readers.shards(spark, out).collect()} == {60}
+    other = str(folder / "other")
+    assert cli.main([*base[:2], other, *base[3:]], spark) == 0 and len(list(cache.glob("pairs-*"))) == 2
+    (folder / "reads.tsv").write_text(READS.replace("61:10", "61:11"))
+    assert cli.main(base, spark) == 0 and len(runs[-1].made) == 4 and len(list(cache.glob("pairs-*"))) == 2
+
+
+def test_manifest_counts_and_sizes(spark, folder):
+    db, out = str(folder / "db"), str(folder / "out")
+    assert cli.main(["setup", db, "--dump", str(folder / "dump")], spark) == 0
+    (folder / "reads.tsv").write_text(READS + "C\tlost\tx (taxid 77)\t80\t60:5\n")
+    base = ["extract", str(folder / "reads.tsv"), out, db, "--shard-size", "1"]
+    assert cli.main(base, spark) == 0
+    spec = readers.manifest(spark, out + ".manifest")
+    assert spec["counts"] == {"approx_rows": 2, "files": 2} and spec["sizes"] == [1, 1] and (spec["reads"], spec["dropped_reads"]) == (3, 1)
+    assert sorted(r["n"] for r in readers.sizes(spark, out + ".manifest").collect()) == [1, 1]
+    assert "ReadSchema: struct<>" in readers.shard_sizes(readers.shards(spark, out))._jdf.queryExecution().toString()
+    for name, change in (("few", {"sizes": [1]}), ("wrong", {"sizes": [1, 2]})):
+        (folder / f"{name}.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            readers.sizes(spark, str(folder / f"{name}.json"))
+    (folder / "bare.json").write_text(json.dumps({"outputs": ["out"]}))
+    assert readers.sizes(spark, str(folder / "bare.json")).count() == 2
+    (folder / "reads.tsv").write_text(READS + READS)
+    assert cli.main(base, spark) == 1  # ids that occur twice
+
+
+def test_rank_index_opens_only_the_files_that_hold_a_rank(spark, folder):
+    shards = str(folder / "shards")
+    rows = [(f"r{k}", k, [[0.5] * 22], (k // 10) if k % 3 else None) for k in range(60)]
+    spark.createDataFrame(rows, "id string, taxon long, bins array<array<float>>, rank_index int").repartitionByRange(6, "taxon").write.parquet(shards)
+    index = ranked.index(spark, shards)
+    want = {}
+    for *_, r in rows:
+        want[-1 if r is None else r] = want.get(-1 if r is None else r, 0) + 1
+    assert {r["rank_index"]: r["n"] for r in ranked.stats(index).collect()} == want
+    got = ranked.rows_of_rank(spark, shards, 4)
+    assert {r["id"] for r in got.collect()} == {x[0] for x in rows if x[3] == 4} and len(got.inputFiles()) == 1
+    places = {(r["shard"], r["row"]) for r in ranked.places(index, 4).collect()}
+    own = spark.read.parquet(shards).select("_metadata.file_path", "_metadata.row_index", "rank_index").collect()
+    assert places == {(r["file_path"], r["row_index"]) for r in own if r["rank_index"] == 4}
+    assert ranked.rows_of_rank(spark, shards, 9).count() == 0
+    before = files_under(shards + ".rank_index")
+    ranked.index(spark, shards)
+    assert files_under(shards + ".rank_index") == before
+    spark.createDataFrame(rows[:1], "id string, taxon long, bins array<array<float>>, rank_index int").write.mode("append").parquet(shards)
+    assert ranked.stats(ranked.index(spark, shards)).agg(F.sum("n")).first()[0] == 61
+    spark.createDataFrame([x[:3] for x in rows], "id string, taxon long, bins array<array<float>>").write.parquet(str(folder / "bare"))
+    assert ranked.rows_of_rank(spark, str(folder / "bare"), 4).count() == 60
+
+
 def test_commands(spark, folder):
     db, out = str(folder / "db"), str(folder / "out")
     assert cli.main(["extract", str(folder / "reads.tsv"), out, db], spark) == 1  # no taxonomy yet
