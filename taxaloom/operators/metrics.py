@@ -5,37 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import observed, stored
+from . import order
 from .taxonomy import sized
 
 
-#: Ranges of score that the samples of a group are dealt to.
-RANGES = 64
-
-
 def _curve(scored: DataFrame, by: list[str], ties: str) -> DataFrame:
     """Cumulative true and false positives by descending score, within groups of ``by``.
 
     ``ties='order'`` takes rows one at a time, ties in the order of ``pos``; ``'merged'`` takes equal scores as one step.
-    Samples are dealt to ranges of score by approximate percentiles of their group, so windows run over a range and not
-    over a whole group; counts of the ranges above are added, in integers. Where the boundaries fall changes no result.
+    Steps are written once and counted on the way. Where they are more than a range of ``order`` holds, they are dealt to
+    ranges of score, so that windows run over a range and not over a group, and the sums of the ranges before are added, in
+    integers. Where the ranges end changes no result.
     """
-    scored = scored.withColumn("y", F.col("y").cast("bigint"))
-    inner = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
-    bounds = scored.groupBy(*by).agg(F.percentile_approx("score", inner).alias("bounds"), F.sum("y").alias("p"), F.count("*").alias("n"))
+    y = F.col("y").cast("bigint")
     if ties == "merged":
-        steps = scored.groupBy(*by, "score").agg(F.sum("y").alias("tp1"), F.count("*").alias("n1"), F.min("pos").alias("pos"))
+        steps = scored.groupBy(*by, "score").agg(F.sum(y).alias("tp1"), F.count("*").alias("n1"), F.min("pos").alias("pos"))
+    else:
+        steps = scored.select(*by, "score", "pos", y.alias("tp1"), F.lit(1).cast("bigint").alias("n1"))
+    steps, seen = observed(steps, "curve", n=F.count("*"))
+    if seen["n"] <= order.PER:
+        out = steps.withColumns({c: F.lit(0).cast("bigint") for c in ("tps", "ns", "ks")})
+        totals, own = Window.partitionBy(*by), by
+        out = out.withColumns({"p": F.sum("tp1").over(totals), "n": F.sum("n1").over(totals)})
     else:
-        steps = scored.select(*by, "score", "pos", F.col("y").alias("tp1"), F.lit(1).cast("bigint").alias("n1"))
-    bounds = sized(stored(bounds, "score-ranges"))
-    dealt = steps.join(bounds, by).withColumn("range", F.size(F.filter("bounds", lambda x: x > F.col("score")))).drop("bounds")
-    above = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*by, "range").agg(F.sum("tp1").alias("tps"), F.sum("n1").alias("ns"), F.count("*").alias("ks"))
-    before = sums.select(*by, "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("tps", "ns", "ks")))
-    order = Window.partitionBy(*by, "range").orderBy(F.desc("score"), "pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(sized(before), [*by, "range"])
-    out = out.withColumns({"tp": F.sum("tp1").over(upto) + F.col("tps"), "seen": F.sum("n1").over(upto) + F.col("ns"), "k": (F.row_number().over(order) + F.col("ks")).cast("int")})
+        parts = order.dealt(steps, seen["n"], *map(F.col, by), F.desc("score"), F.col("pos"))
+        sums = parts.groupBy(*by, "part").agg(F.sum("tp1").alias("tps"), F.sum("n1").alias("ns"), F.count("*").alias("ks"))  # a row a range and group
+        totals = Window.partitionBy(*by)
+        above = totals.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.select(*by, "part", F.sum("tps").over(totals).alias("p"), F.sum("ns").over(totals).alias("n"), *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("tps", "ns", "ks")))
+        out, own = parts.join(sized(stored(base, "curve-ranges")), [*by, "part"]), [*by, "part"]
+    down = Window.partitionBy(*own).orderBy(F.desc("score"), "pos")
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({"tp": F.sum("tp1").over(upto) + F.col("tps"), "seen": F.sum("n1").over(upto) + F.col("ns"), "k": (F.row_number().over(down) + F.col("ks")).cast("int")})
     out = out.withColumn("fp", F.col("seen") - F.col("tp"))
     return out.withColumns({"tp0": F.col("tp") - F.col("tp1"), "fp0": F.col("fp") - (F.col("n1") - F.col("tp1")), "seen0": F.col("seen") - F.col("n1")})
 

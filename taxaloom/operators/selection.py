@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import RANKS
 from ..functions.tokens import finite
+from .taxonomy import sized
 
 # Probabilities this close are ties.
 RTOL, ATOL = 1e-12, 1e-15
@@ -73,6 +74,6 @@ def back_off(calls: DataFrame, ancestors: DataFrame) -> DataFrame:
     ``ancestors`` is keyed by taxid with a column for each rank.
     """
     own = ancestors.select(F.col("taxid").alias("taxon"), *(F.col(r).alias(f"_a_{r}") for r in RANKS))
-    out = calls.join(own, "taxon", "left")
+    out = calls.join(sized(own), "taxon", "left")
     anc = F.coalesce(*(F.when(F.col("chosen_rank") == r, F.col(f"_a_{r}")) for r in RANKS))
     return out.withColumn("final_taxid", F.when(F.col("chosen_rank").isNotNull(), F.coalesce(anc, "taxon"))).select(*calls.columns, "final_taxid")

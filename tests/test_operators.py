@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from taxaloom.functions import ranks, tokens
 from taxaloom.functions.ranks import RANKS
-from taxaloom.operators import bins, calibration, candidates, features, metrics, residual, sampling, scoring, selection, taxonomy, tensors
+from taxaloom.operators import bins, calibration, candidates, features, metrics, order, residual, sampling, scoring, selection, taxonomy, tensors
 
 NODES = [(1, 1, "no rank"), (2, 1, "superkingdom"), (10, 2, "phylum"), (20, 10, "class"), (30, 20, "order"), (40, 30, "family"), (50, 40, "genus"), (60, 50, "species"), (61, 50, "species")]
 
@@ -216,9 +216,9 @@ def test_lineage_focal_is_the_loop(spark):
     assert spark.createDataFrame([([1.0] * 7, [-1] * 7)], "x array<double>, y array<int>").agg(metrics.lineage_focal(F.col("x"), F.col("y"))).first()[0] == 0
 
 
-@pytest.mark.parametrize("ranges", [2, 64])
-def test_curves_over_ranges(spark, monkeypatch, ranges):
-    monkeypatch.setattr(metrics, "RANGES", ranges)
+@pytest.mark.parametrize("per", [7, 200, 10**6])
+def test_curves_over_ranges(spark, monkeypatch, per):
+    monkeypatch.setattr(order, "PER", per)
     draw = random.Random(4)
     rows = [(h, draw.choice([0.1, 0.5, draw.random()]), draw.randint(0, 1), k) for h in "ab" for k in range(150)]
     frame = spark.createDataFrame([*rows, ("c", 0.5, 1, 0)], "head string, score double, y int, pos long")
@@ -292,9 +292,9 @@ def test_pava_is_the_minmax_formula(points):
     assert np.allclose(np.interp(xs, x, y), want)
 
 
-@pytest.mark.parametrize("ranges", [2, 64])
-def test_isotonic_fit_over_ranges(spark, monkeypatch, ranges):
-    monkeypatch.setattr(calibration, "RANGES", ranges)
+@pytest.mark.parametrize("per", [7, 200, 10**6])
+def test_isotonic_fit_over_ranges(spark, monkeypatch, per):
+    monkeypatch.setattr(order, "PER", per)
     draw = random.Random(8)
     rows = [("h", draw.choice([draw.random(), 0.25, 0.25 + 1e-9]), draw.randint(0, 1)) for _ in range(400)]
     got = sorted((r["x"], r["y"]) for r in calibration.fit(spark.createDataFrame([*rows, ("i", 0.5, 1), ("i", None, 0)], "head string, score double, y int")).where("head = 'h'").collect())
@@ -304,6 +304,38 @@ def test_isotonic_fit_over_ranges(spark, monkeypatch, ranges):
     assert len(got) == len(x) and np.allclose(np.array(got), np.stack([x, y], axis=1), rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("per", [3, 10**6])
+def test_calibration_by_order_is_that_by_broadcast(spark, monkeypatch, per):
+    monkeypatch.setattr(order, "PER", per)
+    draw = random.Random(per)
+    fits = {h: sorted({draw.random() for _ in range(12)}) for h in "ab"} | {"one": [0.5]}
+    points = spark.createDataFrame([(h, x, k / 12) for h, xs in fits.items() for k, x in enumerate(xs)], "head string, x double, y double")
+    scores = [(draw.choice(["a", "b", "one", "none"]), draw.choice([None, draw.random() * 1.4 - 0.2, *fits["a"]]), k) for k in range(80)]
+    rows = spark.createDataFrame(scores, "head string, score double, pos int")
+    want = sorted(map(str, calibration.apply(rows, points).collect()))
+    monkeypatch.setattr(calibration, "MOST", 0)
+    assert sorted(map(str, calibration.apply(rows, points).collect())) == want
+
+
+@pytest.mark.parametrize("per", [4, 10**6])
+def test_places_in_one_order(spark, monkeypatch, per):
+    monkeypatch.setattr(order, "PER", per)
+    frame = spark.range(50).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(9)))
+    got = [(r["x"], r["id"], r["at"]) for r in order.numbered(frame, "at", F.desc("x"), F.col("id")).orderBy("at").collect()]
+    assert got == [(x, i, k) for k, (x, i) in enumerate(sorted(((x, i) for x, i, _ in got), key=lambda p: (-p[0], p[1])))] and len(got) == 50
+    shards = frame.select(F.col("id").alias("shard"))
+    whole = {r["shard"]: r["turn"] for r in sampling.epoch_shards(shards, 5, 2).collect()}
+    assert sorted(whole.values()) == list(range(50))
+    assert {r["shard"]: r["turn"] for r in sampling.epoch_shards(shards, 5, 2, 7).collect()} == {s: t for s, t in whole.items() if t < 7}
+
+
+def test_locate_beside_a_long_shard(spark):
+    sizes = [(0, 1), (1, 400), (2, 0), *((k, 1) for k in range(3, 40))]
+    found = sampling.locate(spark.range(-2, 450).withColumnRenamed("id", "i"), sampling.offsets(spark.createDataFrame(sizes, "shard int, n long")))
+    want = [(s, r) for s, n in sizes for r in range(n)]
+    assert sorted((r["i"], r["shard"], r["row"]) for r in found.collect()) == [(i, *x) for i, x in enumerate(want)]
+
+
 def test_network(spark):
     weights = scoring.random_weights(1)
     x = np.random.default_rng(0).random((2, 22, 6), np.float32)
