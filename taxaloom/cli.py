@@ -1,4 +1,4 @@
-"""Commands: setup, extract, extract_train_data, train, filter, evaluate, calibrate. Each returns 0, or 1 with a message where its input is missing."""
+"""Commands: setup, extract, extract_train_data, split, train, filter, evaluate, calibrate. Each returns 0, or 1 with a message where its input is missing."""
 
 from __future__ import annotations
 
@@ -138,8 +138,10 @@ def _filter(spark: SparkSession, a: argparse.Namespace) -> None:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER" in str(error):
             raise Stop(f"no shards in {a.input_shards}") from error
         raise
-    if rows.isEmpty():
-        raise Stop("the shards hold no rows")
+    if a.split_dir:
+        rows = readers.in_split(rows, a.split_dir, a.split)
+    if rows.where(F.size("bins") > 0).isEmpty():
+        raise Stop("the shards hold no rows with bins")
     nodes, _ = readers.taxonomy(spark, a.db_dir)
     scored = _scored(rows, a, a.batch_size, a.downcast == "fp16").join(rows.select("id", "taxon", "pos"), ["id", "taxon"])
     scored = stored(scored, "scored")
@@ -206,6 +208,8 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
     for rank in [*(RANKS if a.ranks else ()), *([a.rank] if a.rank else ()), None]:
         paths = a.train or a.input, a.val or a.input
         rows, check = (ranked_rows.rows_of_rank(spark, p, RANKS.index(rank), a.rank_cache) if rank else readers.shards(spark, p) for p in paths)
+        if a.split_dir:
+            rows, check = readers.in_split(rows, a.split_dir, "train"), readers.in_split(check, a.split_dir, "val")
         try:
             notes = training.train(rows, _sampled(check, a), f"{a.save}_per-rank" + (f"_{rank}" if rank else ""), own)
         except ValueError as error:
@@ -217,6 +221,10 @@ def _train(spark: SparkSession, a: argparse.Namespace) -> None:
             print(f"{rank or 'all'}: epoch {epoch}, loss {loss:.4f}, over validation rows {over:.4f}")
 
 
+def _split(spark: SparkSession, a: argparse.Namespace) -> None:
+    sinks.write_split(readers.shards(spark, a.input_shards), a.output_path, a.share, a.seed)
+
+
 def _calibrate(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = readers.shards(spark, a.input_shards)
     calibration.fit(_heads(rows, _scored(rows, a))).write.mode("overwrite").parquet(a.output_path)
@@ -270,6 +278,14 @@ def parser() -> argparse.ArgumentParser:
     which.add_argument("--rank", choices=RANKS)
     which.add_argument("--ranks", action="store_true")
     p.set_defaults(run=_train)
+    for q in (p, sub.choices["filter"]):
+        q.add_argument("--split-dir", help="parts of the rows, as split writes them")
+    sub.choices["filter"].add_argument("--split", choices=("train", "val"), default="val", help="the part to filter, with --split-dir")
+    p = sub.add_parser("split", help="deal the rows of shards to train and val")
+    p.add_argument("input_shards")
+    p.add_argument("output_path")
+    p.add_argument("--share", type=float, default=0.2)
+    p.set_defaults(run=_split)
     for name, run in (("evaluate", _evaluate), ("calibrate", _calibrate)):
         q = sub.add_parser(name, help="metrics of labelled shards" if name == "evaluate" else "isotonic fits of labelled shards")
         q.add_argument("input_shards")

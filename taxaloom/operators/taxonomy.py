@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import RANKS, canonical_rank, exact_rank
+from ..functions.ranks import RANKS, canonical_rank, cutoff_by_world, exact_rank
 from ..session import observed, stored
 
 #: Deeper trees than this are taken to hold a cycle.
@@ -117,6 +117,27 @@ def is_below(node: Column, first: Column, last: Column) -> Column:
     return (node > first) & (node <= last)
 
 
+def described(taxids: DataFrame, lineages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``taxids`` (taxid) -> taxid, rank, path: an unknown taxid has rank no_rank and an empty path."""
+    ranks = nodes.select(F.col("taxid").alias("_node"), F.col("rank"))
+    out = taxids.select("taxid").distinct().join(paths(lineages), "taxid", "left")
+    out = out.join(sized(ranks), F.element_at("path", -1) == F.col("_node"), "left")
+    return out.select("taxid", F.coalesce("rank", F.lit("no_rank")).alias("rank"), F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
+
+
+def exclusions(samples: DataFrame, canon: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``samples`` (id, world, taxon) -> id, world, cutoff, index, is_excluded, level: how deep each may be called.
+
+    ``excluded`` (level, taxid) lists the species, genera and families that are left out of the reference; a sample is met
+    by its canonical ancestor at the level. Ancestors that are missing are not excluded; a listed pair may be repeated.
+    """
+    out = samples.join(sized(canon.select(F.col("taxid").alias("taxon"), "species", "genus", "family")), "taxon", "left")
+    for level in ("species", "genus", "family"):
+        listed = excluded.where(F.col("level") == level).select(F.col("taxid").alias(level), F.lit(True).alias(f"{level}_out")).distinct()
+        out = out.join(sized(listed), level, "left")
+    return out.select("id", "world", cutoff_by_world(F.col("world"), *(F.col(f"{x}_out") for x in ("species", "genus", "family"))).alias("c")).select("id", "world", "c.*")
+
+
 def canonical(lineages: DataFrame, nodes: DataFrame) -> DataFrame:
     """taxid with a column for each canonical rank: the ancestor nearest the root whose rank is read as that one."""
     ranked = lineages.join(sized(nodes.select(F.col("taxid").alias("anc"), canonical_rank(F.col("rank")).alias("rank"))), "anc")

@@ -167,6 +167,14 @@ ORACLE: dict[str, str] = {
         FROM (SELECT id, coalesce(new, taxid) AS taxon, sum(cnt) AS cnt FROM runs LEFT JOIN merged ON old = taxid WHERE taxid <> 0 GROUP BY ALL) c
         JOIN (SELECT id, coalesce(new, reported) AS rep FROM reads LEFT JOIN merged ON old = reported WHERE classified = 'C') o USING (id)
         JOIN nodes a ON a.taxid = taxon JOIN nodes b ON b.taxid = rep LEFT JOIN (SELECT DISTINCT taxid, anc FROM lineage) l ON l.taxid = taxon AND l.anc = rep GROUP BY c.id"""),
+    "q_described": _with("""SELECT t.taxid, coalesce(any_value(rank), 'no_rank') AS rank, coalesce(string_agg(anc::VARCHAR, ',' ORDER BY depth), '') AS path
+        FROM (SELECT taxid FROM taxids UNION SELECT 8000000 + p_partkey FROM part) t LEFT JOIN lineage l USING (taxid) LEFT JOIN merged ON old = t.taxid LEFT JOIN nodes n ON n.taxid = coalesce(new, t.taxid) GROUP BY t.taxid"""),
+    "q_exclusions": _with("""SELECT id, world, cutoff, CAST(list_position(['superkingdom', 'phylum', 'class', 'order', 'family', 'genus', 'species'], cutoff) - 1 AS INTEGER) AS cutoff_index, level <> 'none' AS is_excluded, level
+        FROM (SELECT *, CASE level WHEN 'species' THEN 'genus' WHEN 'genus' THEN 'family' WHEN 'family' THEN 'order' ELSE 'species' END AS cutoff FROM (
+            SELECT id, world, CASE WHEN world = 'S' AND s.taxid IS NOT NULL THEN 'species' WHEN world = 'G' AND g.taxid IS NOT NULL THEN 'genus' WHEN world = 'F' AND f.taxid IS NOT NULL THEN 'family' ELSE 'none' END AS level
+            FROM (SELECT id, ['CORE', 'S', 'G', 'F', 'other'][key % 5 + 1] AS world, coalesce(new, reported) AS taxon FROM reads LEFT JOIN merged ON old = reported WHERE classified = 'C' AND has) r
+            LEFT JOIN canon c ON c.taxid = r.taxon LEFT JOIN nodes s ON s.taxid = c6 AND s.rank = 'species' AND s.taxid % 3 = 0
+            LEFT JOIN nodes g ON g.taxid = c5 AND g.rank = 'genus' AND g.taxid % 3 = 0 LEFT JOIN nodes f ON f.taxid = c4 AND f.rank = 'family' AND f.taxid % 3 = 0))"""),
     "q_descendants": _with("""SELECT anc AS taxid, count(*) AS n_all, count(*) FILTER (taxid NOT IN (SELECT parent FROM nodes WHERE parent <> taxid)) AS n_leaves
         FROM (SELECT DISTINCT * FROM below) WHERE anc <> taxid GROUP BY anc""").replace("lineage AS (", "below AS (SELECT taxid, parent AS anc FROM nodes WHERE parent <> taxid UNION SELECT b.taxid, n.parent FROM below b JOIN nodes n ON n.taxid = b.anc),\nlineage AS (", 1),
     "q_rank_canon": _with(f"SELECT taxid, rank, name, canonical, exact, CAST({_INDEX.format('canonical')} AS INTEGER) AS rank_index FROM named"),

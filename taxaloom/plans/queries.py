@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..functions import tokens as T
-from ..operators import bins, calibration, candidates, evaluation, features, metrics, sampling, scoring, selection, taxonomy, tensors
+from ..operators import bins, calibration, candidates, evaluation, features, metrics, sampling, scoring, selection, taxonomy, tensors, training
 from ..session import stored
 from . import emulation as E
 
@@ -222,6 +222,23 @@ def q_rank_canon(s, d):
     return _nodes(s, d).select("taxid", "rank", "name", rank.alias("canonical"), R.exact_rank(F.col("rank")).alias("exact"), R.rank_index(rank).alias("rank_index"))
 
 
+@query
+def q_described(s, d):
+    ids = _taxids(s, d).union(E.table(s, d, "part").selectExpr("8000000 + p_partkey"))
+    out = taxonomy.described(ids, taxonomy.lineage(ids, _nodes(s, d), E.merged(s, d)), _nodes(s, d))
+    return out.select("taxid", "rank", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query
+def q_exclusions(s, d):
+    _share(s, d)
+    world = F.element_at(F.array(*map(F.lit, ("CORE", "S", "G", "F", "other"))), (F.col("key") % 5 + 1).cast("int"))
+    samples = _classified(s, d).select("id", world.alias("world"), T.taxid_of(F.col("taxonomy")).alias("taxon"))
+    excluded = _nodes(s, d).where("taxid % 3 = 0 and rank in ('species', 'genus', 'family')").select(F.col("rank").alias("level"), "taxid")
+    out = taxonomy.exclusions(taxonomy.normalize(samples, "taxon", E.merged(s, d)), _canon(s, d), excluded)
+    return out.select("id", "world", "cutoff", F.col("index").alias("cutoff_index"), "is_excluded", "level")
+
+
 # Candidates and labels -------------------------------------------------------------------------------------------------
 
 
@@ -551,6 +568,15 @@ def q_rank_filter(s, d):
 # Scoring (no SQL) ------------------------------------------------------------------------------------------------------
 
 
+@query
+def q_training_step(s, d):
+    """Norm of the clipped gradient of each parameter, and of the parameter after a step over all labelled feature rows."""
+    rows = _features(s, d)
+    labels = candidates.labels(_pairs(s, d).select("id", "taxid", "taxon", "true_taxon"), _canon(s, d)).dropDuplicates(["id", "taxon"])
+    labelled = features.feature_rows(rows).join(labels.select("id", "taxon", F.array(*(F.col(f"label_{r}").cast("int") for r in R.RANKS)).alias("labels")), ["id", "taxon"])
+    return training.one_step(labelled.withColumn("shard", F.pmod(F.xxhash64("id", "taxon"), F.lit(64)).cast("string")), training.Settings(seed=0))
+
+
 @query
 def q_network_scores(s, d):
     return scoring.score(features.feature_rows(_features(s, d)), scoring.random_weights(0))

@@ -116,3 +116,9 @@ def sizes(spark: SparkSession, path: str) -> DataFrame:
     if first := wrong.select("shard", F.col("t.n").alias("said"), F.col("f.n").alias("held")).first():
         raise ValueError(f"{path} says {first['said']} rows of {first['shard']}, which holds {first['held']}")
     return told
+
+
+def in_split(rows: DataFrame, folder: str, part: str) -> DataFrame:
+    """The rows of shards that ``sinks.write_split`` put into this part; rows that it doesn't list are in none."""
+    listed = rows.sparkSession.read.parquet(folder).where(F.col("split") == part).select("shard", "id", "taxon")
+    return rows.join(listed, ["shard", "id", "taxon"], "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ranks import RANKS
+from ..operators.sampling import split
 from ..operators.tensors import resample_channels, to_dtype
 from .readers import shard_sizes, shards
 
@@ -46,6 +47,11 @@ def write_manifest(spark, path: str, folder: str, rows: int, **settings: object)
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_split(rows: DataFrame, folder: str, share: float = 0.2, seed: int = 667) -> None:
+    """Which part every row of shards is in, train or val: shard, id, taxon, in a folder for each part."""
+    split(rows.select("shard", "id", "taxon"), share, seed, "shard", "id", "taxon").write.mode("overwrite").partitionBy("split").parquet(folder)
+
+
 def formatted_calls(calls: DataFrame) -> DataFrame:
     """The 16 columns of refined calls in their order, numbers with six decimals, sorted by id."""
     out = [F.format_string("%.6f", F.col(c)).alias(c) if c.startswith("prob_") or c == "chosen_prob_at_rank" else F.col(c) for c in CALL_COLUMNS]

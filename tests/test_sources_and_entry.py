@@ -201,6 +201,12 @@ def test_commands(spark, folder):
     got = {r["sequence_id"]: r for r in spark.read.option("sep", "\t").option("header", True).csv(calls).collect()}
     assert set(got) == {"r1", "r2", "r10"} and got["r1"]["chosen_rank"] in RANKS and got["r2"]["chosen_rank"] is None
     assert spark.read.option("sep", "\t").option("header", True).csv(calls + ".full").count() == 4
+    parts = str(folder / "parts")
+    assert cli.main(["split", out, parts, "--share", "0.5"], spark) == 0
+    of = {p: {tuple(r) for r in readers.in_split(rows, parts, p).select("id", "taxon").collect()} for p in ("train", "val")}
+    assert of["train"] | of["val"] == {("r1", 60), ("r1", 61)} and not of["train"] & of["val"]
+    for part, held in of.items():
+        assert cli.main(["filter", out, str(folder / "reads.tsv"), calls, db, "--split-dir", parts, "--split", part], spark) == (0 if held else 1)
     assert cli.main(["filter", str(folder / "nowhere"), str(folder / "reads.tsv"), calls, db], spark) == 1
 
 
@@ -260,7 +266,7 @@ def test_queries_have_oracles():
     from taxaloom.plans.oracle import ORACLE
     from taxaloom.plans.queries import QUERIES
 
-    assert set(ORACLE) == set(QUERIES) - {"q_network_scores"}
+    assert set(ORACLE) == set(QUERIES) - {"q_network_scores", "q_training_step"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
