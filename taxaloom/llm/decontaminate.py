@@ -54,6 +54,21 @@ def windows(items: DataFrame, width: int) -> DataFrame:
     return each.select("item", F.concat_ws(" ", "terms").alias("phrase"), "terms").dropDuplicates(["item", "phrase"])
 
 
+def _postings(tokens: DataFrame, chosen: DataFrame, reach: int, spread: Column) -> DataFrame:
+    """Postings of ``tokens`` (doc_id, h, w) for more terms than a broadcast holds: doc_id, h, pos, term, low, around.
+
+    Only places and terms go to the terms. A document's words move once, to the places that were found in it.
+    """
+    places = tokens.select("doc_id", "h", F.posexplode("w").alias("pos", "term"))
+    found = stored(_meet(places, chosen, "term", spread).select("doc_id", "h", "pos", "term", "lead"), "bench-places")
+    plain = found.where("not lead").select("doc_id", "h", "pos", "term", F.lit(None).cast("int").alias("low"), F.lit(None).cast("array<string>").alias("around"))
+    own = found.where("lead").groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "term")).alias("own")).select(F.col("doc_id").alias("id"), F.col("h").alias("k"), "own")
+    met = tokens.join(own.hint("merge"), tokens["doc_id"].eqNullSafe(own["id"]) & (tokens["h"] == own["k"])).select("doc_id", "h", "w", "own")
+    low = lambda x: F.greatest(x["pos"] - reach, F.lit(0))
+    cut = F.transform("own", lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term"), low(x).alias("low"), F.slice("w", low(x) + 1, x["pos"] + reach + 1 - low(x)).alias("around")))
+    return plain.unionByName(met.select("doc_id", "h", F.explode(cut).alias("x")).select("doc_id", "h", "x.*"))
+
+
 def matches(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 0) -> tuple[DataFrame, DataFrame]:
     """Occurrences of item windows in ``docs``, and which items have a window.
 
@@ -80,8 +95,12 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 10, slack: int = 0)
     low = F.greatest(F.col("pos") - reach, F.lit(0))
     around = F.when(F.col("lead"), F.slice("w", low + 1, F.col("pos") + reach + 1 - low))
     spread = F.xxhash64("doc_id", "h", "pos")
-    postings = _meet(tokens.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term")), chosen, "term", spread)
-    postings = stored(postings.select("doc_id", "h", "pos", "term", low.alias("low"), around.alias("around")), "postings")
+    if chosen.count() <= SMALL:
+        postings = tokens.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term")).join(F.broadcast(chosen), "term")
+        postings = postings.select("doc_id", "h", "pos", "term", low.alias("low"), around.alias("around"))
+    else:
+        postings = _postings(tokens, chosen, reach, spread)
+    postings = stored(postings, "postings")
     start = F.col("pos") - F.col("offset")
     second = anchors.where("rank = 2").select("window", F.col("term").alias("other"))
     leads = anchors.where("rank = 1").join(second, "window", "left")

@@ -230,7 +230,9 @@ def plain_contamination(docs, items, width, slack=2):
     return sorted(out)
 
 
-def test_contamination(spark, docs, empty, rows):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_contamination(spark, docs, empty, rows, monkeypatch, small):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
     items = [(1, ITEM), (2, "Zero one, two"), (10, ITEM), (3, None), (4, "..."), (None, "short item"), (5, "the the the the the the the the the the the")]
     own = [(20, f"x {ITEM.upper()} y"), (21, ITEM.replace("five", "5")), (22, "zero one two zero one two"), (23, "short item"), (24, "the " * 14), *((i, t) for i, t, *_ in rows)]
     full = spark.createDataFrame([(*r, None, None, 0, 0, "", "", "", "", "") for r in own], SCHEMA)
@@ -244,6 +246,22 @@ def test_contamination(spark, docs, empty, rows):
     assert not any(r["contaminated"] for r in decontaminate.contamination(full, bench.limit(0)).collect())
 
 
+def test_words_of_a_document_move_once(spark, monkeypatch):
+    """Beyond a broadcast only places and terms are dealt by term; a text of 20,000 words isn't sent with each of them."""
+    monkeypatch.setattr(decontaminate, "SMALL", 0)
+    written, store = {}, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: (written.setdefault(name, df), store(df, name))[1])
+    base = words(77, 20_000, "abcdefgh").split()
+    items = [(k, " ".join(base[900 * k : 900 * k + 12])) for k in range(20)]
+    own = [(1, " ".join(base)), (2, " ".join(base[5000:5100])), (None, items[3][1]), (3, None), (1, " ".join(base))]
+    table = spark.createDataFrame(own, "doc_id long, text string")
+    got = decontaminate.contamination(table, spark.createDataFrame(items, "item_id long, text string"), 10, 2).collect()
+    assert sorted((str(r["doc_id"]), *r[1:6]) for r in got) == [x[:6] for x in plain_contamination(own, items, 10, 0)]
+    plan = written["bench-places"]._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(term" in x]
+    assert dealt and not any(re.search(r"\bw#", plan.splitlines()[k + 1]) for k, x in enumerate(plan.splitlines()) if x in dealt)
+
+
 @pytest.mark.parametrize(("small", "slack"), [(100_000, 2), (100_000, 0), (100_000, 1), (0, 2)])
 def test_contamination_by_proximity(spark, monkeypatch, small, slack):
     monkeypatch.setattr(decontaminate, "SMALL", small)
