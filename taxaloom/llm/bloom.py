@@ -14,6 +14,8 @@ from .rows import in_batches
 #: log2 of the bits of a block, and of the most bits a filter may have (32 MB), whatever the input.
 BLOCK_BITS, MOST_BITS = 19, 28
 PROBES = 4
+#: Rows of the table for which one task sends its part of the filter, and the tasks there are at least.
+ROWS, TASKS = 16_000_000, 64
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -45,7 +47,7 @@ def member(table: DataFrame, rows: int):
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [every.tobytes()]})
 
     schema = "block int, bits binary"
-    parts = table.select("h").coalesce(64).transform(in_batches, partial, schema).groupBy("block").applyInPandas(merge, schema).collect()
+    parts = table.select("h").coalesce(max(TASKS, -(-rows // ROWS))).transform(in_batches, partial, schema).groupBy("block").applyInPandas(merge, schema).collect()
     whole = bytearray(1 << (bits - 3))
     for r in parts:
         whole[r["block"] * size : (r["block"] + 1) * size] = r["bits"]

@@ -29,6 +29,8 @@ from .rows import in_batches
 FP_BITS = 48
 #: Rows of a partition for which it sends one set of messages; bounds what a task holds.
 CHUNK = 200_000
+#: Rows whose fingerprints one owner merges, about; below that there is an owner for each shuffle partition.
+OWNED = 8_000_000
 SPACES = b" \t\n\x0b\x0c\r"
 
 _SENT = "kind byte, part int, chunk int, row long, doc_id long, h long, n_points long, sha binary, owner int, pos int, n int, width int, fps binary, twice binary"
@@ -112,7 +114,8 @@ def groups(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    owner_bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    owners = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNED))
+    owner_bits = (owners - 1).bit_length()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = stored(texts.withColumn("h", F.xxhash64("text")).transform(in_batches, _send(owner_bits), _SENT), "dedup-sent")
     rows = sent.where("kind = 0").select("part", "chunk", "row", "doc_id", "h", "n_points", "sha", "owner", "pos")
