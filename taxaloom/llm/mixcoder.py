@@ -1,13 +1,14 @@
 """An adaptive context-mixing range coder for token ids, in blocks that are reset and checksummed one by one.
 
-An id is coded in up to three steps: is it the id that last followed the two ids before it (order 2); if not, is it the id
-that last followed the one before it (order 1); if not, its four nibbles, the high one first, by adaptive order-0 models
-of a nibble below those before it. The probability of the first two steps mixes two adaptive estimates, one by how often the predictions held so far and one by
-the id before; the weight of the mix moves to the one that was closer. All is integer arithmetic, so every machine decodes
-alike. The coder is carry-free: an interval of 64 bits is narrowed, and its upper half is put out in 32-bit words once it
-is settled; an interval that gets too narrow across a border is cut off there.
-
-Blocks are independent, so a batch of them is coded in step, one numpy lane a block.
+A block is cut into up to ``LANES`` runs of neighbouring ids, which are coded side by side: step t codes id t of every run, by
+one model of the whole block, which then learns all of them. The model mixes three distributions over ids. Order 2 says the
+id that last followed the two before it, order 1 the id that last followed the one before, order 0 is all ids by how often
+they occurred where neither was right. How much each gets is itself learnt twice, by how sure the two predictions have been
+and by the id before, and both estimates are mixed by weights that move to the one that was closer. So an id is one choice of
+three, and in the third case one number of 16 bits.
+
+The range coder is carry-free: an interval of 64 bits is narrowed, and its upper 16 bits are put out once they are settled;
+an interval that gets too narrow across a border is cut off there. All is integer arithmetic, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -17,212 +18,200 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block, and blocks coded in step: these bound a worker's memory (about 200 KB a lane).
-BLOCK, LANES = 8192, 768
-MAGIC = b"TXM2"
-T2, T1 = 13, 12  # log2 of the slots of the order-2 and order-1 tables
+#: Ids of a block, the most runs of a block, and the least ids of a run but for the last; they bound a worker's memory to
+#: some tens of MB.
+BLOCK, LANES, RUN = 1 << 20, 4096, 64
+MAGIC = b"TXM3"
+#: log2 of the alphabet, of the slots of order 2, of the contexts by the id before, and of the scale of a probability.
+BITS, SLOTS, BEFORE, SCALE = 16, 16, 10, 15
 U64 = np.uint64
-_RATE = np.array([65536 // (2 * n + 3) * 2 for n in range(16)], np.int64)  # a model with n bits seen moves 1/(n + 1.5) of the way
-
-#: Nibble models hold 16 cumulative counts of 15 bits; this is where a seen nibble pulls them to.
-_FULL, _PLACES = 1 << 15, np.arange(16, dtype=np.int32)
-_PULL = np.where(_PLACES[None, :] <= _PLACES[:, None], _PLACES[None, :] * 2, _FULL - 32 + _PLACES[None, :] * 2).astype(np.int32)
-_SHIFT = np.array([1, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4, 4, 4, 4, 4, 5], np.int32)  # by how often a model was used
-#: Where the models of a nibble begin: below none, one, two or three nibbles.
-_LEVEL = (0, 1, 17, 273)
-
-
-class _Lanes:
-    """Models and coder states of a batch of blocks; ``words`` is None when encoding."""
-
-    def __init__(self, lengths: np.ndarray, words: list[np.ndarray] | None) -> None:
-        n = self.n = len(lengths)
-        self.low, self.high = np.zeros(n, U64), np.full(n, (1 << 64) - 1, U64)
-        self.order2 = np.full((n, 1 << T2), -1, np.int32)  # id * 4 + confidence, or -1
-        self.order1 = np.full((n, 1 << T1), -1, np.int32)
-        self.nibbles = np.empty((n, 4369, 16), np.uint16)  # order 0: cumulative counts, the use of a model in its first place
-        self.nibbles[:] = _PLACES * (_FULL // 16)
-        self.held = np.full((n, 64), 512 << 4, np.uint16)
-        self.after = np.full((n, 512), 512 << 4, np.uint16)
-        self.weight = np.full((n, 2), 128, np.int64)
-        self.decoding = words is not None
-        width = (max(map(len, words)) if words else int(lengths.max(initial=0)) * 20 // 32 + 64) + 4
-        self.buffer = np.zeros((n, width), np.uint32)
-        self.filled = np.zeros(n, np.int64)
+_SURE = 80  # contexts by how sure the predictions are: four states of each and none, and whether they agree
+#: Steps after which the model learns, but for the first ones of a block; a context's counts and those of order 0 are halved
+#: above these sums; what an occurrence adds in order 0.
+_EVERY, _FIRST, _MOST, _TOTAL, _GAIN = 8, 8, 1 << 12, 1 << 22, 32
+_NARROW, _UPPER, _WORD = U64(1 << 40), U64(1 << 48), U64(16)
+_NONE = (1 << 20) * 8 + 4  # no id yet: an entry is id * 8 and how often it was right since, up to 3
+
+
+class _Choice:
+    """Estimates of which of the three distributions is right, by context: shares of the first, and of the second in the rest."""
+
+    def __init__(self, contexts: int) -> None:
+        self.counts = np.ones((contexts, 3), np.int64)
+        self.share()
+
+    def share(self) -> None:
+        one, two, three = self.counts.T
+        self.first, self.second = (one << SCALE) // (one + two + three), (two << SCALE) // (two + three)
+
+    def learn(self, context: np.ndarray, choice: np.ndarray) -> None:
+        self.counts += np.bincount(context * 3 + choice, minlength=self.counts.size).reshape(-1, 3)
+        full = self.counts.sum(axis=1) > _MOST
+        if full.any():
+            self.counts[full] = (self.counts[full] + 1) >> 1
+        self.share()
+
+
+class _Block:
+    """Model and coder states of one block; ``words`` of each run are given when decoding."""
+
+    def __init__(self, n: int, words: list[np.ndarray] | None) -> None:
+        self.lanes = max(1, min(LANES, -(-n // RUN)))
+        self.run_length = -(-n // self.lanes)
+        self.lengths = np.clip(n - np.arange(self.lanes) * self.run_length, 0, self.run_length)  # longest first
+        self.low, self.high = np.zeros(self.lanes, U64), np.full(self.lanes, (1 << 64) - 1, U64)
+        self.order2, self.order1 = np.full(1 << SLOTS, _NONE, np.int64), np.full(1 << BITS, _NONE, np.int64)
+        self.order0 = np.ones(1 << BITS, np.int64)
+        self.starts = np.arange((1 << BITS) + 1, dtype=U64)
+        self.by_sure, self.by_before = _Choice(_SURE), _Choice(1 << BEFORE)
+        self.weight = np.full(_SURE, 128, np.int64)
+        self.seen: list[tuple[np.ndarray, ...]] = []
+        self.buffer = np.zeros((self.lanes, (max(map(len, words), default=0) if words else self.run_length) + 4), np.uint16)
+        self.filled = np.zeros(self.lanes, np.int64)
+        self.code = None
         if words is not None:
             for k, w in enumerate(words):
                 self.buffer[k, : len(w)] = w
-            self.code = (self.buffer[:, 0].astype(U64) << U64(32)) | self.buffer[:, 1]
-            self.filled += 2
-
-    def step(self, low, high, code, lanes, p, bit):
-        """Code one bit a lane with probability p (12 bits) of a one; states are narrowed in place. Returns the bits."""
-        mid = low + ((high - low) >> U64(12)) * p.astype(U64)
-        if self.decoding:
-            bit = code <= mid
-        np.copyto(high, mid, where=bit)
-        np.copyto(low, mid + U64(1), where=~bit)
-        self.settle(low, high, code, lanes)
-        return bit
-
-    def settle(self, low, high, code, lanes):
-        """Put out or take in words until the upper halves of all intervals differ and none is too narrow."""
-        while True:
-            settled = np.flatnonzero(((low ^ high) < U64(1 << 32)) | (high - low < U64(1 << 17)))
-            if not len(settled):
-                return
-            who = lanes[settled]
-            at = self.filled[who]
-            if self.decoding:
-                code[settled] = (code[settled] << U64(32)) | self.buffer[who, np.minimum(at, self.buffer.shape[1] - 1)]
+            self.code = np.zeros(self.lanes, U64)
+            for k in range(4):
+                self.code = (self.code << _WORD) | self.buffer[:, k]
+            self.filled += 4
+
+    def settle(self, live: int) -> None:
+        """Put out or take in words until the upper bits of the intervals differ and none is too narrow."""
+        low, high = self.low[:live], self.high[:live]
+        who = np.flatnonzero(((low ^ high) < _UPPER) | (high - low < _NARROW))
+        while len(who):
+            low, high, at = self.low[who], self.high[who], self.filled[who]
+            if self.code is not None:
+                self.code[who] = (self.code[who] << _WORD) | self.buffer[who, np.minimum(at, self.buffer.shape[1] - 1)]
             else:
-                if at.max() >= self.buffer.shape[1] - 4:
+                if at.max() >= self.buffer.shape[1]:
                     self.buffer = np.concatenate([self.buffer, np.zeros_like(self.buffer)], axis=1)
-                self.buffer[who, at] = (low[settled] >> U64(32)).astype(np.uint32)
+                self.buffer[who, at] = low >> U64(48)
             self.filled[who] = at + 1
-            one = (low[settled] ^ high[settled]) < U64(1 << 32)
-            high[settled] = np.where(one, (high[settled] << U64(32)) | U64(0xFFFFFFFF), U64((1 << 64) - 1))
-            low[settled] <<= U64(32)
-
-    @staticmethod
-    def learn(table, lanes, slot, bit, most=15):
-        """Move the models at these slots towards the bits."""
-        v = table[lanes, slot].astype(np.int64)
-        p, n = v >> 4, v & 15
-        p += ((np.where(bit, 4095, 1) - p) * _RATE[n]) >> 16
-        table[lanes, slot] = (p << 4) | np.minimum(n + 1, most)
-
-    def flag(self, lanes, which, context, before, bit):
-        """Code whether a prediction held, by a mix of two estimates."""
-        low, high = self.low[lanes], self.high[lanes]
-        code = self.code[lanes] if self.decoding else None
-        last = (before & 255) | (which << 8)
-        a = self.held[lanes, context].astype(np.int64) >> 4
-        b = self.after[lanes, last].astype(np.int64) >> 4
-        w = self.weight[lanes, which]
-        bit = self.step(low, high, code, lanes, np.clip((w * a + (256 - w) * b) >> 8, 1, 4095), bit)
-        self.low[lanes], self.high[lanes] = low, high
-        if self.decoding:
-            self.code[lanes] = code
-        self.weight[lanes, which] = np.clip(w + np.where((a > b) == bit, 1, -1) * (a != b), 16, 240)
-        self.learn(self.held, lanes, context, bit)
-        self.learn(self.after, lanes, last, bit)
-        return bit
-
-    def literal(self, lanes, value):
-        """Code 16 bits as four nibbles by order-0 models, each under the nibbles before it."""
-        low, high = self.low[lanes], self.high[lanes]
-        code = self.code[lanes] if self.decoding else None
-        out = np.zeros(len(lanes), np.int64)
-        rows = np.arange(len(lanes))
-        for k in range(4):
-            slot = _LEVEL[k] + out
-            counts = self.nibbles[lanes, slot].astype(np.int32)
-            used = counts[:, 0].copy()
-            counts[:, 0] = 0
-            unit = (high - low) >> U64(15)
-            if self.decoding:
-                at = np.minimum((code - low) // unit, U64(_FULL - 1)).astype(np.int32)
-                s = (counts <= at[:, None]).sum(axis=1) - 1
-            else:
-                s = (value >> (12 - 4 * k)) & 15
-            below = low + unit * counts[rows, s].astype(U64)
-            top = s < 15
-            np.copyto(high, low + unit * counts[rows, np.minimum(s + 1, 15)].astype(U64) - U64(1), where=top)
-            low = below
-            self.settle(low, high, code, lanes)
-            counts += (_PULL[s] - counts) >> _SHIFT[used][:, None]
-            counts[:, 0] = np.minimum(used + 1, 15)
-            self.nibbles[lanes, slot] = counts
-            out = out * 16 + s
-        self.low[lanes], self.high[lanes] = low, high
-        if self.decoding:
-            self.code[lanes] = code
-        return out
-
-    def predict(self, table, lanes, slot):
-        v = table[lanes, slot]
-        return np.where(v < 0, -1, v >> 2).astype(np.int64), np.where(v < 0, 0, (v & 3) + 1).astype(np.int64)
-
-    def remember(self, table, lanes, slot, guess, sure, value):
-        right = guess == value
-        table[lanes, slot] = (value << 2) | np.where(right, np.minimum(sure, 3), 0)
-
-    def run(self, ids: np.ndarray | None, lengths: np.ndarray) -> np.ndarray:
-        """Code all blocks (rows of ids, padded); lanes are ordered by length, longest first."""
-        out = np.zeros((self.n, int(lengths.max(initial=0))), np.int64)
-        one = np.zeros(self.n, np.int64)
-        two = np.zeros(self.n, np.int64)
-        every = np.arange(self.n)
-        for t in range(out.shape[1]):
-            live = int(np.searchsorted(-lengths, -t))  # lanes with more than t ids
-            lanes, a, b = every[:live], two[:live], one[:live]
-            s2 = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & ((1 << T2) - 1)
-            s1 = (b * 0x9E3779B1 >> 9) & ((1 << T1) - 1)
-            g2, c2 = self.predict(self.order2, lanes, s2)
-            g1, c1 = self.predict(self.order1, lanes, s1)
-            x = None if ids is None else ids[:live, t]
-            hit = self.flag(lanes, 0, c2 * 5 + c1, b, None if x is None else x == g2)
-            value = g2.copy() if x is None else x
-            rest = lanes[~hit]
-            if len(rest):
-                other = g1[rest] != g2[rest]
-                hit1 = self.flag(rest, 1, 32 + c1[rest] * 2 + other, b[rest], None if x is None else (x[rest] == g1[rest]) & other)
-                if x is None:
-                    value[rest] = g1[rest]
-                last = rest[~hit1]
-                if len(last):
-                    got = self.literal(last, None if x is None else x[last])
-                    value[last] = got
-            self.remember(self.order2, lanes, s2, g2, c2, value)
-            self.remember(self.order1, lanes, s1, g1, c1, value)
-            out[:live, t] = value
-            two[:live] = b
-            one[:live] = value
-        return out
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code each array of ids (0 to 65535) as a block of its own."""
-    out: list[bytes] = []
-    for at in range(0, len(blocks), LANES):
-        part = blocks[at : at + LANES]
-        order = np.argsort([-len(b) for b in part], kind="stable")
-        lengths = np.array([len(part[k]) for k in order], np.int64)
-        ids = np.zeros((len(part), int(lengths.max(initial=0))), np.int64)
-        for row, k in enumerate(order):
-            ids[row, : lengths[row]] = part[k]
-        lanes = _Lanes(lengths, None)
-        lanes.run(ids, lengths)
-        done: list[bytes] = [b""] * len(part)
-        for row, k in enumerate(order):
-            words = lanes.buffer[row, : lanes.filled[row]].tolist()
-            words += [int(lanes.high[row]) >> 32, 0] if int(lanes.low[row]) else [0, 0]
-            raw = np.asarray(part[k], "<u4").tobytes()
-            done[k] = MAGIC + struct.pack("<II", len(part[k]), zlib.crc32(raw)) + np.array(words, "<u4").tobytes()
-        out += done
-    return out
-
-
-def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
-    """The ids of coded blocks, as little-endian 32-bit integers; a block whose checksum fails is an error."""
-    out: list[np.ndarray] = []
-    for at in range(0, len(blocks), LANES):
-        part = blocks[at : at + LANES]
-        heads = []
-        for block in part:
-            if len(block) < 12 or block[:4] != MAGIC:
-                raise ValueError("not a block of token ids")
-            heads.append(struct.unpack("<II", block[4:12]))
-        order = np.argsort([-n for n, _ in heads], kind="stable")
-        lengths = np.array([heads[k][0] for k in order], np.int64)
-        lanes = _Lanes(lengths, [np.frombuffer(part[k][12 : len(part[k]) - len(part[k]) % 4], "<u4") for k in order])
-        ids = lanes.run(None, lengths)
-        done: list[np.ndarray] = [np.zeros(0, "<u4")] * len(part)
-        for row, k in enumerate(order):
-            own = ids[row, : lengths[row]].astype("<u4")
-            if zlib.crc32(own.tobytes()) != heads[k][1]:
-                raise ValueError("a block of token ids fails its checksum")
-            done[k] = own
-        out += done
-    return out
+            high = np.where((low ^ high) < _UPPER, (high << _WORD) | U64(0xFFFF), U64((1 << 64) - 1))
+            low = low << _WORD
+            self.low[who], self.high[who] = low, high
+            who = who[((low ^ high) < _UPPER) | (high - low < _NARROW)]
+
+    def learn(self, sure: np.ndarray, p: np.ndarray, q: np.ndarray, choice: np.ndarray) -> None:
+        """Learn the steps since the last time; weights move by the last one, towards the estimate that was closer."""
+        contexts, before, choices, values = (np.concatenate(x) for x in zip(*self.seen, strict=True))
+        self.seen.clear()
+        self.by_sure.learn(contexts, choices)
+        self.by_before.learn(before, choices)
+        closer = np.where((p > q) == (choice == 0), 1, -1) * (p != q)
+        moved = np.bincount(sure, weights=closer, minlength=_SURE).astype(np.int64)
+        self.weight = np.clip(self.weight + np.clip(moved, -8, 8), 16, 240)
+        if len(values):
+            self.order0 += np.bincount(values, minlength=1 << BITS) * _GAIN
+            np.cumsum(self.order0, out=self.starts[1:].view(np.int64))
+            if int(self.starts[-1]) > _TOTAL:
+                self.order0 = (self.order0 + 1) >> 1
+                np.cumsum(self.order0, out=self.starts[1:].view(np.int64))
+
+    def step(self, live: int, first: np.ndarray, second: np.ndarray, g2: np.ndarray, g1: np.ndarray, x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code an id of every run; the first two distributions have these shares. Returns ids, choices, and where order 0 was it."""
+        low, high = self.low[:live], self.high[:live]
+        unit = (high - low) >> U64(SCALE)
+        if x is None:
+            code, a = self.code[:live], low + unit * first.view(U64)
+            later = code >= a
+            last = code >= a + unit * second.view(U64)
+            x = np.where(later, g1, g2) & ((1 << BITS) - 1)
+            decoding = True
+        else:
+            later = x != g2
+            last = later & (x != g1)
+            decoding = False
+        rest = np.flatnonzero(last)
+        ends = high[rest]
+        top = (first + later * second).view(U64)
+        bottom = (later * first + last * second).view(U64)
+        self.high[:live] = low + unit * top - U64(1)
+        self.low[:live] = low + unit * bottom
+        if len(rest):
+            own = self.low[rest]
+            part = (ends - own) // self.starts[-1]
+            if decoding:
+                at = np.minimum((self.code[rest] - own) // part, self.starts[-1] - U64(1))
+                x[rest] = np.searchsorted(self.starts, at, side="right") - 1
+            value = x[rest]
+            self.high[rest] = own + part * self.starts[value + 1] - U64(1)
+            self.low[rest] = own + part * self.starts[value]
+        self.settle(live)
+        return x, later.astype(np.int64) + last, rest
+
+    def run(self, ids: np.ndarray | None) -> np.ndarray:
+        """Code all ids, or decode them; in order."""
+        out = np.zeros((self.run_length, self.lanes), np.int64)
+        if ids is not None:
+            flat = np.zeros(self.lanes * self.run_length, np.int64)
+            flat[: len(ids)] = ids
+            out[:] = flat.reshape(self.lanes, self.run_length).T
+        two, one = np.zeros(self.lanes, np.int64), np.zeros(self.lanes, np.int64)
+        lives = np.searchsorted(-self.lengths, -np.arange(self.run_length)).tolist()  # runs with more than t ids
+        for t, live in enumerate(lives):
+            a, b = two[:live], one[:live]
+            slot = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 13) & ((1 << SLOTS) - 1)
+            e2, e1 = self.order2[slot], self.order1[b]
+            g2, g1, c2, c1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
+            sure = c2 * 16 + c1 * 2 + (g1 == g2)
+            before = b & ((1 << BEFORE) - 1)
+            w, p, q = self.weight[sure], self.by_sure.first[sure], self.by_before.first[before]
+            first = (w * (p - q) + (q << 8)) >> 8
+            first = np.minimum(np.maximum(first, 1), (1 << SCALE) - 3)
+            r = self.by_before.second[before]
+            second = (w * (self.by_sure.second[sure] - r) + (r << 8)) >> 8
+            second = np.maximum((((1 << SCALE) - 1 - first) * second) >> SCALE, 1)
+            x, choice, rest = self.step(live, first, second, g2, g1, None if ids is None else out[t, :live])
+            if ids is None:
+                out[t, :live] = x
+            self.seen.append((sure, before, choice, x[rest]))
+            if t < _FIRST or t % _EVERY == 0:
+                self.learn(sure, p, q, choice)
+            self.order2[slot] = (x << 3) | (choice == 0) * np.minimum(c2 + 1, 3)
+            self.order1[b] = (x << 3) | (x == g1) * np.minimum(c1 + 1, 3)
+            two, one = one, np.append(x, one[live:]) if live < self.lanes else x
+        return out.T.reshape(-1)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """Code ids (0 to 65,535) as a block; others are a ValueError."""
+    ids = np.asarray(ids)
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << BITS:
+        raise ValueError(f"ids are coded in {BITS} bits")
+    raw = ids.astype("<u4").tobytes()
+    head = MAGIC + struct.pack("<II", len(ids), zlib.crc32(raw))
+    if not len(ids):
+        return head
+    block = _Block(len(ids), None)
+    block.run(ids)
+    if block.filled.max() >= block.buffer.shape[1]:
+        block.buffer = np.concatenate([block.buffer, np.zeros_like(block.buffer[:, :1])], axis=1)
+    # the upper bits of the interval's end, with zeros behind them, lie in the interval
+    block.buffer[np.arange(block.lanes), block.filled] = block.high >> U64(48)
+    counts = block.filled + 1
+    there = np.arange(block.buffer.shape[1])[None, :] < counts[:, None]
+    return head + counts.astype("<u2").tobytes() + block.buffer[there].astype("<u2").tobytes()
+
+
+def decode_block(block: bytes) -> np.ndarray:
+    """The ids of a coded block, as little-endian 32-bit integers; a block whose checksum fails is a ValueError."""
+    if len(block) < 12 or block[:4] != MAGIC:
+        raise ValueError("not a block of token ids")
+    n, crc = struct.unpack("<II", block[4:12])
+    ids = np.zeros(0, "<u4")
+    if n:
+        lanes = max(1, min(LANES, -(-n // RUN)))
+        counts = np.frombuffer(block[12 : 12 + 2 * lanes], "<u2").astype(np.int64)
+        body = block[12 + 2 * lanes :]
+        if len(counts) < lanes or len(body) != 2 * int(counts.sum()):
+            raise ValueError("a block of token ids has lost a part")
+        words = np.split(np.frombuffer(body, "<u2"), np.cumsum(counts)[:-1])
+        with np.errstate(all="ignore"):
+            ids = _Block(n, words).run(None)[:n].astype("<u4")
+    if zlib.crc32(ids.tobytes()) != crc:
+        raise ValueError("a block of token ids fails its checksum")
+    return ids

@@ -33,6 +33,8 @@ BLOCKS = (
 class LibraryEncoder(Vocabulary):
     """Encodes with the tokenizers library, a pre-token at a time; pre-tokens met before are remembered."""
 
+    remembered = 400_000
+
     def __init__(self, path: str) -> None:
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
@@ -47,25 +49,25 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def _write_part(path: str, end: int):
+def _write_part(path: str, end: int, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, part = encoder(path), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []  # of blocks that are full
         docs: list[list[tuple]] = []
         fill: list[np.ndarray] = []
         here: list[tuple] = []
-        state = {"block": 0, "at": 0, "room": mixcoder.BLOCK}
+        state = {"block": 0, "at": 0, "room": block}
 
         def close() -> None:
             nonlocal fill, here
             ids.append(np.concatenate(fill))
             docs.append(here)
-            fill, here, state["room"] = [], [], mixcoder.BLOCK
+            fill, here, state["room"] = [], [], block
 
         def flush() -> pd.DataFrame:
             rows = []
-            for code, own_ids, own_docs in zip(mixcoder.encode_blocks(ids), ids, docs, strict=True):
-                rows.append((part, state["block"], state["at"], len(own_ids), code, own_docs))
+            for own_ids, own_docs in zip(ids, docs, strict=True):
+                rows.append((part, state["block"], state["at"], len(own_ids), mixcoder.encode_block(own_ids), own_docs))
                 state["block"] += 1
                 state["at"] += len(own_ids)
             ids.clear()
@@ -85,8 +87,8 @@ def _write_part(path: str, end: int):
                     if not state["room"]:
                         close()
                 number += 1
-            if len(ids) >= mixcoder.LANES:
-                yield flush()
+                if ids:
+                    yield flush()
         if fill:
             close()
         if ids:
@@ -95,11 +97,12 @@ def _write_part(path: str, end: int):
     return run
 
 
-def write(docs: DataFrame, path: str, end: int, folder: str | None = None) -> str:
-    """Write the ids of ``docs`` (doc_id, text), each document closed by id ``end``; returns the folder.
+def write(docs: DataFrame, path: str, end: int, folder: str | None = None, block: int = mixcoder.BLOCK) -> str:
+    """Write the ids of ``docs`` (doc_id, text), each document closed by id ``end``, in blocks of ``block`` ids; returns the folder.
 
     Null text counts as empty and has the end id only; null doc_ids come last; rows of one doc_id follow each other by a
-    hash of the text; an empty table makes an empty folder; other columns are not read. Ids must be below 65,536.
+    hash of the text; an empty table makes an empty folder; other columns are not read. Ids of 65,536 and
+    more are an error of the task that meets them.
     """
     if not 0 <= end < 1 << 16:
         raise ValueError("ids are coded as 16 bits")
@@ -107,7 +110,7 @@ def write(docs: DataFrame, path: str, end: int, folder: str | None = None) -> st
     key = (F.col("doc_id").asc_nulls_last(), F.col("h").asc())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
-    ordered.transform(in_batches, _write_part(path, end), BLOCKS).write.option("compression", "none").parquet(folder)
+    ordered.transform(in_batches, _write_part(path, end, block), BLOCKS).write.option("compression", "none").parquet(folder)
     return folder
 
 
@@ -133,25 +136,14 @@ def crc32_joined(first: int, second: int, length: int) -> int:
 
 
 def _read_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[tuple] = []
-
-    def decoded(blocks: list[tuple]) -> pd.DataFrame:
-        rows = []
-        for (part, at, docs, _), ids in zip(blocks, mixcoder.decode_blocks([x[3] for x in blocks]), strict=True):
-            k = 0
+    for pdf in batches:
+        for part, first, docs, payload in zip(pdf["part"], pdf["at"], pdf["docs"], pdf["payload"], strict=True):
+            ids, rows, k = mixcoder.decode_block(payload), [], 0
             for d in docs:
                 n = int(d["n"])
-                rows.append((part, d["doc"], d["doc_id"], d["piece"], bool(d["pieces_end"]), int(at) + k, n, zlib.crc32(ids[k : k + n].tobytes())))
+                rows.append((part, d["doc"], d["doc_id"], d["piece"], bool(d["pieces_end"]), int(first) + k, n, zlib.crc32(ids[k : k + n].tobytes())))
                 k += n
-        return pd.DataFrame(rows, columns=["part", "doc", "doc_id", "piece", "last", "at", "n", "crc"]).astype({"doc_id": "Int64"})
-
-    for pdf in batches:
-        held += zip(pdf["part"], pdf["at"], pdf["docs"], pdf["payload"], strict=True)
-        while len(held) >= mixcoder.LANES:  # full lanes, however blocks are batched
-            yield decoded(held[: mixcoder.LANES])
-            held = held[mixcoder.LANES :]
-    if held:
-        yield decoded(held)
+            yield pd.DataFrame(rows, columns=["part", "doc", "doc_id", "piece", "last", "at", "n", "crc"]).astype({"doc_id": "Int64"})
 
 
 def _join_pieces(n: pd.Series, crc: pd.Series) -> pd.Series:
