@@ -330,57 +330,75 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_lists(similarity: float, many: int):
-    """Pairs of the texts in each list (rows of key, node, size in that order): a, b, need; need is 0 for links of a group."""
+    """Pairs of the texts in each list (rows of key, node, size, held in that order): a, b, need, held.
+
+    need is 0 for links of a group; held says whether the shorter of the two has the key in its head.
+    """
     half = similarity / (1 + similarity)
 
-    def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+    def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, held: np.ndarray) -> pd.DataFrame:
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        key, node, size = key[new], node[new], size[new]
+        key, node, size, held = key[new], node[new], size[new], held[new]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        out = [np.zeros((3, 0), np.int64)]
+        out = [np.zeros((4, 0), np.int64)]
         for n in np.unique(sizes[sizes > 1]).tolist():
             own = starts[sizes == n]
             if n > many:
-                at = (own[:, None] + np.arange(n)).ravel()
-                out.append(np.stack([key[at], node[at], np.zeros(len(at), np.int64)]))
+                at = own[:, None] + np.arange(n)
+                at = at[held[at].any(axis=1)].ravel()
+                out.append(np.stack([key[at], node[at], np.zeros(len(at), np.int64), np.ones(len(at), np.int64)]))
                 continue
             x, y = np.triu_indices(n, 1)
             x, y = (own[:, None] + x).ravel(), (own[:, None] + y).ravel()
             fits = np.minimum(size[x], size[y]) >= _least(np.maximum(size[x], size[y]), similarity)
             x, y = x[fits], y[fits]
             behind = np.maximum(_least(size[x], similarity), _least(size[y], similarity)) - 1
-            out.append(np.stack([node[x], node[y], np.maximum(_least(size[x] + size[y], half) - behind, 1)]))
-        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b", "need"])
+            short = ((held[x] > 0) & (size[x] <= size[y])) | ((held[y] > 0) & (size[y] <= size[x]))
+            out.append(np.stack([node[x], node[y], np.maximum(_least(size[x] + size[y], half) - behind, 1), short.astype(np.int64)]))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["a", "b", "need", "held"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        last: list[np.ndarray] = []
         for pdf in batches:
-            now = [pdf[c].to_numpy(np.int64) for c in ("key", "node", "size")]
+            now = [pdf[c].to_numpy(np.int64) for c in ("key", "node", "size", "held")]
             if not len(now[0]):
                 continue
-            if held:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if last:
+                now = [np.concatenate(x) for x in zip(last, now, strict=True)]
             change = np.flatnonzero(now[0] != now[0][-1])
             cut = change[-1] + 1 if len(change) else 0
-            held = [x[cut:] for x in now]
+            last = [x[cut:] for x in now]
             if cut:
                 yield pairs(*(x[:cut] for x in now))
-        if held:
-            yield pairs(*held)
+        if last:
+            yield pairs(*last)
 
     return run
 
 
+def _told_apart(own: DataFrame) -> DataFrame:
+    """``own`` with nodes that are equal only where all 128 bits (node and check) of the shingles' hash are."""
+    pairs = own.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least <> most").select("node", "least")
+    pairs = stored(pairs, "near-equal")
+    if pairs.isEmpty():
+        return own
+    met = own.join(pairs.hint("merge"), "node", "left")
+    other = F.col("least").isNotNull() & (F.col("check") != F.col("least"))
+    return stored(met.withColumn("node", F.when(other, F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("least"), "near-rows")
+
+
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the smallest doc_id of each group of near copies.
 
     Near copies are texts whose distinct word shingles have this Jaccard similarity or more, directly or over others. None
     is missed: under one order of all shingles, two such texts of n shingles or more have one in common among the first
     n - ceil(similarity * n) + 1 of each (the prefix), so the index lists texts by these only. A pair is a candidate if its
-    sizes allow the similarity and the shingles that the prefixes share, with all behind them, can reach it. Shingles that
+    sizes allow the similarity and the shingles that the prefixes share, with all behind them, can reach it. The shorter of
+    the two shares one already among the first n - ceil(2 * similarity / (1 + similarity) * n) + 1 (the head). Shingles that
     are frequent in a sample come last in the order; texts that still meet in one of them, or in a list of more than
-    ``MANY``, form one group of candidates. Groups are compared by all shingles, in blocks, without a cap.
+    ``MANY``, form one group of candidates, unless none has it in its head: texts that share a form but no more than 0.88 of
+    their shingles so are in no group for it. Groups are compared by all shingles, in blocks, without a cap.
 
     A null doc_id stays only if its group has no other; texts without a word form one group; of repeated rows one stays.
     """
@@ -401,16 +419,22 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
                     count = np.where(common[at] == own, often[at], 0)
                     order = np.argsort(count, kind="stable")[: len(first)]
                     first, met = own[order], count[order] > 0
-                node = np.array([xxhash.xxh64_intdigest(own.tobytes())], np.uint64).view(np.int64)[0]
-                out.append((node, n, first[~met].view(np.int64), first[met].view(np.int64)))
-            yield pd.DataFrame(out, columns=["node", "size", "rare", "common"]).assign(id=pdf["id"].astype("Int64"), h=pdf["h"])
+                node, check = np.array([xxhash.xxh64_intdigest(own.tobytes(), seed) for seed in (0, 1)], np.uint64).view(np.int64)
+                head = n - int(_least(n, 2 * similarity / (1 + similarity))) + 1
+                out.append((node, check, n, head, first[~met].view(np.int64), first[met].view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "check", "size", "head", "rare", "common"]).assign(id=pdf["id"].astype("Int64"), h=pdf["h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
-    own = stored(texts.transform(in_batches, run, "id long, h long, node long, size long, rare array<long>, common array<long>"), "near-rows")
-    postings = own.select("node", F.col("size").cast("int").alias("size"), F.explode("rare").alias("key")).repartition("key").sortWithinPartitions("key", "node")
-    met = postings.transform(in_batches, _prefix_lists(similarity, MANY), "a long, b long, need long")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
-    met = stored(met.union(own.select(F.explode("common").alias("a"), F.col("node").alias("b")).distinct()), "near-candidates")
+    own = stored(texts.transform(in_batches, run, "id long, h long, node long, check long, size long, head long, rare array<long>, common array<long>"), "near-rows")
+    own = _told_apart(own)
+    listed = lambda c, before: own.select("node", F.col("size").cast("int").alias("size"), "head", F.posexplode(c).alias("pos", "key"), before.alias("before")).select("node", "size", "key", ((F.col("pos") + F.col("before")) < F.col("head")).cast("int").alias("held"))
+    postings = listed("rare", F.lit(0)).repartition("key").sortWithinPartitions("key", "node")
+    met = postings.transform(in_batches, _prefix_lists(similarity, MANY), "a long, b long, need long, held long")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.max("held").alias("held")).where("n >= need and held > 0").select("a", "b")
+    forms = stored(listed("common", F.size("rare")).select(F.col("key").alias("a"), F.col("node").alias("b"), "held").distinct(), "near-forms")
+    heads = forms.where("held > 0").select("a").distinct()  # of at most ``COMMONS`` shingles
+    forms = forms.join(F.broadcast(heads) if heads.count() <= SMALL else heads.hint("merge"), "a", "left_semi").select("a", "b").distinct()
+    met = stored(met.union(forms), "near-candidates")
     reach = stored(components(met), "near-groups").toDF("node", "grp")
     groups = own.select("node").distinct().join(reach, "node")
     linked = stored(_links_within(docs, own, groups, words, similarity), "near-links")

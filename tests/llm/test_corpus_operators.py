@@ -203,6 +203,28 @@ def test_near_is_brute_force(spark, monkeypatch, block, many):
     assert sorted(r["doc_id"] for r in simhash.drop_similar(table).collect()) == sorted(set(root.values()))
 
 
+def test_a_form_makes_no_group(spark, monkeypatch):
+    """Texts on one form of 0.84 of their shingles, in twos that share the rest: no text is a candidate for all others."""
+    draw = random.Random(12)
+    form = [f"form{k}" for k in range(172)]
+    texts = []
+    for k in range(1200):
+        own = [f"own{k // 2}x{j}" for j in range(31)]
+        own[draw.randrange(31)] += "ab"[k % 2]
+        texts.append(" ".join(form + own))
+    written, store = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: (written.__setitem__(name, out := store(df, name)), out)[1])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(table).collect()) == list(range(0, 1200, 2))
+    assert written["near-candidates"].count() < 3000  # 719,400 pairs in all
+
+
+def test_equal_hashes_of_shingles_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 10, 5), (2, 10, 5), (3, 10, 7), (4, 11, 5), (5, 10, 9)], "id long, node long, check long")
+    got = {r["id"]: r["node"] for r in simhash._told_apart(rows).collect()}
+    assert got[1] == got[2] == 10 and got[4] == 11 and len({got[1], got[3], got[4], got[5]}) == 4
+
+
 ITEM = "zero one two three four five six seven eight nine ten eleven"
 
 
