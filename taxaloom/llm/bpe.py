@@ -252,10 +252,8 @@ class Vocabulary:
         out: list[bytes] = []
 
         def take(pieces: list[str]) -> None:
-            try:
-                out.append(b"".join(map(self.cache.get, pieces)))
-            except TypeError:  # one that is not remembered
-                out.extend([known(p) or packed(p) for p in pieces])
+            got = list(map(known, pieces))
+            out.extend(got if None not in got else [g or packed(p) for g, p in zip(got, pieces, strict=True)])
 
         at = 0
         for found in self.special.finditer(text) if self.special else ():

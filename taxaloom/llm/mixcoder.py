@@ -3,8 +3,9 @@
 A block is cut into up to ``LANES`` runs of neighbouring ids, which are coded side by side: step t codes id t of every run, by
 one model of the whole block, which then learns all of them. The model mixes three distributions over ids. Order 2 says the
 id that last followed the two before it, order 1 the id that last followed the one before, order 0 is all ids by how often
-they occurred where neither was right. How much each gets is itself learnt twice, by how sure the two predictions have been
-and by the id before, and both estimates are mixed by weights that move to the one that was closer. So an id is one choice of
+they occurred where neither was right. How much order 2 gets is learnt twice, by how sure the two predictions have been and
+by the id before, and both estimates are mixed by weights that move to the one that was closer; the rest is shared by how
+sure they have been. So an id is one choice of
 three, and in the third case one number of 16 bits.
 
 The range coder is carry-free: an interval of 64 bits is narrowed, and its upper 16 bits are put out once they are settled;
@@ -30,6 +31,7 @@ _SURE = 80  # contexts by how sure the predictions are: four states of each and
 #: above these sums; what an occurrence adds in order 0.
 _EVERY, _FIRST, _MOST, _TOTAL, _GAIN = 8, 8, 1 << 12, 1 << 22, 32
 _NARROW, _UPPER, _WORD = U64(1 << 40), U64(1 << 48), U64(16)
+_SURER = np.array([1, 2, 3, 3, 0])
 _NONE = (1 << 20) * 8 + 4  # no id yet: an entry is id * 8 and how often it was right since, up to 3
 
 
@@ -162,17 +164,16 @@ class _Block:
             w, p, q = self.weight[sure], self.by_sure.first[sure], self.by_before.first[before]
             first = (w * (p - q) + (q << 8)) >> 8
             first = np.minimum(np.maximum(first, 1), (1 << SCALE) - 3)
-            r = self.by_before.second[before]
-            second = (w * (self.by_sure.second[sure] - r) + (r << 8)) >> 8
-            second = np.maximum((((1 << SCALE) - 1 - first) * second) >> SCALE, 1)
+            second = np.maximum((((1 << SCALE) - 1 - first) * self.by_sure.second[sure]) >> SCALE, 1)
             x, choice, rest = self.step(live, first, second, g2, g1, None if ids is None else out[t, :live])
             if ids is None:
                 out[t, :live] = x
             self.seen.append((sure, before, choice, x[rest]))
             if t < _FIRST or t % _EVERY == 0:
                 self.learn(sure, p, q, choice)
-            self.order2[slot] = (x << 3) | (choice == 0) * np.minimum(c2 + 1, 3)
-            self.order1[b] = (x << 3) | (x == g1) * np.minimum(c1 + 1, 3)
+            entry = x << 3
+            self.order2[slot] = entry | (x == g2) * _SURER[c2]
+            self.order1[b] = entry | (x == g1) * _SURER[c1]
             two, one = one, np.append(x, one[live:]) if live < self.lanes else x
         return out.T.reshape(-1)
 

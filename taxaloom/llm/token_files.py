@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from . import mixcoder
 from .bpe import Vocabulary
 from .rows import in_batches
@@ -163,6 +163,7 @@ def read_index(spark, folder: str) -> DataFrame:
     """Decode a folder of blocks: doc_id, start (ids of all documents before), n_tokens, ids_crc32, a row for a document."""
     blocks = spark.read.schema(BLOCKS).parquet(folder)
     pieces = blocks.select("part", "at", "payload", "docs").transform(in_batches, _read_blocks, "part int, doc long, doc_id long, piece int, last boolean, at long, n long, crc long")
+    pieces = stored(pieces, "token-pieces")  # blocks are decoded once
     whole = pieces.where("piece = 0 and last").select("part", "doc_id", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     sorted_ = F.array_sort(F.collect_list(F.struct("piece", "n", "crc")))
     split = pieces.where("not (piece = 0 and last)").groupBy("part", "doc").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), sorted_.alias("own"))
