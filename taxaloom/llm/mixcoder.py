@@ -5,8 +5,7 @@ one model of the whole block, which then learns all of them. The model mixes thr
 id that last followed the two before it, order 1 the id that last followed the one before, order 0 is all ids by how often
 they occurred where neither was right. How much order 2 gets is learnt twice, by how sure the two predictions have been and
 by the id before, and both estimates are mixed by weights that move to the one that was closer; the rest is shared by how
-sure they have been. So an id is one choice of
-three, and in the third case one number of 16 bits.
+sure they have been. So an id is one choice of three, and in the third case one number of 16 bits.
 
 The range coder is carry-free: an interval of 64 bits is narrowed, and its upper 16 bits are put out once they are settled;
 an interval that gets too narrow across a border is cut off there. All is integer arithmetic, so every machine decodes alike.

@@ -167,6 +167,26 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
 """
 
 
+#: What SQL can say of op9 and op10: the base kinds by their counts, and what each row brings to its shard.
+PII_COUNTS = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+    SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+           regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+           list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: list_reverse(string_split(regexp_replace(x, '[^0-9]', '', 'g'), ''))) AS cards,
+           list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones
+    FROM d
+)
+SELECT doc_id, n_email,
+       len(list_filter(ips, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(CASE WHEN length(ltrim(y, '0')) > 3 THEN '999' ELSE y END AS INTEGER))) <= 255)) AS n_ip,
+       len(list_filter(cards, lambda c: len(c) BETWEEN 16 AND 19 AND list_sum(list_transform(c, lambda y, i: CASE WHEN i % 2 = 1 THEN CAST(y AS INTEGER) WHEN CAST(y AS INTEGER) > 4 THEN 2 * CAST(y AS INTEGER) - 9 ELSE 2 * CAST(y AS INTEGER) END)) % 10 = 0)) AS n_card,
+       len(list_filter(phones, lambda n: n BETWEEN 8 AND 15)) AS n_phone
+FROM found
+"""
+SHARD_ROWS = "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, 'bytes' AS law FROM documents"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -228,14 +248,22 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_documents(spark, sf_dir))
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), shards=24).select("doc_id", "size", "law")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, op11_nearest, op12_fill_in_middle, op13_spelling_variants, pipeline)
+    every = (op1_language_id, op2_exact_dedup, op3_decontamination, op4_bpe, op5_suffix_dedup, op6_token_counts, op7_token_files, op8_simhash_near_dedup, op9_pii, op10_sharding, op11_nearest, op12_fill_in_middle, op13_spelling_variants, pii_counts, shard_rows, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5, "op11_nearest": OP11, "op12_fill_in_middle": OP12, "op13_spelling_variants": OP13}
+    return {"op2_exact_dedup": OP2, "op3_decontamination": OP3, "op5_suffix_dedup": OP5, "op11_nearest": OP11, "op12_fill_in_middle": OP12, "op13_spelling_variants": OP13, "pii_counts": PII_COUNTS, "shard_rows": SHARD_ROWS}
