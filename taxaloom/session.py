@@ -66,6 +66,11 @@ class Scratch:
     def __init__(self) -> None:
         self.paths: dict[str, None] = {}
 
+    def add(self, df: DataFrame) -> DataFrame:
+        """The table goes with these, whoever stored it."""
+        self.paths[df._taxaloom_path] = None
+        return df
+
     def keep(self, df: DataFrame) -> DataFrame:
         """The table that was stored stays."""
         self.paths.pop(getattr(df, "_taxaloom_path", ""), None)

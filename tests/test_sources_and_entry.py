@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxaloom import cli
+from taxaloom import cli, session
 from taxaloom.functions.ranks import RANKS
 from taxaloom.sources import intermediates, rank_index as ranked, readers, sinks
 from taxaloom.streaming import reads as streams
@@ -127,9 +127,9 @@ def test_a_second_run_reads_what_the_first_has_made(spark, folder, monkeypatch):
 
     monkeypatch.setattr(cli, "Intermediates", Watched)
     (folder / "scratch").mkdir()
-    monkeypatch.setattr(spark, "_taxaloom_dir", f"file://{folder}/scratch", raising=False)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{folder}/scratch")
     assert cli.main(base, spark) == 0 and runs[-1].made == ["canonical", "reads", "pairs", "features"]
-    assert not files_under(folder / "scratch")  # scratch tables go with the command
+    assert (folder / "scratch").exists() and not files_under(folder / "scratch")  # scratch tables go with the command
     first, kept = readers.shards(spark, out).drop("shard").collect(), files_under(cache)
     assert cli.main(base, spark) == 0 and runs[-1].made == [] and files_under(cache) == kept
     assert readers.shards(spark, out).drop("shard").collect() == first
