@@ -13,7 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from taxaloom.llm import components, decontaminate, exact_dedup, golomb, repeats, runindex, sharding, simhash
+import public_tokenizers
+from taxaloom import session
+from taxaloom.llm import bpe, components, decontaminate, exact_dedup, golomb, langid, repeats, runindex, sharding, simhash
 
 from .conftest import SCHEMA, words
 
@@ -476,6 +478,39 @@ def test_sharding_numbers_a_hot_group(spark, monkeypatch):
     assert all(sorted(s) == list(range(len(s))) for s in got.values()) and sum(map(len, got.values())) == 400
 
 
+def test_one_of_each_group_of_copies_stays(spark, docs, rows):
+    """By brute force, with copies that differ in white space and rows that are equal throughout."""
+    draw = random.Random(6)
+    pool = [words(k, 4) for k in range(9)]
+    more = [(draw.choice([None, 1, 2, 3, 40]), draw.choice(["", " "]) + draw.choice(pool).replace(" ", draw.choice([" ", "  ", "\n"]))) for _ in range(90)]
+    table = docs.unionByName(spark.createDataFrame([(*r, None, None, 0, 0, "", "", "", "", "") for r in more], SCHEMA))
+    best = {}
+    for i, t in [r[:2] for r in rows] + more:
+        key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        best[key] = min(best.get(key, (1, False, 0, None)), (-len(t or ""), i is None, i or 0, t or ""))
+    kept = exact_dedup.drop_copies(table)
+    assert Counter((str(r["doc_id"]), r["text"] or "") for r in kept.collect() if (r["text"] or "").strip()) == Counter((str(None if n else i), t) for k, (_, n, i, t) in best.items() if k)
+    assert kept.count() == len(best)
+
+
+def test_stages_on_nothing(spark, empty):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for out in (exact_dedup.drop_copies(empty), langid.keep_identified(empty), simhash.drop_similar(empty), decontaminate.drop_contaminated(empty, bench), bpe.encode_decode(empty, path)):
+        assert out.count() == 0
+
+
+def test_the_pipeline_leaves_its_result_alone(spark, docs, tmp_path, monkeypatch):
+    (tmp_path / "sf").mkdir()
+    (tmp_path / "scratch").mkdir()
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "sf" / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}/scratch")
+    got = corpus_pipeline.run(spark, str(tmp_path / "sf"))
+    assert {1, 4, 10, 13} & {r["doc_id"] for r in got.collect()}
+    assert [p.name[:15] for p in (tmp_path / "scratch").iterdir()] == ["pipeline-tokens"]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     (tmp_path / "t").mkdir()
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "t" / "benchmark.parquet"))

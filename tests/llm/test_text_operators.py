@@ -60,6 +60,7 @@ def test_language_learns_and_backs_off(spark, docs, empty, rows):
     assert langid.identify(docs).count() == len(rows)
     assert langid.identify(empty).count() == 0
     kept = langid.keep_identified(table)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["lang_pred"] != "und" and r["score"] >= 0.5}
     assert kept.columns == table.columns and {1001, 1002, 1003}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
