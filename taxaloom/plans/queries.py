@@ -335,6 +335,7 @@ def q_pool(s, d):
 
 
 def _selected(s: SparkSession, d: str, tie_break: str, prefer: bool = False, on_fail: str = "deepest") -> DataFrame:
+    _share(s, d)
     rows = _scored(s, d).withColumn("in_lineage", F.col("taxon") % 3 == 0)
     return selection.select_calls(rows, 0.5, tie_break, prefer, on_fail).select("id", "taxon", "pos", "chosen_rank", "chosen_prob")
 
