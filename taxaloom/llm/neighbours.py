@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .rows import in_batches
 
-#: Rows of the sample that the upper levels are fitted on (of each length of vectors); bytes of a shard's vectors; queries of
+#: Rows of the sample that the upper levels are fitted on (of each length of vectors; below twice as many are read); bytes of a shard's vectors; queries of
 #: a shard that one task searches; points of a leaf; rows of a table that may be broadcast.
 SAMPLE, SHARD_BYTES, QUERIES, LEAF, SMALL = 16_384, 4 << 20, 4096, 64, 100_000
 #: Share by which a bound has to exceed a distance before a branch is left out, for rounding.
