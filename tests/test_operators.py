@@ -110,6 +110,35 @@ def test_lineages_and_tours_of_random_forests(spark, monkeypatch, small):
     assert pairs == {(k, j) for k in parent for j in under[k]}
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_a_node_listed_with_two_parents(spark, monkeypatch, small):
+    monkeypatch.setattr(taxonomy, "SMALL", small)
+    monkeypatch.setattr(taxonomy.sized, "__defaults__", (small,))
+    monkeypatch.setattr(taxonomy, "STRETCH", 3)
+    rows = [(1, 1, "no rank"), (2, 1, "family"), (3, 2, "genus"), (3, 1, "species"), (4, 3, "species"), (5, 4, "strain"), (6, 2, "genus")]
+    nodes = spark.createDataFrame(rows, "taxid long, parent long, rank string")
+    got = taxonomy.lineage(spark.createDataFrame([(5,), (6,)], "taxid long"), nodes).collect()
+    want = []
+    for taxid in (5, 6):
+        ways = [[r] for r in rows if r[0] == taxid]  # every way up over the rows, once for each row that it ends in
+        for way in ways:
+            ways += [[*way, r] for r in rows if r[0] == way[-1][1] != way[-1][0]]
+        want += [(taxid, max(map(len, ways)) - len(way), way[-1][0]) for way in ways]
+    assert sorted((r["taxid"], r["depth"], r["anc"]) for r in got) == sorted(want)
+    tour = taxonomy.tour(nodes)
+    assert [tuple(r) for r in tour.orderBy("first").collect()] == [
+        (1, 1, 6, 0, 5, 2, 9), (2, 2, 6, 1, 4, 2, 6), (3, 3, 5, 2, 2, 1, 5), (4, 4, 5, 3, 1, 1, 5), (5, 5, 5, 4, 0, 0, 5), (6, 6, 6, 2, 0, 0, 6), (3, 7, 9, 1, 2, 1, 9), (4, 8, 9, 2, 1, 1, 9), (5, 9, 9, 3, 0, 0, 9),
+    ]
+    under = taxonomy.descendants(nodes.select("taxid"), tour, leaves_only=False).collect()
+    assert sorted(map(tuple, under)) == [(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 3), (2, 4), (2, 5), (2, 6), (3, 4), (3, 5), (4, 5)]
+
+
+def test_a_large_table_is_not_broadcast_for_its_small_files(spark):
+    table = spark.range(100).selectExpr("id", "id AS v")
+    plan = spark.range(1000).join(taxonomy.sized(table, 10), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_chain_takes_few_rounds(spark):
     nodes = spark.range(1, 202).selectExpr("id AS taxid", "greatest(id - 1, 1) AS parent")
     tables = taxonomy.jumps(nodes)
