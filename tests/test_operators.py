@@ -463,3 +463,10 @@ def test_residual_network():
         h = gelu(conv(gelu(conv(h, f"block{k}.conv", dilation)), f"block{k}.expand") + skip)
     v = gelu(w["head0.weight"] @ np.append(h.mean(axis=1), extra) + w["head0.bias"])
     assert h.shape == (256, 3) and np.allclose(residual.forward(x, np.ones((1, 1, 9)), extra, w)[0], w["head1.weight"] @ v + w["head1.bias"], atol=1e-5)
+
+
+def test_rounding_to_short_types_alone_stays_finite(spark):
+    rows = spark.createDataFrame([(73920.0,), (-70001.0,), (1.0001,), (0.0,)], "v double")
+    got = rows.select(tensors.rounded(F.col("v"), "float16").alias("r"), tensors.to_dtype(F.col("v"), "fp16").alias("h")).collect()
+    assert [r["r"] for r in got] == [73920.0, -70016.0, 1.0, 0.0]
+    assert [r["h"] for r in got] == [float("inf"), float("-inf"), 1.0, 0.0]
