@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import RANKS
 from ..session import observed, stored
 from . import order
 from .taxonomy import sized
@@ -136,25 +139,23 @@ def lineage_penalty(parent: Column, child: Column, valid: Column) -> Column:
 def lineage_focal(logits: Column, targets: Column, gamma: float = 2.0, alpha: float | None = 0.25, lambda_hier: float = 0.5, rank_weights: list[float] | None = None, mask: Column | None = None) -> Column:
     """Aggregate over rows of seven logits and targets (arrays): focal loss of valid entries plus the lineage penalty.
 
-    Targets below 0 and masked entries count for nothing; a child above its parent is penalised where both are valid.
+    Targets below 0 and masked entries count for nothing; a child above its parent is penalised where both are valid. The
+    seven entries are written out, as Spark compiles no function of array elements.
     """
-    weights = F.array(*map(F.lit, rank_weights)) if rank_weights else F.array_repeat(F.lit(1.0), F.size(logits))
-    shown = mask if mask is not None else F.array_repeat(F.lit(1), F.size(logits))
-    cell = F.arrays_zip(logits.alias("x"), targets.alias("y"), weights.alias("w"), shown.alias("m"))
-    valid = lambda c: (c["y"] >= 0) & (c["m"] > 0)
-    prob = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-
-    def entry(c: Column) -> Column:
-        y = F.greatest(c["y"], F.lit(0)).cast("double")
-        right = F.when(y > 0.5, prob(c["x"])).otherwise(F.lit(1.0) - prob(c["x"]))
-        share = F.lit(1.0) if alpha is None else F.when(y > 0.5, F.lit(alpha)).otherwise(F.lit(1.0 - alpha))
-        return F.when(valid(c), share * F.pow(F.lit(1.0) - right, F.lit(gamma)) * bce_with_logits(c["x"], y) * c["w"]).otherwise(0.0)
-
-    def excess(parent: Column, child: Column) -> Column:
-        return F.when(valid(parent) & valid(child), F.pow(F.greatest(prob(child["x"]) - prob(parent["x"]), F.lit(0.0)), F.lit(2.0)))
-
-    added = lambda values: F.sum(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))))
-    counted = lambda values: F.greatest(F.sum(F.size(F.filter(values, lambda x: x.isNotNull()))), F.lit(1))
-    pairs = F.zip_with(F.slice(cell, F.lit(1), F.size(logits) - 1), F.slice(cell, F.lit(2), F.size(logits) - 1), excess)
-    n = F.greatest(F.sum(F.size(F.filter(cell, valid))), F.lit(1))
-    return added(F.transform(cell, entry)) / n + F.lit(lambda_hier) * added(pairs) / counted(pairs)
+    seven = range(len(RANKS))
+    x, y = [F.get(logits, F.lit(k)) for k in seven], [F.get(targets, F.lit(k)) for k in seven]
+    shown = [F.coalesce(y[k] >= 0, F.lit(False)) & (F.coalesce(F.get(mask, F.lit(k)) > 0, F.lit(False)) if mask is not None else F.lit(True)) for k in seven]
+    prob = [F.lit(1.0) / (F.lit(1.0) + F.exp(-v)) for v in x]
+
+    def entry(k: int) -> Column:
+        one = F.greatest(y[k], F.lit(0)).cast("double")
+        right = F.when(one > 0.5, prob[k]).otherwise(F.lit(1.0) - prob[k])
+        share = F.lit(1.0) if alpha is None else F.when(one > 0.5, F.lit(alpha)).otherwise(F.lit(1.0 - alpha))
+        loss = share * F.pow(F.lit(1.0) - right, F.lit(gamma)) * bce_with_logits(x[k], one) * F.lit(rank_weights[k] if rank_weights else 1.0)
+        return F.when(shown[k], F.coalesce(loss, F.lit(0.0))).otherwise(0.0)
+
+    both = [shown[k] & shown[k + 1] for k in seven[:-1]]
+    excess = [F.when(both[k], F.coalesce(F.pow(F.greatest(prob[k + 1] - prob[k], F.lit(0.0)), F.lit(2.0)), F.lit(0.0))).otherwise(0.0) for k in seven[:-1]]
+    added = lambda parts: F.sum(reduce(lambda a, b: a + b, parts))
+    counted = lambda flags: F.greatest(added([c.cast("int") for c in flags]), F.lit(1))
+    return added([entry(k) for k in seven]) / counted(shown) + F.lit(lambda_hier) * added(excess) / counted(both)

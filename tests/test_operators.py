@@ -470,3 +470,9 @@ def test_rounding_to_short_types_alone_stays_finite(spark):
     got = rows.select(tensors.rounded(F.col("v"), "float16").alias("r"), tensors.to_dtype(F.col("v"), "fp16").alias("h")).collect()
     assert [r["r"] for r in got] == [73920.0, -70016.0, 1.0, 0.0]
     assert [r["h"] for r in got] == [float("inf"), float("-inf"), 1.0, 0.0]
+
+
+def test_lineage_focal_has_no_function_of_array_elements(spark):
+    rows = spark.createDataFrame([([0.5] * 7, [1] * 7)], "x array<double>, y array<int>")
+    plan = rows.agg(metrics.lineage_focal(F.col("x"), F.col("y")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
