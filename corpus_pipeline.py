@@ -25,8 +25,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity 0.8 or more."""
-    return simhash.drop_similar(docs, words=5, similarity=0.8)
+    """One document of each group of near copies stays: fingerprints of three-word shingles that differ in two bits or fewer.
+
+    What fingerprints miss follows from what is left: shingles of five words, similarity 0.8 or more.
+    """
+    return simhash.drop_similar(stored(simhash.drop_near(docs, words=3, bits=2), "pipeline-fingerprints"), words=5, similarity=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,14 +51,14 @@ def fingerprint(text: str | None, words: int = 3, seeds: tuple[int, ...] = (42,)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) for every row of ``docs`` (doc_id, text)."""
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), h (of the text) for every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(t, words)[0] for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps, "h": pdf["h"]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_batches, run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").transform(in_batches, run, "doc_id long, fp long, h long")
 
 
 def _near_masks(bits: int) -> np.ndarray:
@@ -171,6 +171,12 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return listed.transform(in_batches, _lists(bits), "a long, b long")
 
 
+def _rooted(classes: DataFrame, bits: int) -> DataFrame:
+    """``classes`` (fp: distinct, ...) with root: the same for all fingerprints that links connect."""
+    reach = stored(components(links(classes.select("fp"), bits)), "simhash-reach")
+    return classes.join(reach, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """A row for every row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -179,15 +185,32 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     null text counts as empty; a null doc_id is kept and belongs to its class (whose id is null if no member has one);
     repeated rows stay; an empty table gives an empty result; other columns of ``docs`` are not read.
     """
-    rows = stored(fingerprints(docs, words), "simhash-rows")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
-    reach = stored(components(links(classes.select("fp"), bits)), "simhash-reach")
-    rooted = classes.join(reach, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rows = stored(fingerprints(docs, words).drop("h"), "simhash-rows")
+    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes"), bits)
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(rooted.join(lows, "root").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: the smallest doc_id of each of the ``near_groups``.
+
+    A null doc_id stays only if its group has no other; of repeated rows one stays.
+    """
+    rows = stored(fingerprints(docs, words), "simhash-rows")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    classes = stored(rows.groupBy("fp").agg(F.min(own).alias("first")), "simhash-classes")
+    stays = stored(_rooted(classes, bits).groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h"), "simhash-first")
+    return _kept(docs, stays, rows.select(F.col("doc_id").alias("id"), "h"))
+
+
+def _kept(docs: DataFrame, stays: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (id, h) are in ``stays``, one of each; ``rows`` has those of all."""
+    per = rows.groupBy("id", "h").agg(F.count("*").alias("n")).alias("per")
+    keys = stays.alias("s").join(per, F.col("s.id").eqNullSafe(F.col("per.id")) & (F.col("s.h") == F.col("per.h")))
+    return rows_.keep(docs, keys.select("s.id", "s.h", F.lit(1).cast("long").alias("stay"), "per.n"))
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct shingles of ``text`` as sorted 64-bit hashes; a shorter text is one shingle, one without a word has none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -443,6 +466,4 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     rooted = stored(rooted, "near-rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
     stays = stored(first.select("first.id", "first.h"), "near-first")
-    per = rooted.groupBy("id", "h").agg(F.count("*").alias("n")).alias("per")
-    keys = stays.alias("s").join(per, F.col("s.id").eqNullSafe(F.col("per.id")) & (F.col("s.h") == F.col("per.h")))
-    return rows_.keep(docs, keys.select("s.id", "s.h", F.lit(1).cast("long").alias("stay"), "per.n"))
+    return _kept(docs, stays, rooted)

@@ -521,3 +521,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert now.columns == before.columns
     left = {r["doc_id"] for r in now.collect()}
     assert {1, 4, 10, 13} & left and {6, 7, 8, 9, 30}.isdisjoint(left) and not {2, 5} & left
+
+
+def test_the_near_stage_drops_what_fingerprints_link(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(30)]
+    rows = []
+    for k, t in enumerate(texts):
+        own = t.split()
+        rows += [(10 * k, t), (10 * k + 1, " ".join([*own[:200], "other", *own[201:]])), (10 * k + 2, " ".join(own[: -(k % 7 + 1)]))]
+    rows += [(None, texts[0]), (None, "nothing like it"), (0, texts[0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [simhash.fingerprint(t)[0] for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(prints):
+            root[i] = min(root[j] for j, y in enumerate(prints) if (x ^ y).bit_count() <= 2)
+    want = {min(((rows[i][0] is None, rows[i][0] or 0, rows[i][1]) for i in range(len(rows)) if root[i] == r)) for r in set(root)}
+    kept = simhash.drop_near(table).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in kept) == sorted(want) and len(want) < len(rows)
+    ids = {r["doc_id"] for r in corpus_pipeline.near(spark, table, "").collect()}
+    assert ids <= {r["doc_id"] for r in kept}
