@@ -185,6 +185,21 @@ def test_features(spark, tree):
     assert len(rows) == 1 and [len(b) for b in rows[0]["bins"]] == [22, 22]
 
 
+def test_features_of_a_taxid_listed_twice(spark):
+    """K-mers count once for each listing, shares add up to one, and no shuffle is as wide as the features."""
+    nodes = spark.createDataFrame([*NODES, (61, 40, "genus")], "taxid long, parent long, rank string")
+    canon = spark.createDataFrame([(60, 2, 10, 20, 30, 40, 50, 60), (61, 2, 10, 20, 30, 40, 50, 61)], f"taxid long, {', '.join(f'{r} long' for r in RANKS)}")
+    binned = spark.createDataFrame([("a", 0, 60, 4), ("a", 0, 61, 3), ("a", 0, 0, 2)], "id string, bin long, taxid long, cnt long")
+    pairs = spark.createDataFrame([("a", 60, 60), ("a", 61, 61), ("a", 600, 60)], "id string, taxid long, taxon long")
+    rows = features.bin_features(binned, pairs, canon, nodes)
+    got = {r["taxon"]: r for r in rows.collect()}
+    assert rows.count() == 2 and (got[60]["exact"], got[61]["exact"]) == (4 / 12, 6 / 12)
+    assert (got[60]["genus_in"], got[60]["genus_out"], got[60]["genus_desc"]) == (3 / 12, 2 / 12, 7 / 12)
+    assert (got[61]["species_in"], got[61]["species_out"], got[61]["species_desc"]) == (6 / 12, 6 / 12, 0)
+    plan = features.feature_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    assert not any("genus_in" in x or "tot6" in x for x in plan.splitlines() if " Exchange " in x) and plan.count("REPARTITION_BY_COL") == 1
+
+
 def plain_choice(rows, limit, tie_break):
     """The selection rule as a loop."""
     clean = [[x if x is not None and math.isfinite(x) else None for x in r] for r in rows]
