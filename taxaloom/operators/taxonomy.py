@@ -28,6 +28,14 @@ def normalize(ids: DataFrame, column: str, merged: DataFrame) -> DataFrame:
     return ids.join(sized(new), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
+def known(taxids: DataFrame, nodes: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """``taxids`` (taxid) -> taxid: those that are nodes or merged into one, so those that have a ``lineage``, each once."""
+    at = taxids.select("taxid", F.col("taxid").alias("node")).distinct()
+    if merged is not None:
+        at = normalize(at, "node", merged)
+    return at.join(sized(nodes.select(F.col("taxid").alias("node"))), "node", "left_semi").select("taxid").distinct()
+
+
 def jumps(nodes: DataFrame) -> list[DataFrame]:
     """Tables (node, up, steps) of every node: table k leads 2^k steps up, or has a null ``up`` and the steps to the root.
 

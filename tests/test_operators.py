@@ -139,6 +139,15 @@ def test_a_large_table_is_not_broadcast_for_its_small_files(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_known_taxa_are_those_with_a_lineage(spark, tree):
+    nodes, merged, lineage = tree
+    asked = spark.createDataFrame([(60,), (61,), (10,), (600,), (999,), (60,), (None,)], "taxid long")
+    for listed in (nodes, nodes.union(spark.createDataFrame([(60, 30, "species")], nodes.schema))):
+        got = [r["taxid"] for r in taxonomy.known(asked, listed, merged).collect()]
+        assert sorted(got) == [10, 60, 61, 600] == sorted(r["taxid"] for r in taxonomy.lineage(asked, listed, merged).select("taxid").distinct().collect())
+    assert [r["taxid"] for r in taxonomy.known(asked, nodes).orderBy("taxid").collect()] == [10, 60, 61]
+
+
 def test_a_chain_takes_few_rounds(spark):
     nodes = spark.range(1, 202).selectExpr("id AS taxid", "greatest(id - 1, 1) AS parent")
     tables = taxonomy.jumps(nodes)

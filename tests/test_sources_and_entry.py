@@ -289,6 +289,40 @@ def test_query_equals_oracle(spark, name):
     assert plain(got) == plain(want)
 
 
+@pytest.mark.parametrize("name", ["q_select_best", "q_select_p_only", "q_select_strict", "q_select_deep", "q_select_lineage", "q_candidates"])
+def test_candidates_need_no_lineages(spark, monkeypatch, name):
+    from taxaloom.operators import taxonomy
+    from taxaloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(taxonomy, "jumps", lambda nodes: pytest.fail("the tree is climbed"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_outcomes_climb_from_the_truths_only(spark, monkeypatch):
+    from taxaloom.operators import taxonomy
+    from taxaloom.plans.queries import QUERIES
+
+    asked, climb = [], taxonomy.lineage
+    monkeypatch.setattr(taxonomy, "lineage", lambda taxids, *rest: asked.append({r["taxid"] for r in taxids.collect()}) or climb(taxids, *rest))
+    assert QUERIES["q_outcome_table"](spark, "/root/testdata/sf0.001").count()
+    truths = QUERIES["q_true_taxon"](spark, "/root/testdata/sf0.001").collect()
+    assert asked == [{r["true_taxon"] for r in truths}]
+
+
+def test_reads_of_an_evaluation_are_not_broadcast(spark):
+    from taxaloom.operators import evaluation
+
+    reads = spark.createDataFrame([("a", "C", "x (taxid 60)")], "id string, classified string, taxonomy string")
+    mapped = spark.createDataFrame([("a", 60, "included/a")], "id string, true_taxid long, path string")
+    scores = spark.createDataFrame([("a", 60, *[0.5] * 7)], "id string, taxon long, " + ", ".join(f"prob_{r} double" for r in RANKS))
+    lines = spark.createDataFrame([(60, [1, 60])], "taxid long, path array<long>")
+    nodes = spark.createDataFrame([(60, "species")], "taxid long, rank string")
+    table = evaluation.read_table(reads, mapped, scores, lines, nodes)
+    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 2  # reads and scores, and the two small tables
+    assert [(r["outcome"], r["rank"], r["prob_species"]) for r in table.collect()] == [("TP", "species", 0.5)]
+
+
 def test_entry_without_optional_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "taxaloom"):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else None
