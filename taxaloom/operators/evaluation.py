@@ -30,12 +30,12 @@ def read_table(reads: DataFrame, mapped: DataFrame, predictions: DataFrame, path
     ``reads`` has id, classified, taxonomy; ``paths`` taxid and path (lineage as an array); ``predictions`` id, taxon and
     prob_<rank>, joined on read and reported taxid: reads without one keep null probabilities.
     """
-    own = reads.select("id", "classified", tokens.reported_taxid(F.col("taxonomy")).alias("taxid")).join(mapped, "id")
+    own = reads.select("id", "classified", tokens.reported_taxid(F.col("taxonomy")).alias("taxid")).join(mapped.hint("merge"), "id")
     lines = paths.select(F.col("taxid").alias("true_taxid"), F.col("path").alias("truth_path"))
     told = outcomes(own.join(sized(lines), "true_taxid", "left")).drop("truth_path")
     rank = nodes.where(F.col("rank").isin(*RANKS)).select("taxid", "rank")
     scores = predictions.select("id", F.col("taxon").alias("taxid"), *(f"prob_{r}" for r in RANKS))
-    return told.join(sized(rank), "taxid", "left").join(scores, ["id", "taxid"], "left")
+    return told.join(sized(rank), "taxid", "left").join(scores.hint("merge"), ["id", "taxid"], "left")
 
 
 def summary(table: DataFrame, by: list[str] | None = None) -> DataFrame:
