@@ -172,12 +172,19 @@ def is_below(node: Column, first: Column, end: Column) -> Column:
     return (node > first) & (node <= end)
 
 
-def described(taxids: DataFrame, lineages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``taxids`` (taxid) -> taxid, rank, path: an unknown taxid has rank no_rank and an empty path; of several ranks the first counts."""
-    ranks = nodes.groupBy(F.col("taxid").alias("_node")).agg(F.min("rank").alias("rank"))
-    out = taxids.select("taxid").distinct().join(paths(lineages).hint("merge"), "taxid", "left")
-    out = out.join(sized(ranks), F.element_at("path", -1) == F.col("_node"), "left")
-    return out.select("taxid", F.coalesce("rank", F.lit("no_rank")).alias("rank"), F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
+def described(taxids: DataFrame, lineages: DataFrame, nodes: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """``taxids`` (taxid) -> taxid, rank, path: an unknown taxid has rank no_rank; of several ranks the first counts.
+
+    The rank is that of the node, with ``merged`` of the successor; the path is empty where ``lineages`` has none. A taxid
+    that is listed several times has every entry of its path once for each.
+    """
+    ids = taxids.select("taxid", F.col("taxid").alias("_node")).distinct()
+    if merged is not None:
+        ids = normalize(ids, "_node", merged)
+    ranks = nodes.groupBy(F.col("taxid").alias("_node")).agg(F.min("rank").alias("rank"), F.count("*").cast("int").alias("times"))
+    out = ids.join(paths(lineages).hint("merge"), "taxid", "left").join(sized(ranks), "_node", "left")
+    path = F.when(F.col("times") > 1, F.flatten(F.transform("path", lambda x: F.array_repeat(x, F.col("times"))))).otherwise(F.col("path"))
+    return out.select("taxid", F.coalesce("rank", F.lit("no_rank")).alias("rank"), F.coalesce(path, F.array().cast("array<bigint>")).alias("path"))
 
 
 def exclusions(samples: DataFrame, canon: DataFrame, excluded: DataFrame) -> DataFrame:

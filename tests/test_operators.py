@@ -78,6 +78,15 @@ def test_lineage(spark, tree):
     assert {tuple(r) for r in taxonomy.descendants(asked, tour, merged=merged).collect()} == {(50, 60), (50, 61), (50, 600)}
 
 
+def test_described_taxids_listed_twice_and_merged_without_a_lineage(spark):
+    nodes = spark.createDataFrame([(1, 1, "no rank"), (2, 1, "genus"), (5, 2, "species"), (5, 2, "genus")], "taxid long, parent long, rank string")
+    merged = spark.createDataFrame([(90, 5), (91, 2)], "old long, new long")
+    ids, asked = (spark.createDataFrame([(k,) for k in x], "taxid long") for x in ((2, 5, 90), (2, 5, 7, 90, 91)))
+    got = {r["taxid"]: (r["rank"], r["path"]) for r in taxonomy.described(asked, taxonomy.lineage(ids, nodes, merged), nodes, merged).collect()}
+    twice = ("genus", [1] * 4 + [2] * 4 + [5] * 4)
+    assert got == {2: ("genus", [1, 2]), 5: twice, 90: twice, 7: ("no_rank", []), 91: ("genus", [])}
+
+
 @pytest.mark.parametrize("small", [200_000, 0])
 def test_lineages_and_tours_of_random_forests(spark, monkeypatch, small):
     monkeypatch.setattr(taxonomy, "SMALL", small)
