@@ -104,7 +104,7 @@ _REFINED = "SELECT r.id, classified, taxonomy, length, reported AS reported_taxi
 
 _OUTCOME = """SELECT CASE WHEN classified = 'C' AND coalesce(taxon IN (SELECT anc FROM lineage l WHERE l.taxid = true_taxon), false) THEN 'TP' WHEN classified = 'C' THEN 'FP'
     WHEN key % 3 = 0 THEN 'FN' WHEN key % 3 = 1 THEN 'TN' ELSE 'OTHER' END AS outcome, count(*) AS n
-    FROM truth JOIN (SELECT id, taxon FROM best) USING (id) GROUP BY ALL"""
+    FROM truth LEFT JOIN (SELECT id, taxon FROM best) USING (id) GROUP BY ALL"""
 
 _FEATURES = """, sizes AS (SELECT id, bin, sum(cnt) AS size FROM bins GROUP BY ALL),
 want AS (SELECT DISTINCT id, taxon FROM pairs),

@@ -309,6 +309,17 @@ def test_outcomes_climb_from_the_truths_only(spark, monkeypatch):
     assert asked == [{r["true_taxon"] for r in truths}]
 
 
+def test_outcomes_count_every_read(spark):
+    """Unclassified reads have no call, and are the FN, TN and OTHER of the table."""
+    from taxaloom.plans.queries import QUERIES
+
+    got = {r["outcome"]: r["n"] for r in QUERIES["q_outcome_table"](spark, "/root/testdata/sf0.001").collect()}
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    left = orders.where("o_orderstatus = 'P'").groupBy(F.expr("o_orderkey % 3").alias("k")).count().collect()
+    assert {k: got.get(k) for k in ("FN", "TN", "OTHER")} == {("FN", "TN", "OTHER")[r["k"]]: r["count"] for r in left}
+    assert sum(got.values()) == orders.count()
+
+
 def test_reads_of_an_evaluation_are_not_broadcast(spark):
     from taxaloom.operators import evaluation
 
