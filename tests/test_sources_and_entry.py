@@ -3,6 +3,7 @@
 import json
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -334,6 +335,29 @@ def test_reads_of_an_evaluation_are_not_broadcast(spark):
     assert [(r["outcome"], r["rank"], r["prob_species"]) for r in table.collect()] == [("TP", "species", 0.5)]
 
 
+def test_shuffles_of_a_stored_table_are_removed(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b.toString() for b in _listed(blocks.getAllBlocks()) if b.isShuffle()}
+    before = shuffles()
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert session.stored(df, "few").count() == 10
+    time.sleep(1)
+    left = {b.split("_")[1] for b in shuffles() - before}
+    assert spark.conf.get(session.CLEANUP) == "false" and len(left) == 1  # that of the count
+
+
+def _listed(blocks):
+    return [blocks.apply(k) for k in range(blocks.size())]
+
+
+def test_a_read_is_dealt_without_its_tokens(spark):
+    from taxaloom.plans import emulation
+
+    plan = emulation.reads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    window = plan.index("Window ")
+    assert plan.index(" AS token") < window and " AS token" not in plan[window:]
+
+
 def test_entry_without_optional_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "taxaloom"):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else None
