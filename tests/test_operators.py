@@ -142,6 +142,25 @@ def test_a_node_listed_with_two_parents(spark, monkeypatch, small):
     assert sorted(map(tuple, under)) == [(1, 2), (1, 3), (1, 4), (1, 5), (1, 6), (2, 3), (2, 4), (2, 5), (2, 6), (3, 4), (3, 5), (4, 5)]
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+@pytest.mark.parametrize("cycle", [False, True])
+def test_counts_of_nodes_listed_with_several_parents(spark, monkeypatch, small, cycle):
+    """Distinct nodes below, also where ways lead round in a cycle."""
+    monkeypatch.setattr(taxonomy, "SMALL", small)
+    monkeypatch.setattr(taxonomy.sized, "__defaults__", (small,))
+    draw = random.Random(5)
+    rows = {(1, 1)} | {(k, draw.randrange(max(1, k // 5), k)) for k in range(2, 60) for _ in range(draw.choice((1, 1, 2, 3)))} | {(70, 999)}
+    rows |= {(4, 20), (20, 9), (9, 4), (2, 2)} if cycle else set()
+    edges = {(a, b) for a, b in rows if a != b and b != 999}
+    below = set(edges)
+    while more := {(a, d) for a, b in below for c, d in edges if b == c} - below:
+        below |= more
+    inner = {b for _, b in edges}
+    want = {b: (sum(y == b != x for x, y in below), sum(y == b != x and x not in inner for x, y in below)) for _, b in below}
+    got = taxonomy.counts(spark.createDataFrame(sorted(rows), "taxid long, parent long")).collect()
+    assert {r["taxid"]: (r["below"], r["leaves"]) for r in got} == want and len(got) == len(want)
+
+
 def test_a_large_table_is_not_broadcast_for_its_small_files(spark):
     table = spark.range(100).selectExpr("id", "id AS v")
     plan = spark.range(1000).join(taxonomy.sized(table, 10), "id")._jdf.queryExecution().executedPlan().toString()
